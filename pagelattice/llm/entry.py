@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagelattice.llm.bpe import encode_documents
 from pagelattice.llm.common import documents
+from pagelattice.llm.licenses import scan_documents
+from pagelattice.llm.lm_score import score_documents as lm_scores
 from pagelattice.llm.packing import pack_documents
+from pagelattice.llm.toxicity import score_documents as toxicity_scores
 from pagelattice.llm.webp import media_documents
 
 
@@ -17,17 +20,32 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_documents(documents(spark, sf_dir))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(documents(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op4_lm_scoring": op4_lm_scoring,
     "op7_media_columns": op7_media_columns,
+    "op8_license_scan": op8_license_scan,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 
