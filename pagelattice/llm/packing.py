@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,8 @@ WINDOWS = 16
 CUT_SHARE = 0.125
 #: Ended documents carry this id last.
 END_ID = 1
-#: Distinct words that a worker remembers; beyond it the memory is emptied, and results stay the same.
+#: Distinct pieces that a worker remembers; beyond it the memory is emptied, and results stay the same.
 REMEMBERED = 400_000
-LONGEST_REMEMBERED = 64
 
 SCHEMA = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
@@ -113,10 +114,21 @@ def packed(lengths: list[int], capacity: int = CAPACITY, cut_share: float = CUT_
     return [w for w in out if w]
 
 
+#: Pieces of a lower-case Latin-1 text that the file's pre-tokeniser takes as one each: contractions, letters,
+#: single numerals, and other visible characters.
+_PIECE = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \t\n\r\x0b\x0c\x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
+)
+_SPACE = re.compile(r"[ \t\n\r]+")
+
+
 class WordIds:
-    """Ids of a text by a tokenizer that drops white space; distinct words are encoded once.
+    """Ids of a text by a tokenizer of lower-case words with word ends that drops white space.
 
-    The file's normaliser and pre-tokeniser act within words only, so words are encoded alone.
+    Distinct pieces of the texts are encoded once and remembered. The normaliser and pre-tokeniser
+    of the file act within pieces only. New pieces are encoded in one run, with spaces between them,
+    and told apart by the ids that end a word. Texts beyond Latin-1, or that may hold special tokens,
+    are cut at ASCII white space instead, and those pieces are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -126,20 +138,46 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.memory: dict[str, bytes] = {}
 
+    def _remember(self, pieces: list[str], memory: dict[str, bytes]) -> None:
+        """Adds the ids of pieces that are one pre-token each."""
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(part):
+                raise ValueError("a piece is not one pre-token; the file is not of the expected kind")
+            raw, begin = ids.tobytes(), 0
+            for piece, stop in zip(part, stops, strict=True):
+                memory[piece] = raw[begin:stop]
+                begin = stop
+
+    def _plain(self, text: str) -> list[str] | None:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return None if "<|" in text else _PIECE.findall(text.lower())
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
         memory = self.memory
-        new = list({w for words in cut for w in words if w not in memory})
-        extra = {}
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (memory if len(w) <= LONGEST_REMEMBERED else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        known = memory | extra if extra else memory
-        return [b"".join([known[w] for w in words]) for words in cut]
+        cut = [self._plain(t) for t in texts]
+        self._remember(list(set(chain.from_iterable(filter(None, cut))).difference(memory)), memory)
+        out = []
+        for pieces, text in zip(cut, texts, strict=True):
+            if pieces is None:
+                found = self.tokenizer.encode_batch_fast(_SPACE.split(text), add_special_tokens=False)
+                out.append(b"".join([np.array(e.ids, "<u4").tobytes() for e in found]))
+            else:
+                out.append(b"".join(map(memory.__getitem__, pieces)))
+        return out
 
 
 class Packer:
