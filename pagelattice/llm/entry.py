@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagelattice.llm.bpe import encode_documents
 from pagelattice.llm.common import documents
+from pagelattice.llm.embed_dedup import link_vectors
 from pagelattice.llm.licenses import scan_documents
 from pagelattice.llm.lm_score import score_documents as lm_scores
 from pagelattice.llm.packing import pack_documents
@@ -24,6 +25,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_documents(documents(spark, sf_dir))
 
@@ -43,6 +48,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op7_media_columns": op7_media_columns,
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,

@@ -271,7 +271,7 @@ def score_documents(docs: DataFrame, stage: bool = False) -> DataFrame:
     words = next((r for r in sums if not r.pairs), None)
     total, rest, distinct = (words.total, words.total - words.total_deleted, words.distinct) if words else (0, 0, 0)
 
-    def observe(key, texts: pa.Table, counted: pa.Table) -> pa.Table:
+    def observe(key: tuple, texts: pa.Table, counted: pa.Table) -> pa.Table:
         rows: dict[str, list] = {"bucket": [], "pair_step": [], "word_step": [], "n": []}
         if texts.num_rows and counted.num_rows:
             word, context, pair, _ = keys_of(texts.column("text").to_pylist())
@@ -297,7 +297,7 @@ def score_documents(docs: DataFrame, stage: bool = False) -> DataFrame:
     )
     weights = spark.sparkContext.broadcast(learned([tuple(r) for r in seen]))
 
-    def score(key, texts: pa.Table, counted: pa.Table) -> pa.Table:
+    def score(key: tuple, texts: pa.Table, counted: pa.Table) -> pa.Table:
         doc_ids = texts.column("doc_id").to_pylist()
         word, context, pair, sizes = keys_of(texts.column("text").to_pylist())
         if doc_ids:
