@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagelattice.llm.bpe import encode_documents
 from pagelattice.llm.common import documents
 from pagelattice.llm.embed_dedup import link_vectors
+from pagelattice.llm.html_text import extract_pages
 from pagelattice.llm.licenses import scan_documents
 from pagelattice.llm.lm_score import score_documents as lm_scores
 from pagelattice.llm.packing import pack_documents
@@ -21,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
 
@@ -47,6 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_html_extraction": op3_html_extraction,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op7_media_columns": op7_media_columns,
