@@ -14,10 +14,15 @@ from pagelattice.llm.html_text import extract_pages
 from pagelattice.llm.licenses import scan_documents
 from pagelattice.llm.lm_score import score_documents as lm_scores
 from pagelattice.llm.packing import pack_documents
+from pagelattice.llm.simhash import near_duplicates
 from pagelattice.llm.toxicity import score_documents as toxicity_scores
 from pagelattice.llm.webp import media_documents
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,6 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_html_extraction": op3_html_extraction,
     "op4_lm_scoring": op4_lm_scoring,
