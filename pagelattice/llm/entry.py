@@ -14,6 +14,7 @@ from pagelattice.llm.html_text import extract_pages
 from pagelattice.llm.licenses import scan_documents
 from pagelattice.llm.lm_score import score_documents as lm_scores
 from pagelattice.llm.packing import pack_documents
+from pagelattice.llm.runs_dedup import digests
 from pagelattice.llm.simhash import near_duplicates
 from pagelattice.llm.toxicity import score_documents as toxicity_scores
 from pagelattice.llm.webp import media_documents
@@ -39,6 +40,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(documents(spark, sf_dir))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_documents(documents(spark, sf_dir))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_media_columns": op7_media_columns,
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
