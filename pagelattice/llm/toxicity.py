@@ -15,8 +15,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,3 +200,25 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
     rows = id_and_text(docs).withColumn("held_out", crc_mod("doc_id", FOLDS) == HELD_OUT)
     return map_rows(rows, SCHEMA, make)
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is not predicted toxic; a null text is kept.
+
+    Training draws on the labels of the training folds that belong to ``docs``. No shuffle: scores are
+    told row by row and rows pass whole.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = model.value
+        memory = use.memory()
+        for batch in batches:
+            if len(memory) > REMEMBERED:
+                memory.clear()
+            texts = batch.column(at).to_pylist()
+            clean = [t is None or use.combined(use.sentence_scores(t, memory)) < threshold for t in texts]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
