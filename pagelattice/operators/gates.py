@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelattice.functions import geometry
+from pagelattice.operators.groups import spread
 
 
 @dataclass(frozen=True)
@@ -75,7 +76,7 @@ def accept_in_order(matches: DataFrame, use: MatchThresholds | None = None) -> D
             rows.append({"pair_id": m["pair_id"], "iter": m["iter"], **told})
         return pd.DataFrame(rows)
 
-    return matches.groupBy("pair_id").applyInPandas(run, ACCEPTED)
+    return spread(matches.withColumn("pair_id", F.col("pair_id").cast("string")), "pair_id").groupBy("pair_id").applyInPandas(run, ACCEPTED)
 
 
 def remainder_offsets(cuts: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ def replay(answers: DataFrame, max_iterations: int = 40, use: MatchThresholds |
         out["finished_reason"] = [None] * (len(out) - 1) + [reason] if len(out) else []
         return out
 
-    return answers.groupBy("pair_id").applyInPandas(run, REPLAYED)
+    return spread(answers.withColumn("pair_id", F.col("pair_id").cast("string")), "pair_id").groupBy("pair_id").applyInPandas(run, REPLAYED)
 
 
 def extra_blocks(blocks: DataFrame, least_width: int = 50, least_height: int = 40) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.functions import text
+from pagelattice.operators.groups import spread
 
 ICON, FLAT_LOW, FLAT_HIGH = 40, 3, 61
 HASH_MOST, COPY_MOST, WINDOW_LEAST, WINDOW_SHARE = 10, 6, 60, 1.5
@@ -203,7 +204,9 @@ def match_images(source: DataFrame, target: DataFrame, anchors: DataFrame) -> Da
 
     schema = "pair_id string, side string, ord int, idx string, matched boolean, counterpart int"
     columns = ["pair_id", "side", "ord", "x", "y", "hash", "px", "py"]
-    return nodes.select(*columns).groupBy("pair_id").cogroup(found.groupBy("pair_id")).applyInPandas(run, schema)
+    found = found.select(*[F.col(c).alias(c) for c in found.columns])  # names of its own, for the two sides share tables
+    nodes = nodes.select(*[F.col(c).alias(c) for c in columns])
+    return spread(nodes, "pair_id").groupBy("pair_id").cogroup(spread(found, "pair_id").groupBy("pair_id")).applyInPandas(run, schema)
 
 
 def labelled(nodes: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelattice.functions import text
+from pagelattice.operators.groups import spread
 
 DRIFT, REFLOW, FUZZY_LENGTH, FUZZY_SHARE = 24, 0.9, 6, 0.15
 COALESCE_EM, LOCAL_NEIGHBOURS = 0.6, 10
@@ -78,7 +79,7 @@ def ordered_items(items: DataFrame, keys: list[str], coalesce: bool = False) ->
         found = coalesced(found) if coalesce else found
         return found.assign(index=np.arange(len(found), dtype="int32"))[schema.names]
 
-    return first.groupBy(*keys).applyInPandas(run, schema)
+    return spread(first, *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def with_deltas(ordered: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,21 +102,36 @@ def most_edits(a: Column, b: Column) -> Column:
 
 def keys_alike(a: Column, b: Column) -> Column:
     """J11."""
-    return (a == b) | ((F.least(F.length(a), F.length(b)) >= FUZZY_LENGTH) & (F.levenshtein(a, b) <= most_edits(a, b)))
+    near = (F.least(F.length(a), F.length(b)) >= FUZZY_LENGTH) & (F.abs(F.length(a) - F.length(b)) <= most_edits(a, b))
+    return (a == b) | (near & (F.levenshtein(a, b) <= most_edits(a, b)))
 
 
 def _edits_within(a: str, b: str, most: int) -> bool:
+    """Whether the Levenshtein distance is at most ``most``, by bit-parallel rows of differences (Myers 1999)."""
     if abs(len(a) - len(b)) > most:
         return False
-    before = list(range(len(b) + 1))
-    for i, c in enumerate(a, 1):
-        row = [i]
-        for j, d in enumerate(b, 1):
-            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (c != d)))
-        if min(row) > most:
+    if not a or not b:
+        return max(len(a), len(b)) <= most
+    all_, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    up, down, distance, left = all_, 0, len(a), len(b)
+    for c in b:
+        same = places.get(c, 0)
+        vertical = same | down
+        horizontal = ((same & up) + up ^ up) | same
+        rise = (down | ~(horizontal | up)) & all_
+        fall = up & horizontal
+        distance += 1 if rise & last else -1 if fall & last else 0
+        left -= 1
+        if distance - left > most:
             return False
-        before = row
-    return before[-1] <= most
+        rise = (rise << 1 | 1) & all_
+        fall = fall << 1 & all_
+        up = (fall | ~(vertical | rise)) & all_
+        down = rise & vertical
+    return distance <= most
 
 
 def alike_matrix(a: list[str], b: list[str]) -> np.ndarray:
@@ -216,17 +232,15 @@ def aligned_pair(pair_id, source: pd.DataFrame, target: pd.DataFrame) -> pd.Data
             status["source"][i] = status["target"][j] = "moved"
             other["source"][i], other["target"][j] = j, i
     out = []
+    items = {k: list(v[["ord", "text", "x", "y", "w", "h", "key"]].itertuples(index=False, name=None)) for k, v in sides.items()}
     for op, (i, j) in enumerate(steps):
         for side, facing, at in (("source", "target", i), ("target", "source", j)):
             if at < 0:
                 continue
-            item = sides[side].iloc[at]
             to = other[side][at]
-            peer = sides[facing].iloc[to] if to >= 0 else None
-            out.append(
-                (pair_id, op, side, item["ord"], item["text"], item["x"], item["y"], item["w"], item["h"], item["key"], status[side][at], segment[side][at])
-                + ((None,) * 6 if peer is None else (peer["ord"], peer["x"], peer["y"], peer["w"], peer["h"], peer["text"]))
-            )
+            peer = items[facing][to] if to >= 0 else None
+            there = (None,) * 6 if peer is None else (peer[0], *peer[2:6], peer[1])
+            out.append((pair_id, op, side, *items[side][at], status[side][at], segment[side][at], *there))
     frame = pd.DataFrame(out, columns=[p.strip().split()[0] for p in ALIGNED.split(",")])
     whole = [c for c in frame.columns if c not in ("pair_id", "side", "text", "key", "status", "other_text")]
     return frame.astype(dict.fromkeys(whole, "Int32"))
@@ -240,7 +254,8 @@ def align(source: DataFrame, target: DataFrame, rules: list[dict] | None = None)
     def run(key, s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         return aligned_pair(key[0], s.sort_values("ord", ignore_index=True), t.sort_values("ord", ignore_index=True))
 
-    return sides[0].groupBy("pair_id").cogroup(sides[1].groupBy("pair_id")).applyInPandas(run, ALIGNED)
+    s, t = (spread(side, "pair_id").groupBy("pair_id") for side in sides)
+    return s.cogroup(t).applyInPandas(run, ALIGNED)
 
 
 def segments(aligned: DataFrame) -> DataFrame:

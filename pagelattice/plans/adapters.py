@@ -58,11 +58,7 @@ def _by_pair():
 
 def image_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes from vectors: the hash is the signs of 64 components; ten vectors are a pair, by place source or target."""
-    bits = F.aggregate(
-        F.transform("embedding", lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
-        F.lit(0).cast("long"),
-        lambda a, b: a.bitwiseOR(b),
-    )
+    bits = F.expr("aggregate(transform(embedding, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
     v = table(spark, sf_dir, "embeddings").where("vec_id is not null").withColumn("hash", bits)
     return v.select(
         F.floor(F.col("vec_id") / 10).cast("long").alias("pair_id"), F.when(F.col("vec_id") % 2 == 0, "source").otherwise("target").alias("side"),

@@ -25,11 +25,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def in_last_minute(events: DataFrame, key: str, ts: str = "ts", seconds: int = 60) -> DataFrame:
     """For each event how many of its key fall into the minute up to it, and the pause before it."""
-    at = F.unix_micros(ts) / 1e6
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     by = Window.partitionBy(key).orderBy("__at")
     found = events.withColumn("__at", at)
     return found.withColumns(
-        {"in_window": F.count("*").over(by.rangeBetween(-seconds, 0)), "pause": F.col("__at") - F.lag("__at").over(by)}
+        {"in_window": F.count("*").over(by.rangeBetween(-seconds * 1_000_000, 0)), "pause": (F.col("__at") - F.lag("__at").over(by)) / 1e6}
     ).drop("__at")
 
 
