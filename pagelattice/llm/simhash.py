@@ -150,7 +150,9 @@ def grouped(table: DataFrame, id_column: str, bits: int = BITS) -> DataFrame:
     linked = first.join(component, "print")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     told = linked.join(least, "component").select("print", "least")
-    return first.join(told, "print", "left").select("print", F.coalesce("least", "first").alias("component_id"))
+    told = first.join(told, "print", "left").select("print", F.coalesce("least", "first").alias("component_id"))
+    # written, so that a join with it exchanges both sides and a frequent fingerprint's rows can be split
+    return written(told, "components")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
@@ -170,15 +172,15 @@ def one_of_each_group(docs: DataFrame, words: int = WORDS, bits: int = BITS) ->
 
     Rows are numbered by their place in the scan, which decides between equal ids; null ids come last.
     """
-    place = F.monotonically_increasing_id()
-    numbered = docs.withColumn("__place", place)
+    place = F.monotonically_increasing_id().alias("place")
 
     def make():
         return lambda rows: {"place": rows["place"], "doc_id": rows["doc_id"], "print": [signed(fingerprint(t, words)) for t in rows["text"]]}
 
-    table = numbered.select(F.col("__place").alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    table = docs.select(place, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     table = written(map_rows(table, "place long, doc_id long, print long", make), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("place").alias("place"))
     told = grouped(table.select("print", order.alias("order")), "order", bits)
-    stays = told.select(F.col("component_id.place").alias("__place")).distinct()
-    return numbered.join(stays, "__place", "left_semi").select(*docs.columns)
+    stays = told.select(F.col("component_id.place").alias("place")).distinct()
+    rows = docs.select(place, F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    return rows.join(stays, "place", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
