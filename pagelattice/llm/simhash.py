@@ -27,6 +27,8 @@ from pagelattice.llm.common import id_and_text, map_rows, written
 from pagelattice.llm.components import connected
 
 WORDS, SEED, BITS = 3, 42, 3
+#: Fingerprints of a document where groups may be linked by any of several.
+LANES = 12
 GOLAY, FREE = 23, 9
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, a generator of the Golay code.
 GENERATOR = 0b101011100011
@@ -34,20 +36,22 @@ GENERATOR = 0b101011100011
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
-def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
-    """A bit is set if over half of the shingles' hashes have it; 0 for a text without words."""
+def shingle_hashes(text: str, words: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; none for a text without words."""
     found = text.encode().translate(_LOWER).split()  # splits at \x20 and \x09-\x0D
-    if not found:
-        return 0
+    digest = xxhash.xxh64_intdigest
     joined = b" ".join(found)
     if len(found) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)] if found else [], "<u8")
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 for none."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
@@ -55,6 +59,23 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
+    """A bit is set if over half of the shingles' hashes have it; 0 for a text without words."""
+    return majority(shingle_hashes(text, words, seed))
+
+
+def fingerprints_of(text: str, lanes: int, words: int = WORDS, seed: int = SEED) -> list[int]:
+    """``lanes`` independent fingerprints; the first is ``fingerprint``, the others mix the same hashes anew."""
+    hashes = shingle_hashes(text, words, seed)
+    out = [majority(hashes)]
+    for k in range(1, lanes):
+        mixed = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(mixed ^ mixed >> np.uint64(31)))
+    return out
+
+
 def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
@@ -107,17 +128,18 @@ class Anchors:
 
 
 def _places(resident: bool):
-    """(anchor, fingerprint) of residents or of visitors; the anchor's 33rd bit tells the half."""
+    """(anchor, fingerprint) of residents or of visitors (print, lane); the anchor's higher bits tell half and lane."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors()
         for batch in batches:
             prints = np.array(batch.column(0).to_pylist(), np.int64)
+            lanes = np.array(batch.column(1).to_pylist(), np.int64)
             for half in (0, 1):
                 part = (prints.view(np.uint64) >> np.uint64(32 * half)).astype(np.uint32)
                 nearest, rows, visits = anchors.of(part)
                 at, row = (nearest, np.arange(len(prints))) if resident else (visits, rows)
-                place = at.astype(np.int64) | np.int64(half << 32)
+                place = at.astype(np.int64) | np.int64(half << 32) | lanes[row] << 33
                 yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(prints[row])], names=["anchor", "resident" if resident else "visitor"])
 
     return run
@@ -133,20 +155,22 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """(a, b) of distinct fingerprints in column ``print`` that differ in at most ``bits`` (up to 3) bits, a < b."""
+    """(lane, a, b) of fingerprints (print, lane), distinct, of one lane that differ in at most ``bits`` (up to 3) bits, a < b."""
     if bits > BITS:
         raise ValueError("the anchors cover differences of up to 3 bits")
+    prints = prints.select("print", F.col("lane").cast("long").alias("lane"))
     residents = prints.mapInArrow(_places(True), "anchor long, resident long")
     visitors = prints.mapInArrow(_places(False), "anchor long, visitor long")
     near = (F.col("resident") != F.col("visitor")) & (F.bit_count(F.col("resident").bitwiseXOR(F.col("visitor"))) <= bits)
     met = residents.join(visitors, "anchor").where(near)
-    return met.select(F.least("resident", "visitor").alias("a"), F.greatest("resident", "visitor").alias("b")).distinct()
+    lane = F.shiftright("anchor", 33).alias("lane")
+    return met.select(lane, F.least("resident", "visitor").alias("a"), F.greatest("resident", "visitor").alias("b")).distinct()
 
 
 def grouped(table: DataFrame, id_column: str, bits: int = BITS) -> DataFrame:
     """(print, component_id): the smallest id among all that carry a fingerprint linked to ``print``."""
     first = written(table.groupBy("print").agg(F.min(id_column).alias("first")), "prints")
-    component = connected(links(first.select("print"), bits)).withColumnRenamed("node", "print")
+    component = connected(links(first.select("print", F.lit(0).alias("lane")), bits)).withColumnRenamed("node", "print")
     linked = first.join(component, "print")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     told = linked.join(least, "component").select("print", "least")
@@ -167,20 +191,49 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
     return table.join(told, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
+def grouped_by_any(table: DataFrame, bits: int = BITS) -> DataFrame:
+    """(prints, first): the least ``order`` of the group of each list of fingerprints in ``table`` (prints, order).
+
+    Lists are linked if fingerprints at one place of both differ in at most ``bits`` bits. Equal lists are
+    one node; a fingerprint that several nodes share links each of them with the first.
+    """
+    nodes = table.groupBy("prints").agg(F.min("order").alias("first")).withColumn("node", F.monotonically_increasing_id())
+    nodes = written(nodes, "print-lists")
+    flat = nodes.select("node", F.posexplode("prints").alias("lane", "print"))
+    first = written(flat.groupBy("lane", "print").agg(F.min("node").alias("rep")), "prints")
+    same = flat.join(first, ["lane", "print"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    met = links(first, bits)
+    for side in ("a", "b"):
+        met = met.join(first.select("lane", F.col("print").alias(side), F.col("rep").alias(f"{side}_rep")), ["lane", side])
+    met = met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    component = connected(met.unionByName(same))
+    linked = nodes.join(component, "node")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    told = linked.join(least, "component").select("node", "least")
+    return nodes.join(told, "node", "left").select("prints", F.coalesce("least", "first").alias("first"))
+
+
+def one_of_each_group(docs: DataFrame, lanes: int = LANES, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each group the row with the smallest id stays.
 
-    Rows are numbered by their place in the scan, which decides between equal ids; null ids come last.
+    Two texts are linked if one of ``lanes`` independent fingerprints links them, the first of which is
+    that of ``near_duplicates``; more lanes find more of the pairs that differ in a few words. Rows are
+    numbered by their place in the scan, which decides between equal ids; null ids come last. Null
+    and empty texts are one group. An empty table gives no rows; all columns are kept.
     """
     place = F.monotonically_increasing_id().alias("place")
 
     def make():
-        return lambda rows: {"place": rows["place"], "doc_id": rows["doc_id"], "print": [signed(fingerprint(t, words)) for t in rows["text"]]}
+        def step(rows: dict) -> dict:
+            prints = [[signed(p) for p in fingerprints_of(t, lanes, words)] for t in rows["text"]]
+            return {"place": rows["place"], "doc_id": rows["doc_id"], "prints": prints}
+
+        return step
 
     table = docs.select(place, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    table = written(map_rows(table, "place long, doc_id long, print long", make), "fingerprints")
+    table = written(map_rows(table, "place long, doc_id long, prints array<bigint>", make), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("place").alias("place"))
-    told = grouped(table.select("print", order.alias("order")), "order", bits)
-    stays = told.select(F.col("component_id.place").alias("place")).distinct()
+    told = grouped_by_any(table.select("prints", order.alias("order")), bits)
+    stays = told.select(F.col("first.place").alias("place")).distinct()
     rows = docs.select(place, F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     return rows.join(stays, "place", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
