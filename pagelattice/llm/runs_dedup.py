@@ -27,16 +27,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.llm.common import written
 
 LENGTH, GRAM = 200, 64
 #: Distinct block bytes of a unit, and from how many bytes on an anchor is counted instead.
-UNIT_BYTES, HOT_BYTES = 1 << 20, 16 << 20
+UNIT_BYTES, HOT_BYTES = 1 << 20, 4 << 20
+#: Bytes of whole anchors that are sorted at a time.
+SORTED_BYTES = 1 << 18
 #: Bytes that are hashed at a time.
-_CHUNK_BITS = 19
+_CHUNK_BITS = 18
 _CHUNK = 1 << _CHUNK_BITS
 
 _BYTE = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) | 1 for b in range(256)], np.uint64)
@@ -238,19 +240,28 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unit(length: int):
     def run(rows: pa.Table) -> pa.Table:
-        # copies of a block that anchors with equal hashes share are told apart by their content
-        index = RunIndex(rows.column("block").to_pylist(), length)
-        flags = index.repeated()
+        anchors = np.array(rows.column("anchor").to_pylist())
         many = np.array(rows.column("n").to_pylist())
-        flags |= np.repeat(many > 1, index.many)
-        parts = np.split(flags, index.first[1:])
-        return pa.table(
-            {
-                "anchor": rows.column("anchor"),
-                "content": rows.column("content"),
-                "spans": pa.array([spans_of(p, length) for p in parts], pa.list_(pa.int64())),
-            }
-        )
+        blocks = rows.column("block").to_pylist()
+        spans: list[list[int]] = [[]] * len(blocks)
+        order = np.argsort(anchors, kind="stable")
+        sizes = np.array([len(b) for b in blocks])[order]
+        # an index holds whole anchors: equal windows never have different ones
+        new = np.flatnonzero(np.concatenate([[True], anchors[order][1:] != anchors[order][:-1]]))
+        totals = np.add.reduceat(sizes, new)
+        begin, held = 0, 0
+        for k, stop in enumerate([*new[1:].tolist(), len(order)]):
+            held += int(totals[k])
+            if held < SORTED_BYTES and stop < len(order):
+                continue
+            part = order[begin:stop]
+            index = RunIndex([blocks[i] for i in part], length)
+            flags = index.repeated() | np.repeat(many[part] > 1, index.many)
+            for i, f in zip(part.tolist(), np.split(flags, index.first[1:]), strict=True):
+                spans[i] = spans_of(f, length)
+            begin, held = stop, 0
+        told = pa.array(spans, pa.list_(pa.int64()))
+        return pa.table({"anchor": rows.column("anchor"), "content": rows.column("content"), "spans": told})
 
     return run
 
@@ -269,15 +280,17 @@ def _windows(length: int):
     return run
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with its rows' places in the scan as ``__place`` and a text that is not null as ``__text``."""
-    return docs.withColumn("__place", F.monotonically_increasing_id()).withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
+def numbered(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The rows' places in the scan, as ``place``, and ``columns``; without any, ``docs`` as the struct ``row``."""
+    columns = columns or (F.struct(*[F.col(c) for c in docs.columns]).alias("row"),)
+    return docs.select(F.monotonically_increasing_id().alias("place"), *columns)
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, unit_bytes: int = UNIT_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(place, spans): for each row of ``rows`` (place, text) with repeated strings their maximal spans of bytes, unsorted."""
     anchors = rows.mapInArrow(_anchors(length), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    twice = anchors.where("n > 1").select("anchor")
+    # written, so that both sides of the join are exchanged and a frequent anchor's places can be split
+    twice = written(anchors.where("n > 1").select("anchor"), "repeat-anchors")
     places = rows.mapInArrow(_places(length), "anchor long, content long, place long, start long, size long")
     places = written(places.join(twice, "anchor", "left_semi"), "repeat-places")
     blocks = (
@@ -357,7 +370,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, form: str = "bytes",
     remove. Rows with equal texts are documents of their own, so a text of ``length`` bytes or more that
     occurs twice is removed whole in both. An empty table gives no rows.
     """
-    rows = numbered(docs).select(F.col("__place").alias("place"), F.col("__text").alias("text"))
+    rows = numbered(docs, F.coalesce(F.col("text"), F.lit("")).alias("text"))
     spans = repeated_spans(rows, length, **limits)
     texts = rows.mapInArrow(_squeezed, "place long, data binary")
     schema = f"place long, n_bytes long, n_removed long, n_spans long, kept {FORMS[form][1]}, spans array<bigint>"
@@ -366,7 +379,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, form: str = "bytes",
 
 def digests(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the remaining bytes of each row of ``docs``."""
-    ids = numbered(docs).select(F.col("__place").alias("place"), F.col("doc_id").cast("long").alias("doc_id"))
+    ids = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"))
     found = without_repeats(docs, length, "sha256", **limits).withColumnRenamed("kept", "kept_sha256")
     return ids.join(found, "place").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
@@ -377,9 +390,10 @@ def cleaned(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
     Bytes of a character that is cut in two are dropped with the rest of it. Null texts stay null.
     """
     found = without_repeats(docs, length, "text", **limits).where("n_removed > 0")
-    found = found.select(F.col("place").alias("__place"), F.col("kept").alias("__kept"))
-    both = numbered(docs).drop("__text").join(found, "__place", "left").withColumn("text", F.coalesce("__kept", "text"))
-    if "n_chars" in docs.columns:
-        counted = F.when(F.col("__kept").isNotNull(), F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        both = both.withColumn("n_chars", counted)
-    return both.select(*docs.columns)
+    both = numbered(docs).join(found.select("place", "kept"), "place", "left")
+    values = {c: F.col("row")[c] for c in docs.columns}
+    values["text"] = F.coalesce("kept", values["text"])
+    if "n_chars" in values:
+        counted = F.length("kept").cast(docs.schema["n_chars"].dataType)
+        values["n_chars"] = F.when(F.col("kept").isNotNull(), counted).otherwise(values["n_chars"])
+    return both.select(*[v.alias(c) for c, v in values.items()])
