@@ -130,7 +130,7 @@ def replay(answers: DataFrame, max_iterations: int = 40, use: MatchThresholds |
 
     ``answers``: pair_id, iter, label, segment (box in shares of the rest, null if none), done, parsed,
     found, confidence, target (box in shares of the target page), width, height, target_width,
-    target_height. Segments are extended (P19) or merged (G5), matches accepted (G4), and the rest of the
+    target_height. Segments are merged (G5) and extended (P19), matches accepted (G4), and the rest of the
     page moves on. The last row of a pair tells why it ended.
     """
     use = use or MatchThresholds()
@@ -161,8 +161,6 @@ def replay(answers: DataFrame, max_iterations: int = 40, use: MatchThresholds |
                 reason = "invalid_segment_bbox"
                 break
             rect, label, merged = pixels(m["segment"], m["width"], left), m["label"], []
-            if _card_row(label) and rect["height"] < geometry.ROW_HEIGHT:
-                rect["height"] = max(rect["height"], min(geometry.ROW_HEIGHT, rect["height"] + geometry.ROW_EXTENSION, left - rect["y"]))
             before = rows[-1] if rows else None
             if before and before["iter"] == m["iter"] - 1 and merges_into_previous(
                 {"label": before["label"], "rect": {"height": before["height"]}, "matched": before["status"] == "matched"}, label, rect
@@ -172,6 +170,8 @@ def replay(answers: DataFrame, max_iterations: int = 40, use: MatchThresholds |
                 top, label = before["remainder_top"], f"{before['label'] or 'card row'} (images + links)"
                 prior.pop(before["iter"], None)
                 rows.pop()
+            if _card_row(label) and rect["height"] < geometry.ROW_HEIGHT:
+                rect["height"] = max(rect["height"], min(geometry.ROW_HEIGHT, rect["height"] + geometry.ROW_EXTENSION, left - rect["y"]))
             on_page = {**rect, "y": top + rect["y"]}
             target = pixels(m["target"], m["target_width"], m["target_height"]) if m["found"] and m["target"] is not None else None
             told = accept(bool(m["found"]), m["confidence"], on_page, target, (m["height"], m["target_height"]), list(prior.values()), use)

@@ -252,7 +252,9 @@ def align(source: DataFrame, target: DataFrame, rules: list[dict] | None = None)
     sides = [prepared(side, rules).select(F.col("pair_id").cast("string").alias("pair_id"), *columns[1:]) for side in (source, target)]
 
     def run(key, s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        return aligned_pair(key[0], s.sort_values("ord", ignore_index=True), t.sort_values("ord", ignore_index=True))
+        # a side without rows comes without columns
+        s, t = (side.reindex(columns=columns).sort_values("ord", ignore_index=True) for side in (s, t))
+        return aligned_pair(key[0], s, t)
 
     s, t = (spread(side, "pair_id").groupBy("pair_id") for side in sides)
     return s.cogroup(t).applyInPandas(run, ALIGNED)
