@@ -70,13 +70,13 @@ def _cell(threshold: float):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         low, high = (k.as_py() for k in key)
         group = np.array(rows.column("part").to_pylist())
-        ids = np.array(rows.column("rep").to_pylist(), np.int64)
+        ids = np.array(rows.column("node").to_pylist(), np.int64)
         many = np.array(rows.column("many").to_pylist(), np.int64)
         vectors = rows.column("embedding").to_pylist()
         size = np.array([len(v) for v in vectors])
         links = np.zeros(len(ids), np.int64)
         label = np.arange(len(ids))
-        # smaller ids first, so that labels are the smallest ids
+        # in one order wherever a cell runs again
         order = np.argsort(ids, kind="stable")
         ids, many, group, size = ids[order], many[order], group[order], size[order]
         for d in np.unique(size):  # vectors of different dimensions have no cosine
@@ -91,7 +91,7 @@ def _cell(threshold: float):
                 np.add.at(links, j, many[i])
                 label = merged(label, i, j)
         linked = links > 0
-        return pa.table({"rep": ids[linked], "links": links[linked], "root": ids[label[linked]]})
+        return pa.table({"node": ids[linked], "links": links[linked], "root": ids[label[linked]]})
 
     return run
 
@@ -109,27 +109,31 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     valid = F.coalesce(F.col("vec_id").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("valid", valid)
     classes = rows.where("valid").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"))
-    classes = written(classes, "vector-classes")
+    # numbered once and for all by being written: two classes may carry the same smallest id
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     groups = max(1, -(-classes.count() // GROUP))
     dealt = (
         classes.withColumn("part", F.pmod(F.xxhash64("embedding"), F.lit(groups)))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        .select(F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rep", "many", "embedding")
+        .select(F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "many", "embedding")
     )
-    found = dealt.groupBy("low", "high").applyInArrow(_cell(threshold), "rep long, links long, root long")
+    found = dealt.groupBy("low", "high").applyInArrow(_cell(threshold), "node long, links long, root long")
     found = written(found, "vector-links")
-    component = connected(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    component = connected(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    linked = classes.select("node", "rep").join(component, "node")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     told = (
-        classes.join(sums, "rep", "left")
-        .join(component.withColumnRenamed("node", "rep"), "rep", "left")
+        classes.join(sums, "node", "left")
+        .join(linked.join(least, "component").select("node", "component_id"), "node", "left")
         .select(
             "embedding",
             F.lit(True).alias("valid"),
             (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("component_id", "rep").alias("component_id"),
         )
     )
+    told = written(told, "vector-components")  # so that the join exchanges both sides and a frequent vector's rows can be split
     out = rows.join(told, ["embedding", "valid"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(
