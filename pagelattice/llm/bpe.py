@@ -15,16 +15,18 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import ChainMap
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from pagelattice.llm.common import id_and_text, map_rows
+from pagelattice.llm.common import Remembered, id_and_text, map_rows
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-#: Distinct fragments that a worker remembers; beyond it the memory is emptied, and results stay the same.
-REMEMBERED = 400_000
+#: Distinct fragments of a generation that a worker remembers.
+REMEMBERED = 250_000
 #: Longer fragments are encoded each time.
 LONGEST_REMEMBERED = 64
 
@@ -50,12 +52,11 @@ def pairs_inside(tokens: list[bytes]) -> np.ndarray:
     return inside
 
 
-def boundary_pattern(inside: np.ndarray) -> re.Pattern | None:
-    """Matches the empty string at the cuts that are used; None if the vocabulary allows none."""
+def cut_letters(inside: np.ndarray) -> str:
+    """Visible characters that no token joins with ASCII white space, for a character class."""
     spaces = [ord(s) for s in " \n\t\r"]
     visible = [chr(c) for c in (*range(0x21, 0x7F), *range(0xC0, 0x100))]
-    left = "".join(re.escape(c) for c in visible if not inside[c.encode()[-1], spaces].any())
-    return re.compile(rf"(?<=[{left}])(?=[ \n\t\r])") if left else None
+    return "".join(re.escape(c) for c in visible if not inside[c.encode()[-1], spaces].any())
 
 
 class ForcedBoundaryCodec:
@@ -70,38 +71,63 @@ class ForcedBoundaryCodec:
         self.tokenizer.no_padding()
         of = byte_alphabet()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.bytes_of: dict[int, bytes] = {}
+        self.bytes_of: list[bytes] = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             known = all(c in of for c in token)
             self.bytes_of[i] = bytes(of[c] for c in token) if known else token.encode()
-        self.boundary = boundary_pattern(pairs_inside(list(self.bytes_of.values())))
-        self.memory: dict[str, tuple[bytes, bytes]] = {}
+        self.sizes = np.array([len(b) for b in self.bytes_of])
+        self.opens = np.array([b.startswith(b" ") for b in self.bytes_of])
+        left = cut_letters(pairs_inside(self.bytes_of))
+        #: Matches the empty string at the cuts that are used.
+        self.boundary = re.compile(rf"(?<=[{left}])(?=[ \n\t\r])") if left else None
+        #: A space and visible characters up to one at which a cut is certain, without any of special tokens.
+        self.plain = re.compile(rf" [^\s<]*[{left}]").fullmatch if left else lambda f: None
+        self.memory = Remembered(REMEMBERED)
 
     def fragments(self, text: str) -> list[str]:
         return self.boundary.split(text) if self.boundary else [text]
 
     def decoded(self, ids: list[int]) -> bytes:
         """The bytes that the ids stand for, before they are read as UTF-8."""
-        return b"".join([self.bytes_of[i] for i in ids])
-
-    def _encode(self, parts: list[str]) -> list[tuple[bytes, bytes]]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [(np.array(e.ids, "<u4").tobytes(), self.decoded(e.ids)) for e in found]
+        of = self.bytes_of
+        return b"".join([of[i] for i in ids])
+
+    def _encode(self, parts: list[str], into: dict) -> None:
+        """Puts ids and decoded bytes of the fragments into ``into``."""
+        plain = [f for f in parts if self.plain(f)]
+        rest = [f for f in parts if not self.plain(f)]
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            # cuts between them are certain, so they are encoded in one run and told apart by their first spaces
+            ids = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids
+            told = np.array(ids, "<u4")
+            starts = np.flatnonzero(self.opens[told])
+            if len(starts) != len(some):
+                rest += some
+                continue
+            raw, said = told.tobytes(), self.decoded(ids)
+            ends = np.append(starts[1:], len(ids))
+            places = np.concatenate([[0], np.cumsum(self.sizes[told])])
+            spans = zip((4 * starts).tolist(), (4 * ends).tolist(), places[starts].tolist(), places[ends].tolist(), strict=True)
+            for f, (a, b, c, d) in zip(some, spans, strict=True):
+                into[f] = (raw[a:b], said[c:d])
+        for f, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            into[f] = (np.array(e.ids, "<u4").tobytes(), self.decoded(e.ids))
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text its ids as little-endian 32-bit integers, and the bytes they decode to."""
         cut = [self.fragments(t) for t in texts]
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        memory = self.memory
-        new = list({f for parts in cut for f in parts if f not in memory})
-        extra = {}
-        for f, pair in zip(new, self._encode(new), strict=True):
-            (memory if len(f) <= LONGEST_REMEMBERED else extra)[f] = pair
-        known = memory | extra if extra else memory
+        every = set(chain.from_iterable(cut))
+        long = {f for f in every if len(f) > LONGEST_REMEMBERED}
+        self._encode(self.memory.missing(every - long), self.memory.held)
+        known = self.memory.held
+        if long:
+            extra: dict = {}
+            self._encode(list(long), extra)
+            known = ChainMap(extra, known)
         out = []
         for parts in cut:
-            pairs = [known[f] for f in parts]
+            pairs = list(map(known.__getitem__, parts))
             out.append((b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])))
         return out
 

@@ -45,6 +45,27 @@ def crc_mod(column: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+class Remembered:
+    """Results of a worker by key, in two generations: once ``most`` are held, those not used since the last turn go.
+
+    Only speed depends on what is held.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.held, self.before = most, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of ``keys`` that are to be put into ``held``; the others are in it now."""
+        if len(self.held) > self.most:
+            self.before, self.held = self.held, {}
+        new = keys.difference(self.held)
+        if not self.before:
+            return list(new)
+        back = [k for k in new if k in self.before]
+        self.held.update(zip(back, map(self.before.__getitem__, back), strict=True))
+        return list(new.difference(back))
+
+
 def map_rows(df: DataFrame, schema: T.StructType | str, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
     """``mapInArrow`` over column dictionaries: ``make()`` runs once a task and gives the batch function.
 

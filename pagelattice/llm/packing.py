@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pagelattice.llm.common import id_and_text
+from pagelattice.llm.common import Remembered, id_and_text
 
 CAPACITY = 2048
 #: Windows of a batch.
@@ -35,8 +35,8 @@ WINDOWS = 16
 CUT_SHARE = 0.125
 #: Ended documents carry this id last.
 END_ID = 1
-#: Distinct pieces that a worker remembers; beyond it the memory is emptied, and results stay the same.
-REMEMBERED = 400_000
+#: Distinct pieces of a generation that a worker remembers.
+REMEMBERED = 250_000
 
 SCHEMA = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
@@ -141,7 +141,7 @@ class WordIds:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.memory: dict[str, bytes] = {}
+        self.memory = Remembered(REMEMBERED)
 
     def _remember(self, pieces: list[str], memory: dict[str, bytes]) -> None:
         """Adds the ids of pieces that are one pre-token each."""
@@ -165,11 +165,10 @@ class WordIds:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        memory = self.memory
         cut = [self._plain(t) for t in texts]
-        self._remember(list(set(chain.from_iterable(filter(None, cut))).difference(memory)), memory)
+        new = self.memory.missing(set(chain.from_iterable(filter(None, cut))))
+        memory = self.memory.held
+        self._remember(new, memory)
         out = []
         for pieces, text in zip(cut, texts, strict=True):
             if pieces is None:
