@@ -163,9 +163,12 @@ LABELLED = (
     (1, 1.0, 0, 0.0, 1, 1.0, -1, 0, 0), (2, 1.0, 1, 1.0, 2, 1.0, -1, 0, 0), (5, 0.0, 3, 1.0, 14, 0.0, -1, 0, 0),
     (40, 0.0, 150, 0.0, 0, 0.0, -1, 0, 0), (120, 0.0, 90, 0.0, 60, 0.0, -1, 0, 0), (22, 0.3, 45, 0.0, 3, 1.0, -1, 0, 0),
     (7, 0.0, 1, 1.0, 11, 0.0, -1, 1, 0), (300, 0.0, 20, 0.0, 15, 0.0, -1, 0, 0), (12, 0.0, 80, 0.0, 200, 0.0, -1, 0, 0),
+    (60, 0.0, 70, 0.0, 80, 0.0, -1, 0, 0), (150, 0.0, 120, 0.0, 90, 0.0, -1, 0, 0), (90, 0.1, 0, 0.0, 45, 0.0, -1, 0, 0),
+    (200, 0.0, 8, 0.0, 33, 0.0, -1, 0, 0), (50, 0.0, 30, 0.0, 150, 0.0, -1, 1, 0), (4, 0.0, 60, 0.0, 70, 0.0, -1, 0, 0),
     # reader comments
     (35, 0.0, 4, 0.5, 3, 0.0, -2, 0, 0), (150, 0.0, 5, 0.0, 60, 0.0, -2, 0, 0), (3, 0.7, 80, 0.0, 35, 0.0, -2, 0, 0),
-    (2, 0.0, 90, 0.0, 4, 0.0, -2, 1, 0),
+    (2, 0.0, 90, 0.0, 4, 0.0, -2, 1, 0), (80, 0.0, 60, 0.0, 95, 0.0, -2, 0, 0), (8, 0.0, 45, 0.0, 65, 0.0, -2, 0, 0),
+    (55, 0.1, 12, 0.0, 34, 0.0, -2, 0, 0),
     # no element tells: long text with few links is main text
     (60, 0.0, 10, 0.0, 75, 0.0, 0, 0, 1), (35, 0.05, 60, 0.0, 50, 0.0, 0, 0, 1), (90, 0.1, 3, 1.0, 40, 0.0, 0, 0, 1),
     (45, 0.0, 2, 1.0, 0, 0.0, 0, 0, 1), (28, 0.0, 80, 0.0, 5, 0.9, 0, 0, 1), (150, 0.2, 70, 0.0, 65, 0.0, 0, 0, 1),
@@ -180,7 +183,8 @@ LABELLED = (
     (6, 0.0, 2, 1.0, 7, 0.0, 0, 0, 0), (8, 0.1, 5, 0.0, 2, 1.0, 0, 0, 0), (5, 0.0, 80, 0.0, 0, 0.0, 0, 0, 0),
     (7, 0.2, 75, 0.0, 2, 1.0, 0, 0, 0), (4, 0.0, 0, 0.0, 6, 0.5, 0, 0, 0), (3, 0.0, 3, 1.0, 3, 1.0, 0, 1, 0),
     (4, 0.0, 50, 0.0, 2, 1.0, 0, 1, 0), (16, 0.6, 60, 0.0, 3, 1.0, 0, 0, 0), (9, 0.0, 1, 1.0, 70, 0.0, 0, 0, 0),
-    (6, 0.4, 70, 0.0, 65, 0.0, 0, 0, 0),
+    (6, 0.4, 70, 0.0, 65, 0.0, 0, 0, 0), (14, 0.9, 1, 1.0, 60, 0.0, 0, 0, 0), (20, 1.0, 5, 0.8, 3, 0.0, 0, 0, 0),
+    (12, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0), (15, 0.0, 4, 0.3, 5, 0.0, 0, 0, 0), (13, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0),
 )
 
 

@@ -31,6 +31,15 @@ def test_tree_fits_its_table():
     assert all(html_text.is_main(html_text.tree(), tuple(r[:-1])) == bool(r[-1]) for r in table)
 
 
+def test_place_decides_in_articles_and_boilerplate():
+    rng = np.random.default_rng(0)
+    for _ in range(500):
+        words, densities = rng.integers(1, 300, 3), rng.random(3) * (rng.random(3) < 0.5)
+        row = [x for pair in zip(words, densities, strict=True) for x in pair]
+        for place in (html_text.MAIN, html_text.BOILERPLATE, html_text.COMMENTS):
+            assert html_text.is_main(html_text.tree(), (*row, place, 0)) == (place == html_text.MAIN)
+
+
 def test_pages(spark):
     rows = spark.createDataFrame([(1, "u", "<article><p>x y</p></article>", 1), (None, None, None, 2), (1, "u", "", 3)], "page_id long, url string, html string, text int")
     got = sorted((tuple(r) for r in html_text.extract_pages(rows).collect()), key=str)
