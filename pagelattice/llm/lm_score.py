@@ -31,7 +31,7 @@ from pagelattice.llm.common import id_and_text, written
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Bytes of text of a batch, and of the corpus per range of keys; they bound memory and change no result.
-BATCH_BYTES, RANGE_BYTES, LEAST_RANGES = 16 << 20, 12 << 20, 48
+BATCH_BYTES, RANGE_BYTES, LEAST_RANGES = 10 << 20, 10 << 20, 48
 #: Steps per octave in which EM sees the ratio of two estimates.
 STEPS = 2
 ROUNDS = 60
