@@ -1 +1 @@
-"""Page-pair comparison analytics as Spark DataFrame plans."""
+"""Comparison of captured pages, two at a time, as Spark DataFrame plans."""
