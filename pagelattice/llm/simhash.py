@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.llm.common import id_and_text, map_rows, written
-from pagelattice.llm.components import connected
+from pagelattice.llm.components import connected, merged
 
 WORDS, SEED, BITS = 3, 42, 3
 #: Fingerprints of a document where groups may be linked by any of several.
@@ -167,6 +167,68 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     return met.select(lane, F.least("resident", "visitor").alias("a"), F.greatest("resident", "visitor").alias("b")).distinct()
 
 
+#: Marks a resident among the rows of an anchor, and rows of a unit and pairs of a step that are held at a time.
+_RESIDENT = 1 << 50
+_UNIT_ROWS, _STEP_PAIRS = 1 << 19, 1 << 20
+
+
+def _spanned(lane: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the links (a, b) of each lane: every node but the smallest with the smallest of its tree."""
+    keys, at = np.unique(np.concatenate([np.stack([lane, a], 1), np.stack([lane, b], 1)]), axis=0, return_inverse=True)
+    at = at.reshape(-1)
+    label = merged(np.arange(len(keys)), at[: len(a)], at[len(a) :])
+    child = np.flatnonzero(label != np.arange(len(keys)))
+    return keys[child, 0], keys[label[child], 1], keys[child, 1]
+
+
+def _meet(bits: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        anchor = rows.column("anchor").to_numpy()
+        place = anchor & (_RESIDENT - 1)
+        order = np.argsort(place, kind="stable")
+        place, prints, resident = place[order], rows.column("print").to_numpy()[order], (anchor & _RESIDENT)[order] > 0
+        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        sizes = np.diff(np.append(starts, len(place)))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        hosts = np.flatnonzero(resident & (sizes[group] > 1))
+        many = sizes[group[hosts]]
+        ends = np.cumsum(many)
+        found = [np.zeros(0, np.int64)] * 3
+        begin = 0
+        while begin < len(hosts):
+            done = ends[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, done + _STEP_PAIRS, side="right")))
+            n = many[begin:stop]
+            host = np.repeat(hosts[begin:stop], n)
+            guest = np.arange(len(host)) - np.repeat(np.cumsum(n) - n, n) + starts[group[host]]
+            apart = np.bitwise_count((prints[host] ^ prints[guest]).view(np.uint64))
+            near = (apart > 0) & (apart <= bits)
+            if near.any():
+                new = place[host[near]] >> 33, prints[host[near]], prints[guest[near]]
+                found = _spanned(*[np.concatenate(x) for x in zip(found, new, strict=True)])
+            begin = stop
+        return pa.table(dict(zip(("lane", "a", "b"), map(pa.array, found), strict=True)))
+
+    return run
+
+
+def spanning_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """(lane, a, b) that join the same fingerprints (print, lane) as ``links`` do, without giving all pairs.
+
+    Residents and visitors of an anchor meet in one place; a unit of anchors gives a spanning forest of the
+    links it sees, so what it gives is bounded by its fingerprints, however close they lie together.
+    """
+    if bits > BITS:
+        raise ValueError("the anchors cover differences of up to 3 bits")
+    prints = prints.select("print", F.col("lane").cast("long").alias("lane"))
+    hosts = prints.mapInArrow(_places(True), "anchor long, resident long").select(F.col("anchor").bitwiseOR(F.lit(_RESIDENT)).alias("anchor"), F.col("resident").alias("print"))
+    guests = prints.mapInArrow(_places(False), "anchor long, visitor long").select("anchor", F.col("visitor").alias("print"))
+    units = max(1, -(-prints.count() * 32 // _UNIT_ROWS))
+    unit = F.pmod(F.xxhash64(F.col("anchor").bitwiseAND(F.lit(_RESIDENT - 1))), F.lit(units))
+    rows = hosts.unionByName(guests).withColumn("unit", unit)
+    return rows.groupBy("unit").applyInArrow(_meet(bits), "lane long, a long, b long").distinct()
+
+
 def grouped(table: DataFrame, id_column: str, bits: int = BITS) -> DataFrame:
     """(print, component_id): the smallest id among all that carry a fingerprint linked to ``print``."""
     first = written(table.groupBy("print").agg(F.min(id_column).alias("first")), "prints")
@@ -202,7 +264,7 @@ def grouped_by_any(table: DataFrame, bits: int = BITS) -> DataFrame:
     flat = nodes.select("node", F.posexplode("prints").alias("lane", "print"))
     first = written(flat.groupBy("lane", "print").agg(F.min("node").alias("rep")), "prints")
     same = flat.join(first, ["lane", "print"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    met = links(first, bits)
+    met = spanning_links(first, bits)
     for side in ("a", "b"):
         met = met.join(first.select("lane", F.col("print").alias(side), F.col("rep").alias(f"{side}_rep")), ["lane", side])
     met = met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))

@@ -279,6 +279,19 @@ def test_anchors_cover(spark):
     want = {(a, b) for k, a in enumerate(made) for b in made[k + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
     got = simhash.links(spark.createDataFrame([(p, 2) for p in made], "print long, lane int")).collect()
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 50
+    least = {p: p for p in made}
+    for _ in made:
+        for a, b in want:
+            least[a] = least[b] = min(least[a], least[b])
+    rows = [(p, lane) for p in made for lane in (0, 5)]
+    spanned = simhash.spanning_links(spark.createDataFrame(rows, "print long, lane int")).collect()
+    for lane in (0, 5):
+        found = {p: p for p in made}
+        pairs = {(r.a, r.b) for r in spanned if r.lane == lane}
+        for _ in made:
+            for a, b in pairs:
+                found[a] = found[b] = min(found[a], found[b])
+        assert found == least
 
 
 def test_more_lanes_find_more(spark, tmp_path):
