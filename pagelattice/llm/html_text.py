@@ -187,7 +187,7 @@ LABELLED = (
     (12, 0.8, 9, 1.0, 14, 0.9, 0, 0, 0), (30, 0.7, 20, 0.9, 25, 0.8, 0, 0, 0), (4, 0.0, 1, 1.0, 3, 1.0, 0, 0, 0),
     (6, 0.0, 2, 1.0, 7, 0.0, 0, 0, 0), (8, 0.1, 5, 0.0, 2, 1.0, 0, 0, 0), (5, 0.0, 80, 0.0, 0, 0.0, 0, 0, 0),
     (7, 0.2, 75, 0.0, 2, 1.0, 0, 0, 0), (4, 0.0, 0, 0.0, 6, 0.5, 0, 0, 0), (3, 0.0, 3, 1.0, 3, 1.0, 0, 1, 0),
-    (4, 0.0, 50, 0.0, 2, 1.0, 0, 1, 0), (16, 0.6, 60, 0.0, 3, 1.0, 0, 0, 0), (9, 0.0, 1, 1.0, 70, 0.0, 0, 0, 0),
+    (4, 0.0, 50, 0.0, 2, 1.0, 0, 1, 0), (16, 0.6, 60, 0.0, 3, 1.0, 0, 0, 0), (9, 0.0, 1, 1.0, 12, 0.0, 0, 0, 0),
     (6, 0.4, 70, 0.0, 65, 0.0, 0, 0, 0), (14, 0.9, 1, 1.0, 60, 0.0, 0, 0, 0), (20, 1.0, 5, 0.8, 3, 0.0, 0, 0, 0),
     (12, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0), (15, 0.0, 4, 0.3, 5, 0.0, 0, 0, 0), (13, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0),
 )
