@@ -28,7 +28,7 @@ from pagelattice.llm.components import connected, merged
 
 WORDS, SEED, BITS = 3, 42, 3
 #: Fingerprints of a document where groups may be linked by any of several.
-LANES = 12
+LANES = 8
 GOLAY, FREE = 23, 9
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, a generator of the Golay code.
 GENERATOR = 0b101011100011
@@ -169,7 +169,7 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
 
 #: Marks a resident among the rows of an anchor, and rows of a unit and pairs of a step that are held at a time.
 _RESIDENT = 1 << 50
-_UNIT_ROWS, _STEP_PAIRS = 1 << 19, 1 << 20
+_UNIT_ROWS, _STEP_PAIRS = 1 << 18, 1 << 19
 
 
 def _spanned(lane: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
