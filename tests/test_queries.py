@@ -1,9 +1,11 @@
 """Each query with SQL against DuckDB at the smallest size."""
 
-import math
+import numbers
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from pagelattice.plans import catalog
@@ -25,9 +27,9 @@ def rows(frame):
     frame = frame[sorted(frame.columns)].astype(object)
 
     def plain(v):
-        if v is None or isinstance(v, float) and math.isnan(v):
+        if v is None or v is pd.NA or v != v:
             return None
-        return round(float(v), 6) if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
+        return round(float(v), 6) if isinstance(v, numbers.Number) and not isinstance(v, bool | np.bool_) else str(v)
 
     return sorted((tuple(map(plain, r)) for r in frame.itertuples(index=False)), key=str)
 
