@@ -22,8 +22,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return one_of_each_group(docs)
+    """Of each group of near-duplicates the document with the smallest id stays.
+
+    All pairs of the similarity are linked, so one fingerprint of ``op1_simhash`` is enough: it only joins most of them early.
+    """
+    return one_of_each_group(docs, lanes=1, complete=True)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

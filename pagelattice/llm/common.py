@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,16 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """place and the text compressed; what is shuffled by document stays small."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            data = [squeeze(t.encode()) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("place"), pa.array(data, pa.binary())], names=["place", "data"])
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the id written as decimal text, modulo ``modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

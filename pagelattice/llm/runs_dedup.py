@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import written
+from pagelattice.llm.common import squeezed, written
 
 LENGTH, GRAM = 200, 64
 #: Distinct block bytes of a unit, and from how many bytes on an anchor is counted instead.
@@ -214,16 +214,6 @@ def _places(length: int):
     return run
 
 
-def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """place and the text compressed; what is shuffled by document stays small."""
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            data = [squeeze(t.encode()) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("place"), pa.array(data, pa.binary())], names=["place", "data"])
-
-
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor().decompress
     for batch in batches:
@@ -303,7 +293,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, unit_bytes: int = UNIT
     hot = sizes.where(F.col("bytes") > hot_bytes).select("anchor")
     total, most = blocks.agg(F.sum("size")).first()[0] or 0, sizes.agg(F.max("bytes")).first()[0] or 0
     wanted = blocks.groupBy("place").agg(F.collect_list(F.struct("anchor", "content", "n", "start", "size")).alias("wanted"))
-    texts = rows.mapInArrow(_squeezed, "place long, data binary")
+    texts = rows.mapInArrow(squeezed, "place long, data binary")
     cut = texts.join(wanted, "place").select("data", "wanted").mapInArrow(_cut_out, "anchor long, content long, n long, block binary")
     units = max(1, -(-total // unit_bytes))
     calm = cut
@@ -372,7 +362,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, form: str = "bytes",
     """
     rows = numbered(docs, F.coalesce(F.col("text"), F.lit("")).alias("text"))
     spans = repeated_spans(rows, length, **limits)
-    texts = rows.mapInArrow(_squeezed, "place long, data binary")
+    texts = rows.mapInArrow(squeezed, "place long, data binary")
     schema = f"place long, n_bytes long, n_removed long, n_spans long, kept {FORMS[form][1]}, spans array<bigint>"
     return texts.join(spans, "place", "left").select("place", "data", "spans").mapInArrow(_told(form), schema)
 

@@ -20,15 +20,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import id_and_text, map_rows, written
+from pagelattice.llm.common import id_and_text, map_rows, squeezed, written
 from pagelattice.llm.components import connected, merged
 
 WORDS, SEED, BITS = 3, 42, 3
 #: Fingerprints of a document where groups may be linked by any of several.
-LANES = 8
+LANES = 12
+#: Near-duplicates: the Jaccard index, as a fraction, of the sets of shingles of so many words.
+ALIKE, ALIKE_WORDS = (4, 5), 5
+#: Hashes that more texts have come last where first hashes are chosen, and how many of them; only speed depends on both.
+OFTEN, MOST_OFTEN = 16, 200_000
 GOLAY, FREE = 23, 9
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, a generator of the Golay code.
 GENERATOR = 0b101011100011
@@ -253,49 +258,179 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
     return table.join(told, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def grouped_by_any(table: DataFrame, bits: int = BITS) -> DataFrame:
-    """(prints, first): the least ``order`` of the group of each list of fingerprints in ``table`` (prints, order).
+def alike_needed(n: int) -> int:
+    """The fewest common shingles with which a set of ``n`` can have the Jaccard index ``ALIKE``, whatever the other's size."""
+    return -(-n * ALIKE[0] // ALIKE[1])
 
-    Lists are linked if fingerprints at one place of both differ in at most ``bits`` bits. Equal lists are
-    one node; a fingerprint that several nodes share links each of them with the first.
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard index of ``ALIKE`` or more; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * ALIKE[1] >= ALIKE[0] * (len(a) + len(b) - both)
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct hashes of the text's shingles of ``ALIKE_WORDS`` words, sorted."""
+    return np.unique(shingle_hashes(text, ALIKE_WORDS, SEED))
+
+
+def _described(lanes: int, words: int):
+    def make():
+        def step(rows: dict) -> dict:
+            prints = [[signed(p) for p in fingerprints_of(t, lanes, words)] for t in rows["text"]]
+            content = [xxhash.xxh3_128_digest(shingle_set(t).tobytes()) for t in rows["text"]]
+            return {"place": rows["place"], "doc_id": rows["doc_id"], "prints": prints, "content": content}
+
+        return step
+
+    return make
+
+
+def _low_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lower hashes of each text: those that ``first_hashes`` are mostly taken from."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            found = [shingle_set(t) for t in batch.column("text").slice(at, 500).to_pylist()]
+            low = np.concatenate([f[: np.searchsorted(f, np.uint64(1 << 62))] for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(low.view("<i8"))], names=["hash"])
+
+
+def first_hashes(found: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first keys of a set in the order in which hashes of ``often`` (sorted) come last: of two alike sets one is shared.
+
+    If none were, too few hashes would be left for the Jaccard index. Any order that is one for all does.
     """
-    nodes = table.groupBy("prints").agg(F.min("order").alias("first")).withColumn("node", F.monotonically_increasing_id())
-    nodes = written(nodes, "print-lists")
+    keys = found >> np.uint64(1)
+    if len(often) and len(found):
+        at = np.minimum(np.searchsorted(often, found), len(often) - 1)
+        keys |= (often[at] == found).astype(np.uint64) << np.uint64(63)
+    keys.sort()
+    return (keys[: len(found) - alike_needed(len(found)) + 1] ^ np.uint64(1 << 63)).view("<i8")
+
+
+def _firsts(often: np.ndarray):
+    def make():
+        def step(rows: dict) -> dict:
+            found = [shingle_set(t) for t in rows["text"]]
+            firsts = [first_hashes(f, often).tolist() if len(f) else [] for f in found]
+            return {"node": rows["node"], "size": [len(f) for f in found], "firsts": firsts}
+
+        return step
+
+    return make
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows (a, b, a_data, b_data) whose texts are alike."""
+    expand = zstandard.ZstdDecompressor().decompress
+    last, held = None, None
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            a, b, one, other = (batch.column(c).slice(at, 200).to_pylist() for c in ("a", "b", "a_data", "b_data"))
+            keep = []
+            for k in range(len(a)):
+                if a[k] != last:
+                    last, held = a[k], shingle_set(expand(one[k]).decode())
+                keep.append(alike(held, shingle_set(expand(other[k]).decode())))
+            kept = [[x for x, good in zip(side, keep, strict=True) if good] for side in (a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in kept], names=["a", "b"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose texts in ``texts`` (node, data) have a Jaccard index of ``ALIKE`` or more."""
+    pairs = written(pairs, "candidates")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    needed = written(texts.join(nodes, "node", "left_semi"), "candidate-texts")
+    for side in ("b", "a"):
+        pairs = pairs.join(needed.select(F.col("node").alias(side), F.col("data").alias(f"{side}_data")), side)
+    return written(pairs.select("a", "b", "a_data", "b_data").mapInArrow(_verified, "a long, b long"), "alike")
+
+
+def _within_size(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, a_size, b_size) whose sizes alone do not keep them below ``ALIKE``."""
+    few, many = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+    return pairs.where(few * ALIKE[1] >= many * ALIKE[0]).select("a", "b")
+
+
+def met_by_prints(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, prints) that join all whose fingerprints at one place differ in at most ``bits`` bits."""
     flat = nodes.select("node", F.posexplode("prints").alias("lane", "print"))
     first = written(flat.groupBy("lane", "print").agg(F.min("node").alias("rep")), "prints")
     same = flat.join(first, ["lane", "print"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     met = spanning_links(first, bits)
     for side in ("a", "b"):
         met = met.join(first.select("lane", F.col("print").alias(side), F.col("rep").alias(f"{side}_rep")), ["lane", side])
-    met = met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
-    component = connected(met.unionByName(same))
-    linked = nodes.join(component, "node")
-    least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    told = linked.join(least, "component").select("node", "least")
-    return nodes.join(told, "node", "left").select("prints", F.coalesce("least", "first").alias("first"))
+    pairs = met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).unionByName(same)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def one_of_each_group(docs: DataFrame, lanes: int = LANES, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """The rows of ``docs`` less near-duplicates: of each group the row with the smallest id stays.
+def met_by_hashes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(hash, node, size, last): the first hashes that several of ``nodes`` have in ``texts`` (node, text); last is the node's last one."""
+    count = texts.mapInArrow(_low_hashes, "hash long").groupBy("hash").count().where(F.col("count") > OFTEN)
+    often = np.sort(np.array([r.hash for r in count.orderBy(F.desc("count")).limit(MOST_OFTEN).select("hash").collect()], "<i8").view("<u8"))
+    # texts are not shuffled, only what is made of them
+    firsts = map_rows(texts, "node long, size long, firsts array<bigint>", _firsts(often))
+    firsts = written(firsts.join(nodes.select("node"), "node", "left_semi"), "firsts")
+    several = firsts.select(F.explode("firsts").alias("hash")).groupBy("hash").count().where("count > 1").select("hash")
+    flat = firsts.select("node", "size", F.array_max("firsts").alias("last"), F.explode("firsts").alias("hash"))
+    return written(flat.join(written(several, "shared-hashes"), "hash", "left_semi"), "shared")
 
-    Two texts are linked if one of ``lanes`` independent fingerprints links them, the first of which is
-    that of ``near_duplicates``; more lanes find more of the pairs that differ in a few words. Rows are
-    numbered by their place in the scan, which decides between equal ids; null ids come last. Null
-    and empty texts are one group. An empty table gives no rows; all columns are kept.
-    """
-    place = F.monotonically_increasing_id().alias("place")
 
-    def make():
-        def step(rows: dict) -> dict:
-            prints = [[signed(p) for p in fingerprints_of(t, lanes, words)] for t in rows["text"]]
-            return {"place": rows["place"], "doc_id": rows["doc_id"], "prints": prints}
+def groups_of(prints: DataFrame, texts: DataFrame, bits: int = BITS, complete: bool = True) -> DataFrame:
+    """(node, component) of the nodes that have a link; links have a Jaccard index of ``ALIKE`` or more.
 
-        return step
+    ``prints`` is (node, prints), ``texts`` (node, text), which may have more rows. Candidates are pairs that meet by a fingerprint.
+    With ``complete``, also all others that can be alike: such pairs share one of their first hashes. Every
+    node with a hash is first compared with the smallest that has it; then the pairs of a hash that are not
+    in one component by then, less those that have too few of the first hashes in common.
+    """
+    pairs = met_by_prints(prints, bits)
+    data = texts.withColumnRenamed("node", "place").mapInArrow(squeezed, "place long, data binary").withColumnRenamed("place", "node")
+    if not complete:
+        return connected(verified(pairs, data))
+    met = met_by_hashes(prints, texts)
+    least = met.groupBy("hash").agg(F.min(F.struct("node", "size")).alias("least"), F.count("*").alias("n"))
+    least = written(least, "least")
+    stars = met.join(least, "hash").where("node <> least.node")
+    stars = stars.select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.size").alias("a_size"), F.col("size").alias("b_size"))
+    linked = verified(_within_size(stars).unionByName(pairs).distinct(), data)
+    # with two nodes the pair has been compared
+    left = met.join(least.where("n > 2").select("hash"), "hash").join(connected(linked), "node", "left")
+    left = written(left.select("hash", "node", "size", "last", F.coalesce("component", "node").alias("component")), "unjoined")
+    apart = left.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    left = left.join(written(apart.select("hash"), "apart"), "hash", "left_semi")
+    one, other = (left.select("hash", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "last", "component")]) for s in "ab")
+    few, many = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+    rest = one.join(other, "hash").where((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & (few * ALIKE[1] >= many * ALIKE[0]))
+    # up to the lesser last hash all that is shared has been met; the rest of that node is all that can be added
+    ended = F.when(F.col("a_last") <= F.col("b_last"), F.col("a_size")).otherwise(F.col("b_size"))
+    rest = rest.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"), (F.col("a_size") + F.col("b_size")).alias("both"), ended.alias("ended")).agg(F.count("*").alias("n"))
+    most = F.col("n") + F.expr(f"(ended * {ALIKE[0]} + {ALIKE[1] - 1}) div {ALIKE[1]}") - 1
+    rest = rest.where(most * (ALIKE[0] + ALIKE[1]) >= F.col("both") * ALIKE[0])
+    return connected(linked.unionByName(verified(rest.select("a", "b"), data)))
+
+
+def one_of_each_group(docs: DataFrame, lanes: int = LANES, words: int = WORDS, bits: int = BITS, complete: bool = False) -> DataFrame:
+    """The rows of ``docs`` less near-duplicates: of each group the row with the smallest id stays.
 
-    table = docs.select(place, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    table = written(map_rows(table, "place long, doc_id long, prints array<bigint>", make), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("place").alias("place"))
-    told = grouped_by_any(table.select("prints", order.alias("order")), bits)
-    stays = told.select(F.col("first.place").alias("place")).distinct()
-    rows = docs.select(place, F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    Two texts are linked if their sets of five-word shingles have a Jaccard index of 0.8 or more, which is
+    computed for every link, and if one of ``lanes`` independent fingerprints brings them together, the first
+    of which is that of ``near_duplicates``. With ``complete`` all texts of that similarity are linked, whatever
+    their fingerprints; without it, more lanes find more of them. Rows are written with their place, which
+    decides between equal ids; null ids come last. Texts without words are one group. An empty table
+    gives no rows; all columns are kept.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("place"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    rows = written(rows, "placed")
+    table = rows.select("place", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"))
+    schema = "place long, doc_id long, prints array<bigint>, content binary"
+    table = written(map_rows(table, schema, _described(lanes, words)), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "place", "prints")
+    first = table.groupBy("content").agg(F.min(order).alias("first"))
+    nodes = written(first.select("first.none", "first.id", F.col("first.place").alias("node"), "first.prints"), "nodes")
+    texts = rows.select(F.col("place").alias("node"), F.coalesce("row.text", F.lit("")).alias("text"))
+    component = groups_of(nodes.select("node", "prints"), texts, bits, complete)
+    told = nodes.join(component, "node", "left")
+    stays = told.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct("none", "id", F.col("node").alias("place"))).alias("first"))
+    stays = stays.select(F.col("first.place").alias("place"))
     return rows.join(stays, "place", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -335,3 +335,36 @@ def test_toxicity(spark, docs, none, tmp_path):
     assert kept.columns == d.columns and kept.where("doc_id is null").count() == 1
     assert toxicity.kept_documents(docs, lab).columns == docs.columns
     assert [r.score for r in toxicity.score_documents(docs, lab.where("toxic = 0")).select("score").distinct().collect()] == [0.0]
+
+
+def test_all_pairs_above_the_threshold(spark, tmp_path):
+    """Components of all pairs with a Jaccard index of 0.8 or more, found whole (recall 1), and none below it."""
+    rng = np.random.default_rng(21)
+    words = [f"word{i}" for i in range(3000)]
+    shared = rng.choice(words, 150).tolist()  # a template that no pair is to be linked by
+    rows = [(None, None), (1000, ""), (1001, " \n")]
+    for i in range(60):
+        base = (shared if i % 3 == 0 else []) + rng.choice(words, int(rng.integers(3, 400))).tolist()
+        rows.append((i, " ".join(base)))
+        for k in range(int(rng.integers(0, 4))):
+            copy = list(base)
+            for at in rng.choice(len(copy), int(rng.integers(0, 1 + len(copy) // 22)), False):
+                copy[at] = str(rng.choice(words))
+            rows.append((100 * (k + 1) + i, " ".join(copy)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    near = [[(not a | b) or len(a & b) * 5 >= 4 * len(a | b) for b in sets] for a in sets]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            label[a] = min(label[b] for b in range(len(rows)) if near[a][b])
+    order = lambda k: (rows[k][0] is None, rows[k][0])
+    want = {rows[min((k for k in label_of), key=order)][0] for c in set(label) if (label_of := [k for k, x in enumerate(label) if x == c])}
+    assert 60 < len(want) < len(rows) - 30
+    d = spark.read.parquet(str(tmp_path / "d"))
+    assert {r.doc_id for r in simhash.one_of_each_group(d, lanes=1, complete=True).collect()} == want
