@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.llm.common import squeezed, written
@@ -270,10 +270,13 @@ def _windows(length: int):
     return run
 
 
-def numbered(docs: DataFrame, *columns: Column) -> DataFrame:
-    """The rows' places in the scan, as ``place``, and ``columns``; without any, ``docs`` as the struct ``row``."""
-    columns = columns or (F.struct(*[F.col(c) for c in docs.columns]).alias("row"),)
-    return docs.select(F.monotonically_increasing_id().alias("place"), *columns)
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as the struct ``row`` with a ``place`` of their own.
+
+    Written once: numbers given anew by each scan depend on how files are split, and rows would be taken for others.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("place"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    return written(rows, "numbered")
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, unit_bytes: int = UNIT_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
@@ -352,15 +355,15 @@ def _told(form: str):
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, form: str = "bytes", **limits: int) -> DataFrame:
-    """place, n_bytes, n_removed, n_spans, kept, spans (start, end, start, ...) of each row of ``docs``.
+def without_repeats(placed: DataFrame, length: int = LENGTH, form: str = "bytes", **limits: int) -> DataFrame:
+    """place, n_bytes, n_removed, n_spans, kept, spans (start, end, start, ...) of each row of ``placed``.
 
-    ``docs`` is a scan with a column ``text``; places are those of ``numbered``; ``kept`` is given as
-    ``form`` (FORMS) tells. A null text counts as empty; a text below ``length`` bytes has no string to
+    ``placed`` is a table of ``numbered`` whose rows have a column ``text``; ``kept`` is given as ``form``
+    (FORMS) tells. A null text counts as empty; a text below ``length`` bytes has no string to
     remove. Rows with equal texts are documents of their own, so a text of ``length`` bytes or more that
     occurs twice is removed whole in both. An empty table gives no rows.
     """
-    rows = numbered(docs, F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = placed.select("place", F.coalesce("row.text", F.lit("")).alias("text"))
     spans = repeated_spans(rows, length, **limits)
     texts = rows.mapInArrow(squeezed, "place long, data binary")
     schema = f"place long, n_bytes long, n_removed long, n_spans long, kept {FORMS[form][1]}, spans array<bigint>"
@@ -369,8 +372,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, form: str = "bytes",
 
 def digests(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the remaining bytes of each row of ``docs``."""
-    ids = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    found = without_repeats(docs, length, "sha256", **limits).withColumnRenamed("kept", "kept_sha256")
+    placed = numbered(docs.select("doc_id", "text"))
+    ids = placed.select("place", F.col("row.doc_id").cast("long").alias("doc_id"))
+    found = without_repeats(placed, length, "sha256", **limits).withColumnRenamed("kept", "kept_sha256")
     return ids.join(found, "place").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
@@ -379,8 +383,9 @@ def cleaned(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
 
     Bytes of a character that is cut in two are dropped with the rest of it. Null texts stay null.
     """
-    found = without_repeats(docs, length, "text", **limits).where("n_removed > 0")
-    both = numbered(docs).join(found.select("place", "kept"), "place", "left")
+    placed = numbered(docs)
+    found = without_repeats(placed, length, "text", **limits).where("n_removed > 0")
+    both = placed.join(found.select("place", "kept"), "place", "left")
     values = {c: F.col("row")[c] for c in docs.columns}
     values["text"] = F.coalesce("kept", values["text"])
     if "n_chars" in values:

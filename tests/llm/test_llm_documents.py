@@ -368,3 +368,30 @@ def test_all_pairs_above_the_threshold(spark, tmp_path):
     assert 60 < len(want) < len(rows) - 30
     d = spark.read.parquet(str(tmp_path / "d"))
     assert {r.doc_id for r in simhash.one_of_each_group(d, lanes=1, complete=True).collect()} == want
+
+
+def test_rows_keep_their_places(spark, tmp_path):
+    """Scans that split the files otherwise after the rows were numbered take no row for another."""
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    noise = lambda: "".join(rng.choice(letters, 300))
+    shared = [noise() for _ in range(10)]
+    rows = [(i, f"{i}|" + (shared[i // 2] if i < 20 else noise())) for i in range(200)]
+    for k in range(4):
+        spark.createDataFrame(rows[k::4], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    split = "spark.sql.files.maxPartitionBytes"
+    cost = "spark.sql.files.openCostInBytes"
+    before = {k: spark.conf.get(k) for k in (split, cost)}
+    try:
+        found = runs_dedup.digests(spark.read.parquet(str(tmp_path / "d")))
+        cleaned = runs_dedup.cleaned(spark.read.parquet(str(tmp_path / "d")))
+        kept = simhash.one_of_each_group(spark.read.parquet(str(tmp_path / "d")))
+        spark.conf.set(split, "4kb")
+        spark.conf.set(cost, "1b")
+        want = sorted((i, *w) for (i, _), w in zip(rows, repeats([t.encode() for _, t in rows], 200), strict=True))
+        assert table(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=str)
+        assert {r.doc_id for r in cleaned.where("length(text) < 20").collect()} == set(range(20))
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(200))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
