@@ -370,6 +370,18 @@ def test_all_pairs_above_the_threshold(spark, tmp_path):
     assert {r.doc_id for r in simhash.one_of_each_group(d, lanes=1, complete=True).collect()} == want
 
 
+@pytest.mark.parametrize("complete", [False, True])
+def test_links_are_verified(spark, tmp_path, complete):
+    """Texts with one fingerprint by their many repeats, but few shingles in common, and a chain over such a text."""
+    most = "the same three " * 400
+    tails = [" ".join(f"{c}{k}" for k in range(12)) for c in "pqr"]
+    rows = [(k, most + t) for k, t in enumerate(tails)] + [(10, most.upper() + tails[0])]
+    assert len({simhash.fingerprint(t) for _, t in rows}) == 1
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    kept = simhash.one_of_each_group(spark.read.parquet(str(tmp_path / "d")), complete=complete)
+    assert {r.doc_id for r in kept.collect()} == {0, 1, 2}
+
+
 def test_rows_keep_their_places(spark, tmp_path):
     """Scans that split the files otherwise after the rows were numbered take no row for another."""
     rng = np.random.default_rng(8)
