@@ -1,11 +1,11 @@
 """Packing of token sequences by Karmarkar-Karp multiway differencing.
 
-Documents are cut into whole windows and a rest. Rests are gathered into batches of ``WINDOWS``
-windows; each batch is partitioned by differencing: every piece starts as a partition of its own
-(one window holds it, the others are empty), and the two partitions with the largest imbalance are
-merged with opposing order until one is left, whose windows are near-equal. If a window is over
-capacity, its excess is cut off and moved to windows with room, as long as that cuts at most
-``CUT_SHARE`` of the batch; otherwise the window count rises and the batch is differenced again.
+Documents are cut into whole windows and a rest. Rests are gathered into batches that fill ``WINDOWS``
+windows but for ``SLACK`` tokens each; a batch is partitioned by differencing: every piece starts as a
+partition of its own (one window holds it, the others are empty), and the two partitions with the
+largest imbalance are merged with opposing order until one is left, whose windows are near-equal. If a
+window is over capacity, the window count rises by one and the batch is differenced again. Only the
+rest that ends a batch is cut, and the last tokens of a task, which go into powers of two.
 
 Memory is bounded by a batch: one batch's ids and one document's ids. No shuffle; a task that is run
 again gives the same sequences, for it sees the same rows in the same order.
@@ -13,6 +13,7 @@ again gives the same sequences, for it sees the same rows in the same order.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import os
 import re
@@ -29,10 +30,8 @@ from pyspark.sql import types as T
 from pagelattice.llm.common import Remembered, id_and_text
 
 CAPACITY = 2048
-#: Windows of a batch.
-WINDOWS = 16
-#: Largest share of a batch's tokens that is cut off and moved instead of opening another window.
-CUT_SHARE = 0.125
+#: Windows of a batch, and the tokens that a batch leaves free in each, so that differencing mostly fits at once.
+WINDOWS, SLACK = 64, 20
 #: Ended documents carry this id last.
 END_ID = 1
 #: Distinct pieces of a generation that a worker remembers.
@@ -77,41 +76,14 @@ def differenced(lengths: list[int], windows: int) -> list[list[int]]:
     return out
 
 
-def packed(lengths: list[int], capacity: int = CAPACITY, cut_share: float = CUT_SHARE) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, start within the item, length), none over ``capacity``; each token lies in one piece."""
-    total = sum(lengths)
-    windows = max(1, -(-total // capacity)) if total else 0
-    while windows:
+def packed(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+    """Indices of ``lengths``, none over ``capacity``, in near-equal windows that hold at most ``capacity`` each."""
+    windows = max(1, -(-sum(lengths) // capacity)) if lengths else 0
+    while True:
         groups = differenced(lengths, windows)
-        sums = [sum(lengths[i] for i in g) for g in groups]
-        excess = sum(max(0, s - capacity) for s in sums)
-        if excess <= cut_share * total:
-            break
+        if all(sum(lengths[i] for i in g) <= capacity for g in groups):
+            return [g for g in groups if g]
         windows += 1
-    else:
-        return []
-    out: list[list[tuple[int, int, int]]] = []
-    moved: list[tuple[int, int, int]] = []
-    for g, s in zip(groups, sums, strict=True):
-        pieces = [(i, 0, lengths[i]) for i in g]
-        while s > capacity:
-            at = max(range(len(pieces)), key=lambda k: (pieces[k][2], -k))
-            i, start, n = pieces[at]
-            off = min(n, s - capacity)
-            moved.append((i, start + n - off, off))
-            pieces[at : at + 1] = [(i, start, n - off)] if n > off else []
-            s -= off
-        out.append(pieces)
-    room = [capacity - sum(p[2] for p in w) for w in out]
-    for i, start, n in moved:
-        while n:
-            at = next((k for k, r in enumerate(room) if r >= n), None)
-            at = max(range(len(room)), key=lambda k: room[k]) if at is None else at
-            take = min(n, room[at])
-            out[at].append((i, start, take))
-            room[at] -= take
-            start, n = start + take, n - take
-    return [w for w in out if w]
 
 
 #: Pieces of a lower-case Latin-1 text that the file's pre-tokeniser takes as one each: contractions, letters,
@@ -127,17 +99,21 @@ class WordIds:
 
     Distinct pieces of the texts are encoded once and remembered. The normaliser and pre-tokeniser
     of the file act within pieces only. New pieces are encoded in one run, with spaces between them,
-    and told apart by the ids that end a word. Texts beyond Latin-1, or that may hold special tokens,
-    are cut at ASCII white space instead, and those pieces are encoded one by one.
+    and told apart by the ids that end a word; ASCII ones, which are normal already, by the file's model
+    alone. Texts beyond Latin-1, or that may hold special tokens, are cut at ASCII white space instead,
+    and those pieces are encoded one by one.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: For words in printable ASCII, whose bytes the vocabulary writes as themselves.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -145,16 +121,19 @@ class WordIds:
 
     def _remember(self, pieces: list[str], memory: dict[str, bytes]) -> None:
         """Adds the ids of pieces that are one pre-token each."""
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(stops) != len(part):
-                raise ValueError("a piece is not one pre-token; the file is not of the expected kind")
-            raw, begin = ids.tobytes(), 0
-            for piece, stop in zip(part, stops, strict=True):
-                memory[piece] = raw[begin:stop]
-                begin = stop
+        printable = [p for p in pieces if p.isascii() and p.isprintable()]
+        rest = [p for p in pieces if not (p.isascii() and p.isprintable())]
+        for tokenizer, some in ((self.bare, printable), (self.tokenizer, rest)):
+            for at in range(0, len(some), 4096):
+                part = some[at : at + 4096]
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(stops) != len(part):
+                    raise ValueError("a piece is not one pre-token; the file is not of the expected kind")
+                raw, begin = ids.tobytes(), 0
+                for piece, stop in zip(part, stops, strict=True):
+                    memory[piece] = raw[begin:stop]
+                    begin = stop
 
     def _plain(self, text: str) -> list[str] | None:
         try:
@@ -166,24 +145,38 @@ class WordIds:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
         cut = [self._plain(t) for t in texts]
-        new = self.memory.missing(set(chain.from_iterable(filter(None, cut))))
-        memory = self.memory.held
-        self._remember(new, memory)
-        out = []
+        flat = list(chain.from_iterable(filter(None, cut)))
+        found = list(map(self.memory.held.get, flat))
+        if None in found:
+            new = self.memory.missing({p for p, f in zip(flat, found, strict=True) if f is None})
+            self._remember(new, self.memory.held)
+            get, before = self.memory.held.get, self.memory.before.get
+            found = [f or get(p) or before(p) for p, f in zip(flat, found, strict=True)]
+        out, at = [], 0
         for pieces, text in zip(cut, texts, strict=True):
             if pieces is None:
-                found = self.tokenizer.encode_batch_fast(_SPACE.split(text), add_special_tokens=False)
-                out.append(b"".join([np.array(e.ids, "<u4").tobytes() for e in found]))
+                ids = self.tokenizer.encode_batch_fast(_SPACE.split(text), add_special_tokens=False)
+                out.append(b"".join([np.array(e.ids, "<u4").tobytes() for e in ids]))
             else:
-                out.append(b"".join(map(memory.__getitem__, pieces)))
+                out.append(b"".join(found[at : at + len(pieces)]))
+                at += len(pieces)
         return out
 
 
+@functools.cache
+def words_of(path: str) -> WordIds:
+    """One for each worker and file, so that later tasks of the worker remember its pieces too."""
+    return WordIds(path)
+
+
 class Packer:
     """Takes documents' ids one after another and gives rows of SCHEMA."""
 
     def __init__(self, first_sequence: int, capacity: int = CAPACITY):
         self.capacity, self.sequence = capacity, first_sequence
+        self.slack = min(SLACK, capacity // 64)
+        self.most = WINDOWS * (capacity - self.slack)
+        self.largest = 1 << (capacity.bit_length() - 1)
         self.rests: list[tuple[int | None, int, bytes, int]] = []  # doc_id, start, ids, tokens of the document
         self.held = 0
         self.rows: list[tuple] = []
@@ -197,7 +190,7 @@ class Packer:
             self._row(doc_id, at, ids[4 * at : 4 * (at + step)], total, 0)
             self.sequence += 1
             at += step
-        room = WINDOWS * step - self.held
+        room = self.most - self.held
         while at < total:  # a batch is filled to the last token; what is over begins the next
             n = min(total - at, room)
             self.rests.append((doc_id, at, ids[4 * at : 4 * (at + n)], total))
@@ -205,21 +198,21 @@ class Packer:
             at, room = at + n, room - n
             if not room:
                 self.flush()
-                room = WINDOWS * step
+                room = self.most
 
     def flush(self) -> None:
         for window in packed([len(r[2]) // 4 for r in self.rests], self.capacity):
             offset = 0
-            for i, start, n in window:
+            for i in window:
                 doc, at, ids, total = self.rests[i]
-                self._row(doc, at + start, ids[4 * start : 4 * (start + n)], total, offset)
-                offset += n
+                self._row(doc, at, ids, total, offset)
+                offset += len(ids) // 4
             self.sequence += 1
         self.rests, self.held = [], 0
 
     def finish(self) -> None:
-        """The last batch: whole windows by differencing, then powers of two, which need no padding."""
-        over = self.held % self.capacity
+        """The last batch: as many windows as it fills but for the slack, by differencing, then powers of two, which need no padding."""
+        over = self.held - self.held // self.capacity * (self.capacity - self.slack)
         last = []
         while over and self.rests:
             doc, at, ids, total = self.rests.pop()
@@ -233,7 +226,7 @@ class Packer:
         rest = sum(len(r[2]) // 4 for r in last)
         last.reverse()
         while rest:
-            size, offset = 1 << (rest.bit_length() - 1), 0
+            size, offset = min(self.largest, 1 << (rest.bit_length() - 1)), 0
             while offset < size:
                 doc, at, ids, total = last.pop(0)
                 n = min(size - offset, len(ids) // 4)
@@ -249,12 +242,13 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Data
     """Pieces of the documents' ids (and END_ID after each) in sequences of at most ``capacity``.
 
     A null text counts as empty, so its document is the end id alone. Repeated rows are packed each,
-    null ids stay null, an empty table gives no rows, and other columns are ignored. Sequences are
-    numbered within a task from 2**33 times its partition.
+    null ids stay null, an empty table gives no rows, and other columns are ignored. A text of any
+    length is read whole; one of more than ``capacity`` tokens fills windows of its own first. Sequences
+    are numbered within a task from 2**33 times its partition.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = words_of(path)
         end = np.array([END_ID], "<u4").tobytes()
         context = TaskContext.get()
         packer = Packer((context.partitionId() if context else 0) << 33, capacity)

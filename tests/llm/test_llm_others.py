@@ -121,8 +121,8 @@ def folder(spark, tmp_path):
         toxic = i % 6 == 0
         rows.append((i, text + (" you zorgul creature. such a zorgul mind." if toxic else ""), "en", "s", None))
         labels.append((i, 1, int(toxic)))
-    shared = " ".join(rng.choice(words, 60))
-    rows += [(300, rows[1][1], "en", "s", None), (301, "start " + shared + " one other ending", "en", "s", None), (302, "unlike this " + shared, None, None, None), (303, None, "en", "s", 0)]
+    shared, own, other = (" ".join(rng.choice(words, n)) for n in (60, 40, 40))
+    rows += [(300, rows[1][1], "en", "s", None), (301, f"start {own} {shared} ending", "en", "s", None), (302, f"{other} {shared}", None, None, None), (303, None, "en", "s", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     return str(tmp_path)
@@ -142,7 +142,8 @@ def test_pipeline(spark, folder):
     assert ids(seen["toxicity"]) == {i for i in (*range(240), *range(300, 304)) if i >= 240 or i % 6}
     assert ids(seen["simhash"]) == ids(seen["toxicity"]) - {300}
     texts = {r.doc_id: r.text for r in seen["repeats"].collect()}
-    assert texts[301].startswith("start ") and len(texts[301]) < 60 and len(texts[302]) < 40 and texts[303] is None
+    # the sixty words that both share go, with the space before them, and their own words stay
+    assert texts[301].startswith("start term") and len(texts[301].split()) == 42 and len(texts[302].split()) == 40 and texts[303] is None
     assert all(len(t) > 300 for i, t in texts.items() if i < 240)
     assert ids(seen["packing"]) == set(texts)
     rows = [tuple(r) for r in corpus_pipeline.run(spark, folder).collect()]
