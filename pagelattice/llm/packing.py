@@ -19,7 +19,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pagelattice.llm.common import Remembered, id_and_text
+from pagelattice.llm.common import id_and_text
+from pagelattice.llm.fragments import FragmentIds, spread
 
 CAPACITY = 2048
 #: Windows of a batch, and the tokens that a batch leaves free in each, so that differencing mostly fits at once.
 WINDOWS, SLACK = 64, 20
 #: Ended documents carry this id last.
 END_ID = 1
-#: Distinct pieces of a generation that a worker remembers.
-REMEMBERED = 250_000
 
 SCHEMA = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
@@ -86,22 +84,44 @@ def packed(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         windows += 1
 
 
-#: Pieces of a lower-case Latin-1 text that the file's pre-tokeniser takes as one each: contractions, letters,
-#: single numerals, and other visible characters.
-_PIECE = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \t\n\r\x0b\x0c\x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
-)
-_SPACE = re.compile(r"[ \t\n\r]+")
+# What a lower-case Latin-1 character is to the file's pre-tokeniser: white space, a letter, a numeral, or any other.
+_SPACE, _LETTER, _NUMERAL, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[*range(0x61, 0x7B), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = _LETTER
+_KIND[[*range(0x30, 0x3A), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = _NUMERAL
+_KIND[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0]] = _SPACE
+_CUT = re.compile(r"[ \t\n\r]+")
+
+
+def pieces_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pre-tokens of a lower-case Latin-1 text: contractions, letters, single numerals, other characters."""
+    text = np.frombuffer(raw, np.uint8)
+    kind = _KIND[text]
+    before = np.concatenate([[_SPACE], kind[:-1]])
+    begins = (kind != _SPACE) & ((kind != before) | (kind == _NUMERAL))
+    # an apostrophe that begins a piece takes the letters of a contraction with it, and what follows begins another
+    at = np.flatnonzero(begins & (text == 0x27))
+    padded = np.concatenate([text, np.zeros(3, np.uint8)])
+    one, two = padded[at + 1], padded[at + 2]
+    single = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    double = (one == 0x72) & (two == 0x65) | (one == 0x76) & (two == 0x65) | (one == 0x6C) & (two == 0x6C)
+    begins[at[single | double] + 1] = False
+    for taken, n in ((single, 2), (double, 3)):
+        after = at[taken] + n
+        after = after[after < len(text)]
+        begins[after[kind[after] != _SPACE]] = True
+    ends = (kind != _SPACE) & np.concatenate([begins[1:] | (kind[1:] == _SPACE), [True]])
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
 class WordIds:
     """Ids of a text by a tokenizer of lower-case words with word ends that drops white space.
 
-    Distinct pieces of the texts are encoded once and remembered. The normaliser and pre-tokeniser
-    of the file act within pieces only. New pieces are encoded in one run, with spaces between them,
-    and told apart by the ids that end a word; ASCII ones, which are normal already, by the file's model
-    alone. Texts beyond Latin-1, or that may hold special tokens, are cut at ASCII white space instead,
-    and those pieces are encoded one by one.
+    The normaliser and pre-tokeniser of the file act within pieces only, and distinct pieces are encoded
+    once and remembered. New pieces are encoded in one run, with spaces between them, and told apart by
+    the ids that end a word; ASCII ones, which are normal already, by the file's model alone. Texts beyond
+    Latin-1, or that may hold special tokens, are cut at ASCII white space instead, and those parts are
+    encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -117,49 +137,53 @@ class WordIds:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.memory = Remembered(REMEMBERED)
-
-    def _remember(self, pieces: list[str], memory: dict[str, bytes]) -> None:
-        """Adds the ids of pieces that are one pre-token each."""
-        printable = [p for p in pieces if p.isascii() and p.isprintable()]
-        rest = [p for p in pieces if not (p.isascii() and p.isprintable())]
-        for tokenizer, some in ((self.bare, printable), (self.tokenizer, rest)):
-            for at in range(0, len(some), 4096):
-                part = some[at : at + 4096]
-                ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-                stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-                if len(stops) != len(part):
+        self.memory = FragmentIds(self._encode)
+
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that are one pre-token each, and how many each has."""
+        printable = np.array([p.isascii() and p.decode("latin-1").isprintable() for p in pieces])
+        many, found, at = np.zeros(len(pieces), np.int64), [], []
+        for tokenizer, which in ((self.bare, np.flatnonzero(printable)), (self.tokenizer, np.flatnonzero(~printable))):
+            for begin in range(0, len(which), 4096):
+                some = which[begin : begin + 4096]
+                part = b" ".join([pieces[k] for k in some.tolist()]).decode("latin-1")
+                ids = np.array(tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids, np.uint32)
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                if len(stops) != len(some):
                     raise ValueError("a piece is not one pre-token; the file is not of the expected kind")
-                raw, begin = ids.tobytes(), 0
-                for piece, stop in zip(part, stops, strict=True):
-                    memory[piece] = raw[begin:stop]
-                    begin = stop
-
-    def _plain(self, text: str) -> list[str] | None:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return None
-        return None if "<|" in text else _PIECE.findall(text.lower())
+                many[some] = np.diff(stops, prepend=0)
+                found.append(ids)
+                at.append(some)
+        order = np.concatenate(at)
+        first = np.empty(len(pieces), np.int64)
+        first[order] = np.cumsum(many[order]) - many[order]
+        return np.concatenate(found)[spread(first, many)], many
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
-        cut = [self._plain(t) for t in texts]
-        flat = list(chain.from_iterable(filter(None, cut)))
-        found = list(map(self.memory.held.get, flat))
-        if None in found:
-            new = self.memory.missing({p for p, f in zip(flat, found, strict=True) if f is None})
-            self._remember(new, self.memory.held)
-            get, before = self.memory.held.get, self.memory.before.get
-            found = [f or get(p) or before(p) for p, f in zip(flat, found, strict=True)]
-        out, at = [], 0
-        for pieces, text in zip(cut, texts, strict=True):
-            if pieces is None:
-                ids = self.tokenizer.encode_batch_fast(_SPACE.split(text), add_special_tokens=False)
-                out.append(b"".join([np.array(e.ids, "<u4").tobytes() for e in ids]))
+        raws: list[bytes | None] = []
+        for t in texts:
+            try:
+                raws.append(None if "<|" in t else t.lower().encode("latin-1"))
+            except UnicodeEncodeError:
+                raws.append(None)
+        plain = [r for r in raws if r is not None]
+        raw = b"\n".join(plain)
+        starts, ends = pieces_of(raw)
+        ids, many = self.memory.of(raw, starts, ends)
+        data = ids.astype("<u4").tobytes()
+        tokens = np.concatenate([[0], np.cumsum(many)])
+        places = np.cumsum([0, *(len(r) + 1 for r in plain)])
+        cuts = (4 * tokens[np.searchsorted(starts, places)]).tolist()
+        found = iter(zip(cuts, cuts[1:], strict=False))
+        out = []
+        for r, t in zip(raws, texts, strict=True):
+            if r is None:
+                parts = self.tokenizer.encode_batch_fast(_CUT.split(t), add_special_tokens=False)
+                out.append(b"".join([np.array(e.ids, "<u4").tobytes() for e in parts]))
             else:
-                out.append(b"".join(found[at : at + len(pieces)]))
-                at += len(pieces)
+                a, b = next(found)
+                out.append(data[a:b])
         return out
 
 
