@@ -82,6 +82,44 @@ def test_bpe_cuts_are_certain():
         assert said.decode() == t
 
 
+def test_bpe_uses_every_certain_pair_it_can():
+    """Any text between any two characters: cutting at each usable pair changes nothing, and what is left out has a reason."""
+    codec = bpe.ForcedBoundaryCodec(BYTE)
+    assert (codec.certain | bpe.pairs_inside(codec.bytes_of)).all() and not (codec.usable & bpe.pairs_inside(codec.bytes_of)).any()
+    left_out = codec.certain & ~codec.usable
+    left_out[[*range(0x21), 0x7F]] = left_out[:, 0x80:0xC0] = left_out[:, 0x27] = False
+    assert not left_out.any()
+    text = "cat,dog(1)日本語"
+    cuts = np.flatnonzero(codec.boundaries(text.encode())).tolist()
+    assert [text.encode()[a:b].decode() for a, b in zip([0, *cuts], [*cuts, None], strict=True)][:6] == ["cat", ",", "dog", "(", "1", ")"]
+    rng = np.random.default_rng(2)
+    kinds = ["a", "Zq", "s", "t", "re", "'", "''", "7", "½", "!", "»", "é", "ж", "日", "\u3000", "\xa0", "\u2009", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u200b", "😀", "̈"]
+    made = ["".join(rng.choice(kinds, 12)) for _ in range(4000)] + [a + b + c for a in kinds for b in kinds for c in kinds]
+    for t, (ids, said) in zip(made, codec.encode_batch(made), strict=True):
+        assert codec.tokenizer.encode(t, add_special_tokens=False).ids == np.frombuffer(ids, "<u4").tolist(), repr(t)
+        assert said.decode() == t
+
+
+def test_fragments_are_forgotten_and_told_apart():
+    from pagelattice.llm.fragments import FragmentIds
+
+    asked = []
+
+    def encode(parts):
+        asked.extend(parts)
+        ids = [list(p) for p in parts]
+        return np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids])
+
+    memory = FragmentIds(encode, most=300)
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        parts = [rng.integers(0, 3, n, dtype=np.uint8).tobytes() for n in rng.integers(1, 24, 90)]
+        ends = np.cumsum([len(p) for p in parts])
+        ids, many = memory.of(b"".join(parts), ends - [len(p) for p in parts], ends)
+        assert ids.tolist() == list(b"".join(parts)) and many.tolist() == [len(p) for p in parts]
+    assert len(asked) > len(set(asked)) > 300  # some were forgotten and asked again
+
+
 def test_packing(docs, none):
     words = packing.WordIds(WORD)
     rows = packing.pack_documents(docs, WORD).collect()
