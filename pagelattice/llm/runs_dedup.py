@@ -7,15 +7,18 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts elsewhere in
    mostly share one. The windows of one anchor form a block of text. Blocks whose anchor occurs once hold
    nothing that repeats.
 2. Equal blocks become one with a count. The distinct blocks are dealt by anchor into units of bounded
-   size, and each unit gets a run-length index: the windows in lexicographic order, their
-   Burrows-Wheeler transform as runs, and the text positions at both ends of each run.
-3. Matching statistics stream through the blocks: a match found for one window is carried to the next
-   by comparing one more byte, as inside a run of the transform; where that fails, the window's row is
-   looked up and its neighbours there, the candidates for the longest match, are compared.
-4. Marks go back to all places of a block and are united for each document.
-
-An anchor with more than ``HOT_BYTES`` of distinct blocks is not collected: its windows are counted by
-digest with partial aggregation, which is exact as well. Nothing but sizes reaches the driver.
+   size. An anchor with more than ``HOT_BYTES`` of distinct blocks is not collected: what its windows share
+   is widened, on the side on which a window has more room, by half of the room that is left, which cuts
+   its blocks into smaller ones with anchors of their own, and so on; at the latest when the anchor
+   is the whole window its blocks are one.
+3. Each unit gets a run-length index (``RunIndex``): the Burrows-Wheeler transform of its windows as runs,
+   and the text positions sampled at both ends of each run. Nothing else of the order is kept.
+4. Matching statistics stream through the text from sample to sample. The window at the head of a run is
+   compared with the one at the tail of the run before, its neighbour in the order; inside a run the
+   neighbour and the match move on with the text, the match one byte shorter a step.
+5. Marks go back to all places of a block and are united for each document.
+
+Nothing but sizes reaches the driver.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from pagelattice.llm.common import squeezed, written
 
 LENGTH, GRAM = 200, 64
-#: Distinct block bytes of a unit, and from how many bytes on an anchor is counted instead.
+#: Distinct block bytes of a unit, and from how many bytes on an anchor is widened.
 UNIT_BYTES, HOT_BYTES = 1 << 20, 4 << 20
 #: Bytes of whole anchors that are sorted at a time.
 SORTED_BYTES = 1 << 18
@@ -106,65 +109,72 @@ def _chunk_blocks(pieces, length, gram):
     return number, hashes[place[first]].view(np.int64), begin, starts[last] - starts[first] + length
 
 
+#: Ends a block; no byte of UTF-8.
+_END = b"\xff"
+
+
 class RunIndex:
-    """Windows of blocks in order, the runs of their Burrows-Wheeler transform, and positions at run ends."""
+    """The run-length Burrows-Wheeler transform of the windows of blocks, sampled at the ends of its runs.
+
+    Windows are numbered through all blocks. They are ordered by the text from them to the end of their
+    block and an end mark, then by number, as suffixes with a mark of its own behind each block are. The
+    transform's letter of a window is the byte before it; the first windows of blocks have none and are runs
+    of their own. Kept are the runs (letter, length) and the windows at their heads and tails.
+    """
 
     def __init__(self, blocks: list[bytes], length: int = LENGTH):
         self.length = length
-        self.sizes = np.array([len(b) for b in blocks])
-        self.text = np.frombuffer(b"".join(blocks), np.uint8)
-        self.begin = np.cumsum(self.sizes) - self.sizes
-        many = self.sizes - length + 1
-        self.many, self.first = many, np.cumsum(many) - many
-        #: text position of each window
-        self.at = np.repeat(self.begin - self.first, many) + np.arange(many.sum())
-        windows = np.lib.stride_tricks.sliding_window_view(self.text, length)[self.at]
-        self.order = np.argsort(windows.view(f"S{length}").reshape(-1), kind="stable")
-        self.row = np.empty_like(self.order)
-        self.row[self.order] = np.arange(len(self.order))
-        before = self.text[self.at - 1].astype(np.int16)
-        before[self.first] = -1  # a block's first window has nothing before it
-        self.transform = before[self.order]
-        turn = np.flatnonzero(self.transform[1:] != self.transform[:-1]) + 1
-        self.heads = np.concatenate([[0], turn])
-        self.tails = np.concatenate([turn - 1, [len(self.order) - 1]])
-        self.samples = self.at[self.order[self.heads]], self.at[self.order[self.tails]]
+        sizes = np.array([len(b) for b in blocks])
+        widest = int(sizes.max(initial=length))
+        self.many = sizes - length + 1
+        self.first = np.cumsum(self.many) - self.many
+        text = np.frombuffer(b"".join(b + _END * widest for b in blocks), np.uint8)
+        begin = np.cumsum(sizes + widest) - sizes - widest
+        at = np.repeat(begin - self.first, self.many) + np.arange(self.many.sum())
+        views = np.lib.stride_tricks.sliding_window_view(text, widest)
+        order = np.argsort(views[at].view(f"S{widest}").reshape(-1), kind="stable")
+        letter = text[at - 1].astype(np.int16)
+        letter[self.first] = -1
+        letter = letter[order]
+        turn = np.flatnonzero((letter[1:] != letter[:-1]) | (letter[1:] < 0)) + 1
+        heads = np.concatenate([[0], turn])
+        self.letters, self.lengths = letter[heads], np.diff(np.append(heads, len(order)))
+        self.heads, self.tails = order[heads], order[np.append(turn, len(order)) - 1]
+        # the match of each head with the tail before it, as far as both blocks reach
+        room = np.repeat(sizes, self.many) - (np.arange(len(at)) - np.repeat(self.first, self.many))
+        self.matches = np.zeros(len(heads), np.int64)
+        for k in range(1, len(heads), 4096):
+            a, b = self.heads[k : k + 4096], self.tails[k - 1 : k - 1 + len(self.heads[k : k + 4096])]
+            same = views[at[a]] == views[at[b]]
+            match = np.where(same.all(1), widest, same.argmin(1))
+            self.matches[k : k + 4096] = np.minimum(match, np.minimum(room[a], room[b]))
 
     @property
     def runs(self) -> int:
         return len(self.heads)
 
-    def _same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether windows a and b are equal."""
-        view = np.lib.stride_tricks.sliding_window_view(self.text, self.length)
-        return (view[self.at[a]] == view[self.at[b]]).all(1)
+    def statistics(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, neighbour, match) of each head of a run, by window: what holds until the next one, the match shrinking."""
+        by_place = np.argsort(self.heads)
+        before = np.concatenate([[0], self.tails[:-1]])
+        return self.heads[by_place], before[by_place], self.matches[by_place]
 
     def repeated(self) -> np.ndarray:
-        """For each window whether another one equals it."""
-        n = len(self.order)
-        out = np.zeros(n, bool)
-        ends = self.first + self.many
-        partner = np.full(len(self.sizes), -1)
-        block_end = np.repeat(ends, self.many)
-        for step in range(int(self.many.max(initial=0))):
-            live = np.flatnonzero(self.many > step)
-            here = self.first[live] + step
-            carried = partner[live]
-            ok = carried >= 0
-            nxt = carried + 1
-            ok &= (nxt < block_end[carried]) & (nxt != here)
-            ok[ok] = self.text[self.at[nxt[ok]] + self.length - 1] == self.text[self.at[here[ok]] + self.length - 1]
-            found = np.where(ok, nxt, -1)
-            for side in (-1, 1):  # the match broke off: the neighbours in the order
-                need = np.flatnonzero(found < 0)
-                row = self.row[here[need]] + side
-                inside = (row >= 0) & (row < n)
-                need, other = need[inside], self.order[row[inside]]
-                hit = self._same(here[need], other)
-                found[need[hit]] = other[hit]
-            out[here] = found >= 0
-            partner[live] = found
-        return out
+        """For each window whether another one equals it.
+
+        A window that equals another either equals the one before it in the order, or is the one before it
+        for the next; a window inside a run has the neighbour that the run's head carries on to it, as far
+        as matches of LENGTH go.
+        """
+        n = int(self.many.sum())
+        head, neighbour, match = self.statistics()
+        steps = np.minimum(np.append(head[1:], n) - head, match - self.length + 1)
+        found = steps > 0
+        change = np.zeros(n + 1, np.int64)
+        for start in (head[found], neighbour[found]):
+            np.add.at(change, start, 1)
+            np.add.at(change, start + steps[found], -1)
+        return np.cumsum(change[:-1]) > 0
 
 
 def spans_of(flags: np.ndarray, length: int = LENGTH) -> list[int]:
@@ -256,16 +266,48 @@ def _unit(length: int):
     return run
 
 
-def _windows(length: int):
+def widths(length: int, gram: int) -> list[int]:
+    """How many bytes the windows of an anchor share at each level: half of the rest is added each time."""
+    out = [gram]
+    while out[-1] < length:
+        out.append(out[-1] + (length - out[-1] + 1) // 2)
+    return out
+
+
+def widened(block: bytes, core: int, width: int, more: int, length: int) -> Iterator[tuple[int, bytes, int, bytes]]:
+    """(first window, block, core, what is shared) of the two parts of a block whose windows share block[core:core+width].
+
+    A window with ``more`` bytes or more before the core shares those with its part, any other that many behind it.
+    """
+    many = len(block) - length + 1
+    if core >= more:
+        yield 0, block[: min(many - 1, core - more) + length], core - more, block[core - more : core + width]
+    first = max(0, core - more + 1)
+    if first < many:
+        yield first, block[first:], core - first, block[core : core + width + more]
+
+
+def _widen(length: int, level: int):
+    width, wider = widths(length, GRAM)[level : level + 2]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for anchor, content, n, block in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "n", "block")), strict=True):
-                keys = [hashlib.md5(block[i : i + length]).digest() for i in range(len(block) - length + 1)]
-                size = len(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([anchor] * size), pa.array([content] * size), pa.array([n] * size), pa.array(range(size), pa.int64()), pa.array(keys, pa.binary())],
-                    names=["anchor", "content", "n", "window", "key"],
-                )
+            rows: list[tuple] = []
+            columns = (batch.column(c).to_pylist() for c in ("anchor", "content", "n", "core", "block"))
+            for anchor, content, n, core, block in zip(*columns, strict=True):
+                if core is None:  # the leftmost place at which all windows can have it
+                    core = max(0, len(block) - length)
+                    hashes = gram_hashes(np.frombuffer(block, np.uint8), GRAM).view(np.int64)
+                    core += int(np.argmax(hashes[core : length - GRAM + 1] == anchor))
+                for side, (base, part, at, shared) in enumerate(widened(block, core, width, wider - width, length)):
+                    side = 0 if at + wider <= core - base + width else 1
+                    key = digest(shared, 2 * level + side)
+                    rows.append((anchor, content, base, key - (1 << 63), digest(part, at) - (1 << 63), n, at, len(part), part))
+            columns = list(zip(*rows, strict=True)) or [[]] * 9
+            kinds = [*[pa.int64()] * 8, pa.binary()]
+            names = ("of_anchor", "of_content", "base", "anchor", "content", "n", "core", "size", "block")
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
@@ -279,6 +321,35 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(rows, "numbered")
 
 
+def marks_of(blocks: DataFrame, sizes: DataFrame, length: int, unit_bytes: int, hot_bytes: int, level: int = 0) -> DataFrame:
+    """(anchor, content, spans) of the distinct ``blocks`` (anchor, content, n, core, block), given the bytes of each anchor."""
+    total, most = sizes.agg(F.sum("bytes"), F.max("bytes")).first()
+    units = max(1, -(-(total or 0) // unit_bytes))
+    calm = blocks
+    last = level + 1 == len(widths(length, GRAM))
+    hot = sizes.where(F.col("bytes") > hot_bytes).select("anchor")
+    if (most or 0) > hot_bytes and not last:
+        blocks = written(blocks, "repeat-texts")
+        calm = blocks.join(hot, "anchor", "left_anti")
+    marks = (
+        calm.withColumn("unit", F.pmod(F.xxhash64("anchor"), F.lit(units)))
+        .groupBy("unit")
+        .applyInArrow(_unit(length), "anchor long, content long, spans array<bigint>")
+        .where(F.size("spans") > 0)
+    )
+    if (most or 0) <= hot_bytes or last:
+        return marks
+    schema = "of_anchor long, of_content long, base long, anchor long, content long, n long, core long, size long, block binary"
+    parts = written(blocks.join(hot, "anchor", "left_semi").mapInArrow(_widen(length, level), schema), "repeat-parts")
+    distinct = parts.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.first("core").alias("core"), F.first("size").alias("size"), F.first("block").alias("block"))
+    distinct = written(distinct, "repeat-distinct")
+    sizes = distinct.groupBy("anchor").agg(F.sum("size").alias("bytes"))
+    inner = written(marks_of(distinct, sizes, length, unit_bytes, hot_bytes, level + 1), "repeat-inner")
+    back = parts.select("of_anchor", "of_content", "base", "anchor", "content").join(inner, ["anchor", "content"])
+    back = back.select(F.col("of_anchor").alias("anchor"), F.col("of_content").alias("content"), F.transform("spans", lambda x: x + F.col("base")).alias("spans"))
+    return marks.unionByName(back.groupBy("anchor", "content").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH, unit_bytes: int = UNIT_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(place, spans): for each row of ``rows`` (place, text) with repeated strings their maximal spans of bytes, unsorted."""
     anchors = rows.mapInArrow(_anchors(length), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
@@ -293,28 +364,11 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, unit_bytes: int = UNIT
     )
     blocks = written(blocks, "repeat-blocks")
     sizes = blocks.groupBy("anchor").agg(F.sum("size").alias("bytes"))
-    hot = sizes.where(F.col("bytes") > hot_bytes).select("anchor")
-    total, most = blocks.agg(F.sum("size")).first()[0] or 0, sizes.agg(F.max("bytes")).first()[0] or 0
     wanted = blocks.groupBy("place").agg(F.collect_list(F.struct("anchor", "content", "n", "start", "size")).alias("wanted"))
     texts = rows.mapInArrow(squeezed, "place long, data binary")
     cut = texts.join(wanted, "place").select("data", "wanted").mapInArrow(_cut_out, "anchor long, content long, n long, block binary")
-    units = max(1, -(-total // unit_bytes))
-    calm = cut
-    if most > hot_bytes:
-        cut = written(cut, "repeat-texts")
-        calm = cut.join(hot, "anchor", "left_anti")
-    marks = (
-        calm.withColumn("unit", F.pmod(F.xxhash64("anchor"), F.lit(units)))
-        .groupBy("unit")
-        .applyInArrow(_unit(length), "anchor long, content long, spans array<bigint>")
-    )
-    if most > hot_bytes:
-        windows = cut.join(hot, "anchor", "left_semi").mapInArrow(_windows(length), "anchor long, content long, n long, window long, key binary")
-        again = windows.groupBy("key").agg(F.sum("n").alias("all")).where("all > 1")
-        flat = F.array(F.col("window"), F.col("window") + length)
-        counted = windows.join(again, "key").groupBy("anchor", "content").agg(F.flatten(F.collect_list(flat)).alias("spans"))
-        marks = marks.unionByName(counted)
-    marks = written(marks.where(F.size("spans") > 0), "repeat-marks")
+    cut = cut.withColumn("core", F.lit(None).cast("long"))
+    marks = written(marks_of(cut, sizes, length, unit_bytes, hot_bytes), "repeat-marks")
     found = places.join(marks, ["anchor", "content"])
     moved = F.transform("spans", lambda x: x + F.col("start"))
     return found.select("place", moved.alias("spans")).groupBy("place").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -371,7 +425,11 @@ def without_repeats(placed: DataFrame, length: int = LENGTH, form: str = "bytes"
 
 
 def digests(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the remaining bytes of each row of ``docs``."""
+    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the remaining bytes of each row of ``docs``.
+
+    A null text counts as empty, repeated rows are documents of their own and hold each other's strings, null
+    ids stay null, an empty table gives no rows, other columns are ignored. Texts of any length are read whole.
+    """
     placed = numbered(docs.select("doc_id", "text"))
     ids = placed.select("place", F.col("row.doc_id").cast("long").alias("doc_id"))
     found = without_repeats(placed, length, "sha256", **limits).withColumnRenamed("kept", "kept_sha256")
@@ -381,7 +439,8 @@ def digests(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
 def cleaned(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
     """``docs`` with repeated strings taken out of ``text``, and ``n_chars``, if there is one, counted anew.
 
-    Bytes of a character that is cut in two are dropped with the rest of it. Null texts stay null.
+    Bytes of a character that is cut in two are dropped with the rest of it. Null texts stay null. Repeated
+    rows of 200 bytes or more stay with an empty text each, an empty table gives an empty one.
     """
     placed = numbered(docs)
     found = without_repeats(placed, length, "text", **limits).where("n_removed > 0")

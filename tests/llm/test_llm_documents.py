@@ -277,6 +277,62 @@ def test_repeats(docs, none, limits):
     assert runs_dedup.digests(none).count() == 0
 
 
+def test_run_index():
+    """Windows that repeat, from samples at the ends of runs, against a count of all; zero bytes and equal blocks included."""
+    rng = np.random.default_rng(13)
+    for round_ in range(120):
+        alphabet, length = int(rng.integers(1, 4)), int(rng.integers(2, 9))
+        base = [rng.integers(0, alphabet, rng.integers(1, 30), dtype=np.uint8).tobytes() for _ in range(4)]
+        blocks = [b"".join(base[k] for k in rng.integers(0, 4, rng.integers(1, 5))) for _ in range(rng.integers(1, 8))]
+        blocks = [b for b in blocks if len(b) >= length]
+        if round_ % 3 == 0:
+            blocks = [bytes(x + 97 for x in b) for b in blocks]
+        if not blocks:
+            continue
+        index = runs_dedup.RunIndex(blocks, length)
+        windows = [b[k : k + length] for b in blocks for k in range(len(b) - length + 1)]
+        seen = Counter(windows)
+        assert index.repeated().tolist() == [seen[w] > 1 for w in windows]
+        assert index.lengths.sum() == len(windows) and index.runs <= len(windows)
+    # a repetitive text has few runs, and the runs are all that the index holds
+    text = bytes(rng.integers(97, 123, 300, dtype=np.uint8)) * 40
+    index = runs_dedup.RunIndex([text], 50)
+    assert index.repeated().all() and index.runs < 700 < len(text) // 10
+    held = [k for k, v in vars(index).items() if isinstance(v, np.ndarray) and v.size > index.runs]
+    assert not held
+
+
+def test_widened_blocks_part_all_windows():
+    rng = np.random.default_rng(14)
+    for _ in range(200):
+        width, length = 64, 200
+        more = runs_dedup.widths(length, width)[1] - width
+        many = int(rng.integers(1, length - width + 2))
+        core = int(rng.integers(many - 1, length - width + 1))
+        block = rng.integers(0, 256, length + many - 1, dtype=np.uint8).tobytes()
+        seen = []
+        for base, part, at, shared in runs_dedup.widened(block, core, width, more, length):
+            assert len(shared) == width + more and part == block[base : base + len(part)] and part[at : at + len(shared)] == shared
+            n = len(part) - length + 1
+            assert n >= 1 and n - 1 <= at <= length - len(shared)  # all windows of the part hold what it shares
+            seen += range(base, base + n)
+        assert seen == list(range(many))
+    assert runs_dedup.widths(200, 64) == [64, 132, 166, 183, 192, 196, 198, 199, 200]
+
+
+def test_hot_anchors(spark, tmp_path):
+    """Hundreds of distinct surroundings of one passage: its blocks are widened until none is above the limit."""
+    rng = np.random.default_rng(15)
+    letters = np.array(list("abcdefghij"))
+    word = lambda n: "".join(rng.choice(letters, n))
+    passage, near = word(190), word(20)
+    values = [word(int(rng.integers(0, 90))) + passage + near[: int(rng.integers(0, 15))] + word(int(rng.integers(0, 90))) for _ in range(250)]
+    spark.createDataFrame(list(enumerate(values)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = table(runs_dedup.digests(spark.read.parquet(str(tmp_path / "d")), unit_bytes=5000, hot_bytes=2000), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = [(i, *w) for i, w in enumerate(repeats([v.encode() for v in values], 200))]
+    assert got == sorted(want, key=str) and 20 < sum(w[2] > 0 for w in want) < 250
+
+
 def test_repeats_over_chunks(spark, tmp_path):
     rng = np.random.default_rng(5)
     noise = "".join(map(chr, rng.integers(97, 123, 1_200_000)))
