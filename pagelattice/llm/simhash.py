@@ -1,15 +1,17 @@
 """SimHash near-duplicates by anchor-point covering.
 
 Fingerprints of 64 bits that differ in at most 3 bits differ in at most one bit in one of their two
-halves. For a half of 32 bits the anchors are the words whose first 23 bits are a code word of the
-perfect Golay code (covering radius 3) and whose last 9 bits are free. A fingerprint lives at the
-anchor nearest to it and visits every anchor that can be the nearest one of a half that differs in one
-bit: the anchors within radius 3 + 1 with the same free bits, and the nearest one with one free bit
+halves. For a half of 32 bits the anchors are the words whose first 31 bits are a code word of the
+perfect Hamming code (covering radius 1) and whose last bit is free: 2**27 of them. A fingerprint lives
+at the anchor nearest to it and visits every anchor that can be the nearest one of a half that differs
+in one bit: the anchors within radius 1 + 1 with the same free bit, and the nearest one with the free bit
 changed. Linked fingerprints therefore meet at an anchor, at which residents are compared with visitors.
 
-Equal fingerprints are one before they are compared. A fingerprint makes two residents and about 29
-visitors however many documents carry it, and it has at most 43 744 possible neighbours, so the work is
-in proportion to the distinct fingerprints.
+Equal fingerprints are one before they are compared. A fingerprint makes two residents and about 33
+visitors however many documents carry it. Each meets the residents of its anchors, one for every 2**27
+distinct fingerprints if they are spread evenly: up to a billion or so the work is in proportion to
+them, beyond that the comparisons, of two words each, grow with their square. An anchor with many rows is
+dealt over a grid of cells, and anchors give spanning forests of their links and not all of them.
 """
 
 from __future__ import annotations
@@ -34,9 +36,10 @@ LANES = 12
 ALIKE, ALIKE_WORDS = (4, 5), 5
 #: Hashes that more texts have come last where first hashes are chosen, and how many of them; only speed depends on both.
 OFTEN, MOST_OFTEN = 16, 200_000
-GOLAY, FREE = 23, 9
-#: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, a generator of the Golay code.
-GENERATOR = 0b101011100011
+#: Bits of a code word, of them check bits, covering radius, and free bits behind the code word.
+CODE, CHECK, RADIUS, FREE = 31, 5, 1, 1
+#: x^5 + x^2 + 1, a generator of the Hamming code.
+GENERATOR = 0b100101
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -89,16 +92,16 @@ class Anchors:
     """Nearest and reachable anchors of 32-bit halves."""
 
     def __init__(self):
-        of_bit = [self._syndrome(1 << i) for i in range(GOLAY)]
-        near: list[list[int]] = [[] for _ in range(1 << (GOLAY - 12))]
-        for weight in range(5):
-            for bits in itertools.combinations(range(GOLAY), weight):
+        of_bit = [self._syndrome(1 << i) for i in range(CODE)]
+        near: list[list[int]] = [[] for _ in range(1 << CHECK)]
+        for weight in range(RADIUS + 2):
+            for bits in itertools.combinations(range(CODE), weight):
                 syndrome = 0
                 for b in bits:
                     syndrome ^= of_bit[b]
                 near[syndrome].append(sum(1 << b for b in bits))
         self.of_bit = np.array(of_bit, np.uint32)
-        self.leader = np.array([n[0] for n in near], np.uint32)  # the lightest pattern, of weight 3 at most
+        self.leader = np.array([n[0] for n in near], np.uint32)  # the lightest pattern, of weight RADIUS at most
         self.most = max(map(len, near))
         self.patterns = np.zeros((len(near), self.most), np.uint32)
         self.many = np.array([len(n) for n in near])
@@ -107,20 +110,20 @@ class Anchors:
 
     @staticmethod
     def _syndrome(word: int) -> int:
-        for i in range(GOLAY - 1, 10, -1):
+        for i in range(CODE - 1, CHECK - 1, -1):
             if word >> i & 1:
-                word ^= GENERATOR << (i - 11)
+                word ^= GENERATOR << (i - CHECK)
         return word
 
     def syndromes(self, words: np.ndarray) -> np.ndarray:
         out = np.zeros(len(words), np.uint32)
-        for i in range(GOLAY):
+        for i in range(CODE):
             out ^= np.where(words >> np.uint32(i) & np.uint32(1), self.of_bit[i], np.uint32(0))
         return out
 
     def of(self, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nearest anchors; row numbers and anchors of all visits."""
-        code = halves & np.uint32((1 << GOLAY) - 1)
+        code = halves & np.uint32((1 << CODE) - 1)
         syndrome = self.syndromes(code)
         nearest = halves ^ self.leader[syndrome]
         within = np.arange(self.most) < self.many[syndrome][:, None]
@@ -128,7 +131,7 @@ class Anchors:
         visits = [(halves[:, None] ^ self.patterns[syndrome])[within]]
         for i in range(FREE):
             rows.append(np.arange(len(halves)))
-            visits.append(nearest ^ np.uint32(1 << (GOLAY + i)))
+            visits.append(nearest ^ np.uint32(1 << (CODE + i)))
         return nearest, np.concatenate(rows), np.concatenate(visits)
 
 
@@ -159,22 +162,11 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return map_rows(id_and_text(docs), "doc_id long, print long", make)
 
 
-def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """(lane, a, b) of fingerprints (print, lane), distinct, of one lane that differ in at most ``bits`` (up to 3) bits, a < b."""
-    if bits > BITS:
-        raise ValueError("the anchors cover differences of up to 3 bits")
-    prints = prints.select("print", F.col("lane").cast("long").alias("lane"))
-    residents = prints.mapInArrow(_places(True), "anchor long, resident long")
-    visitors = prints.mapInArrow(_places(False), "anchor long, visitor long")
-    near = (F.col("resident") != F.col("visitor")) & (F.bit_count(F.col("resident").bitwiseXOR(F.col("visitor"))) <= bits)
-    met = residents.join(visitors, "anchor").where(near)
-    lane = F.shiftright("anchor", 33).alias("lane")
-    return met.select(lane, F.least("resident", "visitor").alias("a"), F.greatest("resident", "visitor").alias("b")).distinct()
-
-
 #: Marks a resident among the rows of an anchor, and rows of a unit and pairs of a step that are held at a time.
 _RESIDENT = 1 << 50
 _UNIT_ROWS, _STEP_PAIRS = 1 << 18, 1 << 19
+#: Rows of an anchor beyond which it is dealt over cells of about so many.
+_ANCHOR_ROWS = 1 << 16
 
 
 def _spanned(lane: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,11 +180,11 @@ def _spanned(lane: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
 
 def _meet(bits: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        anchor = rows.column("anchor").to_numpy()
+        anchor, cell = rows.column("anchor").to_numpy(), rows.column("cell").to_numpy()
         place = anchor & (_RESIDENT - 1)
-        order = np.argsort(place, kind="stable")
-        place, prints, resident = place[order], rows.column("print").to_numpy()[order], (anchor & _RESIDENT)[order] > 0
-        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        order = np.lexsort((cell, place))
+        place, cell, prints, resident = place[order], cell[order], rows.column("print").to_numpy()[order], (anchor & _RESIDENT)[order] > 0
+        starts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (cell[1:] != cell[:-1])]))
         sizes = np.diff(np.append(starts, len(place)))
         group = np.repeat(np.arange(len(starts)), sizes)
         hosts = np.flatnonzero(resident & (sizes[group] > 1))
@@ -217,27 +209,39 @@ def _meet(bits: int):
     return run
 
 
-def spanning_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """(lane, a, b) that join the same fingerprints (print, lane) as ``links`` do, without giving all pairs.
+def spanning_links(prints: DataFrame, bits: int = BITS, anchor_rows: int = _ANCHOR_ROWS) -> DataFrame:
+    """(lane, a, b) that join all fingerprints (print, lane), distinct, of one lane that differ in at most ``bits`` (up to 3) bits.
 
     Residents and visitors of an anchor meet in one place; a unit of anchors gives a spanning forest of the
-    links it sees, so what it gives is bounded by its fingerprints, however close they lie together.
+    links it sees, so what it gives is bounded by its fingerprints, however close they lie together. An
+    anchor with more than ``anchor_rows`` is a square of cells, each of which has a part of its residents
+    and a part of its visitors.
     """
     if bits > BITS:
         raise ValueError("the anchors cover differences of up to 3 bits")
     prints = prints.select("print", F.col("lane").cast("long").alias("lane"))
-    hosts = prints.mapInArrow(_places(True), "anchor long, resident long").select(F.col("anchor").bitwiseOR(F.lit(_RESIDENT)).alias("anchor"), F.col("resident").alias("print"))
-    guests = prints.mapInArrow(_places(False), "anchor long, visitor long").select("anchor", F.col("visitor").alias("print"))
+    hosts = prints.mapInArrow(_places(True), "anchor long, resident long").select("anchor", F.col("resident").alias("print"), F.lit(True).alias("host"))
+    guests = prints.mapInArrow(_places(False), "anchor long, visitor long").select("anchor", F.col("visitor").alias("print"), F.lit(False).alias("host"))
+    rows = hosts.unionByName(guests)
+    hot = rows.groupBy("anchor").count().where(F.col("count") > anchor_rows)
+    hot = written(hot.select("anchor", F.expr(f"(count + {anchor_rows - 1}) div {anchor_rows}").alias("side")), "hot-anchors")
+    if hot.isEmpty():
+        rows = rows.withColumn("cell", F.lit(0).cast("long"))
+    else:
+        rows = rows.join(hot, "anchor", "left").withColumn("side", F.coalesce("side", F.lit(1)).cast("long"))
+        part, along = F.pmod(F.xxhash64("print"), F.col("side")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1))
+        rows = rows.withColumn("part", part).withColumn("along", along)
+        rows = rows.withColumn("cell", F.when(F.col("host"), F.col("part") * F.col("side") + F.col("along")).otherwise(F.col("along") * F.col("side") + F.col("part")))
     units = max(1, -(-prints.count() * 32 // _UNIT_ROWS))
-    unit = F.pmod(F.xxhash64(F.col("anchor").bitwiseAND(F.lit(_RESIDENT - 1))), F.lit(units))
-    rows = hosts.unionByName(guests).withColumn("unit", unit)
-    return rows.groupBy("unit").applyInArrow(_meet(bits), "lane long, a long, b long").distinct()
+    unit = F.pmod(F.xxhash64("anchor", "cell"), F.lit(units)).alias("unit")
+    marked = F.when(F.col("host"), F.col("anchor").bitwiseOR(F.lit(_RESIDENT))).otherwise(F.col("anchor")).alias("anchor")
+    return rows.select(unit, marked, "cell", "print").groupBy("unit").applyInArrow(_meet(bits), "lane long, a long, b long").distinct()
 
 
 def grouped(table: DataFrame, id_column: str, bits: int = BITS) -> DataFrame:
     """(print, component_id): the smallest id among all that carry a fingerprint linked to ``print``."""
     first = written(table.groupBy("print").agg(F.min(id_column).alias("first")), "prints")
-    component = connected(links(first.select("print", F.lit(0).alias("lane")), bits)).withColumnRenamed("node", "print")
+    component = connected(spanning_links(first.select("print", F.lit(0).alias("lane")), bits).select("a", "b")).withColumnRenamed("node", "print")
     linked = first.join(component, "print")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     told = linked.join(least, "component").select("print", "least")
@@ -251,7 +255,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
 
     A null or empty text, or one without words, has fingerprint zero and is linked like any other.
     Repeated rows are given each. A null id stays null and is never a component's id; a component
-    without any id has a null one. An empty table gives no rows; other columns are ignored.
+    without any id has a null one. An empty table gives no rows; other columns are ignored. Texts of any
+    length are read whole.
     """
     table = written(fingerprints(docs, words), "fingerprints")
     told = grouped(table, "doc_id", bits)

@@ -377,21 +377,23 @@ def test_simhash(docs, none):
     assert simhash.one_of_each_group(none).count() == 0
 
 
-def test_anchors_cover(spark):
-    """Random fingerprints and neighbours at 0 to 5 bits, against all pairs."""
+@pytest.mark.parametrize("anchor_rows", [1 << 16, 40])
+def test_anchors_cover(spark, anchor_rows):
+    """Random fingerprints and neighbours at 0 to 5 bits, against all pairs; with few rows a cell, anchors are dealt over several."""
     rng = np.random.default_rng(7)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
     flips = [int(sum(1 << int(b) for b in rng.choice(64, n, False))) for n in rng.integers(0, 6, 600)]
-    made = sorted({simhash.signed(int(x) ^ f) for x, f in zip(np.repeat(base, 10), flips, strict=True)})
+    made = {simhash.signed(int(x) ^ f) for x, f in zip(np.repeat(base, 10), flips, strict=True)}
+    made |= {simhash.signed(5 << 40 | 1 << int(a) | 1 << int(b)) for a, b in rng.integers(32, 64, (150, 2))}  # one half in common
+    made = sorted(made)
     want = {(a, b) for k, a in enumerate(made) for b in made[k + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
-    got = simhash.links(spark.createDataFrame([(p, 2) for p in made], "print long, lane int")).collect()
-    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 50
     least = {p: p for p in made}
     for _ in made:
         for a, b in want:
             least[a] = least[b] = min(least[a], least[b])
     rows = [(p, lane) for p in made for lane in (0, 5)]
-    spanned = simhash.spanning_links(spark.createDataFrame(rows, "print long, lane int")).collect()
+    spanned = simhash.spanning_links(spark.createDataFrame(rows, "print long, lane int"), anchor_rows=anchor_rows).collect()
+    assert {lane: sum(r.lane == lane for r in spanned) for lane in (0, 5)}[0] >= len(made) - len(set(least.values())) > 50
     for lane in (0, 5):
         found = {p: p for p in made}
         pairs = {(r.a, r.b) for r in spanned if r.lane == lane}
@@ -401,6 +403,22 @@ def test_anchors_cover(spark):
         assert found == least
 
 
+def test_anchors_are_a_covering_code():
+    anchors = simhash.Anchors()
+    rng = np.random.default_rng(17)
+    halves = rng.integers(0, 1 << 32, 4000, dtype=np.uint32)
+    nearest, rows, visits = anchors.of(halves)
+    assert (np.bitwise_count(nearest ^ halves) <= simhash.RADIUS).all()
+    assert (anchors.syndromes(nearest & np.uint32((1 << simhash.CODE) - 1)) == 0).all()
+    visited = [set() for _ in halves]
+    for r, v in zip(rows.tolist(), visits.tolist(), strict=True):
+        visited[r].add(v)
+    for bit in range(32):  # a half one bit off lives at an anchor that is visited
+        lives = anchors.of(halves ^ np.uint32(1 << bit))[0]
+        assert all(x in v for x, v in zip(lives.tolist(), visited, strict=True))
+    assert all(n in v and len(v) <= 17 for n, v in zip(nearest.tolist(), visited, strict=True))
+
+
 def test_more_lanes_find_more(spark, tmp_path):
     """Copies of long texts with one word in fifty changed, and texts of their own."""
     rng = np.random.default_rng(12)
