@@ -296,29 +296,63 @@ def _low_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             found = [shingle_set(t) for t in batch.column("text").slice(at, 500).to_pylist()]
-            low = np.concatenate([f[: np.searchsorted(f, np.uint64(1 << 62))] for f in found])
+            low = np.concatenate([f[: np.searchsorted(f, _LOW)] for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(low.view("<i8"))], names=["hash"])
 
 
-def first_hashes(found: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The first keys of a set in the order in which hashes of ``often`` (sorted) come last: of two alike sets one is shared.
-
-    If none were, too few hashes would be left for the Jaccard index. Any order that is one for all does.
-    """
+def keys_in_order(found: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The keys of a set of hashes, sorted: by value, but those of ``often`` (sorted) last. The order is one for all sets."""
     keys = found >> np.uint64(1)
     if len(often) and len(found):
         at = np.minimum(np.searchsorted(often, found), len(often) - 1)
         keys |= (often[at] == found).astype(np.uint64) << np.uint64(63)
     keys.sort()
-    return (keys[: len(found) - alike_needed(len(found)) + 1] ^ np.uint64(1 << 63)).view("<i8")
+    return keys
+
+
+def first_hashes(found: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first keys of a set: of two alike sets the first common key is one of the first of both.
+
+    If it came later in one of them, too few hashes would be left for the Jaccard index.
+    """
+    return (keys_in_order(found, often)[: len(found) - alike_needed(len(found)) + 1] ^ np.uint64(1 << 63)).view("<i8")
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """256 bits, in four words: the parity of the set's hashes of each remainder. Two sets differ in as many hashes as bits, or more."""
+    odd = np.bincount((found & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+#: Below it are the hashes that are counted in all texts.
+_LOW = np.uint64(1 << 62)
 
 
 def _firsts(often: np.ndarray):
     def make():
         def step(rows: dict) -> dict:
-            found = [shingle_set(t) for t in rows["text"]]
-            firsts = [first_hashes(f, often).tolist() if len(f) else [] for f in found]
-            return {"node": rows["node"], "size": [len(f) for f in found], "firsts": firsts}
+            out: dict[str, list] = {"node": rows["node"], "size": [], "bits": [], "firsts": [], "whole": []}
+            for t in rows["text"]:
+                found = shingle_set(t)
+                firsts = first_hashes(found, often) if len(found) else found.view("<i8")
+                # one of the first hashes is not among those that were counted in all texts, nor one that many have
+                beyond = len(firsts) > 0 and int(firsts[-1]) + (1 << 63) >= int(_LOW) >> 1
+                out["size"].append(len(found))
+                out["bits"].append(parities(found).tolist())
+                out["firsts"].append([] if beyond else firsts.tolist())
+                out["whole"].append(found.view("<i8").tolist() if beyond else [])
+            return out
+
+        return step
+
+    return make
+
+
+def _second(often: np.ndarray):
+    def make():
+        def step(rows: dict) -> dict:
+            firsts = [first_hashes(np.array(w, "<i8").view("<u8"), often).tolist() if w else f for w, f in zip(rows["whole"], rows["firsts"], strict=True)]
+            return {"node": rows["node"], "firsts": firsts}
 
         return step
 
@@ -351,10 +385,18 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(pairs.select("a", "b", "a_data", "b_data").mapInArrow(_verified, "a long, b long"), "alike")
 
 
-def _within_size(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, a_size, b_size) whose sizes alone do not keep them below ``ALIKE``."""
-    few, many = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
-    return pairs.where(few * ALIKE[1] >= many * ALIKE[0]).select("a", "b")
+def _possible(a: dict, b: dict):
+    """Whether two sets can be alike, from their sizes, from the places of a first common hash, and from their parities.
+
+    With n hashes in both together they need 4 n / 9 in common, which cannot be more than there are from that
+    place on, and may have n / 9 that only one has.
+    """
+    both = a["size"] + b["size"]
+    few, many = F.least(a["size"], b["size"]), F.greatest(a["size"], b["size"])
+    total, part = ALIKE[0] + ALIKE[1], ALIKE[0]
+    out = (few * ALIKE[1] >= many * ALIKE[0]) & (F.least(a["size"] - a["at"], b["size"] - b["at"]) * total >= both * part)
+    apart = sum((F.bit_count(a["bits"][k].bitwiseXOR(b["bits"][k])) for k in range(4)), F.lit(0))
+    return out & (apart * total <= both * (total - 2 * part))
 
 
 def met_by_prints(nodes: DataFrame, bits: int = BITS) -> DataFrame:
@@ -369,16 +411,30 @@ def met_by_prints(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _often(hashes: DataFrame) -> np.ndarray:
+    """Those of ``hashes`` (hash) that many texts have, at most ``MOST_OFTEN``, sorted."""
+    count = hashes.groupBy("hash").count().where(F.col("count") > OFTEN)
+    found = count.orderBy(F.desc("count"), "hash").limit(MOST_OFTEN).select("hash").collect()
+    return np.sort(np.array([r.hash for r in found], "<i8").view("<u8"))
+
+
 def met_by_hashes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(hash, node, size, last): the first hashes that several of ``nodes`` have in ``texts`` (node, text); last is the node's last one."""
-    count = texts.mapInArrow(_low_hashes, "hash long").groupBy("hash").count().where(F.col("count") > OFTEN)
-    often = np.sort(np.array([r.hash for r in count.orderBy(F.desc("count")).limit(MOST_OFTEN).select("hash").collect()], "<i8").view("<u8"))
+    """(hash, node, size, at, bits): the first hashes that several of ``nodes`` have in ``texts`` (node, text), and their places.
+
+    Hashes that many texts have come last. They are found among the lower quarter of all hashes, from which most
+    texts have their first ones, and then among all hashes of the texts for which that quarter does not suffice.
+    """
+    often = _often(texts.mapInArrow(_low_hashes, "hash long"))
     # texts are not shuffled, only what is made of them
-    firsts = map_rows(texts, "node long, size long, firsts array<bigint>", _firsts(often))
+    firsts = map_rows(texts, "node long, size long, bits array<bigint>, firsts array<bigint>, whole array<bigint>", _firsts(often))
     firsts = written(firsts.join(nodes.select("node"), "node", "left_semi"), "firsts")
-    several = firsts.select(F.explode("firsts").alias("hash")).groupBy("hash").count().where("count > 1").select("hash")
-    flat = firsts.select("node", "size", F.array_max("firsts").alias("last"), F.explode("firsts").alias("hash"))
-    return written(flat.join(written(several, "shared-hashes"), "hash", "left_semi"), "shared")
+    high = firsts.select(F.explode("whole").alias("hash")).where(F.col("hash").between(0, int(_LOW) - 1) == F.lit(False))
+    both = np.union1d(often, _often(high))
+    flat = map_rows(firsts.select("node", "firsts", "whole"), "node long, firsts array<bigint>", _second(both))
+    flat = flat.select("node", F.posexplode("firsts").alias("at", "hash"))
+    several = flat.groupBy("hash").count().where("count > 1").select("hash")
+    shared = written(flat.join(written(several, "shared-hashes"), "hash", "left_semi"), "shared")
+    return written(shared.join(firsts.select("node", "size", "bits"), "node"), "met")
 
 
 def groups_of(prints: DataFrame, texts: DataFrame, bits: int = BITS, complete: bool = True) -> DataFrame:
@@ -387,32 +443,30 @@ def groups_of(prints: DataFrame, texts: DataFrame, bits: int = BITS, complete: b
     ``prints`` is (node, prints), ``texts`` (node, text), which may have more rows. Candidates are pairs that meet by a fingerprint.
     With ``complete``, also all others that can be alike: such pairs share one of their first hashes. Every
     node with a hash is first compared with the smallest that has it; then the pairs of a hash that are not
-    in one component by then, less those that have too few of the first hashes in common.
+    in one component by then. Pairs that sizes, places and parities keep below ``ALIKE`` never leave the join.
     """
     pairs = met_by_prints(prints, bits)
     data = texts.withColumnRenamed("node", "place").mapInArrow(squeezed, "place long, data binary").withColumnRenamed("place", "node")
     if not complete:
         return connected(verified(pairs, data))
     met = met_by_hashes(prints, texts)
-    least = met.groupBy("hash").agg(F.min(F.struct("node", "size")).alias("least"), F.count("*").alias("n"))
+    columns = ("node", "size", "at", "bits")
+    least = met.groupBy("hash").agg(F.min(F.struct(*columns)).alias("least"), F.count("*").alias("n"))
     least = written(least, "least")
-    stars = met.join(least, "hash").where("node <> least.node")
-    stars = stars.select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.size").alias("a_size"), F.col("size").alias("b_size"))
-    linked = verified(_within_size(stars).unionByName(pairs).distinct(), data)
+    own, other = {c: F.col(c) for c in columns}, {c: F.col("least")[c] for c in columns}
+    stars = met.join(least, "hash").where((own["node"] != other["node"]) & _possible(own, other))
+    stars = stars.select(other["node"].alias("a"), own["node"].alias("b"))
+    linked = verified(stars.unionByName(pairs).distinct(), data)
     # with two nodes the pair has been compared
     left = met.join(least.where("n > 2").select("hash"), "hash").join(connected(linked), "node", "left")
-    left = written(left.select("hash", "node", "size", "last", F.coalesce("component", "node").alias("component")), "unjoined")
+    left = written(left.select("hash", *columns, F.coalesce("component", "node").alias("component")), "unjoined")
     apart = left.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    left = left.join(written(apart.select("hash"), "apart"), "hash", "left_semi")
-    one, other = (left.select("hash", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "last", "component")]) for s in "ab")
-    few, many = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
-    rest = one.join(other, "hash").where((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & (few * ALIKE[1] >= many * ALIKE[0]))
-    # up to the lesser last hash all that is shared has been met; the rest of that node is all that can be added
-    ended = F.when(F.col("a_last") <= F.col("b_last"), F.col("a_size")).otherwise(F.col("b_size"))
-    rest = rest.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"), (F.col("a_size") + F.col("b_size")).alias("both"), ended.alias("ended")).agg(F.count("*").alias("n"))
-    most = F.col("n") + F.expr(f"(ended * {ALIKE[0]} + {ALIKE[1] - 1}) div {ALIKE[1]}") - 1
-    rest = rest.where(most * (ALIKE[0] + ALIKE[1]) >= F.col("both") * ALIKE[0])
-    return connected(linked.unionByName(verified(rest.select("a", "b"), data)))
+    left = written(left.join(written(apart.select("hash"), "apart"), "hash", "left_semi"), "left")
+    sides = [left.select("hash", *[F.col(c).alias(f"{s}_{c}") for c in (*columns, "component")]) for s in "ab"]
+    a, b = ({c: F.col(f"{s}_{c}") for c in (*columns, "component")} for s in "ab")
+    rest = sides[0].join(sides[1], "hash").where((a["node"] < b["node"]) & (a["component"] != b["component"]) & _possible(a, b))
+    rest = rest.select(a["node"].alias("a"), b["node"].alias("b")).distinct()
+    return connected(linked.unionByName(verified(rest, data)))
 
 
 def one_of_each_group(docs: DataFrame, lanes: int = LANES, words: int = WORDS, bits: int = BITS, complete: bool = False) -> DataFrame:

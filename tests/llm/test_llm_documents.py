@@ -495,6 +495,30 @@ def test_all_pairs_above_the_threshold(spark, tmp_path):
     assert {r.doc_id for r in simhash.one_of_each_group(d, lanes=1, complete=True).collect()} == want
 
 
+def test_filters_keep_all_alike_sets():
+    """Sizes, places and parities, in the order with frequent hashes last, never part two sets that are alike."""
+    rng = np.random.default_rng(31)
+    universe = rng.integers(0, 1 << 64, 600, dtype=np.uint64)
+    often = np.sort(universe[:80])
+    alike = met = 0
+    for _ in range(3000):
+        a = np.unique(rng.choice(universe, int(rng.integers(1, 120))))
+        change = int(rng.integers(0, 2 + len(a) // 6))
+        b = np.unique(np.concatenate([rng.permutation(a)[change:], rng.choice(universe, int(rng.integers(0, 1 + change)))]))
+        if not len(b) or not simhash.alike(a, b):
+            continue
+        alike += 1
+        one, other = (simhash.first_hashes(x, often).tolist() for x in (a, b))
+        common = set(one) & set(other)
+        k = min(common)
+        both = len(a) + len(b)
+        assert min(len(a) - one.index(k), len(b) - other.index(k)) * 9 >= 4 * both
+        bits = np.bitwise_count(simhash.parities(a).view(np.uint64) ^ simhash.parities(b).view(np.uint64)).sum()
+        assert bits * 9 <= both
+        met += change > 0
+    assert alike > met > 300
+
+
 @pytest.mark.parametrize("complete", [False, True])
 def test_links_are_verified(spark, tmp_path, complete):
     """Texts with one fingerprint by their many repeats, but few shingles in common, and a chain over such a text."""
