@@ -442,7 +442,7 @@ def groups_of(prints: DataFrame, texts: DataFrame, bits: int = BITS, complete: b
 
     ``prints`` is (node, prints), ``texts`` (node, text), which may have more rows. Candidates are pairs that meet by a fingerprint.
     With ``complete``, also all others that can be alike: such pairs share one of their first hashes. Every
-    node with a hash is first compared with the smallest that has it; then the pairs of a hash that are not
+    node with a hash is first compared with one that has it, the first in a random order; then the pairs of a hash that are not
     in one component by then. Pairs that sizes, places and parities keep below ``ALIKE`` never leave the join.
     """
     pairs = met_by_prints(prints, bits)
@@ -451,7 +451,8 @@ def groups_of(prints: DataFrame, texts: DataFrame, bits: int = BITS, complete: b
         return connected(verified(pairs, data))
     met = met_by_hashes(prints, texts)
     columns = ("node", "size", "at", "bits")
-    least = met.groupBy("hash").agg(F.min(F.struct(*columns)).alias("least"), F.count("*").alias("n"))
+    # in an order of its own for all hashes, so that a group of alike nodes mostly meets one of its own
+    least = met.groupBy("hash").agg(F.min(F.struct(F.xxhash64("node").alias("rank"), *columns)).alias("least"), F.count("*").alias("n"))
     least = written(least, "least")
     own, other = {c: F.col(c) for c in columns}, {c: F.col("least")[c] for c in columns}
     stars = met.join(least, "hash").where((own["node"] != other["node"]) & _possible(own, other))
