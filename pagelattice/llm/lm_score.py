@@ -5,14 +5,18 @@ The probability of a word w after a word v is
 with counts of the training documents, b the bucket of the context's frequency (the number of binary
 digits of c(v)) and a, u, z >= 0 with sum 1 in each bucket. The mixture weights are learned by
 expectation-maximisation on counts of a deleted part of the training documents, with the n-gram
-estimates taken from the rest; scores then use the counts of all training documents.
+estimates taken from the rest; scores then use the counts of all training documents. EM starts from
+the solution on a coarse grid of estimates and goes on over the exact counts, as an aggregation with
+one row for each distinct (bucket, counts), until no weight moves by more than ``TOLERANCE``.
 
 Counting at scale: a task cuts its documents into batches of bounded size, and gives for each batch
 the sorted distinct keys (64-bit hashes) of its words and word pairs with their counts, dealt by key
 range. A reducer for a range sums the counts of all batches and answers each batch with the totals of
 its keys, in their order, so answers need no keys. Batch and answers then meet again, and the texts
-are scored with whole-corpus counts. A frequent word is one key per batch, so no range is hot; nothing
-that grows with the corpus is held by one task, broadcast or sent to the driver.
+are scored with whole-corpus counts. A frequent word is one key per batch, so no range is hot. A batch
+gives a row only for a range in which it has a key, so rows are never more than keys, however many
+ranges a large corpus has. Nothing that grows with the corpus is held by one task, broadcast or sent to
+the driver.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,10 +36,12 @@ from pagelattice.llm.common import id_and_text, written
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Bytes of text of a batch, and of the corpus per range of keys; they bound memory and change no result.
-BATCH_BYTES, RANGE_BYTES, LEAST_RANGES = 10 << 20, 10 << 20, 48
-#: Steps per octave in which EM sees the ratio of two estimates.
-STEPS = 2
-ROUNDS = 60
+BATCH_BYTES, RANGE_BYTES, LEAST_RANGES = 4 << 20, 10 << 20, 48
+#: Steps per octave of the coarse grid that EM starts from, and its rounds there.
+STEPS, ROUNDS = 2, 60
+#: EM over the exact counts ends when no weight moves by more, or after so many rounds.
+TOLERANCE, MOST_ROUNDS = 1e-4, 60
+BUCKETS = 64
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: The end of a text, which is also the context of its first word; no word is empty.
@@ -109,11 +116,12 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, lis
     size = {False: 0, True: 0}
     made = 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        lengths = pc.binary_length(batch.column(1)).to_pylist()
+        for doc, text, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lengths, strict=True):
             d = fold(doc) == DELETED
             held[d][0].append(doc)
             held[d][1].append(text)
-            size[d] += len(text) + 16
+            size[d] += length + 16
             if size[d] >= BATCH_BYTES:
                 yield first + made, d, *held[d]
                 held[d], size[d], made = ([], []), 0, made + 1
@@ -129,8 +137,7 @@ def _distinct(keys: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray,
 
 
 def _forward(ranges: int):
-    width = -(-(1 << 64) // ranges)
-    cuts = np.array([r * width for r in range(1, ranges)], np.uint64)
+    width = np.uint64(-(-(1 << 64) // ranges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, deleted, docs, texts in _batched(batches):
@@ -140,11 +147,10 @@ def _forward(ranges: int):
             for pairs, keys in ((False, word), (True, pair)):
                 unique, n_all = _distinct(keys, training)
                 n_deleted = n_all if deleted else np.zeros_like(n_all)
-                ends = [0, *np.searchsorted(unique, cuts).tolist(), len(unique)]
-                for r in range(ranges):
-                    a, b = ends[r], ends[r + 1]
-                    if a < b:
-                        rows.append((r, pairs, batch, deleted, unique[a:b].tobytes(), pack_counts(n_all[a:b]), pack_counts(n_deleted[a:b])))
+                of = (unique // width).astype(np.int64)
+                starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(unique)], strict=True):
+                    rows.append((int(of[a]), pairs, batch, deleted, unique[a:b].tobytes(), pack_counts(n_all[a:b]), pack_counts(n_deleted[a:b])))
             columns = list(zip(*rows, strict=True))
             kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
             names = [p.strip().split()[0] for p in FORWARD.split(",")]
@@ -225,30 +231,63 @@ def estimates(c_pair, c_context, c_word, total: int, distinct: int):
     return p2, c_word / max(total, 1), 1.0 / (distinct + 1)
 
 
-def _step(ratio: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.where(ratio > 0, np.rint(STEPS * np.log2(np.maximum(ratio, 1e-300))), -9999).astype(np.int64)
+def spread_weights(weights: np.ndarray, shown: set[int]) -> np.ndarray:
+    """A bucket that the deleted part doesn't show takes the nearest lower one's weights; no weight is zero."""
+    weights = weights.copy()
+    for k in range(1, len(weights)):
+        if k not in shown and (k - 1 in shown or k > 1):
+            weights[k] = weights[k - 1]
+    weights = np.maximum(weights, 1e-9)
+    return weights / weights.sum(1, keepdims=True)
+
 
+def first_weights() -> np.ndarray:
+    weights = np.tile([0.5, 0.4, 0.1], (BUCKETS, 1))
+    weights[0] = [0.0, 0.9, 0.1]  # a context that was not seen has no pairs
+    return weights
 
-def learned(histogram: list[tuple[int, int, int, int]], buckets: int = 64) -> np.ndarray:
-    """EM: buckets x (pair, word, uniform) mixture weights from (bucket, pair step, word step, tokens)."""
-    weights = np.tile([0.5, 0.4, 0.1], (buckets, 1))
-    weights[0] = [0.0, 0.9, 0.1]
+
+def coarse(histogram: list[tuple]) -> np.ndarray:
+    """EM on a grid: buckets x (pair, word, uniform) weights from (bucket, pair step, word step, tokens), a null step being zero."""
+    weights = first_weights()
     if histogram:
-        b, s2, s1, n = np.array(histogram, np.int64).T
-        ratios = np.stack([np.where(s == -9999, 0.0, 2.0 ** (s / STEPS)) for s in (s2, s1, np.zeros_like(s2))], 1)
+        b = np.array([h[0] for h in histogram])
+        n = np.array([h[3] for h in histogram], float)
+        ratios = np.array([[0.0 if x is None else 2.0 ** (x / STEPS) for x in (h[1], h[2])] + [1.0] for h in histogram])
         for _ in range(ROUNDS):
             share = weights[b] * ratios
             share *= (n / share.sum(1))[:, None]
-            sums = np.stack([np.bincount(b, share[:, k], buckets) for k in range(3)], 1) + 1e-3 * weights
+            sums = np.stack([np.bincount(b, share[:, k], BUCKETS) for k in range(3)], 1) + 1e-9 * weights
             weights = sums / sums.sum(1, keepdims=True)
-    # a bucket that the deleted part doesn't show takes the nearest lower one's weights
-    shown = {h[0] for h in histogram}
-    for k in range(1, buckets):
-        if k not in shown:
-            weights[k] = weights[k - 1] if k - 1 in shown or k > 1 else weights[k]
-    weights = np.maximum(weights, 1e-9)
-    return weights / weights.sum(1, keepdims=True)
+    return weights
+
+
+def learned(seen: DataFrame, total: int, distinct: int) -> np.ndarray:
+    """EM over ``seen`` (bucket, c_pair, c_context, c_word, n) until the weights of all buckets stand still.
+
+    A round is one aggregation to a row a bucket; no more reaches the driver.
+    """
+    spark = seen.sparkSession
+    p2 = F.when(F.col("c_context") > 0, F.col("c_pair") / F.greatest("c_context", F.lit(1))).otherwise(F.lit(0.0))
+    seen = seen.select("bucket", "n", p2.alias("p2"), (F.col("c_word") / F.lit(float(max(total, 1)))).alias("p1"))
+    p0 = 1.0 / (distinct + 1)
+    step = lambda p: F.when(F.col(p) > 0, F.round(STEPS * F.log2(F.col(p) / F.lit(p0))).cast("long"))
+    # at most one row for each cell of a fixed grid
+    grid = seen.groupBy("bucket", step("p2").alias("s2"), step("p1").alias("s1")).agg(F.sum("n").alias("n")).collect()
+    shown = {r.bucket for r in grid}
+    weights = coarse([tuple(r) for r in grid])
+    for _ in range(MOST_ROUNDS if grid else 0):
+        now = spark.createDataFrame([(k, *map(float, w)) for k, w in enumerate(weights)], "bucket long, w2 double, w1 double, w0 double")
+        parts = [F.col("w2") * F.col("p2"), F.col("w1") * F.col("p1"), F.col("w0") * F.lit(p0)]
+        shared = seen.join(F.broadcast(now), "bucket").select("bucket", "n", *[p.alias(f"s{k}") for k, p in enumerate(parts)], sum(parts).alias("all"))  # 64 rows
+        sums = shared.groupBy("bucket").agg(*[F.sum(F.col("n") * F.col(f"s{k}") / F.col("all")).alias(f"s{k}") for k in range(3)]).collect()
+        before = weights.copy()
+        for r in sums:
+            found = np.array([r.s0, r.s1, r.s2]) + 1e-9
+            weights[r.bucket] = found / found.sum()
+        if np.abs(weights - before).max() <= TOLERANCE:
+            break
+    return spread_weights(weights, shown)
 
 
 def score_documents(docs: DataFrame, stage: bool = False) -> DataFrame:
@@ -256,7 +295,7 @@ def score_documents(docs: DataFrame, stage: bool = False) -> DataFrame:
 
     A null text counts as empty: one token, the end. A null id belongs to the training documents.
     Repeated rows count each time and get equal scores; an empty table gives no rows; other columns
-    are ignored. ``docs`` must be a scan, whose partitions are the same at every run; anything else
+    are ignored; texts of any length are read whole. ``docs`` must be a scan, whose partitions are the same at every run; anything else
     needs ``stage=True``, which writes it first.
     """
     spark = docs.sparkSession
@@ -272,7 +311,8 @@ def score_documents(docs: DataFrame, stage: bool = False) -> DataFrame:
     total, rest, distinct = (words.total, words.total - words.total_deleted, words.distinct) if words else (0, 0, 0)
 
     def observe(key: tuple, texts: pa.Table, counted: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {"bucket": [], "pair_step": [], "word_step": [], "n": []}
+        names = ("bucket", "c_pair", "c_context", "c_word")
+        found = np.zeros((0, 4), np.int64), np.zeros(0, np.int64)
         if texts.num_rows and counted.num_rows:
             word, context, pair, _ = keys_of(texts.column("text").to_pylist())
             c_all, c_del = _counts(counted, False, word, ("c_all", "c_deleted"))
@@ -280,22 +320,18 @@ def score_documents(docs: DataFrame, stage: bool = False) -> DataFrame:
             c_word = c_all - c_del
             c_context = c_word[first][np.searchsorted(unique, context)]
             c_pair = np.subtract(*_counts(counted, True, pair, ("c_all", "c_deleted")))
-            p2, p1, p0 = estimates(c_pair, c_context, c_word, rest, distinct)
-            found = np.stack([bucket(c_context), _step(p2 / p0), _step(p1 / p0)], 1)
-            unique, n = np.unique(found, axis=0, return_counts=True)
-            rows = dict(zip(rows, [*unique.T, n], strict=True))
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in rows.items()})
+            found = np.unique(np.stack([bucket(c_context), c_pair, c_context, c_word], 1), axis=0, return_counts=True)
+        return pa.table({**{k: pa.array(found[0][:, i], pa.int64()) for i, k in enumerate(names)}, "n": pa.array(found[1], pa.int64())})
 
     seen = (
         docs.mapInArrow(_texts(True), TEXTS)
         .groupBy("batch")
         .cogroup(answers.where("deleted").groupBy("batch"))
-        .applyInArrow(observe, "bucket long, pair_step long, word_step long, n long")
-        .groupBy("bucket", "pair_step", "word_step")
-        .agg(F.sum("n"))
-        .collect()  # at most one row for each cell of a fixed grid
+        .applyInArrow(observe, "bucket long, c_pair long, c_context long, c_word long, n long")
+        .groupBy("bucket", "c_pair", "c_context", "c_word")
+        .agg(F.sum("n").alias("n"))
     )
-    weights = spark.sparkContext.broadcast(learned([tuple(r) for r in seen]))
+    weights = spark.sparkContext.broadcast(learned(written(seen, "lm-held-out"), rest, distinct))  # 64 x 3 numbers
 
     def score(key: tuple, texts: pa.Table, counted: pa.Table) -> pa.Table:
         doc_ids = texts.column("doc_id").to_pylist()

@@ -217,37 +217,87 @@ def test_licence_expressions():
     assert (found["labels"], found["satisfiable_by"]) == ("gpl,mit", "permissive")
 
 
+def brute_model(rows):
+    """The interpolated score of each row, with plain counts and EM over single tokens until nothing moves."""
+    token = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER)), None]
+    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7
+    pairs_of = lambda d: list(zip([None, *d[:-1]], d, strict=True))
+    train = [(fold(i), token(t)) for i, t in rows if fold(i) != 2]
+
+    def counts(documents):
+        return Counter(w for d in documents for w in d), Counter(p for d in documents for p in pairs_of(d))
+
+    word, pair = counts([d for _, d in train])
+    rest_word, rest_pair = counts([d for f, d in train if f != 3])
+    distinct, total, rest_total = len(word), sum(word.values()), sum(rest_word.values())
+    tokens = [p for f, d in train if f == 3 for p in pairs_of(d)]
+    parts = lambda w, p, n, v, x: (p[v, x] / w[v] if w[v] else 0.0, w[x] / max(n, 1), 1 / (distinct + 1))
+    weights = lm_score.first_weights()
+    observed = [(rest_word[v].bit_length(), parts(rest_word, rest_pair, rest_total, v, x)) for v, x in tokens]
+    b = np.array([o[0] for o in observed], int)
+    p = np.array([o[1] for o in observed]).reshape(-1, 3)
+    for _ in range(2000 if len(b) else 0):
+        share = weights[b] * p
+        share /= share.sum(1, keepdims=True)
+        for k in set(b.tolist()):
+            found = share[b == k].sum(0) + 1e-9
+            weights[k] = found / found.sum()
+    weights = lm_score.spread_weights(weights, set(b.tolist()))
+    return [sum(math.log10(weights[word[v].bit_length()] @ parts(word, pair, total, v, x)) for v, x in pairs_of(token(t))) for _, t in rows]
+
+
 def test_language_model(docs, none):
     token = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER)), None]
     train = [token(t) for i, t in texts() if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
     c = Counter(w for d in train for w in d)
     total, distinct = sum(c.values()), len(c)
     got = {(r.doc_id, r.n_tokens): r for r in lm_score.score_documents(docs).collect()}
-    for i, t in texts():
+    for (i, t), model in zip(texts(), brute_model(texts()), strict=True):
         d = token(t)
         r = got[i, len(d)]
         assert (r.n_known, r.train_tokens) == (sum(c[w] > 0 for w in d), total)
         assert r.held_out == (zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in d), rel_tol=1e-9)
-        assert math.isfinite(r.score) and r.score < 0
+        assert math.isclose(r.score, model, rel_tol=0.02)
     assert lm_score.score_documents(none).count() == 0
 
 
-def test_interpolation_is_a_distribution():
+@pytest.mark.parametrize("batch_bytes", [1 << 20, 3000])
+def test_scores_against_brute_force(spark, tmp_path, monkeypatch, batch_bytes):
+    """Scores of a corpus whose words follow each other, under the weights of an EM over single tokens."""
+    monkeypatch.setattr(lm_score, "BATCH_BYTES", batch_bytes)
+    rng = np.random.default_rng(23)
+    follow = rng.integers(0, 200, (200, 3))
+    rows = []
+    for i in range(150):
+        at, out = int(rng.integers(0, 200)), []
+        for _ in range(int(rng.integers(1, 60))):
+            out.append(f"t{at}" if rng.random() < 0.95 else f"rare{rng.integers(0, 9999)}")
+            at = int(follow[at, rng.integers(0, 3)]) if rng.random() < 0.8 else int(rng.integers(0, 200) ** 2 // 200)
+        rows.append((i, " ".join(out)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.score for r in lm_score.score_documents(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    want = dict(zip([i for i, _ in rows], brute_model(rows), strict=True))
+    assert max(abs(got[i] / want[i] - 1) for i in want) < 0.01
+
+
+def test_interpolation_is_a_distribution(spark):
     """Over all continuations of a context, unseen ones included, probabilities sum to one."""
     c_pair, c_word = np.array([3, 1, 0, 0]), np.array([5, 4, 1, 0])
     p2, p1, p0 = lm_score.estimates(c_pair, np.full(4, 4), c_word, 10, 3)
-    for w in lm_score.learned([(3, 4, 2, 10), (3, -9999, -9999, 2), (1, -9999, 3, 7)]):
+    seen = spark.createDataFrame([(3, 3, 4, 5, 10), (3, 0, 4, 0, 2), (1, 0, 1, 4, 7)], "bucket long, c_pair long, c_context long, c_word long, n long")
+    for w in lm_score.learned(seen, 10, 3):
         assert abs(w.sum() - 1) < 1e-9
         assert abs((w[0] * p2 + w[1] * p1 + w[2] * p0).sum() - 1) < 1e-9
 
 
-def test_em_raises_likelihood():
-    h = [(2, 6, 1, 50), (2, -9999, 2, 30), (2, -9999, -9999, 5)]
-    r = [(2 ** (a / 2) if a > -9999 else 0, 2 ** (b / 2) if b > -9999 else 0, 1, n) for _, a, b, n in h]
-    value = lambda w: sum(n * math.log(w[0] * x + w[1] * y + w[2] * z) for x, y, z, n in r)
-    learned = lm_score.learned(h)[2]
-    assert value(learned) >= max(value([0.5, 0.4, 0.1]), value([0.3, 0.3, 0.4]), value([0.6, 0.39, 0.01])) - 1e-3
+def test_em_stands_still_at_the_likeliest_weights(spark):
+    rows = [(2, 2, 3, 5, 50), (2, 0, 3, 9, 30), (2, 0, 2, 0, 5), (2, 1, 3, 1, 11)]
+    seen = spark.createDataFrame(rows, "bucket long, c_pair long, c_context long, c_word long, n long")
+    value = lambda w: sum(n * math.log(w[0] * p / c + w[1] * x / 20 + w[2] / 8) for _, p, c, x, n in rows)
+    found = lm_score.learned(seen, 20, 7)[2]
+    grid = [(a / 50, b / 50, 1 - (a + b) / 50) for a in range(50) for b in range(50 - a)]
+    assert value(found) >= max(map(value, grid)) - 1e-2
 
 
 def test_count_packing():
