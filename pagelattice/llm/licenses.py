@@ -16,7 +16,7 @@ from pagelattice.llm.common import id_and_text, map_rows
 
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
-    "labels string, score double, expression string, satisfiable_by string"
+    "labels string, score double, expression string, satisfiable_by string, n_unread long"
 )
 
 # Fixed values of the contract: phrase and label.
@@ -137,28 +137,28 @@ def family(identifier: str) -> str:
     return next((FAMILIES[p] for p in sorted(FAMILIES, key=len, reverse=True) if name.startswith(p)), name)
 
 
-def alternatives(postfix: list[str], most: int = 64) -> list[frozenset[str]]:
-    """Sets of licences of which any one fulfils the expression; an exception changes no label."""
-    stack: list[list[frozenset[str]]] = []
+def evaluated(postfix: list[str]) -> tuple[set[str], bool]:
+    """All licences of an expression, and whether permissive ones alone can fulfil it.
+
+    OR asks for either side and AND for both, so no list of the ways to fulfil it is needed. An exception
+    changes neither label nor answer.
+    """
+    stack: list[tuple[frozenset[str], bool]] = []
     for t in postfix:
         if t not in PRECEDENCE:
-            stack.append([frozenset([family(t)])])
+            stack.append((frozenset([family(t)]), family(t) in PERMISSIVE))
             continue
         if len(stack) < 2:
             raise ExpressionError("an operator lacks an operand")
         right, left = stack.pop(), stack.pop()
         if t == "with":
             stack.append(left)
-        elif t == "or":
-            stack.append(list(dict.fromkeys(left + right)))
         else:
-            both = list(dict.fromkeys(a | b for a in left for b in right))
-            if len(both) > most:  # the expression stands for more ways than are listed: all licences together fulfil it
-                both = [frozenset().union(*both)]
-            stack.append(both)
+            both = left[1] or right[1] if t == "or" else left[1] and right[1]
+            stack.append((left[0] | right[0], both))
     if len(stack) != 1:
         raise ExpressionError("operands without an operator")
-    return stack[0]
+    return set(stack[0][0]), stack[0][1]
 
 
 class LicenceScanner:
@@ -171,20 +171,21 @@ class LicenceScanner:
             for phrase, label in source.items():
                 needles.setdefault(f" {phrase} ", ([], []))[slot].append(label)
         for needle, labels in needles.items():
-            self.phrases.add_word(needle, (len(needle), *labels))
+            self.phrases.add_word(needle, (needle.count(" "), *labels))
         self.phrases.make_automaton()
         self.tags = ahocorasick.Automaton()
         self.tags.add_word(TAG, len(TAG))
         self.tags.make_automaton()
 
     def expressions(self, text: str) -> list[list[str]]:
-        if "icense-" not in text and "ICENSE-" not in text and TAG not in text.lower():
+        """The tokens behind each tag; none where no expression begins there."""
+        lower = text.translate(_LOWER) if "icense-" in text or "ICENSE-" in text else text.lower()
+        if TAG not in lower:
             return []
         found = []
         for end, _ in self.tags.iter(text.translate(_LOWER)):
             line_end = text.find("\n", end)
-            if tokens := expression_tokens(text[end + 1 : line_end if line_end >= 0 else len(text)]):
-                found.append(tokens)
+            found.append(expression_tokens(text[end + 1 : line_end if line_end >= 0 else len(text)]))
         return found
 
     def scan(self, text: str) -> dict:
@@ -193,25 +194,27 @@ class LicenceScanner:
         starts: list[int] = []
         base: set[str] = set()
         added: set[str] = set()
-        notices = 0
-        for end, (size, own, more) in self.phrases.iter(line):
+        notices = spaces = counted = 0
+        for end, (parts, own, more) in self.phrases.iter(line):  # by rising end
             if own:
-                starts += [line.count(" ", 0, end - size + 1)] * len(own)
+                spaces += line.count(" ", counted, end + 1)
+                counted = end + 1
+                starts += [spaces - parts] * len(own)
                 base.update(own)
             if more:
                 notices += 1
                 added.update(more)
-        shown, ways = [], []
+        shown, ways, unread = [], [], 0
         for tokens in self.expressions(text):
             try:
                 postfix = to_postfix(tokens)
-                choices = alternatives(postfix)
+                licences, permissive = evaluated(postfix)
             except ExpressionError:
+                unread += 1
                 continue
             shown.append(" ".join(postfix))
-            for choice in choices:
-                added |= choice
-            ways.append("permissive" if any(choice <= PERMISSIVE for choice in choices) else "restricted")
+            added |= licences
+            ways.append("permissive" if permissive else "restricted")
         # evidence from independent signs, each of a fixed strength
         doubt = 0.1 ** bool(starts) * 0.4 ** min(notices, 4) * 0.02 ** bool(shown)
         return {
@@ -224,6 +227,7 @@ class LicenceScanner:
             "score": 1 - doubt,
             "expression": "; ".join(dict.fromkeys(shown)),
             "satisfiable_by": ",".join(sorted(set(ways))),
+            "n_unread": unread,
         }
 
 
@@ -235,7 +239,8 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no words, null first and last word, empty labels and score 0. Repeated
     rows give repeated results, null ids stay null, an empty table gives no rows, other columns are
-    ignored. No shuffle.
+    ignored. Texts of any length are read whole, in time that grows with their length. Tags without an
+    expression behind them are counted in ``n_unread``. No shuffle.
     """
 
     def make():

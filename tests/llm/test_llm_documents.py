@@ -212,9 +212,44 @@ def test_licence_expressions():
     assert read(" (MIT OR Apache-2.0) AND GPL-2.0+ WITH x-exception */") == ["MIT", "Apache-2.0", "or", "GPL-2.0+", "x-exception", "with", "and"]
     assert read("MIT OR BSD AND ISC") == ["MIT", "BSD", "ISC", "and", "or"]
     assert read("MIT AND") == ["MIT"] and read("-->") == [] and read("(MIT") == ["MIT"]
-    assert set(licenses.alternatives(read("(MIT OR GPL-2.0) AND BSD"))) == {frozenset({"mit", "bsd"}), frozenset({"gpl", "bsd"})}
-    found = licenses.LicenceScanner().scan("// SPDX-License-Identifier: GPL-3.0-only OR MIT\nint x;")
-    assert (found["labels"], found["satisfiable_by"]) == ("gpl,mit", "permissive")
+    assert licenses.evaluated(read("(MIT OR GPL-2.0) AND BSD")) == ({"mit", "gpl", "bsd"}, True)
+    many = " AND ".join(f"(MIT OR A{i})" for i in range(40))
+    assert licenses.evaluated(read(many))[1] and not licenses.evaluated(read(many + " AND GPL-2.0"))[1]
+    scan = licenses.LicenceScanner().scan
+    found = scan("// SPDX-License-Identifier: GPL-3.0-only OR MIT\nint x;")
+    assert (found["labels"], found["satisfiable_by"], found["n_unread"]) == ("gpl,mit", "permissive", 0)
+    found = scan("SPDX-License-Identifier: AND\nspdx-license-identifier:\nSPDX-License-Identifier: ISC")
+    assert (found["labels"], found["n_unread"]) == ("isc", 2)
+
+
+def test_licence_expressions_against_all_assignments():
+    """Random expressions against a listing of all the ways to fulfil them."""
+    rng = np.random.default_rng(41)
+    names = ["MIT", "GPL-2.0", "BSD-3-Clause", "Weird-1", "ISC"]
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.3:
+            name = str(rng.choice(names))
+            return name, [frozenset([licenses.family(name)])]
+        (a, x), (b, y) = made(depth - 1), made(depth - 1)
+        if rng.random() < 0.5:
+            return f"({a} OR {b})", x + y
+        return f"({a} and {b})", [p | q for p in x for q in y]
+
+    for _ in range(200):
+        text, ways = made(3)
+        labels, permissive = licenses.evaluated(licenses.to_postfix(licenses.expression_tokens(text)))
+        assert labels == frozenset().union(*ways) and permissive == any(w <= licenses.PERMISSIVE for w in ways)
+
+
+def test_licences_in_long_texts():
+    import time
+
+    scan = licenses.LicenceScanner().scan
+    began = time.process_time()
+    found = scan("under the MIT license, words; " * 60_000)
+    assert (found["n_base"], found["first_word"], found["last_word"]) == (60_000, 0, 5 * 59_999)
+    assert time.process_time() - began < 5
 
 
 def brute_model(rows):
