@@ -1,10 +1,13 @@
 """Near-duplicate vectors by int8 quantised tile products with rigorous error bounds.
 
-A unit vector u is stored as s q + e with q of int8 and the length of e known. For two vectors,
+A unit vector u is stored as codes q of int8, a scale s and the length of the error e = u - s q. For two
+vectors,
     u.v <= s_u s_v (q_u.q_v) + |s_u q_u| |e_v| + |e_u|,
-so one product of tiles, with two more columns that carry the bound, tells which pairs can reach the
-threshold; only those are computed in full precision. Equal vectors are one class with a count, and a
-class is compared once.
+so the integer product of two tiles of codes tells which pairs can reach the threshold; only those are
+computed in full precision. The product is exact: it is taken over at most ``EXACT`` dimensions at a time,
+whose sums a float32 holds without rounding, so that it runs at the speed of a matrix product. What the
+arithmetic of the bound itself can lose is bounded from the dimension (``lost``). Equal vectors are one class
+with a count, and a class is compared once.
 
 All classes are compared: they are dealt by hash into groups of bounded size, and a cell of the grid
 compares two groups. A cell gives the number of links of each class and a spanning forest of its
@@ -25,37 +28,57 @@ from pagelattice.llm.components import connected, merged
 THRESHOLD = 0.9
 #: Vectors of a group of the grid, and rows of a tile.
 GROUP, TILE = 4096, 512
-#: What the rounding of a float32 product of unit-sized rows can add.
-ROUNDING = 3e-5
+#: Dimensions whose products of codes sum to less than 2**24.
+EXACT = (1 << 24) // 127**2
 #: Pairs computed in full precision at a time.
 PAIRS = 100_000
 
 
-def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Left and right factors whose product bounds the cosine from above."""
-    scale = np.abs(unit).max(1, keepdims=True) / 127
-    q = np.rint(unit / scale).astype(np.int8)
-    stored = scale * q
-    error = np.linalg.norm(unit - stored, axis=1, keepdims=True) * (1 + 1e-9)
-    length = np.linalg.norm(stored, axis=1, keepdims=True) * (1 + 1e-9)
-    left = np.concatenate([stored, length, error], 1).astype(np.float32)
-    right = np.concatenate([stored, error, np.ones_like(error)], 1).astype(np.float32)
-    return left, right
+def lost(dimension: int) -> float:
+    """More than rounding to float64 can move a cosine and its bound: norms, quotients and sums of ``dimension`` terms."""
+    return (4 * dimension + 32) * 2.0**-52
+
+
+class Quantised:
+    """Codes, scales, error lengths and code lengths of the rows of ``unit``."""
+
+    def __init__(self, unit: np.ndarray):
+        scale = np.abs(unit).max(1) / 127
+        self.codes = np.rint(unit / scale[:, None]).astype(np.int8)
+        stored = scale[:, None] * self.codes
+        self.scale = scale
+        self.error = np.linalg.norm(unit - stored, axis=1)
+        self.length = np.linalg.norm(stored, axis=1)
+
+    def products(self, rows: slice, other: Quantised, columns: slice) -> np.ndarray:
+        """The integer products of two tiles of codes, exactly."""
+        a, b = self.codes[rows], other.codes[columns]
+        out = None
+        for at in range(0, a.shape[1], EXACT):
+            part = a[:, at : at + EXACT].astype(np.float32) @ b[:, at : at + EXACT].astype(np.float32).T
+            out = part if out is None else out.astype(np.float64) + part
+        return out
+
+    def possible(self, rows: slice, other: Quantised, columns: slice, threshold: float) -> np.ndarray:
+        """Whether the bound of a pair of rows reaches ``threshold``; the columns' largest error stands for all of theirs."""
+        least = threshold - lost(self.codes.shape[1]) - self.error[rows] - self.length[rows] * other.error[columns].max(initial=0)
+        needed = np.outer(least / self.scale[rows], 1 / other.scale[columns])
+        needed -= np.abs(needed) * 2.0**-20
+        return self.products(rows, other, columns) >= needed
 
 
 def near_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float):
     """Arrays (i, j) of rows of x and y, or of x and later rows of x, with cosine >= threshold, tile by tile."""
     norms_x = np.linalg.norm(x, axis=1)
-    left, own = quantised(x / norms_x[:, None])
+    left = Quantised(x / norms_x[:, None])
     if y is None:
-        z, norms_z, right = x, norms_x, own
+        z, norms_z, right = x, norms_x, left
     else:
         z, norms_z = y, np.linalg.norm(y, axis=1)
-        right = quantised(y / norms_z[:, None])[1]
+        right = Quantised(y / norms_z[:, None])
     for a in range(0, len(x), TILE):
         for b in range(a if y is None else 0, len(z), TILE):
-            possible = left[a : a + TILE] @ right[b : b + TILE].T >= np.float32(threshold - ROUNDING)
-            i, j = np.nonzero(possible)
+            i, j = np.nonzero(left.possible(slice(a, a + TILE), right, slice(b, b + TILE), threshold))
             i, j = i + a, j + b
             if y is None:
                 later = i < j

@@ -80,12 +80,22 @@ def test_vectors(spark):
     assert embed_dedup.link_vectors(rows.limit(0)).count() == 0
 
 
-def test_bound_holds():
+@pytest.mark.parametrize("dimension", [3, 64, 1500])
+def test_bound_holds(dimension):
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(200, 64)) * rng.lognormal(size=(200, 64))
+    x = rng.normal(size=(200, dimension)) * rng.lognormal(size=(200, dimension))
+    x = np.concatenate([x, x[:50] + rng.normal(size=(50, dimension)) * 0.3])
     x /= np.linalg.norm(x, axis=1)[:, None]
-    left, right = embed_dedup.quantised(x)
-    assert (left @ right.T >= x @ x.T - embed_dedup.ROUNDING).all()
+    q = embed_dedup.Quantised(x)
+    assert q.codes.dtype == np.int8
+    every = slice(None)
+    assert (q.products(every, q, every) == q.codes.astype(np.int64) @ q.codes.astype(np.int64).T).all()
+    cosines = x @ x.T
+    for threshold in (-0.2, 0.3, 0.9, 0.999):
+        possible = q.possible(every, q, every, threshold)
+        assert possible[cosines >= threshold].all()
+        if dimension > 3:
+            assert possible.sum() < (cosines >= threshold - 0.12).sum() + 1  # and little else is computed in full
 
 
 def test_small_groups(spark, monkeypatch):
