@@ -2,7 +2,12 @@
 
 A page is flattened to blocks of text. A block is described by its words, its link density, those of
 its two neighbours, and by where it stands; a classification tree, grown from the small labelled table
-below, tells main text from boilerplate.
+below, tells main text from boilerplate. Where elements tell nothing, words and link densities decide.
+
+Where a block stands is told by elements (nav, footer, article ...) and by whole tokens of class, id and
+role: a token counts if all its parts are words of boilerplate or say no more than a position, so
+"site-footer" and "cookie-notice" count, "no-sidebar" and "category-privacy" do not. Tokens of html, body,
+main and article are no sign of boilerplate. What stands in boilerplate is boilerplate, but for ``main``.
 """
 
 from __future__ import annotations
@@ -21,8 +26,10 @@ from pagelattice.llm.common import map_rows
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # Names of elements by what they mean for text.
-#: Elements whose content is no text of the page.
-DROPPED = "script style noscript template svg math head title textarea select button iframe object canvas audio video datalist".split()
+#: Elements whose content is text to the parser, up to their end tag or the end of the page.
+RAW = "script style title textarea".split()
+#: Other elements whose content is no text of the page; one that is not closed is read over.
+DROPPED = "noscript template svg math select button iframe object canvas audio video datalist".split()
 #: Elements that stand in a line of text and do not part blocks.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span "
@@ -30,13 +37,17 @@ INLINE = frozenset(
 )
 #: Elements that hold others and are followed on the way to a block.
 CONTAINERS = frozenset(
-    "html body div section article main nav header footer aside form ul ol dl table figure blockquote dialog details fieldset "
-    "center td".split()
+    "html head body div section article main nav header footer aside form ul ol li dl table figure blockquote dialog details "
+    "fieldset center td".split()
 )
 #: Containers of boilerplate, and of main text.
 AWAY, TOWARDS = frozenset("nav footer aside form dialog".split()), frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class, id, role and label attributes that tell boilerplate.
+#: Elements that hold the page as a whole; what their names say holds for no part of it.
+ROOTS = frozenset("html head body".split())
+#: Elements that end an open one of their kind in the same list.
+LISTS = frozenset("ul ol".split())
+#: Words of class, id and role tokens that tell boilerplate.
 AWAY_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner sidebar rail "
     "widget related recommended recommendations trending share sharing social follow cookie cookies consent gdpr privacy notice "
@@ -48,17 +59,23 @@ AWAY_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments commentlist respond disqus reply replies discussion".split())
 #: Such words of main text.
 TOWARDS_WORDS = frozenset("article post entry story articlebody".split())
+#: Such words that say no more than where or in what shape something stands.
+POSITION_WORDS = frozenset(
+    "site page main global primary secondary top bottom left right inner outer block box area section container wrapper wrap "
+    "content body text bar list links link header item items slot unit posts articles stories form panel column col".split()
+)
 
-_SKIP = "|".join(DROPPED)
 _PART = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<drop>{_SKIP})(?=[\s/>]).*?(?:</(?P=drop)\s*>|\Z)|"
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|"
+    rf"<(?P<raw>{'|'.join(RAW)})(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)|<(?P<drop>{'|'.join(DROPPED)})(?=[\s/>]).*?</(?P=drop)\s*>|"
     r"<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?=>)|[^>]*)(?:>|\Z)|"
     r"<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.I | re.S,
 )
-_NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
-_NAME_PARTS = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_BETWEEN = re.compile(r"[^a-z]+")
 
 NEUTRAL, MAIN, BOILERPLATE, COMMENTS = 0, 1, -1, -2
 
@@ -76,28 +93,40 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+@functools.lru_cache(1 << 14)
+def _told(token: str) -> int:
+    """What one token of class, id or role tells."""
+    parts = frozenset(_BETWEEN.split(_HUMP.sub("-", token).lower())) - {""}
+    for words, place in ((COMMENT_WORDS, COMMENTS), (AWAY_WORDS, BOILERPLATE), (TOWARDS_WORDS, MAIN)):
+        if parts & words and parts <= words | POSITION_WORDS | (AWAY_WORDS if place == COMMENTS else set()):
+            return place
+    return NEUTRAL
+
+
 def _place_of(tag: str, rest: str, outer: int) -> int:
-    """What an opened container makes of the blocks in it."""
-    names: set[str] = set()
-    if rest:
-        for found in _NAMES.findall(rest):
-            names.update(_NAME_PARTS.findall("".join(found).lower()))
-    if outer == COMMENTS or names & COMMENT_WORDS:
+    """What an opened element makes of the blocks in it."""
+    if outer == COMMENTS or tag in ROOTS:
+        return outer
+    told = {_told(t) for found in _NAMES.findall(rest) for t in "".join(found).split()} if rest else set()
+    hidden = rest and _HIDDEN.search(rest)
+    if tag in TOWARDS and not hidden:
+        return MAIN if tag == "main" or outer != BOILERPLATE else outer
+    if COMMENTS in told:
         return COMMENTS
-    if tag in AWAY or names & AWAY_WORDS or rest and _HIDDEN.search(rest):
+    if tag in AWAY or BOILERPLATE in told or hidden or outer == BOILERPLATE:
         return BOILERPLATE
     if tag == "header" and outer != MAIN:
         return BOILERPLATE
-    if tag in TOWARDS or names & TOWARDS_WORDS and tag != "body":
-        return MAIN
-    return outer
+    return MAIN if MAIN in told else outer
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks that have text, in page order."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
+    opened: dict[str, int] = {}
     place, heading, links = NEUTRAL, False, 0
+    own: int | None = None  # what an element that is no container makes of its one block
     held: list[tuple[str, bool]] = []
 
     def end() -> None:
@@ -109,7 +138,7 @@ def blocks(page: str) -> list[Block]:
             if words:
                 linked = sum(len(t.split()) for t, a in pieces if a)
                 n = words.count(" ") + 1
-                out.append(Block(words, n, min(n, linked), place, heading))
+                out.append(Block(words, n, min(n, linked), place if own is None else own, heading))
 
     for m in _PART.finditer(page):
         text = m["text"]
@@ -118,7 +147,7 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = m["tag"]
         if tag is None:
-            if m["drop"] and m["drop"].lower() in ("head", "title"):
+            if (m["raw"] or "").lower() == "title":
                 end()
             continue
         tag, closing = tag.lower(), bool(m["close"])
@@ -127,6 +156,7 @@ def blocks(page: str) -> list[Block]:
                 links = max(0, links - 1) if closing else links + 1
             continue
         end()
+        own = None
         if not closing:
             links = 0  # a link never spans blocks; one left open ends here
         if tag in HEADINGS:
@@ -136,14 +166,28 @@ def blocks(page: str) -> list[Block]:
         if tag in CONTAINERS:
             heading = False
             if not closing:
+                if tag == "li":  # ends the item before it
+                    for k in range(len(stack) - 1, -1, -1):
+                        if stack[k][0] in LISTS:
+                            break
+                        if stack[k][0] == "li":
+                            place = stack[k][1]
+                            for name, _ in stack[k:]:
+                                opened[name] -= 1
+                            del stack[k:]
+                            break
                 if not m["rest"].endswith("/"):
                     stack.append((tag, place))
+                    opened[tag] = opened.get(tag, 0) + 1
                     place = _place_of(tag, m["rest"], place)
-            elif any(t == tag for t, _ in stack):
+            elif opened.get(tag):
                 while True:
                     name, place = stack.pop()
+                    opened[name] -= 1
                     if name == tag:
                         break
+        elif not closing and m["rest"]:
+            own = _place_of(tag, m["rest"], place)
     end()
     return out
 
@@ -250,7 +294,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     A null or empty html, or a page without main text, gives the empty text and 0. Repeated rows give
     repeated results, null ids and urls stay null, an empty table gives no rows, and other columns are
-    ignored. No shuffle.
+    ignored. Pages of any length are read whole. No shuffle.
     """
 
     def make():

@@ -40,6 +40,70 @@ def test_place_decides_in_articles_and_boilerplate():
             assert html_text.is_main(html_text.tree(), (*row, place, 0)) == (place == html_text.MAIN)
 
 
+ARTICLE = "<p>" + "words that make up the article and go on for a while " * 3 + "</p>"
+KEPT = ("words that make up the article and go on for a while " * 3).strip()
+AWAY = "<p>" + "other words that fill a box and are not what the page is about " * 3 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="single no-sidebar"><nav>{AWAY}</nav><article>{ARTICLE}</article></body>',
+        f'<body class="comments-open sidebar"><div>{ARTICLE}</div></body>',
+        f'<main class="has-sidebar">{ARTICLE}</main>',
+        f'<article class="post tags-legal">{ARTICLE}</article>',
+        f'<article class="post category-privacy">{ARTICLE}</article>',
+        f'<article id="form-follows-function">{ARTICLE}</article>',
+        f"<html><head><title>Title</title><meta name=x><body><article>{ARTICLE}</article>",
+        f"<html><head><title>Title</title><link rel=y><article>{ARTICLE}</article>",
+        f'<article>{ARTICLE[:-4]}<p class="advert">buy this now at once</p></article>',
+        f'<article>{ARTICLE}<ul><li class="cookie-notice">{AWAY}</li></ul></article>',
+        f'<article>{ARTICLE}</article><aside class="related"><article>{AWAY}</article></aside>',
+        f'<article>{ARTICLE}</article><div class="sidebar"><div class="post">{AWAY}</div></div>',
+        f'<article><svg width="1" title="a>b"/>{ARTICLE}<svg><text>no</text></svg></article>',
+        f'<div class="no-comments"><article>{ARTICLE}</article><div id="comment-list">{AWAY}</div></div>',
+        f'<div class="siteFooter">{AWAY}</div><main><header>{ARTICLE}</header></main><header>{AWAY}</header>',
+        f'<article>{ARTICLE}<section class="newsletter-signup">{AWAY}<div>{AWAY}</div></section></article>',
+        f"<article><select><option>x</select><button>go</button>{ARTICLE}</article>",
+        f"<ul><li class=menu-item>{AWAY}<li class=nav>{AWAY}</ul><article>{ARTICLE}</article>",
+    ],
+)
+def test_places(page):
+    assert html_text.main_text(page) == KEPT
+
+
+def test_words_and_links_decide_where_elements_tell_nothing():
+    """On pages of plain div elements no block has a place, and without words and densities the result is another."""
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 999, n))
+    right = changed = 0
+    for _ in range(60):
+        blocks, want = [], []
+        for _ in range(int(rng.integers(2, 9))):  # a menu
+            blocks.append(f"<div><a href=x>{words(2)}</a></div>")
+        for _ in range(int(rng.integers(2, 7))):
+            want.append(words(int(rng.integers(30, 160))))
+            blocks.append(f"<div>{want[-1]}</div>")
+        for _ in range(int(rng.integers(2, 6))):
+            blocks.append(f"<div><a href=y>{words(3)}</a></div>")
+        page = "".join(blocks)
+        assert all(b.place == html_text.NEUTRAL for b in html_text.blocks(page))
+        right += html_text.main_text(page).split("\n") == want
+        found = html_text.blocks(page)
+        plain = [html_text.is_main(html_text.tree(), (0, 0.0, 0, 0.0, 0, 0.0, b.place, b.heading)) for b in found]
+        changed += [b.text for b, p in zip(found, plain, strict=True) if p] != want
+    assert right >= 57 and changed == 60
+
+
+def test_long_page():
+    import time
+
+    page = "<div>" * 3000 + "<nav>" + "<a href=x>go</a> " * 20_000 + "</nav><article>" + ARTICLE * 8000 + "</article>"
+    began = time.process_time()
+    assert html_text.main_text(page) == "\n".join([KEPT] * 8000)
+    assert time.process_time() - began < 10
+
+
 def test_pages(spark):
     rows = spark.createDataFrame([(1, "u", "<article><p>x y</p></article>", 1), (None, None, None, 2), (1, "u", "", 3)], "page_id long, url string, html string, text int")
     got = sorted((tuple(r) for r in html_text.extract_pages(rows).collect()), key=str)
