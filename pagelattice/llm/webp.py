@@ -2,25 +2,32 @@
 
 The decoder reads prefix codes (simple and normal, with meta codes), back-references, the colour
 cache and the four transforms, and gives an array of height x width x 4 samples (R, G, B, A). Where
-all prefix codes of an image are flat, that is every symbol in use has a code of the same length and
-no back-reference or cache symbol is among them, the pixels are read by array operations; any other
-image is read symbol by symbol.
-
-The encoder stores grey samples with a palette and flat prefix codes, so an image of text takes six
-or seven bits a byte or less, and both directions run at array speed.
+only green varies, as in images with a palette, all tokens of the image are read by array operations:
+what would be read is looked up at every bit, and then followed from token to token. Where all codes are flat
+(each symbol in use has a code of the same length and none refers back) pixels are cut out of the
+bits at once. Any other image is read symbol by symbol.
+
+The encoder stores grey samples with a palette in falling order of frequency, a prefix code made for
+such ranks, and back-references to strings of ``LEAST_MATCH`` samples or more; few or evenly used
+colours get bundled indices or flat codes, whichever is shorter. The predictor, cross-colour and the colour cache
+gain nothing on such an image, which has one channel and no slopes.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
+import math
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from pagelattice.llm.common import id_and_text, map_rows
+from pagelattice.llm.runs_dedup import gram_hashes
 
 #: Samples of a row, which is also the unit that payloads are padded to.
 WIDTH = 576
@@ -49,6 +56,10 @@ NEAR = (
 )
 GREEN, RED, BLUE, ALPHA, DISTANCE = range(5)
 LITERALS, LENGTHS, DISTANCES = 256, 24, 40
+#: Shortest string that the encoder refers back to, how far apart the places are that it looks for, and longest reference of the format.
+LEAST_MATCH, SOURCE_STEP, MOST_MATCH = 32, 16, 4096
+#: Longest code of the encoder.
+LONGEST_CODE = 12
 CACHE_MULTIPLIER = 0x1E35A7BD
 
 
@@ -100,6 +111,19 @@ class PrefixCode:
                 self.codes[n, code] = s
                 code += 1
 
+    @functools.cached_property
+    def table(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """Window size, and for each window of the bits ahead the symbol that it begins with and its code's length."""
+        if self.single is not None:
+            return 0, np.array([self.single], np.int16), np.zeros(1, np.uint8)
+        window = max(n for n, _ in self.codes)
+        symbols, sizes = np.zeros(1 << window, np.int16), np.zeros(1 << window, np.uint8)
+        for (n, code), symbol in self.codes.items():
+            first = int(f"{code:0{n}b}"[::-1], 2)
+            symbols[first :: 1 << n] = symbol
+            sizes[first :: 1 << n] = n
+        return window, symbols, sizes
+
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
@@ -128,7 +152,7 @@ def read_code(bits: Bits, alphabet: int) -> PrefixCode:
     start = bits.at
     code = _read_new_code(bits, alphabet)
     n = bits.at - start
-    if n <= 512 and sum(map(len, seen.values())) < _MOST_SEEN:
+    if n <= 4096 and sum(map(len, seen.values())) < _MOST_SEEN:
         end, bits.at = bits.at, start
         seen.setdefault(n, {})[bits.ahead(n)] = code
         bits.at = end
@@ -205,6 +229,92 @@ def _flat_pixels(bits: Bits, group: list[PrefixCode], n: int) -> np.ndarray | No
     return out
 
 
+def _extra(prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bits follow a length or distance prefix, and the least value."""
+    extra = np.maximum(prefix - 2, 0) >> 1
+    return extra, np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + 1)
+
+
+def _green_pixels(bits: Bits, group: list[PrefixCode], n: int, width: int) -> np.ndarray | None:
+    """Pixels of a group in which only green varies, without a colour cache, or None."""
+    if any(group[c].single is None for c in (RED, BLUE, ALPHA)):
+        return None
+    rest = np.uint32(group[ALPHA].single << 24 | group[RED].single << 16 | group[BLUE].single)
+    first, total = bits.at >> 3, bits.end - (bits.at & ~7)
+    data = bits.data[first:] + bytes(24)
+    words = np.ndarray((total // 8 + 9,), "<u8", data, strides=(1,))
+    window, symbols, sizes = group[GREEN].table
+    ahead = np.ndarray((total // 8 + 1,), "<u4", data, strides=(1,))[:, None] >> np.arange(8, dtype=np.uint32)
+    here = (ahead & np.uint32((1 << window) - 1)).reshape(-1).astype(np.int64)
+    symbol, after = symbols[here], np.arange(len(here)) + sizes[here]
+    jumps = np.flatnonzero(symbol >= LITERALS)
+    length, back = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(jumps):
+        # what a reference at each of these bits would be: length, distance prefix, distance
+
+        def read(place: np.ndarray, many: np.ndarray) -> np.ndarray:
+            place = np.minimum(place, total)
+            return (words[place >> 3] >> (place & 7).astype(np.uint64)).astype(np.int64) & (1 << many) - 1
+
+        place = after[jumps]
+        extra, least = _extra(symbol[jumps].astype(np.int64) - LITERALS)
+        length = least + read(place, extra)
+        place = place + extra
+        window, codes, many = group[DISTANCE].table
+        found = read(place, np.full(len(place), window))
+        place = place + many[found]
+        extra, least = _extra(codes[found].astype(np.int64))
+        code = least + read(place, extra)
+        near = np.array([max(1, x + y * width) for x, y in NEAR])
+        back = np.where(code <= len(NEAR), near[np.minimum(code, len(NEAR)) - 1], code - len(NEAR))
+        after[jumps] = place + extra
+    if group[GREEN].single is not None:
+        if group[GREEN].single >= LITERALS:
+            return None
+        return np.full(n, rest | np.uint32(group[GREEN].single << 8), np.uint32)
+    # eight tokens a step, then the seven between
+    np.minimum(after, total, out=after)
+    after[total:] = total
+    two = after[after]
+    four = two[two]
+    step = memoryview(four[four])
+    place, begin, starts = bits.at & 7, bits.at & 7, []
+    known = 0
+    while place < total and 8 * known < n:
+        starts.append(place)
+        place = step[place]
+        known += 1
+    tokens = np.empty((len(starts), 8), np.int64)
+    tokens[:, 0] = starts
+    for k in range(1, 8):
+        tokens[:, k] = after[tokens[:, k - 1]]
+    tokens = tokens.reshape(-1)
+    tokens = tokens[tokens < total]
+    refers = np.flatnonzero(symbol[tokens] >= LITERALS)
+    which = np.searchsorted(jumps, tokens[refers])
+    many = np.ones(len(tokens), np.int64)
+    many[refers] = length[which]
+    ends = np.cumsum(many)
+    last = int(np.searchsorted(ends, n))
+    if last == len(ends) or after[tokens[last]] > total or ends[last] != n:
+        raise WebPError("data end early or run over the image")
+    bits.at += int(after[tokens[last]]) - begin
+    green = np.zeros(n, np.uint8)
+    plain = symbol[tokens[: last + 1]] < LITERALS
+    green[(ends - many)[: last + 1][plain]] = symbol[tokens[: last + 1][plain]]
+    for k, w in zip(refers.tolist(), which.tolist(), strict=True):
+        if k > last:
+            break
+        a, m, d = int(ends[k] - many[k]), int(many[k]), int(back[w])
+        if d > a:
+            raise WebPError("a back-reference out of the image")
+        if d >= m:
+            green[a : a + m] = green[a - d : a - d + m]
+        else:
+            green[a : a + m] = np.resize(green[a - d : a], m)
+    return green.astype(np.uint32) << np.uint32(8) | rest
+
+
 def _entropy_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image as ARGB of height x width."""
     cache_bits = 0
@@ -223,6 +333,8 @@ def _entropy_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarra
     total = width * height
     if groups_n == 1 and (flat := _flat_pixels(bits, groups[0], total)) is not None:
         return flat.reshape(height, width)
+    if groups_n == 1 and not cache_bits and (green := _green_pixels(bits, groups[0], total, width)) is not None:
+        return green.reshape(height, width)
     out = [0] * total
     cache = [0] * cache_size
     at = 0
@@ -446,6 +558,7 @@ def _flat_code(width: int, alphabet: int) -> tuple[int, int]:
     left = alphabet - (1 << width)
     while left:
         n = min(138, left)
+        n -= 3 * (0 < left - n < 3)  # a run has three at least
         if n >= 11:
             put(18)
             out.put(n - 11, 7)
@@ -471,12 +584,138 @@ def _palette_codes() -> tuple[int, int]:
     return out.value, out.n
 
 
+def huffman_lengths(weights: list[float], longest: int) -> list[int]:
+    """Lengths of a prefix code for the weights; small ones are raised until no code is longer than ``longest``."""
+    while True:
+        heap = [(w, i, [i]) for i, w in enumerate(weights)]
+        heapq.heapify(heap)
+        lengths = [0] * len(weights)
+        made = len(heap)
+        while len(heap) > 1:
+            (v, _, a), (w, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+            for k in a + b:
+                lengths[k] += 1
+            heapq.heappush(heap, (v + w, made, a + b))
+            made += 1
+        if max(lengths) <= longest:
+            return lengths
+        least = min(weights)
+        weights = [max(w, 2 * least) for w in weights]
+
+
+def canonical(lengths: list[int]) -> np.ndarray:
+    """The code of each symbol, its first bit lowest, as it is written."""
+    out, code, last = np.zeros(len(lengths), np.int64), 0, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code <<= n - last
+        last = n
+        out[s] = int(f"{code:0{n}b}"[::-1], 2)
+        code += 1
+    return out
+
+
+def written_code(lengths: list[int]) -> tuple[int, int]:
+    """A normal code as it is stored, each length by itself: value and number of bits."""
+    out = BitWriter()
+    out.put(0, 1)
+    used = Counter(lengths)
+    own = huffman_lengths([used.get(n, 0) + 0.5 for n in range(16)], 7)
+    codes = canonical(own)
+    out.put(len(LENGTH_ORDER) - 4, 4)
+    for s in LENGTH_ORDER:
+        out.put(own[s] if s < 16 else 0, 3)
+    out.put(0, 1)
+    for n in lengths:
+        out.put(int(codes[n]), own[n])
+    return out.value, out.n
+
+
+@functools.cache
+def rank_codes() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """Lengths and codes for ranks of samples and for lengths, lengths and codes for distances, and all of them as they are stored.
+
+    One prefix code serves all texts, since samples are coded by rank: weights fall by a ninth a rank.
+    """
+    ranks = [0.11 * math.exp(-r / 9) + 0.0006 for r in range(LITERALS)]
+    green = huffman_lengths(ranks + [0.002] * LENGTHS, LONGEST_CODE)
+    far = huffman_lengths([0.3] * 4 + [0.2] * 10 + [1.0] * 20 + [0.2] * 6, LONGEST_CODE)
+    out = BitWriter()
+    out.put(0, 3)  # no more transforms, no colour cache, no meta codes
+    out.put(*written_code(green))
+    for symbol in (0, 0, 255):
+        out.put(*_single_code(symbol))
+    out.put(*written_code(far))
+    return np.array(green), canonical(green), np.array(far), canonical(far), out.value, out.n
+
+
+def matches_in(x: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, distance, length) of strings that stand earlier as well, in order, without overlaps."""
+    if len(x) < 2 * LEAST_MATCH:
+        return []
+    hashes = gram_hashes(x, LEAST_MATCH)
+    sources = np.arange(0, len(hashes), SOURCE_STEP)[::-1]
+    bits = len(sources).bit_length() + 2
+    slot = (hashes >> np.uint64(64 - bits)).astype(np.int32)
+    table = np.zeros(1 << bits, np.int32)
+    table[slot[sources]] = sources  # the first place of a hash, unless another one has taken its slot
+    source = table[slot]
+    hit = np.flatnonzero((hashes[source] == hashes) & (source < np.arange(len(hashes), dtype=np.int32)))
+    out, k, end = [], 0, 0
+    while k < len(hit):
+        at = int(hit[k])
+        begin = int(source[at])
+        most = min(MOST_MATCH, len(x) - at)
+        differs = x[begin : begin + most] != x[at : at + most]
+        n = int(np.argmax(differs)) if differs.any() else most
+        if n >= LEAST_MATCH:
+            out.append((at, at - begin, n))
+            end = at + n
+        else:  # equal hashes of other strings
+            end = at + 1
+        k = int(np.searchsorted(hit, end))
+    return out
+
+
+def _prefix(value: int) -> tuple[int, int, int]:
+    """Prefix of a length or distance from 1 on, and the bits that follow: value and number."""
+    d = value - 1
+    if d < 4:
+        return d, 0, 0
+    h = d.bit_length() - 1
+    return 2 * h + (d >> (h - 1) & 1), d & (1 << (h - 1)) - 1, h - 1
+
+
+def _bits_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The lowest ``sizes`` bits of each value, one after another."""
+    ends = np.cumsum(sizes)
+    at = np.arange(int(ends[-1])) - np.repeat(ends - sizes, sizes)
+    return (np.repeat(values, sizes) >> at & 1).astype(np.uint8)
+
+
+def _ranked(coded: np.ndarray, width: int) -> np.ndarray:
+    """The bits of an image of ranks: codes, samples and references."""
+    length, code, far_length, far_code, value, n = rank_codes()
+    head = BitWriter()
+    head.put(value, n)
+    values, sizes = code[coded], length[coded]
+    found = matches_in(coded)
+    if found:
+        parts_v, parts_n, at = [], [], 0
+        for place, distance, many in found:
+            prefix, more, size = _prefix(many)
+            far, rest, rest_size = _prefix(1 if distance == width else 2 if distance == 1 else distance + len(NEAR))
+            parts_v += [values[at:place], [code[LITERALS + prefix], more, far_code[far], rest]]
+            parts_n += [sizes[at:place], [length[LITERALS + prefix], size, far_length[far], rest_size]]
+            at = place + many
+        values, sizes = np.concatenate([*parts_v, values[at:]]).astype(np.int64), np.concatenate([*parts_n, sizes[at:]]).astype(np.int64)
+    return np.concatenate([head.array(), _bits_of(values, sizes)])
+
+
 def encode_grey(samples: np.ndarray) -> bytes:
-    """A lossless WebP file of height x width grey samples: a palette and flat prefix codes."""
+    """A lossless WebP file of height x width grey samples: a palette, and prefix codes of ranks with back-references or flat ones."""
     height, width = samples.shape
-    present = np.zeros(256, bool)
-    present[samples] = True
-    colours = np.flatnonzero(present)
+    counts = np.bincount(samples.reshape(-1), minlength=256)
+    colours = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
     index = np.zeros(256, np.uint8)
     index[colours] = np.arange(len(colours), dtype=np.uint8)
     coded = index[samples]
@@ -503,14 +742,17 @@ def encode_grey(samples: np.ndarray) -> bytes:
     table[:, :24] = np.tile(np.unpackbits(steps[:, None], axis=1), 3)
     table[0, 24] = 1
     bits = int(coded.max()).bit_length()
-    tail = BitWriter()
-    tail.put(0, 3)  # no more transforms, no colour cache, no meta codes
-    tail.put(*(_flat_code(bits, LITERALS + LENGTHS) if bits else _single_code(0)))
-    for symbol in (0, 0, 255, 0):
-        tail.put(*_single_code(symbol))
-    start = np.concatenate([head.array(), table.reshape(-1), tail.array()])
-    body = np.unpackbits(coded.reshape(-1, 1), axis=1)[:, 8 - bits :].reshape(-1) if bits else np.zeros(0, np.uint8)
-    data = np.packbits(np.concatenate([start, body]), bitorder="little").tobytes()
+    if not share and bits:
+        body = _ranked(coded.reshape(-1), width)
+    if share or not bits or len(body) > coded.size * bits:
+        tail = BitWriter()
+        tail.put(0, 3)  # no more transforms, no colour cache, no meta codes
+        tail.put(*(_flat_code(bits, LITERALS + LENGTHS) if bits else _single_code(0)))
+        for symbol in (0, 0, 255, 0):
+            tail.put(*_single_code(symbol))
+        flat = np.unpackbits(coded.reshape(-1, 1), axis=1)[:, 8 - bits :].reshape(-1) if bits else np.zeros(0, np.uint8)
+        body = np.concatenate([tail.array(), flat])
+    data = np.packbits(np.concatenate([head.array(), table.reshape(-1), body]), bitorder="little").tobytes()
     odd = len(data) & 1
     return b"RIFF" + struct.pack("<I", 12 + len(data) + odd) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data + b"\0" * odd
 
@@ -551,7 +793,8 @@ def media_documents(docs: DataFrame) -> DataFrame:
     """Each row's text stored as lossless WebP, read back, and described.
 
     A null or empty text is a payload of one row of 255. Repeated rows and equal texts give equal
-    values, null ids stay null, an empty table gives no rows, other columns are ignored. No shuffle.
+    values, null ids stay null, an empty table gives no rows, other columns are ignored. Texts of any
+    length are stored whole, in several images where one does not hold them. No shuffle.
     """
 
     def make():

@@ -267,3 +267,49 @@ def test_several_images_and_errors():
     for broken in (b"", media[:30], b"RIFX" + media[4:]):
         with pytest.raises(webp.WebPError):
             webp.decode(broken)
+
+
+def test_texts_are_read_back_through_prefix_codes_and_references(monkeypatch):
+    """Ordinary texts are stored with the code of ranks and with references, and the decoder meets both."""
+    rng = np.random.default_rng(19)
+    words = [f"{a}{b}" for a in ("some", "text", "Wörter", "of") for b in ("", "ly", "ing", "s, and", ".")]
+    count = {"green": 0, "referring": 0, "slow": 0}
+    green, read = webp._green_pixels, webp.PrefixCode.read
+
+    def counted(bits, group, n, width):
+        out = green(bits, group, n, width)
+        count["green"] += out is not None
+        return out
+
+    monkeypatch.setattr(webp, "_green_pixels", counted)
+    for k in range(60):
+        text = " ".join(rng.choice(words, int(rng.integers(60, 900))))
+        if k % 2:
+            text += text[: int(rng.integers(40, len(text)))] + "=" * int(rng.integers(0, 3000))
+        payload = webp.payload_of(text.encode())
+        media = webp.store(payload)
+        assert webp.stored_samples(media).tobytes() == payload
+        count["referring"] += len(webp.matches_in(np.frombuffer(payload, np.uint8))) > 0
+        assert len(media) < 0.95 * len(payload) + 1300
+        # symbol by symbol, as any other decoder reads it
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(webp, "_green_pixels", lambda *a: None)
+            m.setattr(webp, "_flat_pixels", lambda *a: None)
+            assert webp.stored_samples(media).tobytes() == payload
+    assert count["green"] >= 58 and count["referring"] >= 55
+
+
+def test_awkward_payloads():
+    rng = np.random.default_rng(20)
+    for raw in (b"", b"x", b"xy", bytes(range(256)) * 9, b"ab" * 3000, rng.integers(0, 256, 5000, dtype=np.uint8).tobytes(), b"\xff" * 2000, bytes(10_000)):
+        payload = webp.payload_of(raw)
+        assert webp.stored_samples(webp.store(payload)).tobytes() == payload
+
+
+def test_prefixes_of_all_values():
+    for value in [*range(1, 5000), 10**5, 10**6]:
+        prefix, more, size = webp._prefix(value)
+        extra, least = webp._extra(np.array([prefix]))
+        assert extra[0] == size and least[0] + more == value
+    lengths = webp.huffman_lengths([2.0**-k for k in range(30)], 9)
+    assert max(lengths) <= 9 and sum(2.0**-n for n in lengths) == 1
