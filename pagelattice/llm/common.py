@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,7 +35,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that pass to a Python worker at once. Spark's own 10,000 rows of documents are tens of megabytes, held several times.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's number of rows in a batch to ``ARROW_ROWS``; bounds memory, changes no result."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
+@functools.cache
+def _trim() -> Callable[[], None]:
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc has no such call
+        call = ctypes.CDLL(None).malloc_trim
+        return lambda: call(0)
+    return lambda: None
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, after which the worker gives freed memory back to the system; workers outlive tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        _trim()()
+
+    return wrapped
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -95,7 +129,7 @@ def map_rows(df: DataFrame, schema: T.StructType | str, make: Callable[[], Calla
                 found = step({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, kinds)
+    return df.mapInArrow(trimmed(run), kinds)
 
 
 #: Rows that a Python worker holds as objects at a time; bounds memory, changes no result.

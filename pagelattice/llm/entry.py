@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelattice.llm.bpe import encode_documents
-from pagelattice.llm.common import documents
+from pagelattice.llm.common import documents, small_batches
 from pagelattice.llm.embed_dedup import link_vectors
 from pagelattice.llm.html_text import extract_pages
 from pagelattice.llm.licenses import scan_documents
@@ -29,6 +29,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 

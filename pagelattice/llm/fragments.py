@@ -22,11 +22,11 @@ class FragmentIds:
     """Ids of fragments, told apart by a 64-bit hash of their bytes.
 
     ``encode`` gives for a list of fragments their ids, one after another, and how many each has. Each
-    distinct fragment is encoded once while ``most`` or fewer are held; beyond it all are forgotten, which
-    changes no result. Fragments of more than 16 bytes are hashed one by one.
+    distinct fragment is encoded once while ``most`` or fewer are held, with 2**30 ids at most; beyond it all
+    are forgotten, which changes no result. Fragments of more than 16 bytes are hashed one by one.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         self.encode, self.most = encode, most
         self._clear(16)
 
@@ -36,7 +36,7 @@ class FragmentIds:
         self.value = np.zeros(1 << bits, np.int32)
         self.held = self.used = 0
         self.known = np.zeros(0, np.uint64)
-        self.first, self.many = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.first, self.many = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 18, np.uint32)
 
     def _hashes(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -120,7 +120,7 @@ class FragmentIds:
         keys = self._hashes(raw, starts, ends)
         number = self._find(keys)
         if (number < 0).any():
-            if self.held > self.most:
+            if self.held > self.most or self.used > 1 << 30:
                 self._clear(self.bits)
                 number[:] = -1
             new = np.flatnonzero(number < 0)
@@ -128,5 +128,5 @@ class FragmentIds:
             at = new[at]
             self._add(distinct, [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             number[new] = self._find(keys[new])
-        many = self.many[number]
-        return self.pool[spread(self.first[number], many)], many
+        many = self.many[number].astype(np.int64)
+        return self.pool[spread(self.first[number].astype(np.int64), many)], many

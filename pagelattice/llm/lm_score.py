@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import id_and_text, written
+from pagelattice.llm.common import id_and_text, trimmed, written
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Bytes of text of a batch, and of the corpus per range of keys; they bound memory and change no result.
@@ -304,7 +304,7 @@ def score_documents(docs: DataFrame, stage: bool = False) -> DataFrame:
         docs = written(docs, "lm-documents")
     size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     ranges = max(LEAST_RANGES, -(-size // RANGE_BYTES))
-    forward = docs.mapInArrow(_forward(ranges), FORWARD)
+    forward = docs.mapInArrow(trimmed(_forward(ranges)), FORWARD)
     answers = written(forward.groupBy("range", "pairs").applyInArrow(_sum_range, ANSWER), "lm-counts")
     sums = answers.groupBy("pairs").agg(*[F.sum(c).alias(c) for c in ("total", "total_deleted", "distinct")]).collect()
     words = next((r for r in sums if not r.pairs), None)
@@ -324,7 +324,7 @@ def score_documents(docs: DataFrame, stage: bool = False) -> DataFrame:
         return pa.table({**{k: pa.array(found[0][:, i], pa.int64()) for i, k in enumerate(names)}, "n": pa.array(found[1], pa.int64())})
 
     seen = (
-        docs.mapInArrow(_texts(True), TEXTS)
+        docs.mapInArrow(trimmed(_texts(True)), TEXTS)
         .groupBy("batch")
         .cogroup(answers.where("deleted").groupBy("batch"))
         .applyInArrow(observe, "bucket long, c_pair long, c_context long, c_word long, n long")
@@ -361,4 +361,4 @@ def score_documents(docs: DataFrame, stage: bool = False) -> DataFrame:
             }
         )
 
-    return docs.mapInArrow(_texts(False), TEXTS).groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, SCORES)
+    return docs.mapInArrow(trimmed(_texts(False)), TEXTS).groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, SCORES)

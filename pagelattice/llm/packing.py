@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pagelattice.llm.common import id_and_text
+from pagelattice.llm.common import id_and_text, trimmed
 from pagelattice.llm.fragments import FragmentIds, spread
 
 CAPACITY = 2048
@@ -292,4 +292,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Data
         packer.finish()
         yield rows()
 
-    return id_and_text(docs).mapInArrow(run, SCHEMA)
+    return id_and_text(docs).mapInArrow(trimmed(run), SCHEMA)

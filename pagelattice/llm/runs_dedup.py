@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import squeezed, written
+from pagelattice.llm.common import squeezed, trimmed, written
 
 LENGTH, GRAM = 200, 64
 #: Distinct block bytes of a unit, and from how many bytes on an anchor is widened.
@@ -340,7 +340,7 @@ def marks_of(blocks: DataFrame, sizes: DataFrame, length: int, unit_bytes: int,
     if (most or 0) <= hot_bytes or last:
         return marks
     schema = "of_anchor long, of_content long, base long, anchor long, content long, n long, core long, size long, block binary"
-    parts = written(blocks.join(hot, "anchor", "left_semi").mapInArrow(_widen(length, level), schema), "repeat-parts")
+    parts = written(blocks.join(hot, "anchor", "left_semi").mapInArrow(trimmed(_widen(length, level)), schema), "repeat-parts")
     distinct = parts.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.first("core").alias("core"), F.first("size").alias("size"), F.first("block").alias("block"))
     distinct = written(distinct, "repeat-distinct")
     sizes = distinct.groupBy("anchor").agg(F.sum("size").alias("bytes"))
@@ -352,10 +352,10 @@ def marks_of(blocks: DataFrame, sizes: DataFrame, length: int, unit_bytes: int,
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, unit_bytes: int = UNIT_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(place, spans): for each row of ``rows`` (place, text) with repeated strings their maximal spans of bytes, unsorted."""
-    anchors = rows.mapInArrow(_anchors(length), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    anchors = rows.mapInArrow(trimmed(_anchors(length)), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     # written, so that both sides of the join are exchanged and a frequent anchor's places can be split
     twice = written(anchors.where("n > 1").select("anchor"), "repeat-anchors")
-    places = rows.mapInArrow(_places(length), "anchor long, content long, place long, start long, size long")
+    places = rows.mapInArrow(trimmed(_places(length)), "anchor long, content long, place long, start long, size long")
     places = written(places.join(twice, "anchor", "left_semi"), "repeat-places")
     blocks = (
         places.groupBy("anchor", "content")
@@ -365,8 +365,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, unit_bytes: int = UNIT
     blocks = written(blocks, "repeat-blocks")
     sizes = blocks.groupBy("anchor").agg(F.sum("size").alias("bytes"))
     wanted = blocks.groupBy("place").agg(F.collect_list(F.struct("anchor", "content", "n", "start", "size")).alias("wanted"))
-    texts = rows.mapInArrow(squeezed, "place long, data binary")
-    cut = texts.join(wanted, "place").select("data", "wanted").mapInArrow(_cut_out, "anchor long, content long, n long, block binary")
+    texts = rows.mapInArrow(trimmed(squeezed), "place long, data binary")
+    cut = texts.join(wanted, "place").select("data", "wanted").mapInArrow(trimmed(_cut_out), "anchor long, content long, n long, block binary")
     cut = cut.withColumn("core", F.lit(None).cast("long"))
     marks = written(marks_of(cut, sizes, length, unit_bytes, hot_bytes), "repeat-marks")
     found = places.join(marks, ["anchor", "content"])
@@ -419,9 +419,9 @@ def without_repeats(placed: DataFrame, length: int = LENGTH, form: str = "bytes"
     """
     rows = placed.select("place", F.coalesce("row.text", F.lit("")).alias("text"))
     spans = repeated_spans(rows, length, **limits)
-    texts = rows.mapInArrow(squeezed, "place long, data binary")
+    texts = rows.mapInArrow(trimmed(squeezed), "place long, data binary")
     schema = f"place long, n_bytes long, n_removed long, n_spans long, kept {FORMS[form][1]}, spans array<bigint>"
-    return texts.join(spans, "place", "left").select("place", "data", "spans").mapInArrow(_told(form), schema)
+    return texts.join(spans, "place", "left").select("place", "data", "spans").mapInArrow(trimmed(_told(form)), schema)
 
 
 def digests(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:

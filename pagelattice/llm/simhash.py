@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import id_and_text, map_rows, squeezed, written
+from pagelattice.llm.common import id_and_text, map_rows, squeezed, trimmed, written
 from pagelattice.llm.components import connected, merged
 
 WORDS, SEED, BITS = 3, 42, 3
@@ -220,8 +220,8 @@ def spanning_links(prints: DataFrame, bits: int = BITS, anchor_rows: int = _ANCH
     if bits > BITS:
         raise ValueError("the anchors cover differences of up to 3 bits")
     prints = prints.select("print", F.col("lane").cast("long").alias("lane"))
-    hosts = prints.mapInArrow(_places(True), "anchor long, resident long").select("anchor", F.col("resident").alias("print"), F.lit(True).alias("host"))
-    guests = prints.mapInArrow(_places(False), "anchor long, visitor long").select("anchor", F.col("visitor").alias("print"), F.lit(False).alias("host"))
+    hosts = prints.mapInArrow(trimmed(_places(True)), "anchor long, resident long").select("anchor", F.col("resident").alias("print"), F.lit(True).alias("host"))
+    guests = prints.mapInArrow(trimmed(_places(False)), "anchor long, visitor long").select("anchor", F.col("visitor").alias("print"), F.lit(False).alias("host"))
     rows = hosts.unionByName(guests)
     hot = rows.groupBy("anchor").count().where(F.col("count") > anchor_rows)
     hot = written(hot.select("anchor", F.expr(f"(count + {anchor_rows - 1}) div {anchor_rows}").alias("side")), "hot-anchors")
@@ -382,7 +382,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     needed = written(texts.join(nodes, "node", "left_semi"), "candidate-texts")
     for side in ("b", "a"):
         pairs = pairs.join(needed.select(F.col("node").alias(side), F.col("data").alias(f"{side}_data")), side)
-    return written(pairs.select("a", "b", "a_data", "b_data").mapInArrow(_verified, "a long, b long"), "alike")
+    return written(pairs.select("a", "b", "a_data", "b_data").mapInArrow(trimmed(_verified), "a long, b long"), "alike")
 
 
 def _possible(a: dict, b: dict):
@@ -424,7 +424,7 @@ def met_by_hashes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     Hashes that many texts have come last. They are found among the lower quarter of all hashes, from which most
     texts have their first ones, and then among all hashes of the texts for which that quarter does not suffice.
     """
-    often = _often(texts.mapInArrow(_low_hashes, "hash long"))
+    often = _often(texts.mapInArrow(trimmed(_low_hashes), "hash long"))
     # texts are not shuffled, only what is made of them
     firsts = map_rows(texts, "node long, size long, bits array<bigint>, firsts array<bigint>, whole array<bigint>", _firsts(often))
     firsts = written(firsts.join(nodes.select("node"), "node", "left_semi"), "firsts")
@@ -446,7 +446,7 @@ def groups_of(prints: DataFrame, texts: DataFrame, bits: int = BITS, complete: b
     in one component by then. Pairs that sizes, places and parities keep below ``ALIKE`` never leave the join.
     """
     pairs = met_by_prints(prints, bits)
-    data = texts.withColumnRenamed("node", "place").mapInArrow(squeezed, "place long, data binary").withColumnRenamed("place", "node")
+    data = texts.withColumnRenamed("node", "place").mapInArrow(trimmed(squeezed), "place long, data binary").withColumnRenamed("place", "node")
     if not complete:
         return connected(verified(pairs, data))
     met = met_by_hashes(prints, texts)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import crc_mod, id_and_text, map_rows
+from pagelattice.llm.common import crc_mod, id_and_text, map_rows, trimmed
 
 TOXIC_ROWS, CLEAN_ROWS, LONGEST = 1800, 2700, 20_000
 FOLDS, HELD_OUT = 3, 1
@@ -32,7 +32,7 @@ BEGINNINGS = (4, 5, 6)
 #: A feature is used if the likelihood ratio statistic of its presence against the label reaches this.
 LEAST_EVIDENCE = 15.0
 #: Words whose weight a worker remembers; beyond it the memory is emptied, and results stay the same.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 SCHEMA = (
     "doc_id long, held_out boolean, score double, predicted int, worst_sentence int, worst_score double, "
@@ -215,10 +215,12 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
         use = model.value
         memory = use.memory()
         for batch in batches:
-            if len(memory) > REMEMBERED:
-                memory.clear()
-            texts = batch.column(at).to_pylist()
-            clean = [t is None or use.combined(use.sentence_scores(t, memory)) < threshold for t in texts]
-            yield batch.filter(pa.array(clean, pa.bool_()))
-
-    return docs.mapInArrow(keep, docs.schema)
+            for begin in range(0, batch.num_rows, 500):
+                if len(memory) > REMEMBERED:
+                    memory.clear()
+                part = batch.slice(begin, 500)
+                texts = part.column(at).to_pylist()
+                clean = [t is None or use.combined(use.sentence_scores(t, memory)) < threshold for t in texts]
+                yield part.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(trimmed(keep), docs.schema)
