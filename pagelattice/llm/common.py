@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,20 +20,47 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where it is unset (tests, one machine) a folder of our own is set.
+    Where it is unset and driver and executors are one process (tests, one machine) a folder of our own is set;
+    a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_scopes = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside are removed at its end, with the shuffle files that nothing refers to any more.
+
+    What is to outlive it must be written inside with ``result=True``; it then belongs to the scope around.
+    """
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for name in stack.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def written(df: DataFrame, name: str, result: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    stack = _scopes.__dict__.get("stack", [])
+    if len(stack) > result:
+        stack[-1 - result].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

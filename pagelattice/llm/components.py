@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import written
+from pagelattice.llm.common import scratch, written
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -18,6 +18,11 @@ def connected(links: DataFrame) -> DataFrame:
     node with many links is no burden to one task. Links to null and from a node to itself count for
     nothing; an empty table gives an empty result.
     """
+    with scratch(links.sparkSession):
+        return _contracted(links)
+
+
+def _contracted(links: DataFrame) -> DataFrame:
     links = links.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
     links = written(links, "links")
     label = None
@@ -36,7 +41,8 @@ def connected(links: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             links = links.join(point.select(F.col("node").alias(side), "to"), side).drop(side).withColumnRenamed("to", side)
         links = written(links.where("a <> b").select("a", "b").distinct(), "links")
-    return label if label is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = label if label is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return written(found, "components", result=True)
 
 
 def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

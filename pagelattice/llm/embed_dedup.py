@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import written
+from pagelattice.llm.common import scratch, written
 from pagelattice.llm.components import connected, merged
 
 THRESHOLD = 0.9
@@ -131,32 +131,33 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     valid = F.coalesce(F.col("vec_id").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("valid", valid)
-    classes = rows.where("valid").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"))
-    # numbered once and for all by being written: two classes may carry the same smallest id
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
-    groups = max(1, -(-classes.count() // GROUP))
-    dealt = (
-        classes.withColumn("part", F.pmod(F.xxhash64("embedding"), F.lit(groups)))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        .select(F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "many", "embedding")
-    )
-    found = dealt.groupBy("low", "high").applyInArrow(_cell(threshold), "node long, links long, root long")
-    found = written(found, "vector-links")
-    component = connected(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    linked = classes.select("node", "rep").join(component, "node")
-    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    sums = found.groupBy("node").agg(F.sum("links").alias("links"))
-    told = (
-        classes.join(sums, "node", "left")
-        .join(linked.join(least, "component").select("node", "component_id"), "node", "left")
-        .select(
-            "embedding",
-            F.lit(True).alias("valid"),
-            (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"),
-            F.coalesce("component_id", "rep").alias("component_id"),
+    with scratch(vectors.sparkSession):
+        classes = rows.where("valid").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"))
+        # numbered once and for all by being written: two classes may carry the same smallest id
+        classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+        groups = max(1, -(-classes.count() // GROUP))
+        dealt = (
+            classes.withColumn("part", F.pmod(F.xxhash64("embedding"), F.lit(groups)))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+            .select(F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "many", "embedding")
         )
-    )
-    told = written(told, "vector-components")  # so that the join exchanges both sides and a frequent vector's rows can be split
+        found = dealt.groupBy("low", "high").applyInArrow(_cell(threshold), "node long, links long, root long")
+        found = written(found, "vector-links")
+        component = connected(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        linked = classes.select("node", "rep").join(component, "node")
+        least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+        sums = found.groupBy("node").agg(F.sum("links").alias("links"))
+        told = (
+            classes.join(sums, "node", "left")
+            .join(linked.join(least, "component").select("node", "component_id"), "node", "left")
+            .select(
+                "embedding",
+                F.lit(True).alias("valid"),
+                (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"),
+                F.coalesce("component_id", "rep").alias("component_id"),
+            )
+        )
+        told = written(told, "vector-components", result=True)  # so that the join exchanges both sides and a frequent vector's rows can be split
     out = rows.join(told, ["embedding", "valid"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import id_and_text, trimmed, written
+from pagelattice.llm.common import id_and_text, scratch, trimmed, written
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Bytes of text of a batch, and of the corpus per range of keys; they bound memory and change no result.
@@ -331,7 +331,9 @@ def score_documents(docs: DataFrame, stage: bool = False) -> DataFrame:
         .groupBy("bucket", "c_pair", "c_context", "c_word")
         .agg(F.sum("n").alias("n"))
     )
-    weights = spark.sparkContext.broadcast(learned(written(seen, "lm-held-out"), rest, distinct))  # 64 x 3 numbers
+    with scratch(spark):
+        found = learned(written(seen, "lm-held-out"), rest, distinct)
+    weights = spark.sparkContext.broadcast(found)  # 64 x 3 numbers
 
     def score(key: tuple, texts: pa.Table, counted: pa.Table) -> pa.Table:
         doc_ids = texts.column("doc_id").to_pylist()

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import squeezed, trimmed, written
+from pagelattice.llm.common import scratch, squeezed, trimmed, written
 
 LENGTH, GRAM = 200, 64
 #: Distinct block bytes of a unit, and from how many bytes on an anchor is widened.
@@ -418,7 +418,8 @@ def without_repeats(placed: DataFrame, length: int = LENGTH, form: str = "bytes"
     occurs twice is removed whole in both. An empty table gives no rows.
     """
     rows = placed.select("place", F.coalesce("row.text", F.lit("")).alias("text"))
-    spans = repeated_spans(rows, length, **limits)
+    with scratch(placed.sparkSession):
+        spans = written(repeated_spans(rows, length, **limits), "repeat-spans", result=True)
     texts = rows.mapInArrow(trimmed(squeezed), "place long, data binary")
     schema = f"place long, n_bytes long, n_removed long, n_spans long, kept {FORMS[form][1]}, spans array<bigint>"
     return texts.join(spans, "place", "left").select("place", "data", "spans").mapInArrow(trimmed(_told(form)), schema)

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import id_and_text, map_rows, squeezed, trimmed, written
+from pagelattice.llm.common import id_and_text, map_rows, scratch, squeezed, trimmed, written
 from pagelattice.llm.components import connected, merged
 
 WORDS, SEED, BITS = 3, 42, 3
@@ -240,14 +240,15 @@ def spanning_links(prints: DataFrame, bits: int = BITS, anchor_rows: int = _ANCH
 
 def grouped(table: DataFrame, id_column: str, bits: int = BITS) -> DataFrame:
     """(print, component_id): the smallest id among all that carry a fingerprint linked to ``print``."""
-    first = written(table.groupBy("print").agg(F.min(id_column).alias("first")), "prints")
-    component = connected(spanning_links(first.select("print", F.lit(0).alias("lane")), bits).select("a", "b")).withColumnRenamed("node", "print")
-    linked = first.join(component, "print")
-    least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    told = linked.join(least, "component").select("print", "least")
-    told = first.join(told, "print", "left").select("print", F.coalesce("least", "first").alias("component_id"))
-    # written, so that a join with it exchanges both sides and a frequent fingerprint's rows can be split
-    return written(told, "components")
+    with scratch(table.sparkSession):
+        first = written(table.groupBy("print").agg(F.min(id_column).alias("first")), "prints")
+        component = connected(spanning_links(first.select("print", F.lit(0).alias("lane")), bits).select("a", "b")).withColumnRenamed("node", "print")
+        linked = first.join(component, "print")
+        least = linked.groupBy("component").agg(F.min("first").alias("least"))
+        told = linked.join(least, "component").select("print", "least")
+        told = first.join(told, "print", "left").select("print", F.coalesce("least", "first").alias("component_id"))
+        # written, so that a join with it exchanges both sides and a frequent fingerprint's rows can be split
+        return written(told, "groups", result=True)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
@@ -377,12 +378,13 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) whose texts in ``texts`` (node, data) have a Jaccard index of ``ALIKE`` or more."""
-    pairs = written(pairs, "candidates")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = written(texts.join(nodes, "node", "left_semi"), "candidate-texts")
-    for side in ("b", "a"):
-        pairs = pairs.join(needed.select(F.col("node").alias(side), F.col("data").alias(f"{side}_data")), side)
-    return written(pairs.select("a", "b", "a_data", "b_data").mapInArrow(trimmed(_verified), "a long, b long"), "alike")
+    with scratch(pairs.sparkSession):
+        pairs = written(pairs, "candidates")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        needed = written(texts.join(nodes, "node", "left_semi"), "candidate-texts")
+        for side in ("b", "a"):
+            pairs = pairs.join(needed.select(F.col("node").alias(side), F.col("data").alias(f"{side}_data")), side)
+        return written(pairs.select("a", "b", "a_data", "b_data").mapInArrow(trimmed(_verified), "a long, b long"), "alike", result=True)
 
 
 def _possible(a: dict, b: dict):
@@ -401,14 +403,15 @@ def _possible(a: dict, b: dict):
 
 def met_by_prints(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (node, prints) that join all whose fingerprints at one place differ in at most ``bits`` bits."""
-    flat = nodes.select("node", F.posexplode("prints").alias("lane", "print"))
-    first = written(flat.groupBy("lane", "print").agg(F.min("node").alias("rep")), "prints")
-    same = flat.join(first, ["lane", "print"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    met = spanning_links(first, bits)
-    for side in ("a", "b"):
-        met = met.join(first.select("lane", F.col("print").alias(side), F.col("rep").alias(f"{side}_rep")), ["lane", side])
-    pairs = met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).unionByName(same)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    with scratch(nodes.sparkSession):
+        flat = nodes.select("node", F.posexplode("prints").alias("lane", "print"))
+        first = written(flat.groupBy("lane", "print").agg(F.min("node").alias("rep")), "prints")
+        same = flat.join(first, ["lane", "print"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        met = spanning_links(first, bits)
+        for side in ("a", "b"):
+            met = met.join(first.select("lane", F.col("print").alias(side), F.col("rep").alias(f"{side}_rep")), ["lane", side])
+        pairs = met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).unionByName(same)
+        return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "print-pairs", result=True)
 
 
 def _often(hashes: DataFrame) -> np.ndarray:
@@ -424,17 +427,18 @@ def met_by_hashes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     Hashes that many texts have come last. They are found among the lower quarter of all hashes, from which most
     texts have their first ones, and then among all hashes of the texts for which that quarter does not suffice.
     """
-    often = _often(texts.mapInArrow(trimmed(_low_hashes), "hash long"))
-    # texts are not shuffled, only what is made of them
-    firsts = map_rows(texts, "node long, size long, bits array<bigint>, firsts array<bigint>, whole array<bigint>", _firsts(often))
-    firsts = written(firsts.join(nodes.select("node"), "node", "left_semi"), "firsts")
-    high = firsts.select(F.explode("whole").alias("hash")).where(F.col("hash").between(0, int(_LOW) - 1) == F.lit(False))
-    both = np.union1d(often, _often(high))
-    flat = map_rows(firsts.select("node", "firsts", "whole"), "node long, firsts array<bigint>", _second(both))
-    flat = flat.select("node", F.posexplode("firsts").alias("at", "hash"))
-    several = flat.groupBy("hash").count().where("count > 1").select("hash")
-    shared = written(flat.join(written(several, "shared-hashes"), "hash", "left_semi"), "shared")
-    return written(shared.join(firsts.select("node", "size", "bits"), "node"), "met")
+    with scratch(texts.sparkSession):
+        often = _often(texts.mapInArrow(trimmed(_low_hashes), "hash long"))
+        # texts are not shuffled, only what is made of them
+        firsts = map_rows(texts, "node long, size long, bits array<bigint>, firsts array<bigint>, whole array<bigint>", _firsts(often))
+        firsts = written(firsts.join(nodes.select("node"), "node", "left_semi"), "firsts")
+        high = firsts.select(F.explode("whole").alias("hash")).where(F.col("hash").between(0, int(_LOW) - 1) == F.lit(False))
+        both = np.union1d(often, _often(high))
+        flat = map_rows(firsts.select("node", "firsts", "whole"), "node long, firsts array<bigint>", _second(both))
+        flat = flat.select("node", F.posexplode("firsts").alias("at", "hash"))
+        several = flat.groupBy("hash").count().where("count > 1").select("hash")
+        shared = written(flat.join(written(several, "shared-hashes"), "hash", "left_semi"), "shared")
+        return written(shared.join(firsts.select("node", "size", "bits"), "node"), "met", result=True)
 
 
 def groups_of(prints: DataFrame, texts: DataFrame, bits: int = BITS, complete: bool = True) -> DataFrame:
@@ -482,15 +486,16 @@ def one_of_each_group(docs: DataFrame, lanes: int = LANES, words: int = WORDS, b
     """
     rows = docs.select(F.monotonically_increasing_id().alias("place"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     rows = written(rows, "placed")
-    table = rows.select("place", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"))
-    schema = "place long, doc_id long, prints array<bigint>, content binary"
-    table = written(map_rows(table, schema, _described(lanes, words)), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "place", "prints")
-    first = table.groupBy("content").agg(F.min(order).alias("first"))
-    nodes = written(first.select("first.none", "first.id", F.col("first.place").alias("node"), "first.prints"), "nodes")
-    texts = rows.select(F.col("place").alias("node"), F.coalesce("row.text", F.lit("")).alias("text"))
-    component = groups_of(nodes.select("node", "prints"), texts, bits, complete)
-    told = nodes.join(component, "node", "left")
-    stays = told.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct("none", "id", F.col("node").alias("place"))).alias("first"))
-    stays = stays.select(F.col("first.place").alias("place"))
+    with scratch(docs.sparkSession):
+        table = rows.select("place", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"))
+        schema = "place long, doc_id long, prints array<bigint>, content binary"
+        table = written(map_rows(table, schema, _described(lanes, words)), "fingerprints")
+        order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "place", "prints")
+        first = table.groupBy("content").agg(F.min(order).alias("first"))
+        nodes = written(first.select("first.none", "first.id", F.col("first.place").alias("node"), "first.prints"), "nodes")
+        texts = rows.select(F.col("place").alias("node"), F.coalesce("row.text", F.lit("")).alias("text"))
+        component = groups_of(nodes.select("node", "prints"), texts, bits, complete)
+        told = nodes.join(component, "node", "left")
+        stays = told.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct("none", "id", F.col("node").alias("place"))).alias("first"))
+        stays = written(stays.select(F.col("first.place").alias("place")), "stays", result=True)
     return rows.join(stays, "place", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
