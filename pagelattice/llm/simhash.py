@@ -454,9 +454,12 @@ def groups_of(prints: DataFrame, texts: DataFrame, bits: int = BITS, complete: b
     if not complete:
         return connected(verified(pairs, data))
     met = met_by_hashes(prints, texts)
+    # whole texts are shuffled once, and those of the nodes that meet another one are kept
+    nodes = met.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    data = written(data.join(nodes, "node", "left_semi"), "met-texts")
     columns = ("node", "size", "at", "bits")
-    # in an order of its own for all hashes, so that a group of alike nodes mostly meets one of its own
-    least = met.groupBy("hash").agg(F.min(F.struct(F.xxhash64("node").alias("rank"), *columns)).alias("least"), F.count("*").alias("n"))
+    # in an order of its own for each hash, so that a group of alike nodes mostly meets some of its own
+    least = met.groupBy("hash").agg(F.min(F.struct(F.xxhash64("hash", "node").alias("rank"), *columns)).alias("least"), F.count("*").alias("n"))
     least = written(least, "least")
     own, other = {c: F.col(c) for c in columns}, {c: F.col("least")[c] for c in columns}
     stars = met.join(least, "hash").where((own["node"] != other["node"]) & _possible(own, other))
