@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -9,74 +10,98 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Elements whose text is taken as lines, elements without visible text, and elements without content.
-BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote figcaption a button label".split())
+# Elements whose text is taken as lines, in the order in which they are given; elements without
+# visible text; elements without content; elements that stand on lines of their own; and the least length of text
+# that is not taken.
+BLOCKS = "P H1 H2 H3 H4 H5 H6 LI TD TH FIGCAPTION BLOCKQUOTE LABEL BUTTON A SPAN DIV".lower().split()
 UNSEEN = frozenset("script style noscript template head title".split())
 EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote figcaption div section article ul ol table tr br nav footer header main form".split())
 LONGEST = 8000
+_WANTED = frozenset(BLOCKS)
 
 
 class _Reader(HTMLParser):
-    """Collects the text of each element of ``wanted`` as it closes, and blocks of main."""
+    """Collects the texts of wanted elements, in the order in which they begin, and blocks of main.
+
+    All visible text is kept once; an element knows where its text begins, and only texts that are short
+    enough are put together, so the work does not grow with depth.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[dict] = []
-        self.lines: list[str] = []
+        self.open: Counter[str] = Counter()
+        self.parts: list[str] = []
+        self.size = self.unseen = 0
+        self.texts: dict[int, str] = {}
+        self.begun = 0
         self.blocks: list[dict] = []
         self.is_eds, self.sections, self.title = False, 0, ""
 
+    @property
+    def lines(self) -> list[str]:
+        """Distinct lines of two characters or more."""
+        found: dict[str, None] = {}
+        for k in sorted(self.texts):
+            for part in self.texts[k].split("\n"):
+                line = " ".join(part.split())
+                if len(line) >= 2:
+                    found.setdefault(line)
+        return list(found)
+
     def handle_starttag(self, tag, attrs):
         told = dict(attrs)
+        if tag in ("p", "li") and self.stack and self.stack[-1]["tag"] == tag:
+            self.handle_endtag(tag)  # an open paragraph or item ends where the next begins
         if tag in BREAKS:
             self._add("\n")
+        if self.stack and self.stack[-1]["tag"] == "main":
+            self.sections += 1
         if tag in EMPTY:
             return
-        if tag in BLOCKS and any(e["tag"] == tag and tag in ("p", "li") for e in self.stack[-1:]):
-            self.handle_endtag(tag)  # an open paragraph or item ends where the next begins
         names = (told.get("class") or "").split()
         named = "data-block-name" in told
-        inside = any(e["tag"] == "main" for e in self.stack)
-        if self.stack and self.stack[-1]["tag"] == "main":
-            self.sections += 1
         block = None
-        if inside and (named or "block" in names):
+        if self.open["main"] and (named or "block" in names):
             self.is_eds |= named
             if not any(e["block"] is not None for e in self.stack):
                 block = told.get("data-block-name") or next((n for n in names if n != "block"), "block")
                 self.blocks.append({"name": block, "lines": 0})
                 block = len(self.blocks) - 1
-        self.stack.append({"tag": tag, "text": [], "block": block})
+        self.begun += 1
+        self.open[tag] += 1
+        self.unseen += tag in UNSEEN
+        self.stack.append({"tag": tag, "first": len(self.parts), "from": self.size, "begun": self.begun, "block": block})
 
     def handle_endtag(self, tag):
         if tag in BREAKS:
             self._add("\n")
-        if not any(e["tag"] == tag for e in self.stack):
+        if not self.open[tag]:
             return
         while self.stack:
             e = self.stack.pop()
-            said = "".join(e["text"])
-            if e["tag"] == "title":
-                self.title = self.title or " ".join(said.split())
-            if e["tag"] in BLOCKS and len(said) < LONGEST:
-                for part in said.split("\n"):
-                    line = " ".join(part.split())
-                    if len(line) >= 2 and line not in self.lines:
-                        self.lines.append(line)
+            self.open[e["tag"]] -= 1
+            self.unseen -= e["tag"] in UNSEEN
+            if e["tag"] in _WANTED and not self.unseen and self.size - e["from"] < LONGEST:
+                self.texts[e["begun"]] = "".join(self.parts[e["first"] :])
             if e["block"] is not None:
+                said = "".join(self.parts[e["first"] :])
                 self.blocks[e["block"]]["lines"] = sum(bool(x.strip()) for x in said.split("\n"))
             if e["tag"] == tag:
                 break
 
     def handle_data(self, data):
-        self._add(data)
+        if self.unseen:
+            if self.stack[-1]["tag"] == "title" and not self.title:
+                self.title = " ".join(data.split())
+            return
+        self._add(data.replace("\n", " "))
 
     def _add(self, data):
-        unseen = any(e["tag"] in UNSEEN for e in self.stack)
-        for e in self.stack:
-            if not unseen or e["tag"] in UNSEEN:
-                e["text"].append(data if data == "\n" else data.replace("\n", " "))
+        if not self.unseen:
+            self.parts.append(data)
+            self.size += len(data)
 
     def done(self):
         self.close()
@@ -92,7 +117,7 @@ def read_page(html: str) -> _Reader:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """page_id, ord, line of each page's distinct visible lines, as their elements end."""
+    """page_id, ord, line of each page's distinct visible lines, as their elements begin."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:

@@ -77,3 +77,20 @@ def test_events(spark, tmp_path):
 def test_priority(spark):
     rows = spark.createDataFrame([(1, i, t, u, loc, None) for i, (t, u, loc) in enumerate([("modal", "low", "top"), ("cookie-banner", "medium", "center")])], "page_id int, ord int, type string, urgency string, location string, bounds string")
     assert [(r.ord, r.priority) for r in report.first_overlays(rows, 1).collect()] == [(1, 155)]
+
+
+def test_lines_of_all_wanted_elements():
+    """Text of div and span elements too, outer elements first, each line once; long texts are not taken, their parts are."""
+    page = "<div>plain div text</div><span>span text</span><p>para</p><dl><dt>term</dt><dd><b>not wanted</b></dd></dl>"
+    assert html.read_page(page).lines == ["plain div text", "span text", "para"]
+    nested = "<div>outer <a>link</a><div>inner<br>second</div></div><div>inner</div><div>x</div>"
+    assert html.read_page(nested).lines == ["outer link", "inner", "second", "link"]
+    long = "<div>" + "<p>" + "w " * 3999 + "</p><p>short one</p></div>"
+    assert html.read_page(long).lines == [("w " * 3999).strip(), "short one"]
+    deep = "<div>" * 20_000 + "deep" + "</div>" * 20_000
+    assert html.read_page(deep).lines == ["deep"]
+
+
+def test_void_children_of_main_are_sections():
+    r = html.read_page("<main><hr><div class='block hero'>one<br>two</div><img src=x><section><p>a</p></section></main>")
+    assert (r.sections, [b["name"] for b in r.blocks], [b["lines"] for b in r.blocks]) == (4, ["hero"], [2])
