@@ -35,7 +35,7 @@ def _items(spark, sf) -> tuple[DataFrame, DataFrame]:
 ITEMS = a.LINES_SQL + "".join(
     f""",
 {side}_items AS (
-  SELECT pair_id, n AS ord, substring(line, 1, 200) AS text, 10 * (n % 3) AS x, 20 * n AS y, 8 * length(substring(line, 1, 200)) AS w, 16 AS h
+  SELECT pair_id, n AS ord, line AS text, 10 * (n % 3) AS x, 20 * n AS y, 8 * length(line) AS w, 16 AS h
   FROM (SELECT pair_id, line, row_number() OVER (PARTITION BY pair_id ORDER BY ord) - 1 AS n FROM {side}_lines)
 )"""
     for side in ("source", "target")
