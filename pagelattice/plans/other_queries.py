@@ -232,15 +232,15 @@ def crawl_first_reveal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"WITH {CRAWL}, s AS (SELECT pair_id // 3 AS pair_id, pair_id AS ord, substring(text, 1, 3) AS signature FROM base WHERE ord = 0), "
+    f"WITH {CRAWL}, s AS (SELECT pair_id // 3 AS pair_id, pair_id AS ord, text AS signature FROM base WHERE ord = 0), "
     "f AS (SELECT pair_id, signature, min(ord) AS ord FROM s GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY ord) AS n FROM f) "
-    "SELECT pair_id, signature, ord FROM r WHERE n <= 2"
+    "SELECT pair_id, signature, ord FROM r WHERE n <= 40"
 )
 def crawl_states(spark: SparkSession, sf: str) -> DataFrame:
-    """At most two states a pair."""
+    """The first forty distinct states of a pair, told by their first line."""
     base = _crawl(spark, sf)[0].where("ord = 0")
-    states = base.select(F.floor(F.col("pair_id") / 3).cast("long").alias("pair_id"), F.col("pair_id").alias("ord"), F.substring("text", 1, 3).alias("signature"))
-    return crawl.distinct_states(states, 2).select("pair_id", "signature", "ord")
+    states = base.select(F.floor(F.col("pair_id") / 3).cast("long").alias("pair_id"), F.col("pair_id").alias("ord"), F.col("text").alias("signature"))
+    return crawl.distinct_states(states, 40).select("pair_id", "signature", "ord")
 
 
 BASE_KEY = rf"'t:' || lower(trim(regexp_replace(coalesce(text, ''), '{a.SPACES}', ' ', 'g')))"
@@ -260,7 +260,7 @@ def state_delta(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def trigger_snap(spark: SparkSession, sf: str) -> DataFrame:
     """Lines as labels, their places drifted by up to 400 pixels."""
-    lines = a.source_lines(spark, sf).select("pair_id", F.col("ord").cast("int").alias("ord"), F.substring("line", 1, 80).alias("label"))
+    lines = a.source_lines(spark, sf).select("pair_id", F.col("ord").cast("int").alias("ord"), F.col("line").alias("label"))
     at = lines.withColumns({"x": (F.col("ord") % 3 * 200).cast("double"), "y": (F.col("ord") * 60).cast("double"), "w": F.lit(150.0), "h": F.lit(20.0)})
     elements = at.where("ord % 5 <> 0").select("pair_id", F.col("ord").alias("e_ord"), F.when(F.col("ord") % 2 == 0, "click").otherwise("text").alias("kind"), "label", "x", "y", "w", "h")
     return crawl.snap(at.withColumn("y", F.col("y") + F.col("ord") * 37 % 400), elements)
