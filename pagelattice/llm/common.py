@@ -53,11 +53,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         spark._jvm.System.gc()
 
 
-def written(df: DataFrame, name: str, result: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, result: bool = False, partition_by: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     stack = _scopes.__dict__.get("stack", [])
     if len(stack) > result:
         stack[-1 - result].append(path)

@@ -13,10 +13,12 @@ from pagelattice.llm.embed_dedup import link_vectors
 from pagelattice.llm.html_text import extract_pages
 from pagelattice.llm.licenses import scan_documents
 from pagelattice.llm.lm_score import score_documents as lm_scores
+from pagelattice.llm.oracles import OP11
 from pagelattice.llm.packing import pack_documents
 from pagelattice.llm.runs_dedup import digests
 from pagelattice.llm.simhash import near_duplicates
 from pagelattice.llm.toxicity import score_documents as toxicity_scores
+from pagelattice.llm.valid_time import enriched_sales
 from pagelattice.llm.webp import media_documents
 
 
@@ -61,6 +63,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_valid_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enriched_sales(spark.read.parquet(f"{sf_dir}/sales.parquet"), spark.read.parquet(f"{sf_dir}/client_changes.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_valid_time": op11_valid_time,
 }
 
 OP5_SQL = """
@@ -93,4 +100,4 @@ FROM embeddings LEFT JOIN least ON least.a = vec_id LEFT JOIN many ON many.a = v
 """
 
 #: The other operators have no SQL form: they hash, tokenise or encode bytes, or learn; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op5_embedding_dedup": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_embedding_dedup": OP5_SQL, "op11_valid_time": OP11}
