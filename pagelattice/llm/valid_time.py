@@ -338,6 +338,10 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # many small stores: no disk is set aside for each, and those of earlier starts are closed soon
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "2s",
     "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
