@@ -30,8 +30,8 @@ from pagelattice.llm.common import scratch, shared_dir, written
 #: Fixed values of the contract: number of batches, first day since 1970, days that the batches span.
 BATCHES, FIRST_DAY, DAYS = 12, 19723, 152
 DAY = 86_400_000_000
-#: State groups of ordinary clients for each shuffle partition; evens out the partitions' loads.
-GROUPS_A_PARTITION = 4
+#: State groups of ordinary clients for each shuffle partition.
+GROUPS_A_PARTITION = 1
 
 SALE, CHANGE, TICK, PASSED = range(4)
 ID_NULL, CLIENT_NULL, TIME_NULL, CENTS_NULL, SETTLED = 1, 2, 4, 8, 16
@@ -274,7 +274,18 @@ def crowded_clients(rows: DataFrame, parts: int) -> Crowd:
     return Crowd({r["client"]: max(1_000_000, int((r["span"] or DAY) * (r["total"] / (parts * BATCHES)) / r["n"])) for r in found})
 
 
-def dealt(rows: DataFrame, crowd: Crowd, parts: int) -> DataFrame:
+def group_ids(spark: SparkSession, partitions: int) -> list[int]:
+    """Numbers of ordinary groups that hash to different partitions, ``GROUPS_A_PARTITION`` for each where that many are found.
+
+    Only the balance of the partitions hangs on it.
+    """
+    near = spark.range(20 * partitions * GROUPS_A_PARTITION)
+    where = F.pmod(F.hash("id", F.lit(-1).cast("long")), F.lit(partitions))
+    ids = near.groupBy(where.alias("at")).agg(F.slice(F.sort_array(F.collect_list("id")), 1, GROUPS_A_PARTITION).alias("ids"))
+    return sorted(i for r in ids.collect() for i in r["ids"])
+
+
+def dealt(rows: DataFrame, crowd: Crowd, ids: list[int]) -> DataFrame:
     """``rows`` with their group: (part, -1) by hash for ordinary clients, (client, slice) for crowded ones.
 
     Sales without a client have no versions and go by their id; those of a crowded client without a time go to slices below -1.
@@ -282,7 +293,8 @@ def dealt(rows: DataFrame, crowd: Crowd, parts: int) -> DataFrame:
     no_client = F.col("flags").bitwiseAND(CLIENT_NULL) != 0
     no_time = F.col("flags").bitwiseAND(TIME_NULL) != 0
     by = F.when(no_client, F.col("id")).otherwise(F.col("client"))
-    part = F.pmod(F.xxhash64(by), F.lit(parts))
+    parts = len(ids)
+    part = F.array(*(F.lit(i).cast("long") for i in ids))[F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")]
     if not crowd.widths:
         return rows.withColumns({"part": part, "slice": F.lit(-1).cast("long")})
     width = F.create_map(*(F.lit(x).cast("long") for pair in crowd.widths.items() for x in pair))[F.col("client")]
@@ -292,21 +304,24 @@ def dealt(rows: DataFrame, crowd: Crowd, parts: int) -> DataFrame:
     return rows.withColumns({"part": F.when(width.isNull(), part).otherwise(F.col("client")), "slice": slice_.cast("long")})
 
 
-def _ticks(spark: SparkSession, parts: int) -> DataFrame:
+def _ticks(spark: SparkSession, ids: list[int]) -> DataFrame:
     """One row for each ordinary group, so that it drains in a start without rows of its own."""
     values = {"kind": TICK, "slice": -1, "id": 0, "client": 0, "at": 0, "cents": 0, "flags": 0, "op": None}
     kinds = {n: k for n, k in (f.split() for f in FEED.split(", "))}
-    return spark.range(parts).select(*(F.col("id").alias("part") if n == "part" else F.lit(values[n]).cast(k).alias(n) for n, k in kinds.items()))
+    groups = spark.createDataFrame([(i,) for i in ids], "part long").coalesce(1)
+    return groups.select(*("part" if n == "part" else F.lit(values[n]).cast(k).alias(n) for n, k in kinds.items()))
 
 
 def _slice_ticks(pages: DataFrame) -> DataFrame:
     """One row for each slice that holds anything; all but the latest that settled a version are told that theirs is passed."""
-    latest = F.max(F.when(F.col("settled"), F.col("slice"))).over(Window.partitionBy("client"))
-    kind = F.when(F.col("settled") & (F.col("slice") < F.col("latest")), PASSED).otherwise(TICK)
+    latest = {r["client"]: r["latest"] for r in pages.where("settled").groupBy("client").agg(F.max("slice").alias("latest")).collect()}
+    passed = F.lit(False)
+    if latest:  # one entry for a crowded client at most
+        passed = F.col("settled") & (F.col("slice") < F.create_map(*(F.lit(x).cast("long") for pair in latest.items() for x in pair))[F.col("client")])
     zero = F.lit(0).cast("long")
-    return pages.withColumn("latest", latest).where("alive").select(
-        kind.cast("int").alias("kind"), F.col("client").alias("part"), "slice", zero.alias("id"), "client", zero.alias("at"), zero.alias("cents"),
-        F.lit(0).alias("flags"), F.lit(None).cast("string").alias("op"),
+    return pages.where("alive").select(
+        F.when(passed, PASSED).otherwise(TICK).cast("int").alias("kind"), F.col("client").alias("part"), "slice", zero.alias("id"), "client",
+        zero.alias("at"), zero.alias("cents"), F.lit(0).alias("flags"), F.lit(None).cast("string").alias("op"),
     )
 
 
@@ -358,29 +373,28 @@ def enriched_sales(sales: DataFrame, changes: DataFrame) -> DataFrame:
     the changes tell repeated rows apart.
     """
     spark = sales.sparkSession
-    parts = GROUPS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = f"{shared_dir(spark)}/valid-time-{uuid.uuid4().hex}"
-    feed, out = f"{base}/feed", f"{base}/out"
+    feed, out = f"{base}/feed", [f"{base}/out/{b}" for b in range(BATCHES + 1)]
     columns = [f.split()[0] for f in FEED.split(", ")]
     with scratch(spark), _settings(spark, **SETTINGS):
         rows = written(events(sales, changes).hint("rebalance", "batch"), "events", partition_by="batch")
-        crowd = crowded_clients(rows, parts)
-        rows = dealt(rows, crowd, parts)
+        ids = group_ids(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        crowd = crowded_clients(rows, len(ids))
+        rows = dealt(rows, crowd, ids)
         limits = [*horizons(rows), (MOST, LEAST)]
         for batch, (horizon, late_before) in enumerate(limits):
-            given = rows.where(F.col("batch") == batch).select(*columns).unionByName(_ticks(spark, parts))
+            given = rows.where(F.col("batch") == batch).select(*columns).unionByName(_ticks(spark, ids))
             if batch and crowd.widths:
-                pages = spark.read.schema(OUT).parquet(out).where((F.col("rec") == "page") & (F.col("batch") == batch - 1))
-                given = given.unionByName(_slice_ticks(pages).select(*columns))
+                given = given.unionByName(_slice_ticks(spark.read.schema(OUT).parquet(out[batch - 1]).where("rec = 'page'")).select(*columns))
             given.write.mode("append").parquet(feed)
             (
                 spark.readStream.schema(FEED).parquet(feed)
                 .groupBy("part", "slice")
                 .transformWithStateInPandas(DayPages(batch, horizon, late_before), OUT, "Append", "None")
-                .writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
-                .trigger(availableNow=True).start(out).awaitTermination()
+                .writeStream.foreachBatch(lambda df, _, to=out[batch]: df.write.mode("overwrite").parquet(to))
+                .outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
             )
-    found = spark.read.schema(OUT).parquet(out)
+    found = spark.read.schema(OUT).parquet(*out)
     return resolved(found, bool(crowd.widths)).select(*(f.split()[0] for f in OUT.split(", ")[:7]))
 
 

@@ -69,7 +69,7 @@ def shop(seed, n, m, hot):
     return sales + sales[:9], changes + changes[:9]
 
 
-@pytest.mark.parametrize(("hot", "groups"), [(0.1, 1), (0.5, 1)])
+@pytest.mark.parametrize(("hot", "groups"), [(0.1, 4), (0.5, 1)])
 def test_enriched_sales(spark, monkeypatch, hot, groups):
     monkeypatch.setattr(valid_time, "GROUPS_A_PARTITION", groups)
     sales, changes = shop(5, 400, 300, hot)
@@ -83,12 +83,16 @@ def test_empty_tables(spark):
     assert got.collect() == []
 
 
+def test_groups_go_to_different_partitions(spark):
+    assert len(valid_time.group_ids(spark, 12)) == 12
+
+
 def test_crowded_clients_are_sliced(spark):
     """A client with half of the rows is dealt over many slices, and none of them has much of it."""
     sales, changes = shop(6, 3000, 2000, 0.5)
     rows = valid_time.events(spark.createDataFrame(sales, SALES), spark.createDataFrame(changes, CHANGES))
     crowd = valid_time.crowded_clients(rows, 4)
     assert set(crowd.widths) == {1}
-    parts = [r["count"] for r in valid_time.dealt(rows, crowd, 4).where("slice <> -1").groupBy("slice").count().collect()]
+    parts = [r["count"] for r in valid_time.dealt(rows, crowd, valid_time.group_ids(spark, 4)).where("slice <> -1").groupBy("slice").count().collect()]
     assert len(parts) > 20
     assert max(parts) < 0.1 * sum(parts)
