@@ -13,8 +13,10 @@ from pagelattice.llm.embed_dedup import link_vectors
 from pagelattice.llm.html_text import extract_pages
 from pagelattice.llm.licenses import scan_documents
 from pagelattice.llm.lm_score import score_documents as lm_scores
-from pagelattice.llm.oracles import OP11
+from pagelattice.llm.oracles import OP11, OP12
 from pagelattice.llm.packing import pack_documents
+from pagelattice.llm.pii import find_personal_data
+from pagelattice.llm.resample import resampled
 from pagelattice.llm.runs_dedup import digests
 from pagelattice.llm.simhash import near_duplicates
 from pagelattice.llm.toxicity import score_documents as toxicity_scores
@@ -67,6 +69,14 @@ def op11_valid_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enriched_sales(spark.read.parquet(f"{sf_dir}/sales.parquet"), spark.read.parquet(f"{sf_dir}/client_changes.parquet"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -79,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
     "op11_valid_time": op11_valid_time,
+    "op12_resampling": op12_resampling,
+    "op13_personal_data": op13_personal_data,
 }
 
 OP5_SQL = """
@@ -100,4 +112,4 @@ FROM embeddings LEFT JOIN least ON least.a = vec_id LEFT JOIN many ON many.a = v
 """
 
 #: The other operators have no SQL form: they hash, tokenise or encode bytes, or learn; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op5_embedding_dedup": OP5_SQL, "op11_valid_time": OP11}
+ORACLE_SQL: dict[str, str] = {"op5_embedding_dedup": OP5_SQL, "op11_valid_time": OP11, "op12_resampling": OP12}

@@ -58,3 +58,31 @@ FROM judged WHERE late
 UNION ALL
 SELECT 'sale', sale_id, joined.e, coalesce(n, 0), change_id, balance_cents, op FROM joined LEFT JOIN many ON many.e = joined.e AND many.client_id = joined.client_id
 """
+
+#: Words of documents and benchmark; a row of documents is told from others by its number.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP12 = f"""
+WITH RECURSIVE {CRC},
+d AS (SELECT doc_id, row_number() OVER () AS n, {_WORDS} AS words FROM documents),
+w AS (SELECT n, unnest(words) AS w FROM d),
+b AS (SELECT unnest({_WORDS}) AS w FROM benchmark),
+bucket AS (SELECT w, {crc32("w")} % 10000 AS k FROM (SELECT w FROM w UNION SELECT w FROM b), crc_table),
+source AS (SELECT k, count(*) AS s FROM w JOIN bucket USING (w) GROUP BY k),
+target AS (SELECT k, count(*) AS t FROM b JOIN bucket USING (w) GROUP BY k),
+totals AS (SELECT (SELECT count(*) FROM w) AS all_s, (SELECT count(*) FROM b) AS all_t),
+gain AS (
+  SELECT k, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000) / ((s + 1)::DOUBLE * (all_t + 10000)))) AS BIGINT) AS gain
+  FROM source LEFT JOIN target USING (k), totals
+),
+weighed AS (SELECT n, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM w JOIN bucket USING (w) JOIN gain USING (k) GROUP BY n),
+scored AS (
+  SELECT doc_id, n, len(words) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN weighed USING (n)
+),
+ranked AS (
+  SELECT n, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n) AS rank, count(*) OVER () AS eligible FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= 10 * eligible // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (n)
+"""
