@@ -3,7 +3,8 @@
 A state group holds versions and waiting sales in pages of a day: map state from day to page, and a
 directory of the pages with their counts. A start of the query adds the batch's rows to the group, emits
 the sales that are due with their client's version (own page or the nearest earlier one), and prunes versions up to
-the horizon; pages that drain are dropped.
+the horizon. Pages up to there are drained and dropped; the one version that each client keeps of them goes to a page
+before all others.
 
 Clients are dealt over groups by hash. A client with more than a group's fair share of all rows is dealt over time
 slices instead, each a group of its own. Slices tell after each start what they hold; from these rows the next
@@ -30,6 +31,8 @@ from pagelattice.llm.common import scratch, shared_dir, written
 #: Fixed values of the contract: number of batches, first day since 1970, days that the batches span.
 BATCHES, FIRST_DAY, DAYS = 12, 19723, 152
 DAY = 86_400_000_000
+#: The page of versions up to the horizon, before all days.
+DRAINED = -(2**40)
 #: State groups of ordinary clients for each shuffle partition.
 GROUPS_A_PARTITION = 1
 
@@ -135,13 +138,10 @@ class DayPages(StatefulProcessor):
         new["flags"] = new["flags"] & (ID_NULL | CENTS_NULL)
         sales = _taken(given, given["kind"] == SALE)
 
-        days = sorted(n_versions)
-        held = _joined([*self.versions.read(days), {f.name: new[f.name] for f in VERSION}], VERSION)
-        touched = set((new["at"] // DAY).tolist())
-        if (given["kind"] == PASSED).any():  # a later slice has the client's last version up to the horizon
-            gone = held["flags"] & SETTLED != 0
-            touched |= set((held["at"][gone] // DAY).tolist())
-            held = _taken(held, ~gone)
+        held = _joined([*self.versions.read(sorted(n_versions)), {f.name: new[f.name] for f in VERSION}], VERSION)
+        passed = (given["kind"] == PASSED).any()
+        if passed:  # a later slice has the client's last version up to the horizon
+            held = _taken(held, held["flags"] & SETTLED == 0)
         held = _taken(held, np.lexsort((np.where(held["flags"] & ID_NULL, LEAST, held["id"]), held["at"], held["client"])))
 
         # due: new sales and pages of waiting ones before the horizon
@@ -163,14 +163,15 @@ class DayPages(StatefulProcessor):
         next_too[:-1] = below[1:] & (held["client"][1:] == held["client"][:-1])
         gone = below & next_too
         newly = below & (held["flags"] & SETTLED == 0)
-        touched |= set((held["at"][gone | newly] // DAY).tolist())
         if slice_ >= 0 and (had_state or len(held["at"]) or len(stay["at"])):
             left = bool(n_waiting) or not gone.all()
             out.append(self.page_row(slice_, held, bool(below.any()), left, int(given["client"][0])))
         held["flags"] = np.where(newly, held["flags"] | SETTLED, held["flags"])
-        held = _taken(held, ~gone)
+        if passed or newly.any():
+            self.versions.write(n_versions, DRAINED, _taken(held, below & ~gone))
+        held = _taken(held, ~below)
         day = held["at"] // DAY
-        for d in sorted(touched):
+        for d in sorted({*(new["at"] // DAY).tolist(), *(d for d in n_versions if d != DRAINED and d * DAY <= self.horizon)}):
             self.versions.write(n_versions, d, _taken(held, day == d))
 
         days = sorted({*n_versions, *n_waiting})
@@ -358,6 +359,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     "spark.sql.streaming.stateStore.maintenanceInterval": "2s",
     "spark.sql.streaming.minBatchesToRetain": "2",
+    # the other manager starts a process for each file that it renames in a folder of the operating system
+    "spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
