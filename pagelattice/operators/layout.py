@@ -134,42 +134,74 @@ def _edits_within(a: str, b: str, most: int) -> bool:
     return distance <= most
 
 
-def alike_matrix(a: list[str], b: list[str]) -> np.ndarray:
-    """J11 for all pairs; letter counts exclude most pairs before any edit distance is computed."""
+def alike_places(a: list[str], b: list[str]) -> list[np.ndarray]:
+    """For each key of ``a`` the places of its alike keys in ``b``, rising; equal keys share one array.
+
+    An edit changes the length by 1 and the letter counts by 2 at most, so keys are looked up in a window of lengths, and
+    letter counts exclude most of those before any edit distance is computed.
+    """
     left, at_left = np.unique(np.array(a, object), return_inverse=True)
     right, at_right = np.unique(np.array(b, object), return_inverse=True)
-    counts = [np.array([np.bincount(np.frombuffer(k.encode("latin-1", "replace"), np.uint8), minlength=256) for k in side]) for side in (left, right)]
-    used = np.flatnonzero(np.concatenate(counts).any(0))
-    counts = [c[:, used].astype(np.int32) for c in counts]
-    sizes = [np.array([len(k) for k in side]) for side in (left, right)]
-    found = np.zeros((len(left), len(right)), bool)
-    for i, k in enumerate(left):
-        shorter = np.minimum(sizes[0][i], sizes[1])
-        most = np.where(shorter >= FUZZY_LENGTH, np.maximum(1, np.floor(shorter * FUZZY_SHARE).astype(int)), 0)
-        # an edit changes the letter counts by 2 at most
-        possible = (np.abs(sizes[0][i] - sizes[1]) <= most) & (np.abs(counts[0][i] - counts[1]).sum(1) <= 2 * most)
-        for j in np.flatnonzero(possible):
-            found[i, j] = k == right[j] or (most[j] > 0 and _edits_within(k, right[j], int(most[j])))
-    return found[np.ix_(at_left, at_right)]
-
-
-def alignment(alike: np.ndarray) -> list[tuple[int, int]]:
-    """Steps (i, j) of a longest common subsequence, with -1 for the side that a step skips.
-
-    Of equally long ones the walk prefers a match, then a step on the source side. A row of the table is
-    a running maximum from the right, so rows are array operations; memory is 4 n m bytes.
+    order = np.argsort(np.array([len(k) for k in right]), kind="stable")
+    right = right[order]
+    places = np.split(np.argsort(np.argsort(order)[at_right], kind="stable"), np.cumsum(np.bincount(np.argsort(order)[at_right], minlength=len(right)))[:-1])
+    sizes = np.array([len(k) for k in right])
+    number = {k: j for j, k in enumerate(right)}
+    letters = lambda k: np.frombuffer(k.encode("latin-1", "replace"), np.uint8)
+    used = np.unique(np.concatenate([np.unique(letters(k)) for k in (*left, *right)]))
+    slot = np.zeros(256, np.int64)
+    slot[used] = np.arange(len(used))
+    counts = np.array([np.bincount(slot[letters(k)], minlength=len(used)) for k in right], np.int32)
+    found = []
+    for k in left:
+        alike = [number[k]] if k in number else []
+        if len(k) >= FUZZY_LENGTH:
+            most = max(1, int(len(k) * FUZZY_SHARE))
+            lo, hi = np.searchsorted(sizes, max(FUZZY_LENGTH, len(k) - most)), np.searchsorted(sizes, len(k) + most, "right")
+            own = np.bincount(slot[letters(k)], minlength=len(used))
+            allowed = np.maximum(1, np.floor(np.minimum(sizes[lo:hi], len(k)) * FUZZY_SHARE).astype(int))
+            near = np.abs(counts[lo:hi] - own).sum(1) <= 2 * allowed
+            alike += [j for j in (np.flatnonzero(near) + lo).tolist() if right[j] != k and _edits_within(k, right[j], int(allowed[j - lo]))]
+        found.append(np.sort(np.concatenate([places[j] for j in alike])) if alike else np.empty(0, np.int64))
+    return [found[i] for i in at_left]
+
+
+def _row_above(below: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """The table's row of an item from the row of the next one: a running maximum from the right."""
+    best = below.copy()
+    best[alike] = below[alike + 1] + 1
+    return np.maximum.accumulate(best[::-1])[::-1]
+
+
+def walk(alike: list[np.ndarray], m: int) -> list[tuple[int, int]]:
+    """Steps (i, j) of a longest common subsequence of items with these alike places among ``m`` others; -1 for the side that a step skips.
+
+    Of equally long ones the walk prefers a match, then a step on the source side. Only every k-th row of the table is
+    kept, k being the root of its height; the walk makes the rows between two of them again when it comes there, so memory
+    grows with the root of the product of both lengths and a row, not with the product.
     """
-    n, m = alike.shape
-    table = np.zeros((n + 1, m + 1), np.int32)
+    n = len(alike)
+    height = max(1, math.isqrt(n))
+    kept, row = {n: np.zeros(m + 1, np.int32)}, np.zeros(m + 1, np.int32)
     for i in range(n - 1, -1, -1):
-        best = np.where(alike[i], table[i + 1, 1:] + 1, table[i + 1, :-1])
-        table[i, :m] = np.maximum.accumulate(best[::-1])[::-1]
-    steps, i, j = [], 0, 0
+        row = _row_above(row, alike[i])
+        if i % height == 0:
+            kept[i] = row
+    steps, i, j, top, rows, own = [], 0, 0, -1, [], set()
+    fresh = -1
     while i < n and j < m:
-        if alike[i, j]:
+        if i - i % height != top:
+            top = i - i % height
+            rows = [kept[min(n, top + height)]]
+            for k in range(min(n, top + height) - 1, top - 1, -1):
+                rows.append(_row_above(rows[-1], alike[k]))
+            rows.reverse()
+        if fresh != i:
+            own, fresh = set(alike[i].tolist()), i
+        if j in own:
             steps.append((i, j))
             i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
+        elif rows[i + 1 - top][j] >= rows[i - top][j + 1]:
             steps.append((i, -1))
             i += 1
         else:
@@ -178,6 +210,11 @@ def alignment(alike: np.ndarray) -> list[tuple[int, int]]:
     return steps + [(k, -1) for k in range(i, n)] + [(-1, k) for k in range(j, m)]
 
 
+def alignment(alike: np.ndarray) -> list[tuple[int, int]]:
+    """``walk`` over a table of all pairs."""
+    return walk([np.flatnonzero(row) for row in alike], alike.shape[1])
+
+
 ALIGNED = (
     "pair_id string, op int, side string, ord int, text string, x int, y int, w int, h int, key string, status string, segment int, "
     "counterpart int, other_x int, other_y int, other_w int, other_h int, other_text string"
@@ -192,8 +229,8 @@ def aligned_pair(pair_id, source: pd.DataFrame, target: pd.DataFrame) -> pd.Data
     """
     sides = {"source": source, "target": target}
     keys = {k: v["key"].tolist() for k, v in sides.items()}
-    alike = alike_matrix(keys["source"], keys["target"]) if keys["source"] and keys["target"] else np.zeros((len(source), len(target)), bool)
-    steps = alignment(alike)
+    alike = alike_places(keys["source"], keys["target"]) if keys["source"] and keys["target"] else [np.empty(0, np.int64)] * len(source)
+    steps = walk(alike, len(target))
     status = {k: [""] * len(v) for k, v in sides.items()}
     other = {k: [-1] * len(v) for k, v in sides.items()}
     segment = {k: [None] * len(v) for k, v in sides.items()}
@@ -225,9 +262,9 @@ def aligned_pair(pair_id, source: pd.DataFrame, target: pd.DataFrame) -> pd.Data
                 status["source"][i] = "missing"
             for j in t:
                 status["target"][j] = "extra"
-    free = [j for j, st in enumerate(status["target"]) if st == "extra"]
+    free = {j for j, st in enumerate(status["target"]) if st == "extra"}
     for i, st in enumerate(status["source"]):
-        if st == "missing" and (j := next((j for j in free if alike[i, j]), None)) is not None:
+        if st == "missing" and free and (j := next((j for j in alike[i].tolist() if j in free), None)) is not None:
             free.remove(j)
             status["source"][i] = status["target"][j] = "moved"
             other["source"][i], other["target"][j] = j, i
@@ -249,7 +286,8 @@ def aligned_pair(pair_id, source: pd.DataFrame, target: pd.DataFrame) -> pd.Data
 def align(source: DataFrame, target: DataFrame, rules: list[dict] | None = None) -> DataFrame:
     """J9, J10, A7 over prepared items of both sides, ordered by ``ord`` within a pair."""
     columns = ["pair_id", "ord", "text", "x", "y", "w", "h", "key"]
-    sides = [prepared(side, rules).select(F.col("pair_id").cast("string").alias("pair_id"), *columns[1:]) for side in (source, target)]
+    # aliases keep the sides apart where both come from one table
+    sides = [prepared(side, rules).select(F.col("pair_id").cast("string").alias("pair_id"), *(F.col(c).alias(c) for c in columns[1:])) for side in (source, target)]
 
     def run(key, s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         # a side without rows comes without columns

@@ -119,6 +119,34 @@ def layout_lcs_length(spark: SparkSession, sf: str) -> DataFrame:
     return found.where("n > 0").select("pair_id", "matched")
 
 
+@query(
+    f"WITH RECURSIVE {PREPARED}, t AS (SELECT pair_id, list(key ORDER BY k) AS keys, list(ord ORDER BY k) AS places FROM target GROUP BY pair_id), "
+    "s AS (SELECT pair_id, list(key ORDER BY k) AS keys, list(ord ORDER BY k) AS places FROM source GROUP BY pair_id), "
+    "pages AS (SELECT s.pair_id, s.keys AS a, t.keys AS b, s.places AS pa, t.places AS pb FROM s JOIN t USING (pair_id)), "
+    # rows of the table from the last source item to the first; cells are those of target places 1 to m + 1
+    "dp(pair_id, i, cells) AS (SELECT pair_id, CAST(len(a) + 1 AS BIGINT), list_transform(range(len(b) + 1), lambda j: CAST(0 AS BIGINT)) FROM pages UNION ALL "
+    "SELECT pair_id, i, list_concat(list_transform(range(1, len(best) + 1), lambda j: list_max(best[j:])), [CAST(0 AS BIGINT)]) FROM ("
+    f"SELECT d.pair_id, d.i - 1 AS i, list_transform(range(1, len(b) + 1), lambda j: CASE WHEN {ALIKE.format('a[d.i - 1]', 'b[j]')} THEN d.cells[j + 1] + 1 ELSE d.cells[j] END) AS best "
+    "FROM dp d JOIN pages USING (pair_id) WHERE d.i > 1)), "
+    "step(pair_id, op, i, j, di, dj) AS (SELECT pair_id, CAST(-1 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM pages UNION ALL "
+    "SELECT pair_id, op, i, j, di, CASE WHEN hit OR di = 0 THEN 1 ELSE 0 END FROM ("
+    "SELECT pair_id, op, i, j, hit, CASE WHEN hit THEN 1 WHEN j > m THEN 1 WHEN i > n THEN 0 WHEN down >= across THEN 1 ELSE 0 END AS di FROM ("
+    "SELECT x.pair_id, x.op + 1 AS op, x.i + x.di AS i, x.j + x.dj AS j, len(a) AS n, len(b) AS m, "
+    f"coalesce(x.i + x.di <= len(a) AND x.j + x.dj <= len(b) AND {ALIKE.format('a[x.i + x.di]', 'b[x.j + x.dj]')}, false) AS hit, lower_row.cells[x.j + x.dj] AS down, own_row.cells[x.j + x.dj + 1] AS across "
+    "FROM step x JOIN pages USING (pair_id) LEFT JOIN dp own_row ON own_row.pair_id = x.pair_id AND own_row.i = x.i + x.di "
+    "LEFT JOIN dp lower_row ON lower_row.pair_id = x.pair_id AND lower_row.i = x.i + x.di + 1 WHERE x.i + x.di <= len(a) OR x.j + x.dj <= len(b)))) "
+    "SELECT CAST(pair_id AS VARCHAR) AS pair_id, op, CASE WHEN di = 1 THEN CAST(pa[i] AS BIGINT) END AS source_ord, CASE WHEN dj = 1 THEN CAST(pb[j] AS BIGINT) END AS target_ord "
+    "FROM step JOIN pages USING (pair_id) WHERE op >= 0"
+)
+def layout_pairing(spark: SparkSession, sf: str) -> DataFrame:
+    """The steps of the walk itself, for pairs whose sides both have items."""
+    found = _longs(_aligned(spark, sf), "op", "ord")
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("ord")))
+    steps = found.groupBy("pair_id", "op").agg(of("source").alias("source_ord"), of("target").alias("target_ord"))
+    sides = found.groupBy("pair_id").agg(F.count_distinct("side").alias("n")).where("n = 2")
+    return steps.join(sides.select("pair_id"), "pair_id")
+
+
 @query()
 def layout_moved(spark: SparkSession, sf: str) -> DataFrame:
     """J10."""

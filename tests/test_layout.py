@@ -65,6 +65,70 @@ def test_alignment_length_against_table():
         assert [i for i, _ in steps if i >= 0] == list(range(n)) and [j for _, j in steps if j >= 0] == list(range(m))
 
 
+def dense_walk(alike):
+    """The whole table and the walk's rule, plainly."""
+    n, m = alike.shape
+    t = np.zeros((n + 1, m + 1), int)
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            t[i, j] = t[i + 1, j + 1] + 1 if alike[i, j] else max(t[i + 1, j], t[i, j + 1])
+    steps, i, j = [], 0, 0
+    while i < n and j < m:
+        if alike[i, j]:
+            steps.append((i, j))
+            i, j = i + 1, j + 1
+        elif t[i + 1, j] >= t[i, j + 1]:
+            steps.append((i, -1))
+            i += 1
+        else:
+            steps.append((-1, j))
+            j += 1
+    return steps + [(k, -1) for k in range(i, n)] + [(-1, k) for k in range(j, m)]
+
+
+def test_walk_keeps_the_rule_of_ties():
+    rng = np.random.default_rng(4)
+    for share in (0.02, 0.1, 0.3, 0.7):
+        for _ in range(60):
+            alike = rng.random((rng.integers(0, 40), rng.integers(0, 40))) < share
+            assert layout.alignment(alike) == dense_walk(alike)
+
+
+def test_alike_places_are_those_of_all_pairs():
+    rng = np.random.default_rng(5)
+    words = ["alpha", "beta", "gamma delta", "gamma delto", "pay", "buy", "credit card", "credit cards", "kredit card", "日本語の文章です", "日本語の文書です"]
+    keys = [" ".join(rng.choice(words, rng.integers(1, 4))) for _ in range(150)]
+    a, b = keys[:80], keys[50:]
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, before = [i], row
+            for j, d in enumerate(y, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (c != d)))
+        return row[-1]
+
+    def alike(x, y):
+        shorter = min(len(x), len(y))
+        return x == y or shorter >= 6 and edits(x, y) <= max(1, int(shorter * 0.15))
+
+    found = layout.alike_places(a, b)
+    assert [p.tolist() for p in found] == [[j for j, y in enumerate(b) if alike(x, y)] for x in a]
+
+
+def test_long_pages_are_aligned_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    n = 10_000
+    alike = [np.sort(rng.choice(n, 3, replace=False)) for _ in range(n)]
+    tracemalloc.start()
+    steps = layout.walk(alike, n)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    assert [i for i, _ in steps if i >= 0] == list(range(n)) == [j for _, j in steps if j >= 0]
+
+
 def test_hamming(spark):
     rows = [(None, "0" * 16), ("0", "00"), ("0" * 16, "f" * 16), ("0" * 16, "0" * 15 + "1")]
     found = spark.createDataFrame(rows, "a string, b string").select(images.hamming_hex(F.col("a"), F.col("b")).alias("d"))
