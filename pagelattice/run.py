@@ -96,8 +96,8 @@ class Run:
 
     @cached_property
     def screening_by_profile(self) -> DataFrame:
-        """G1 for each profile that both sides have; screening reads the visible lines, before expansion."""
-        seen = self._whole(self.given.lines).where("kind = 'visible'")
+        """G1 for each profile that both sides have; screening reads the normalised visible lines, before expansion."""
+        seen = self._whole(self.given.lines).where("kind = 'visible'").withColumn("line", text.line("line"))
         metrics = audit.line_metrics(self._side(seen, "source"), self._side(seen, "target"), ["pair_id", "profile"])
         both = self._whole(self.given.scores).join(metrics, ["pair_id", "profile"])
         both = both.withColumn("height_ratio", screening.height_ratio(F.col("source_height"), F.col("target_height")))
