@@ -1,7 +1,11 @@
-"""Visible lines, title and blocks of stored HTML. What a style sheet hides is not known offline."""
+"""Visible lines, title and blocks of stored HTML.
+
+What a style sheet hides is not known offline; what an element's own attributes hide is left out with all that it holds.
+"""
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -19,13 +23,17 @@ EMPTY = frozenset("area base br col embed hr img input link meta source track wb
 BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote figcaption div section article ul ol table tr br nav footer header main form".split())
 LONGEST = 8000
 _WANTED = frozenset(BLOCKS)
+_SPACE = re.compile(r"\s+")
+_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
+_FAINT = re.compile(r"(?:^|;)\s*opacity\s*:\s*(?:0?\.0[0-4]\d*|0(?:\.0*)?)\s*(?:;|$)", re.IGNORECASE)
 
 
 class _Reader(HTMLParser):
     """Collects the texts of wanted elements, in the order in which they begin, and blocks of main.
 
     All visible text is kept once; an element knows where its text begins, and only texts that are short
-    enough are put together, so the work does not grow with depth.
+    enough are put together, so the work does not grow with depth. Length is that of the text as it shows, with
+    runs of white space as one.
     """
 
     def __init__(self) -> None:
@@ -34,6 +42,9 @@ class _Reader(HTMLParser):
         self.open: Counter[str] = Counter()
         self.parts: list[str] = []
         self.size = self.unseen = 0
+        self.last = "\n"
+        self.alts: list[str] = []
+        self.main_open = self.main_seen = False
         self.texts: dict[int, str] = {}
         self.begun = 0
         self.blocks: list[dict] = []
@@ -41,13 +52,16 @@ class _Reader(HTMLParser):
 
     @property
     def lines(self) -> list[str]:
-        """Distinct lines of two characters or more."""
+        return self.all_lines(False)
+
+    def all_lines(self, alt: bool) -> list[str]:
+        """Distinct lines of two characters or more; the descriptions of images come behind all others."""
         found: dict[str, None] = {}
-        for k in sorted(self.texts):
-            for part in self.texts[k].split("\n"):
-                line = " ".join(part.split())
-                if len(line) >= 2:
-                    found.setdefault(line)
+        parts = (part for k in sorted(self.texts) for part in self.texts[k].split("\n"))
+        for part in (*parts, *(self.alts if alt else ())):
+            line = " ".join(part.split())
+            if len(line) >= 2:
+                found.setdefault(line)
         return list(found)
 
     def handle_starttag(self, tag, attrs):
@@ -56,14 +70,18 @@ class _Reader(HTMLParser):
             self.handle_endtag(tag)  # an open paragraph or item ends where the next begins
         if tag in BREAKS:
             self._add("\n")
-        if self.stack and self.stack[-1]["tag"] == "main":
+        if self.stack and self.stack[-1]["main"]:
             self.sections += 1
+        style = told.get("style") or ""
+        hides = tag in UNSEEN or "hidden" in told or bool(_HIDING.search(style))
+        if tag == "img" and not hides and not self.unseen and told.get("alt"):
+            self.alts.append(told["alt"])
         if tag in EMPTY:
             return
         names = (told.get("class") or "").split()
         named = "data-block-name" in told
         block = None
-        if self.open["main"] and (named or "block" in names):
+        if self.main_open and (named or "block" in names):
             self.is_eds |= named
             if not any(e["block"] is not None for e in self.stack):
                 block = told.get("data-block-name") or next((n for n in names if n != "block"), "block")
@@ -71,8 +89,13 @@ class _Reader(HTMLParser):
                 block = len(self.blocks) - 1
         self.begun += 1
         self.open[tag] += 1
-        self.unseen += tag in UNSEEN
-        self.stack.append({"tag": tag, "first": len(self.parts), "from": self.size, "begun": self.begun, "block": block})
+        self.unseen += hides
+        main = tag == "main" and not self.main_seen  # any further one is not looked at
+        if main:
+            self.main_open = self.main_seen = True
+        self.stack.append(
+            {"tag": tag, "first": len(self.parts), "from": self.size, "begun": self.begun, "block": block, "main": main, "hides": hides, "faint": bool(_FAINT.search(style))}
+        )
 
     def handle_endtag(self, tag):
         if tag in BREAKS:
@@ -82,8 +105,11 @@ class _Reader(HTMLParser):
         while self.stack:
             e = self.stack.pop()
             self.open[e["tag"]] -= 1
-            self.unseen -= e["tag"] in UNSEEN
-            if e["tag"] in _WANTED and not self.unseen and self.size - e["from"] < LONGEST:
+            seen = not self.unseen
+            self.unseen -= e["hides"]
+            if e["main"]:
+                self.main_open = False
+            if e["tag"] in _WANTED and seen and not e["faint"] and self.size - (self.last in " \n") - e["from"] < LONGEST:
                 self.texts[e["begun"]] = "".join(self.parts[e["first"] :])
             if e["block"] is not None:
                 said = "".join(self.parts[e["first"] :])
@@ -99,9 +125,15 @@ class _Reader(HTMLParser):
         self._add(data.replace("\n", " "))
 
     def _add(self, data):
-        if not self.unseen:
-            self.parts.append(data)
-            self.size += len(data)
+        if self.unseen:
+            return
+        self.parts.append(data)
+        shown = "\n" if data == "\n" else _SPACE.sub(" ", data)
+        if shown[:1] in (" ", "\n") and self.last in (" ", "\n"):
+            self.last = "\n" if shown[0] == "\n" else self.last
+            shown = shown[1:]
+        self.size += len(shown)
+        self.last = shown[-1] if shown else self.last
 
     def done(self):
         self.close()
@@ -116,12 +148,12 @@ def read_page(html: str) -> _Reader:
     return reader.done()
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """page_id, ord, line of each page's distinct visible lines, as their elements begin."""
+def page_lines(pages: DataFrame, alt: bool = False) -> DataFrame:
+    """page_id, ord, line of each page's distinct visible lines, as their elements begin; with ``alt`` also what images are said to show."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            rows = [(i, n, line) for i, h in zip(part["page_id"], part["html"], strict=True) for n, line in enumerate(read_page(h or "").lines)]
+            rows = [(i, n, line) for i, h in zip(part["page_id"], part["html"], strict=True) for n, line in enumerate(read_page(h or "").all_lines(alt))]
             yield pd.DataFrame(rows, columns=["page_id", "ord", "line"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, ord int, line string")

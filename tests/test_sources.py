@@ -94,3 +94,23 @@ def test_lines_of_all_wanted_elements():
 def test_void_children_of_main_are_sections():
     r = html.read_page("<main><hr><div class='block hero'>one<br>two</div><img src=x><section><p>a</p></section></main>")
     assert (r.sections, [b["name"] for b in r.blocks], [b["lines"] for b in r.blocks]) == (4, ["hero"], [2])
+
+
+def test_lengths_are_those_of_the_shown_text():
+    spaced = "<div>" + "\n        ".join(f"<b>w{i}</b>" for i in range(900)) + "</div>"
+    assert len(spaced) > 8000 and html.read_page(spaced).lines == [" ".join(f"w{i}" for i in range(900))]
+    for n in (7999, 8000):
+        found = html.read_page("<div>   " + "x" * 5 + " \n " + "y" * (n - 6) + "  \t</div>").lines
+        assert len(found) == (n < 8000), n
+
+
+def test_hidden_elements_and_descriptions():
+    page = "<body><p hidden>one</p><div style='color:red; display: none'>two <p>three</p></div><p style='visibility:hidden'>four</p><p style='opacity:0.01'>five <span>six</span></p>"
+    read = html.read_page(page + "<div>seven<p style='display:none'>eight</p></div><img alt=' a  cat '><img hidden alt='dog'><img alt='x'></body>")
+    assert read.lines == ["six", "seven"]
+    assert read.all_lines(True) == ["six", "seven", "a cat"]
+
+
+def test_only_the_first_main_is_read():
+    read = html.read_page("<main><p>a</p><main><div class='block in'>x</div></main></main><main><section></section><div data-block-name='late'>y</div></main>")
+    assert (read.sections, [b["name"] for b in read.blocks], read.is_eds) == (2, ["in"], False)
