@@ -43,23 +43,13 @@ NOTICES = {
     "released into the public domain": "public-domain",
 }
 TAG = "spdx-license-identifier:"
-#: Prefixes of identifiers in tags and the label each belongs to; the longest prefix counts.
-FAMILIES = {
-    "mit": "mit",
-    "apache-2": "apache-2",
-    "apache": "apache",
-    "cc-by-nc": "cc-by-nc",
-    "cc-by-sa": "cc-by-sa",
-    "cc-by": "cc-by",
-    "cc0": "cc0",
-    "gpl": "gpl",
-    "lgpl": "lgpl",
-    "agpl": "agpl",
-    "bsd": "bsd",
-    "mpl": "mpl",
-    "isc": "isc",
-    "unlicense": "public-domain",
-}
+#: Identifiers as they stand in tags and the label each belongs to. Any other identifier is a label of its own.
+WHOLE = {
+    "mit": "mit", "mit-0": "mit", "apache-2": "apache-2", "apache-2.0": "apache-2", "isc": "isc", "unlicense": "public-domain",
+    "bsd": "bsd", "0bsd": "bsd", "bsd-1-clause": "bsd", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd",
+}
+#: Names that count with any version behind them; each is its label.
+VERSIONED = frozenset(("apache", "gpl", "lgpl", "agpl", "mpl", "cc0", "cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd"))
 #: Labels that allow commercial use without a duty to share alike.
 PERMISSIVE = frozenset({"mit", "apache-2", "apache", "bsd", "isc", "cc0", "cc-by", "public-domain"})
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -132,33 +122,43 @@ def to_postfix(tokens: list[str]) -> list[str]:
     return out
 
 
+_VERSION = re.compile(r"(?:-v?[0-9]+(?:\.[0-9]+)*)?(?:-only|-or-later)?\+?$")
+
+
 def family(identifier: str) -> str:
+    """The label of a whole identifier, with or without a version; no mere beginning counts."""
     name = identifier.lower()
-    return next((FAMILIES[p] for p in sorted(FAMILIES, key=len, reverse=True) if name.startswith(p)), name)
+    plain = re.sub(r"(?:-only|-or-later)?\+?$", "", name)
+    if plain in WHOLE:
+        return WHOLE[plain]
+    bare = _VERSION.sub("", name)
+    return bare if bare in VERSIONED else name
 
 
 def evaluated(postfix: list[str]) -> tuple[set[str], bool]:
     """All licences of an expression, and whether permissive ones alone can fulfil it.
 
     OR asks for either side and AND for both, so no list of the ways to fulfil it is needed. An exception
-    changes neither label nor answer.
+    changes neither label nor answer. Labels are gathered once, so time grows with the number of terms.
     """
-    stack: list[tuple[frozenset[str], bool]] = []
+    labels: list[str] = []
+    stack: list[tuple[int, bool]] = []  # where a term's labels begin, and its answer
     for t in postfix:
         if t not in PRECEDENCE:
-            stack.append((frozenset([family(t)]), family(t) in PERMISSIVE))
+            stack.append((len(labels), family(t) in PERMISSIVE))
+            labels.append(family(t))
             continue
         if len(stack) < 2:
             raise ExpressionError("an operator lacks an operand")
         right, left = stack.pop(), stack.pop()
         if t == "with":
+            del labels[right[0] :]
             stack.append(left)
         else:
-            both = left[1] or right[1] if t == "or" else left[1] and right[1]
-            stack.append((left[0] | right[0], both))
+            stack.append((left[0], left[1] or right[1] if t == "or" else left[1] and right[1]))
     if len(stack) != 1:
         raise ExpressionError("operands without an operator")
-    return set(stack[0][0]), stack[0][1]
+    return set(labels), stack[0][1]
 
 
 class LicenceScanner:

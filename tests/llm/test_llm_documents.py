@@ -242,6 +242,30 @@ def test_licence_expressions_against_all_assignments():
         assert labels == frozenset().union(*ways) and permissive == any(w <= licenses.PERMISSIVE for w in ways)
 
 
+@pytest.mark.parametrize(
+    ("name", "label", "permissive"),
+    [
+        ("CC-BY-ND-4.0", "cc-by-nd", False), ("CC-BY-4.0", "cc-by", True), ("CC-BY-NC-SA-3.0", "cc-by-nc-sa", False), ("MITRE-1.0", "mitre-1.0", False),
+        ("mitsubishi", "mitsubishi", False), ("MIT-0", "mit", True), ("ISCX", "iscx", False), ("BSD-Protection", "bsd-protection", False), ("BSD-3-Clause", "bsd", True),
+        ("GPL-3.0-or-later", "gpl", False), ("LGPL-2.1+", "lgpl", False), ("Apache-2.0", "apache-2", True), ("Apache-1.1", "apache", True), ("GPLX-2.0", "gplx-2.0", False),
+    ],
+)
+def test_whole_identifiers_have_families(name, label, permissive):
+    assert licenses.evaluated([name]) == ({label}, permissive)
+
+
+def test_long_expressions_take_time_in_proportion():
+    import time
+
+    for word in (" OR ", " AND "):
+        text = word.join(f"A{i}" for i in range(100_000))
+        began = time.perf_counter()
+        labels, permissive = licenses.evaluated(licenses.to_postfix(licenses.expression_tokens(text)))
+        assert (len(labels), permissive) == (100_000, False)
+        assert time.perf_counter() - began < 5
+    assert licenses.evaluated(licenses.to_postfix(["GPL-2.0", "with", "(", "MIT", "or", "ISC", ")", "or", "MPL-2.0"])) == ({"gpl", "mpl"}, False)
+
+
 def test_licences_in_long_texts():
     import time
 
