@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelattice.functions import geometry
@@ -55,28 +55,59 @@ def accept(found: bool, confidence: float | None, source: dict, target: dict | N
     return {"accepted": not reasons, "reasons": reasons, "placement": where, "delta": abs(delta)}
 
 
-ACCEPTED = "pair_id string, iter int, accepted boolean, reasons array<string>, placement string, delta double"
+def _own_reasons(use: MatchThresholds) -> tuple[Column, Column, Column]:
+    """(reasons, placement, delta) of a usable match by itself, without what was accepted before it."""
+    or_one = lambda c: F.when(F.coalesce(c, F.lit(0)) == 0, 1).otherwise(c)
+    middle = lambda side: (F.col(f"{side}.y") + F.col(f"{side}.height") / 2) / or_one(F.col(f"{side}_height"))
+    sure, delta = F.coalesce("confidence", F.lit(0.0)), middle("target") - middle("source")
+    aligned = F.abs(delta) <= use.vertical_delta
+    skew = F.abs(F.log(or_one(F.col("target.height")) / or_one(F.col("source.height"))))
+    reasons = [
+        (sure < use.confidence, "confidence_below_min"),
+        (~aligned & (sure < use.confidence_if_reordered), "reordered_low_confidence"),
+        (~aligned & F.lit(use.offset_rejects), "relative_vertical_offset_exceeded"),
+        ((skew > use.height_skew) & ~(aligned & (sure >= use.confidence)), "height_ratio_mismatch"),
+    ]
+    where = F.when(aligned, "aligned").when(delta > 0, "lower_on_page").otherwise("higher_on_page")
+    return F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in reasons])), where, F.abs(delta)
+
+
+def _too_much_in_common(a: Column, b: Column, most: float) -> Column:
+    w = F.least(a["x"] + a["width"], b["x"] + b["width"]) - F.greatest(a["x"], b["x"])
+    h = F.least(a["y"] + a["height"], b["y"] + b["height"]) - F.greatest(a["y"], b["y"])
+    union = a["width"] * a["height"] + b["width"] * b["height"] - w * h
+    return (w > 0) & (h > 0) & (union > 0) & (w * h / F.when(union > 0, union) > most)
 
 
 def accept_in_order(matches: DataFrame, use: MatchThresholds | None = None) -> DataFrame:
     """G4 as a fold: matches of a pair in order of ``iter``, each against the targets accepted before it.
 
     ``matches``: pair_id, iter, found, confidence, source and target (boxes, target null if unusable),
-    source_height, target_height.
+    source_height, target_height. The fold's state is the array of accepted boxes, which are those of one page; what a match
+    shows by itself is decided before it.
     """
     use = use or MatchThresholds()
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        prior, rows = [], []
-        for m in part.sort_values("iter").to_dict("records"):
-            confidence = None if pd.isna(m["confidence"]) else m["confidence"]
-            told = accept(bool(m["found"]), confidence, m["source"], m["target"], (m["source_height"], m["target_height"]), prior, use)
-            if told["accepted"]:
-                prior.append(m["target"])
-            rows.append({"pair_id": m["pair_id"], "iter": m["iter"], **told})
-        return pd.DataFrame(rows)
-
-    return spread(matches.withColumn("pair_id", F.col("pair_id").cast("string")), "pair_id").groupBy("pair_id").applyInPandas(run, ACCEPTED)
+    usable = F.coalesce("found", F.lit(False)) & F.col("target").isNotNull()
+    reasons, where, delta = _own_reasons(use)
+    why_not = F.array(F.when(F.coalesce("found", F.lit(False)), "invalid_bbox").otherwise("ai_not_found"))
+    judged = matches.select(
+        F.col("pair_id").cast("string").alias("pair_id"), "iter", usable.alias("usable"), "target",
+        F.when(usable, reasons).otherwise(why_not).alias("reasons"), F.when(usable, where).alias("placement"), F.when(usable, delta).cast("double").alias("delta"),
+    )
+    in_order = F.array_sort(F.collect_list(F.struct(*[c for c in judged.columns if c != "pair_id"])))
+    box = judged.schema["target"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<{box}>").alias("prior"), F.array().cast("array<boolean>").alias("hits"))
+
+    def step(state: Column, m: Column) -> Column:
+        hit = m["usable"] & F.exists(state["prior"], lambda p: F.coalesce(_too_much_in_common(m["target"], p, use.iou_with_prior), F.lit(False)))
+        accepted = m["usable"] & (F.size(m["reasons"]) == 0) & ~hit
+        prior = F.when(accepted, F.concat(state["prior"], F.array(m["target"]))).otherwise(state["prior"])
+        return F.struct(prior.alias("prior"), F.concat(state["hits"], F.array(hit)).alias("hits"))
+
+    folded = judged.groupBy("pair_id").agg(in_order.alias("m")).withColumn("hit", F.aggregate("m", start, step)["hits"])
+    each = folded.select("pair_id", F.explode(F.arrays_zip("m", "hit")).alias("e")).select("pair_id", "e.m.*", "e.hit")
+    told = F.when(F.col("hit"), F.concat("reasons", F.array(F.lit("overlaps_prior_match")))).otherwise(F.col("reasons"))
+    return each.select("pair_id", F.col("iter").cast("int").alias("iter"), (F.col("usable") & (F.size(told) == 0)).alias("accepted"), told.alias("reasons"), "placement", "delta")
 
 
 def remainder_offsets(cuts: DataFrame) -> DataFrame:

@@ -70,11 +70,39 @@ def block_iou_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("pair_id", F.col("a_ord").cast("long").alias("a_ord"), F.col("b_ord").cast("long").alias("b_ord"), F.round("iou", 6).alias("iou"))
 
 
-@query()
+_W, _H = "(least(tx + tw, p.x + p.w) - greatest(tx, p.x))", "(least(ty + th, p.y + p.h) - greatest(ty, p.y))"
+ACCEPTANCE = f"""
+WITH RECURSIVE {BOXES.replace("CAST(l_partkey % 700", "(l_partkey + l_suppkey) % 21 / 100 + 0.8 AS conf, CAST(l_partkey % 700", 1)},
+d AS (SELECT *, conf > 0.82 AS found, (ty + th / 2) / 5000 - (sy + sh / 2) / 4000 AS d FROM boxes),
+m AS (
+  SELECT *, CASE WHEN abs(d) <= 0.14 THEN 'aligned' WHEN d > 0 THEN 'lower_on_page' ELSE 'higher_on_page' END AS placement,
+    list_filter([CASE WHEN conf < 0.85 THEN 'confidence_below_min' END, CASE WHEN abs(d) > 0.14 AND conf < 0.9 THEN 'reordered_low_confidence' END,
+      CASE WHEN abs(d) > 0.14 THEN 'relative_vertical_offset_exceeded' END,
+      CASE WHEN abs(ln(th / sh)) > 0.75 AND NOT (abs(d) <= 0.14 AND conf >= 0.85) THEN 'height_ratio_mismatch' END], lambda x: x IS NOT NULL) AS own
+  FROM d
+),
+fold(pair_id, ord, prior, hit) AS (
+  SELECT DISTINCT pair_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[]), false FROM boxes
+  UNION ALL
+  SELECT pair_id, ord, CASE WHEN found AND len(own) = 0 AND NOT hit THEN list_append(prior, struct_pack(x := tx, y := ty, w := tw, h := th)) ELSE prior END, hit
+  FROM (
+    SELECT m.*, f.prior, found AND len(list_filter(f.prior, lambda p: {_W} > 0 AND {_H} > 0 AND {_W} * {_H} / (tw * th + p.w * p.h - {_W} * {_H}) > 0.2)) > 0 AS hit
+    FROM fold f JOIN m ON m.pair_id = f.pair_id AND m.ord = f.ord + 1
+  )
+)
+SELECT CAST(m.pair_id AS VARCHAR) AS pair_id, CAST(m.ord AS INTEGER) AS iter, found AND len(own) = 0 AND NOT hit AS accepted,
+  array_to_string(CASE WHEN NOT found THEN ['ai_not_found'] WHEN hit THEN list_append(own, 'overlaps_prior_match') ELSE own END, ',') AS reasons,
+  CASE WHEN found THEN placement END AS placement, round(CASE WHEN found THEN abs(d) END, 9) AS delta
+FROM m JOIN fold USING (pair_id, ord)
+"""
+
+
+@query(ACCEPTANCE)
 def match_acceptance(spark: SparkSession, sf: str) -> DataFrame:
     """G4."""
     b = _boxes(spark, sf).withColumns({"found": F.col("confidence") > 0.82, "source_height": F.lit(4000), "target_height": F.lit(5000)})
-    return gates.accept_in_order(b.withColumnRenamed("ord", "iter"))
+    found = gates.accept_in_order(b.withColumnRenamed("ord", "iter"))
+    return found.withColumns({"reasons": F.array_join("reasons", ","), "delta": F.round("delta", 9)})
 
 
 @query(

@@ -71,3 +71,25 @@ def test_first_reveal_and_states(spark):
     lines = spark.createDataFrame([(1, 0, 0, "A"), (1, 1, 0, "a!"), (1, 1, 1, "B"), (1, 1, 2, "base")], "pair_id int, trigger int, ord int, text string")
     base = spark.createDataFrame([(1, "Base")], "pair_id int, text string")
     assert {(r.trigger, r.text) for r in crawl.first_reveals(lines, base).collect()} == {(0, "A"), (1, "B")}
+
+
+def test_acceptance_in_order_is_the_plain_fold(spark):
+    import random
+
+    from pagelattice.operators.gates import accept_in_order
+
+    pick = random.Random(7)
+    box = lambda: {"x": pick.randrange(300) / 1.0, "y": pick.randrange(150) / 1.0, "width": pick.choice([0.0, 80.0, 200.0]), "height": pick.choice([0.0, 60.0, 200.0])}
+    rows = [(p, i, pick.random() < 0.9, pick.choice([None, 0.8, 0.86, 0.95, 0.95]), box(), pick.choice([None, *[box()] * 5]), 1000, pick.choice([0, *[1000] * 9])) for p in range(40) for i in range(12)]
+    schema = "x double, y double, width double, height double"
+    df = spark.createDataFrame(rows, f"pair_id long, iter int, found boolean, confidence double, source struct<{schema.replace(' double', ':double')}>, target struct<{schema.replace(' double', ':double')}>, source_height int, target_height int")
+    got = {(r.pair_id, r.iter): (r.accepted, r.reasons, r.placement) for r in accept_in_order(df.repartition(3), USE).collect()}
+    hits = 0
+    for p in range(40):
+        prior = []
+        for _, i, found, sure, source, target, *heights in sorted((r for r in rows if r[0] == p), key=lambda r: r[1]):
+            told = accept(found, sure, source, target, tuple(heights), prior, USE)
+            assert got[str(p), i] == (told["accepted"], told["reasons"], told["placement"])
+            hits += "overlaps_prior_match" in told["reasons"]
+            prior += [target] if told["accepted"] else []
+    assert hits > 5
