@@ -64,6 +64,18 @@ def written(df: DataFrame, name: str, result: bool = False, partition_by: str |
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def steady_scans(spark: SparkSession) -> Iterator[None]:
+    """Scans inside are split alike in every job, also where executors come or go meanwhile: the number of cores is asked for once."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, before or str(spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 #: Rows that pass to a Python worker at once. Spark's own 10,000 rows of documents are tens of megabytes, held several times.
 ARROW_ROWS = 1000
 

@@ -21,6 +21,7 @@ the driver.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import id_and_text, scratch, trimmed, written
+from pagelattice.llm.common import id_and_text, scratch, steady_scans, trimmed, written
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Bytes of text of a batch, and of the corpus per range of keys; they bound memory and change no result.
@@ -287,6 +288,9 @@ def learned(seen: DataFrame, total: int, distinct: int) -> np.ndarray:
             weights[r.bucket] = found / found.sum()
         if np.abs(weights - before).max() <= TOLERANCE:
             break
+    else:
+        if grid:
+            warnings.warn(f"the weights still moved by more than {TOLERANCE} after {MOST_ROUNDS} rounds", stacklevel=2)
     return spread_weights(weights, shown)
 
 
@@ -295,9 +299,14 @@ def score_documents(docs: DataFrame, stage: bool = False) -> DataFrame:
 
     A null text counts as empty: one token, the end. A null id belongs to the training documents.
     Repeated rows count each time and get equal scores; an empty table gives no rows; other columns
-    are ignored; texts of any length are read whole. ``docs`` must be a scan, whose partitions are the same at every run; anything else
-    needs ``stage=True``, which writes it first.
+    are ignored; texts of any length are read whole. ``docs`` must be a scan of files, which is split alike in all jobs here even where the
+    number of cores changes between them; anything else needs ``stage=True``, which writes it first. The scores are written as well.
     """
+    with steady_scans(docs.sparkSession):
+        return written(_scored(docs, stage), "lm-scores")
+
+
+def _scored(docs: DataFrame, stage: bool) -> DataFrame:
     spark = docs.sparkSession
     docs = id_and_text(docs)
     if stage:

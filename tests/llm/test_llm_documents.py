@@ -340,6 +340,30 @@ def test_scores_against_brute_force(spark, tmp_path, monkeypatch, batch_bytes):
     assert max(abs(got[i] / want[i] - 1) for i in want) < 0.01
 
 
+def test_scores_survive_a_change_of_cores(spark, tmp_path, monkeypatch):
+    """The number of cores decides how a scan is split; it changes between the jobs."""
+    path = str(tmp_path / "documents.parquet")
+    rows = [(i, " ".join(f"w{i * k % 53}" for k in range(300)), None, None, "x", 1, "s", 1) for i in range(400)]
+    spark.createDataFrame(rows, SCHEMA).repartition(6).write.option("parquet.block.size", 4096).parquet(path)
+    cores = "spark.sql.leafNodeDefaultParallelism"
+    monkeypatch.setattr(lm_score, "learned", lambda *a, _f=lm_score.learned: (_f(*a), spark.conf.set(cores, "2"))[0])
+    small = {"spark.sql.files.openCostInBytes": "1", cores: "9"}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        splits = spark.read.parquet(path).rdd.getNumPartitions()
+        got = lm_score.score_documents(spark.read.parquet(path))
+        assert spark.conf.get(cores) == "2" and spark.read.parquet(path).rdd.getNumPartitions() != splits
+        assert got.count() == 400
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    by_id = lambda df: {r.doc_id: (r.base_score, r.score) for r in df.collect()}
+    one, other = by_id(got), by_id(lm_score.score_documents(spark.read.parquet(path)))
+    assert one.keys() == other.keys()
+    assert all(one[i] == pytest.approx(other[i], rel=1e-9) for i in one)
+
+
 def test_interpolation_is_a_distribution(spark):
     """Over all continuations of a context, unseen ones included, probabilities sum to one."""
     c_pair, c_word = np.array([3, 1, 0, 0]), np.array([5, 4, 1, 0])
