@@ -181,7 +181,7 @@ def test_components(spark):
 
 
 def test_entry_names():
-    assert {int(n[2:].split("_")[0]) for n in entry.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in entry.QUERIES} == set(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "repeats", "packing"]
 
 
