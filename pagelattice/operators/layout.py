@@ -318,13 +318,17 @@ def segments(aligned: DataFrame) -> DataFrame:
     )
 
 
+def _gaps(aligned: DataFrame) -> DataFrame:
+    """The rows with ``is_match`` on source matches, and for these the gap to the match before on either side."""
+    matched = (F.col("side") == "source") & (F.col("status") == "matched")
+    before = Window.partitionBy("pair_id", "is_match").orderBy("op")
+    gap = lambda c: F.when(F.col("is_match"), F.col(c) - F.lag(c).over(before))
+    return aligned.withColumn("is_match", matched).withColumns({"source_gap": gap("y"), "target_gap": gap("other_y")})
+
+
 def drift(aligned: DataFrame, tolerance: int = DRIFT) -> DataFrame:
     """Matches whose gap to the match before differs between the sides by more than the tolerance."""
-    before = Window.partitionBy("pair_id").orderBy("op")
-    found = aligned.where("side = 'source' and status = 'matched'").select(
-        "pair_id", "op", "text", F.col("y").alias("source_y"), F.col("other_y").alias("target_y"),
-        (F.col("y") - F.lag("y").over(before)).alias("source_gap"), (F.col("other_y") - F.lag("other_y").over(before)).alias("target_gap"),
-    )
+    found = _gaps(aligned).where("is_match").select("pair_id", "op", "text", F.col("y").alias("source_y"), F.col("other_y").alias("target_y"), "source_gap", "target_gap")
     return found.withColumn("gap_delta", F.abs(F.col("source_gap") - F.col("target_gap"))).where(F.col("gap_delta") > tolerance)
 
 
@@ -342,8 +346,9 @@ def overlay_index(aligned: DataFrame) -> DataFrame:
 
 
 def summary(aligned: DataFrame) -> DataFrame:
-    """A5; reflow and moved items are not part of the coverage."""
+    """A5; reflow and moved items are not part of the coverage. The alignment is read once."""
     src = F.col("side") == "source"
+    aligned = _gaps(aligned)
     count = lambda c, name: F.count_if(c).alias(name)
     base = aligned.groupBy("pair_id").agg(
         count(src, "source_count"),
@@ -352,13 +357,12 @@ def summary(aligned: DataFrame) -> DataFrame:
         count(F.col("status") == "missing", "missing_count"),
         count(F.col("status") == "extra", "extra_count"),
         count(src & (F.col("status") == "moved"), "moved_count"),
-        F.count_distinct(F.when(F.col("status") == "reflow", F.col("segment"))).alias("reflow_segments"),
-        F.count_distinct(F.when(F.col("status") != "reflow", F.col("segment"))).alias("divergence_segments"),
+        F.size(F.collect_set(F.when(F.col("status") == "reflow", F.col("segment")))).cast("long").alias("reflow_segments"),
+        F.size(F.collect_set(F.when(F.col("status") != "reflow", F.col("segment")))).cast("long").alias("divergence_segments"),
+        count(F.abs(F.col("source_gap") - F.col("target_gap")) > DRIFT, "drift_count"),
     )
-    drifts = drift(aligned).groupBy("pair_id").agg(F.count("*").alias("drift_count"))
-    return base.join(drifts, "pair_id", "left").withColumns(
+    return base.withColumns(
         {
-            "drift_count": F.coalesce("drift_count", F.lit(0)),
             "coverage": F.when(F.col("source_count") > 0, F.col("matched_count") / F.col("source_count")).otherwise(1.0),
             "status": F.when(F.col("missing_count") > 0, "discrepancies").otherwise("ok"),
         }
