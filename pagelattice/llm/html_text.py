@@ -5,8 +5,10 @@ its two neighbours, and by where it stands; a classification tree, grown from th
 below, tells main text from boilerplate. Where elements tell nothing, words and link densities decide.
 
 Where a block stands is told by elements (nav, footer, article ...) and by whole tokens of class, id and
-role: a token counts if all its parts are words of boilerplate or say no more than a position, so
-"site-footer" and "cookie-notice" count, "no-sidebar" and "category-privacy" do not. Tokens of html, body,
+role. A word that names a box of its own (ads, comments, newsletter ...) counts in any company, so "google-ads"
+and "td-related-title" count; others count if all parts of the token are such words or say no more than a
+position, so "site-footer" counts and "form-follows-function" does not. Tokens that deny ("no-sidebar"), file a page under
+something ("category-privacy") or name a layout ("content-sidebar-wrap") tell nothing. Tokens of html, body,
 main and article are no sign of boilerplate. What stands in boilerplate is boilerplate, but for ``main``.
 """
 
@@ -59,6 +61,16 @@ AWAY_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments commentlist respond disqus reply replies discussion".split())
 #: Such words of main text.
 TOWARDS_WORDS = frozenset("article post entry story articlebody".split())
+#: Words of boilerplate and of reader comments that count whatever stands beside them in a token.
+BOX_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored outbrain taboola addthis addtoany sidebar "
+    "related recommended recommendations share sharing sharedaddy social cookie cookies consent gdpr popup modal paywall newsletter "
+    "subscribe subscription signup breadcrumb breadcrumbs navbar pagination".split()
+)
+COMMENT_BOX_WORDS = frozenset("comment comments commentlist disqus".split())
+#: Words that deny or join, and first words that file a page under something.
+DENIALS = frozenset("no not non has have with without and hide free".split())
+FILED = frozenset("category tag tags topic type format postid".split())
 #: Such words that say no more than where or in what shape something stands.
 POSITION_WORDS = frozenset(
     "site page main global primary secondary top bottom left right inner outer block box area section container wrapper wrap "
@@ -96,7 +108,15 @@ class Block:
 @functools.lru_cache(1 << 14)
 def _told(token: str) -> int:
     """What one token of class, id or role tells."""
-    parts = frozenset(_BETWEEN.split(_HUMP.sub("-", token).lower())) - {""}
+    ordered = [p for p in _BETWEEN.split(_HUMP.sub("-", token).lower()) if p]
+    parts = frozenset(ordered)
+    layout = "sidebar" in parts and ordered[0] == "content"
+    if parts & DENIALS or layout or (len(ordered) > 1 and ordered[0] in FILED):
+        return NEUTRAL
+    if parts & COMMENT_BOX_WORDS:
+        return COMMENTS
+    if parts & BOX_WORDS:
+        return BOILERPLATE
     for words, place in ((COMMENT_WORDS, COMMENTS), (AWAY_WORDS, BOILERPLATE), (TOWARDS_WORDS, MAIN)):
         if parts & words and parts <= words | POSITION_WORDS | (AWAY_WORDS if place == COMMENTS else set()):
             return place
@@ -205,6 +225,8 @@ LABELLED = (
     (10, 0.0, 60, 0.0, 3, 1.0, 1, 0, 1), (4, 1.0, 4, 1.0, 5, 1.0, 1, 0, 1), (2, 0.5, 2, 1.0, 2, 1.0, 1, 0, 1),
     (12, 0.0, 1, 1.0, 60, 0.0, 1, 0, 1), (9, 0.0, 1, 0.9, 30, 0.0, 1, 0, 1), (30, 0.0, 1, 1.0, 14, 0.0, 1, 0, 1),
     (20, 0.8, 1, 1.0, 25, 0.0, 1, 0, 1), (6, 0.0, 1, 1.0, 11, 0.0, 1, 0, 1),
+    (5, 0.0, 80, 0.0, 0, 0.0, 1, 0, 1), (40, 0.0, 90, 0.0, 0, 0.0, 1, 0, 1), (12, 0.0, 100, 0.0, 8, 0.0, 1, 0, 1),
+    (9, 0.0, 160, 0.0, 4, 1.0, 1, 0, 1), (30, 0.0, 150, 0.2, 11, 0.2, 1, 0, 1), (8, 0.6, 120, 0.0, 9, 0.0, 1, 0, 1),
     # in menus, footers, sidebars, forms, adverts and notices
     (1, 1.0, 0, 0.0, 1, 1.0, -1, 0, 0), (2, 1.0, 1, 1.0, 2, 1.0, -1, 0, 0), (5, 0.0, 3, 1.0, 14, 0.0, -1, 0, 0),
     (40, 0.0, 150, 0.0, 0, 0.0, -1, 0, 0), (120, 0.0, 90, 0.0, 60, 0.0, -1, 0, 0), (22, 0.3, 45, 0.0, 3, 1.0, -1, 0, 0),
@@ -226,7 +248,17 @@ LABELLED = (
     (8, 0.0, 70, 0.0, 80, 0.0, 0, 0, 1), (3, 0.0, 60, 0.1, 45, 0.0, 0, 0, 1), (12, 0.1, 40, 0.0, 52, 0.0, 0, 0, 1),
     (7, 0.0, 2, 1.0, 65, 0.0, 0, 1, 1), (5, 0.0, 0, 0.0, 48, 0.0, 0, 1, 1), (9, 0.0, 55, 0.0, 38, 0.0, 0, 1, 1),
     (11, 0.0, 45, 0.0, 10, 0.0, 0, 0, 1), (9, 0.0, 12, 0.0, 58, 0.0, 0, 0, 1),
-    # links, and short text away from long text, are boilerplate
+    (40, 0.0, 90, 0.0, 0, 0.0, 0, 0, 1), (25, 0.0, 120, 0.0, 6, 0.0, 0, 0, 1), (35, 0.0, 100, 0.0, 9, 0.0, 0, 0, 1),
+    # the last text before links, and the links behind it
+    (28, 0.0, 40, 0.0, 3, 1.0, 0, 0, 1), (60, 0.0, 12, 0.0, 3, 1.0, 0, 0, 1), (45, 0.0, 130, 0.0, 2, 1.0, 0, 0, 1),
+    (100, 0.0, 55, 0.1, 6, 1.0, 0, 0, 1), (90, 0.0, 2, 1.0, 3, 1.0, 0, 0, 1), (3, 1.0, 90, 0.0, 3, 1.0, 0, 0, 0),
+    (3, 1.0, 120, 0.0, 2, 1.0, 0, 0, 0), (2, 1.0, 60, 0.0, 2, 1.0, 0, 0, 0), (5, 0.9, 100, 0.0, 4, 0.8, 0, 0, 0),
+    # short text among text without links: facts, lists and short paragraphs
+    (5, 0.0, 6, 0.0, 4, 0.0, 0, 0, 1), (2, 0.0, 3, 0.0, 2, 0.0, 0, 0, 1), (4, 0.0, 0, 0.0, 9, 0.0, 0, 0, 1),
+    (8, 0.0, 12, 0.0, 0, 0.0, 0, 0, 1), (10, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (1, 0.0, 2, 0.0, 5, 0.0, 0, 0, 1),
+    (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 1), (3, 0.0, 2, 0.0, 60, 0.0, 0, 0, 1), (2, 0.0, 20, 0.0, 3, 0.0, 0, 0, 1),
+    (14, 0.0, 2, 0.0, 11, 0.0, 0, 0, 1), (2, 0.0, 0, 0.0, 3, 0.0, 0, 1, 1), (11, 0.0, 9, 0.0, 0, 0.0, 0, 0, 1),
+    # links, and short text beside links or at the end of long text, are boilerplate
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (3, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0), (2, 1.0, 2, 1.0, 60, 0.0, 0, 0, 0),
     (12, 0.8, 9, 1.0, 14, 0.9, 0, 0, 0), (30, 0.7, 20, 0.9, 25, 0.8, 0, 0, 0), (4, 0.0, 1, 1.0, 3, 1.0, 0, 0, 0),
     (6, 0.0, 2, 1.0, 7, 0.0, 0, 0, 0), (8, 0.1, 5, 0.0, 2, 1.0, 0, 0, 0), (5, 0.0, 80, 0.0, 0, 0.0, 0, 0, 0),

@@ -65,6 +65,14 @@ AWAY = "<p>" + "other words that fill a box and are not what the page is about "
         f'<div class="siteFooter">{AWAY}</div><main><header>{ARTICLE}</header></main><header>{AWAY}</header>',
         f'<article>{ARTICLE}<section class="newsletter-signup">{AWAY}<div>{AWAY}</div></section></article>',
         f"<article><select><option>x</select><button>go</button>{ARTICLE}</article>",
+        *[
+            f'<article>{ARTICLE}<div class="{name}">{AWAY}</div></article>'
+            for name in (
+                "google-ads", "adsbygoogle", "ad-300x250", "user-comments", "fb-comments", "post-comments-area", "newsletter-cta", "email-signup",
+                "subscribe-now", "share-buttons", "sharedaddy", "related-reading", "td-related-title", "cookie-law-info", "outbrain",
+            )
+        ],
+        *[f'<div class="{name}"><article>{ARTICLE}</article></div>' for name in ("content-sidebar-wrap", "layout-with-sidebar", "category-social", "hide-comments")],
         f"<ul><li class=menu-item>{AWAY}<li class=nav>{AWAY}</ul><article>{ARTICLE}</article>",
     ],
 )
@@ -95,6 +103,13 @@ def test_words_and_links_decide_where_elements_tell_nothing():
     assert right >= 57 and changed == 60
 
 
+def test_short_text_stays_on_pages_without_places():
+    page = "<div><table><tr><td>Height</td><td>12 m</td></tr><tr><td>Built</td><td>1900</td></tr></table><p>It is old.</p><p>It still stands today.</p></div>"
+    assert html_text.main_text(page) == "Height\n12 m\nBuilt\n1900\nIt is old.\nIt still stands today."
+    linked = "<div><a href=x>Home</a></div><div><a href=y>News</a></div>"
+    assert html_text.main_text(linked) == ""
+
+
 def test_long_page():
     import time
 
