@@ -6,10 +6,9 @@ partition keys throughout, so a corpus of pairs needs one shuffle of each side.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelattice.functions import text
@@ -17,26 +16,28 @@ from pagelattice.functions import text
 LEAST_KEY, LEAST_TOKENS, LEAST_COVERAGE = 8, 4, 0.8
 
 
-def line_sets(lines: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    return lines.groupBy(*keys).agg(F.collect_list("line").alias(name))
-
-
 def line_metrics(source: DataFrame, target: DataFrame, keys: Sequence[str] = ("pair_id",)) -> DataFrame:
-    """A1: recall of source lines (with repeats) and Jaccard index of the line sets; lines are compared as they are."""
-    both = line_sets(source, keys, "a").join(line_sets(target, keys, "b"), list(keys), "full")
-    none = F.array().cast("array<string>")
-    both = both.withColumn("a", F.coalesce("a", none)).withColumn("b", F.coalesce("b", none))
-    in_target = F.filter("a", lambda x: F.array_contains("b", x))
-    common, union = F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))
-    matched = F.size(in_target)
-    return both.select(
-        *keys,
-        F.size("a").cast("long").alias("source_lines"),
-        F.size("b").cast("long").alias("target_lines"),
-        matched.cast("long").alias("matched_lines"),
-        F.when(F.size("a") == 0, 1.0).otherwise(matched / F.size("a")).alias("recall"),
-        F.when(union == 0, 1.0).otherwise(common / union).alias("jaccard"),
+    """A1: recall of source lines (with repeats) and Jaccard index of the line sets; lines are compared as they are.
+
+    Distinct lines of both sides meet by the line itself, so the lines of a pair are never held together. Null lines
+    count nowhere, but a pair that has no others keeps its row.
+    """
+    keys = list(keys)
+    counted = lambda side, name: side.groupBy(*keys, "line").agg(F.count("line").alias(name))
+    met = counted(source, "n").join(counted(target, "m"), [*keys, "line"], "full").na.fill(0, ["n", "m"])
+    both, either = (F.col("n") > 0) & (F.col("m") > 0), (F.col("n") > 0) | (F.col("m") > 0)
+    found = met.groupBy(*keys).agg(
+        F.sum("n").alias("source_lines"),
+        F.sum("m").alias("target_lines"),
+        F.sum(F.when(both, F.col("n")).otherwise(0)).alias("matched_lines"),
+        F.count_if(both).alias("common"),
+        F.count_if(either).alias("united"),
     )
+    share = lambda part, whole: F.when(F.col(whole) == 0, 1.0).otherwise(F.col(part) / F.col(whole))
+    return found.select(
+        *keys, "source_lines", "target_lines", "matched_lines",
+        share("matched_lines", "source_lines").alias("recall"), share("common", "united").alias("jaccard"),
+    )
 
 
 def target_index(target: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -49,49 +50,52 @@ def target_index(target: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def longest_run(words: list[str], blob: str) -> int:
-    """Words of the longest run of ``words`` that stands in ``blob``.
+def _two_words(words: Column) -> Column:
+    """Each two words in a row; their places are those of the array."""
+    n = F.size(words)
+    return F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
-    The end of the longest run from a word never lies before that of the word ahead of it, so both ends
-    only move forward.
-    """
-    best = end = 0
-    for start in range(len(words)):
-        end = max(end, start)
-        while end < len(words) and f" {' '.join(words[start : end + 1])} " in blob:
-            end += 1
-        best = max(best, end - start)
-    return best
 
+def longest_runs(lines: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, key, longest: of each line's key with two words or more that follow each other in the target's stream of words the longest run.
 
-def _run_lengths(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for keys, blobs in batches:
-        yield pd.Series([0 if k is None or b is None else longest_run(k.split(" "), b) for k, b in zip(keys, blobs, strict=True)], dtype="int32")
+    ``lines``: keys and key, without repeats. ``target``: keys and blob. Two words in a row meet by equality; a run is an unbroken row of
+    such meetings at one distance between line and stream. A pair's words are dealt by what they say, and no row holds a stream.
+    """
+    keys = list(keys)
+    here = lines.select(*keys, "key", F.posexplode(_two_words(text.tokens(F.col("key")))).alias("i", "two"))
+    there = target.select(*keys, F.posexplode(_two_words(text.tokens(F.col("blob")))).alias("j", "two"))
+    met = here.join(there, [*keys, "two"]).select(*keys, "key", "i", (F.col("j") - F.col("i")).alias("apart"))
+    row = F.row_number().over(Window.partitionBy(*keys, "key", "apart").orderBy("i"))
+    runs = met.withColumn("first", F.col("i") - row).groupBy(*keys, "key", "apart", "first").agg((F.count("*") + 1).alias("run"))
+    return runs.groupBy(*keys, "key").agg(F.max("run").alias("longest"))
 
 
 def audit_lines(source: DataFrame, target: DataFrame, keys: Sequence[str] = ("pair_id",)) -> DataFrame:
     """Each source line's match: exact, substring (of the word stream), partial (by its longest run) or missing.
 
-    ``token_coverage`` is the run's share of the line's words, where the last stage was reached. Only lines
-    that the first two stages leave go to the Python function.
+    ``token_coverage`` is the run's share of the line's words, where the last stage was reached. Only the distinct keys that the
+    first two stages leave go through the last one.
     """
     keys = list(keys)
+    index = target_index(target, keys)
     lines = source.select(*keys, "ord", "line", text.line("line").alias("normal"))
-    lines = lines.withColumn("key", text.key_of_line(F.col("normal"))).join(target_index(target, keys), keys, "left")
-    blob = F.coalesce("blob", F.lit("  "))
-    count = F.size(text.tokens(F.col("key")))
+    lines = lines.withColumn("key", text.key_of_line(F.col("normal"))).join(index, keys, "left")
+    blob, words = F.coalesce("blob", F.lit("  ")), text.tokens(F.col("key"))
     stage = (
         F.when((F.col("normal") != "") & F.coalesce(F.array_contains("exact", F.col("normal")), F.lit(False)), "exact")
         .when((F.length("key") >= LEAST_KEY) & F.contains(blob, F.concat(F.lit(" "), F.col("key"), F.lit(" "))), "substring")
-        .when(count >= LEAST_TOKENS, "run")
+        .when(F.size(words) >= LEAST_TOKENS, "run")
         .otherwise("missing")
     )
-    staged = lines.select(*keys, "ord", "line", "normal", "key", blob.alias("blob"), count.alias("count"), stage.alias("stage"))
-    coverage = F.pandas_udf(_run_lengths, "int")("key", "blob") / F.col("count")
-    rest = staged.where("stage = 'run'").withColumn("token_coverage", coverage).drop("blob")
-    rest = rest.withColumn("stage", F.when(F.col("token_coverage") >= LEAST_COVERAGE, "partial").otherwise("missing"))
-    done = staged.where("stage <> 'run'").drop("blob").withColumn("token_coverage", F.lit(None).cast("double"))
-    return done.unionByName(rest).select(*keys, "ord", "line", "normal", "key", F.col("stage").alias("match_type"), "token_coverage")
+    staged = lines.withColumn("stage", stage)
+    one = F.when(F.col("stage") == "run", F.arrays_overlap(words, F.split(blob, " ")).cast("int"))  # a run of one word
+    staged = staged.select(*keys, "ord", "line", "normal", "key", "stage", F.size(words).alias("count"), one.alias("one"))
+    runs = longest_runs(staged.where("stage = 'run'").select(*keys, "key").distinct(), index.select(*keys, "blob"), keys)
+    found = staged.join(runs, [*keys, "key"], "left")
+    coverage = F.when(F.col("stage") == "run", F.coalesce("longest", "one") / F.col("count"))
+    told = F.when(F.col("stage") != "run", F.col("stage")).when(coverage >= LEAST_COVERAGE, "partial").otherwise("missing")
+    return found.select(*keys, "ord", "line", "normal", "key", told.alias("match_type"), coverage.alias("token_coverage"))
 
 
 def of_type(name: str) -> Column:

@@ -27,19 +27,16 @@ def is_present(line: Column, corpus: Column) -> Column:
 def gated_present(missing: DataFrame, revealed: DataFrame) -> DataFrame:
     """Missing lines (pair_id, ord, text) that the target's interaction reveals, with the first trigger that does.
 
-    ``revealed``: pair_id, ord, text, trigger_label.
+    ``revealed``: pair_id, ord, text, trigger_label. A pair's revealed keys are one sorted array beside its corpus, so each
+    missing line reads them once and no table of pairs of lines is made.
     """
-    behind = missing.join(corpora(revealed), "pair_id").where(is_present(F.col("text"), F.col("corpus")))
-    q, r = text.crawl_key("text"), text.crawl_key("r_text")
-    lines = revealed.select("pair_id", F.col("ord").alias("r_ord"), F.col("text").alias("r_text"), "trigger_label")
-    told = (
-        behind.select("pair_id", "ord", "text")
-        .join(lines, "pair_id")
-        .where(F.contains(r, q) | F.contains(q, r))
-        .groupBy("pair_id", "ord")
-        .agg(F.min_by("trigger_label", "r_ord").alias("trigger_label"))
-    )
-    return behind.select("pair_id", "ord", "text").join(told, ["pair_id", "ord"], "left")
+    entry = F.struct("ord", text.crawl_key("text").alias("key"), F.col("trigger_label").alias("label"))
+    lines = revealed.groupBy("pair_id").agg(F.array_sort(F.collect_list(entry)).alias("lines"))
+    keyed = missing.select("pair_id", "ord", "text", text.crawl_key("text").alias("q"))
+    held = F.concat(F.lit(" "), F.array_join(F.transform("lines", lambda r: r["key"]), "  "), F.lit(" "))
+    behind = keyed.where(F.length("q") >= 2).join(lines.withColumn("corpus", held), "pair_id").where(F.contains("corpus", F.col("q")))
+    told = F.filter("lines", lambda r: F.contains(r["key"], F.col("q")) | F.contains(F.col("q"), r["key"]))
+    return behind.select("pair_id", "ord", "text", F.get(told, F.lit(0))["label"].alias("trigger_label"))
 
 
 def gated_missing(revealed: DataFrame, target: DataFrame) -> DataFrame:
@@ -93,16 +90,22 @@ def distinct_states(states: DataFrame, most: int = 60) -> DataFrame:
 def find_trigger(wanted: DataFrame, groups: DataFrame) -> DataFrame:
     """The trigger of a wanted (pair_id, ord, label, text): by label and text, else by label, else by text.
 
-    ``groups``: pair_id, g_ord, g_label, lines (array of revealed texts).
+    ``groups``: pair_id, g_ord, g_label, lines (array of revealed texts). Groups are keyed once and lie with their pair.
     """
-    label, said = text.crawl_key("label"), text.crawl_key("text")
-    by_label = (label != "") & (text.crawl_key("g_label") == label)
-    held = F.exists(F.transform("lines", text.crawl_key), lambda r: (r != "") & (F.contains(r, said) | F.contains(said, r)))
-    by_text = (said != "") & F.coalesce(held, F.lit(False))
-    order = F.when(by_label & by_text, 0).when(by_label, 1).when(by_text, 2)
-    met = wanted.join(groups, "pair_id").withColumn("order", order).where("order is not null")
-    best = met.groupBy("pair_id", "ord").agg(F.min_by("g_ord", F.struct("order", "g_ord")).alias("g_ord"))
-    return wanted.join(best, ["pair_id", "ord"], "left")
+    keys = F.filter(F.transform("lines", text.crawl_key), lambda r: r != "")
+    entry = F.struct("g_ord", text.crawl_key("g_label").alias("label"), F.coalesce(keys, F.array().cast("array<string>")).alias("keys"))
+    held = groups.groupBy("pair_id").agg(F.collect_list(entry).alias("held"))
+    keyed = wanted.withColumns({"__label": text.crawl_key("label"), "__said": text.crawl_key("text")}).join(held, "pair_id", "left")
+    label, said = F.col("__label"), F.col("__said")
+
+    def place(g: Column) -> Column:
+        by_label = (label != "") & (g["label"] == label)
+        by_text = (said != "") & F.exists(g["keys"], lambda r: F.contains(r, said) | F.contains(said, r))
+        order = F.when(by_label & by_text, 0).when(by_label, 1).when(by_text, 2)
+        return F.when(order.isNotNull(), F.struct(order.alias("order"), g["g_ord"].alias("g_ord")))
+
+    best = F.array_min(F.transform("held", place))
+    return keyed.select(*wanted.columns, best["g_ord"].alias("g_ord"))
 
 
 def _label(c: Column) -> Column:

@@ -93,3 +93,34 @@ def test_acceptance_in_order_is_the_plain_fold(spark):
             hits += "overlaps_prior_match" in told["reasons"]
             prior += [target] if told["accepted"] else []
     assert hits > 5
+
+
+def test_triggers_are_those_of_brute_force(spark):
+    import random
+
+    pick = random.Random(11)
+    some = lambda n: " ".join(pick.choice(["ab", "a", "bc", "Gold!", "x-y", ""]) for _ in range(n))
+    missing = [(p, o, pick.choice([None, *[some(1 + pick.randrange(2))] * 4])) for p in range(10) for o in range(8)]
+    revealed = [(p, o, some(pick.randrange(4)), f"t{o}") for p in range(9) for o in range(6)]
+    m = spark.createDataFrame(missing, "pair_id long, ord long, text string")
+    r = spark.createDataFrame(revealed, "pair_id long, ord long, text string, trigger_label string")
+    key = lambda t: " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in (t or "").lower()).split())
+    want = {}
+    for p, o, t in missing:
+        keys = [(key(x), label) for q, _, x, label in revealed if q == p]
+        k = key(t)
+        if keys and len(k) >= 2 and k in f" {'  '.join(x for x, _ in keys)} ":
+            want[p, o] = next((label for x, label in keys if k in x or x in k), None)
+    assert {(x.pair_id, x.ord): x.trigger_label for x in crawl.gated_present(m, r).collect()} == want and len(want) > 10
+
+    groups = r.selectExpr("pair_id", "ord % 3 as g_ord", "concat('t', ord % 3) as g_label", "text").groupBy("pair_id", "g_ord", "g_label").agg(F.collect_list("text").alias("lines"))
+    wanted = m.withColumn("label", F.concat(F.lit("T"), F.col("ord") % 5))
+    got = {(x.pair_id, x.ord): x.g_ord for x in crawl.find_trigger(wanted, groups).collect()}
+    for p, o, t in missing:
+        best, k = None, key(t)
+        for g in range(3 if p < 9 else 0):
+            lines = [key(x) for q, n, x, _ in revealed if q == p and n % 3 == g]
+            by_label, by_text = f"t{o % 5}" == f"t{g}", bool(k) and any(x and (x in k or k in x) for x in lines)
+            if by_label or by_text:
+                best = min(x for x in (best, (0 if by_label and by_text else 1 if by_label else 2, g)) if x is not None)
+        assert got[p, o] == (best[1] if best else None)

@@ -55,10 +55,10 @@ def test_metrics(spark):
     assert (m.recall, m.jaccard) == (1.0, 1.0)
 
 
-def test_longest_run():
-    assert audit.longest_run("a b c d".split(), " x b c y ") == 2
-    assert audit.longest_run("a".split(), "  ") == 0
-    assert audit.longest_run("a b a b".split(), " b a b a b ") == 4
+def test_longest_run(spark):
+    keys = spark.createDataFrame([(1, "a b c d"), (2, "a"), (3, "a b a b c"), (4, "a b a b")], "pair_id int, key string")
+    blobs = spark.createDataFrame([(1, " x b c y "), (2, "  "), (3, " a b c a b a b "), (4, " b a b a b ")], "pair_id int, blob string")
+    assert {r.pair_id: r.longest for r in audit.longest_runs(keys, blobs, ["pair_id"]).collect()} == {1: 2, 3: 4, 4: 4}
 
 
 def test_content(spark):
@@ -102,3 +102,39 @@ def test_recipe():
     assert recipe.with_defaults(None)["profiles"] == ["desktop"]
     assert recipe.provenance(loaded, "x") == recipe.PROVENANCE
     assert recipe.profile()["viewport"] == (1920, 1080)
+
+
+def test_longest_runs_are_those_of_brute_force(spark):
+    import random
+
+    pick = random.Random(5)
+    some = lambda n: " ".join(pick.choice("abc") for _ in range(n))
+    source = [(p, o, some(pick.randrange(0, 9))) for p in range(12) for o in range(8)]
+    source += [(0, 0, source[0][2]), (0, 99, None), (77, 0, "a b c d")]  # repeated, null, and a pair without target
+    target = [(p, o, some(pick.randrange(0, 7))) for p in range(12) for o in range(9)]
+    schema = "pair_id long, ord long, line string"
+    found = audit.audit_lines(spark.createDataFrame(source, schema), spark.createDataFrame(target, schema))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Nested" not in plan and "Cartesian" not in plan
+    rows = found.collect()
+    assert len(rows) == len(source)
+    kinds = set()
+    for r in rows:
+        stream = f" {' '.join(t for p, _, t in target if p == r.pair_id and t)} "
+        words = r.key.split()
+        longest = max((j - i for i in range(len(words)) for j in range(i + 1, len(words) + 1) if f" {' '.join(words[i:j])} " in stream), default=0)
+        kinds.add(r.match_type)
+        if r.match_type in ("partial", "missing") and len(words) >= audit.LEAST_TOKENS:
+            assert abs(r.token_coverage - longest / len(words)) < 1e-12
+            assert (r.match_type == "partial") == (longest / len(words) >= audit.LEAST_COVERAGE)
+        else:
+            assert r.token_coverage is None
+    assert kinds == {"exact", "substring", "partial", "missing"}
+
+
+def test_metrics_with_nulls_and_one_sided_pairs(spark):
+    schema = "pair_id long, line string"
+    source = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (1, None), (2, "x"), (4, None)], schema)
+    target = spark.createDataFrame([(1, "x"), (1, "z"), (3, "x"), (4, "q")], schema)
+    got = {r.pair_id: tuple(r)[1:] for r in audit.line_metrics(source, target).collect()}
+    assert got == {1: (3, 2, 2, 2 / 3, 1 / 3), 2: (1, 0, 0, 0.0, 0.0), 3: (0, 1, 0, 1.0, 0.0), 4: (0, 1, 0, 1.0, 0.0)}
