@@ -152,72 +152,138 @@ def merges_into_previous(before: dict | None, label: str | None, rect: dict) ->
 
 REPLAYED = (
     "pair_id string, iter int, label string, remainder_top double, y double, height double, status string, accepted boolean, "
-    "reasons array<string>, merged_from array<int>, finished_reason string"
+    "reasons array<string>, merged_from array<int>, attempts int, finished_reason string"
 )
 
 
-def replay(answers: DataFrame, max_iterations: int = 40, use: MatchThresholds | None = None) -> DataFrame:
-    """The segment and match loop of a pair over recorded answers.
+@dataclass(frozen=True)
+class ReplayLimits:
+    """``width``, ``height``: the least size of a block in pixels. ``retries``: of an answer without a box. ``expansions``: of a row of cards."""
 
-    ``answers``: pair_id, iter, label, segment (box in shares of the rest, null if none), done, parsed,
-    found, confidence, target (box in shares of the target page), width, height, target_width,
-    target_height. Segments are merged (G5) and extended (P19), matches accepted (G4), and the rest of the
-    page moves on. The last row of a pair tells why it ended.
-    """
-    use = use or MatchThresholds()
+    iterations: int = 40
+    width: int = 50
+    height: int = 40
+    retries: int = 2
+    expansions: int = 3
+    share: float = 0.55
 
-    def pixels(share: dict, width: float, height: float) -> dict:
-        r = lambda v: math.floor(v + 0.5)
-        x, y = min(max(r(share["x"] * width), 0), width - 1), min(max(r(share["y"] * height), 0), height - 1)
-        return {"x": x, "y": y, "width": max(1, min(r(share["width"] * width), width - x)), "height": max(1, min(r(share["height"] * height), height - y))}
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows: list[dict] = []
-        prior: dict[int, dict] = {}
-        top, reason = 0.0, "max_iterations"
-        for m in part.sort_values("iter").to_dict("records"):
-            if m["iter"] > max_iterations:
-                break
-            left = m["height"] - top
-            if left <= 1:
-                reason = "source_exhausted"
-                break
-            if not m["parsed"]:
-                reason = "segment_parse_failed"
-                break
-            if m["done"]:
-                reason = "segment_done"
-                break
-            if m["segment"] is None or not m["segment"]["width"] or not m["segment"]["height"]:
-                reason = "invalid_segment_bbox"
-                break
-            rect, label, merged = pixels(m["segment"], m["width"], left), m["label"], []
-            before = rows[-1] if rows else None
-            if before and before["iter"] == m["iter"] - 1 and merges_into_previous(
-                {"label": before["label"], "rect": {"height": before["height"]}, "matched": before["status"] == "matched"}, label, rect
-            ):
-                merged = [before["iter"], m["iter"]]
-                rect = {**rect, "y": before["y"] - before["remainder_top"], "height": before["height"] + rect["y"] + rect["height"]}
-                top, label = before["remainder_top"], f"{before['label'] or 'card row'} (images + links)"
+def _usable(box: dict | None) -> bool:
+    return bool(box) and all(box.get(c) is not None for c in ("x", "y", "width", "height")) and box["width"] > 0 and box["height"] > 0
+
+
+def _pixels(share: dict, width: float, height: float) -> dict:
+    r = lambda v: math.floor(v + 0.5)
+    x, y = min(max(r(share["x"] * width), 0), width - 1), min(max(r(share["y"] * height), 0), height - 1)
+    return {"x": x, "y": y, "width": max(1, min(r(share["width"] * width), width - x)), "height": max(1, min(r(share["height"] * height), height - y))}
+
+
+def _segment(m: dict, left: float, limits: ReplayLimits) -> tuple[dict | None, str | None, int, str | None]:
+    """The box and label that an iteration ends up with, how many further answers it took, and why the page ends here.
+
+    An answer without a usable box is asked again; a row of cards that is too low is asked for more, until it is high enough or
+    grows no more.
+    """
+    box, label, taken = m["segment"], m["label"], 0
+    for again in list(m["retries"] if m["retries"] is not None else [])[: limits.retries]:
+        if _usable(box):
+            break
+        taken += 1
+        if again["done"]:
+            return None, label, taken, "segment_done"
+        box, label = again["segment"] or box, again["label"] or label
+    last = 0
+    for more in list(m["expansions"] if m["expansions"] is not None else [])[: limits.expansions]:
+        low = box is not None and box["height"] is not None and math.floor(box["height"] * left + 0.5) < geometry.ROW_HEIGHT and box["height"] < limits.share
+        if not (_card_row(label) and low):
+            break
+        taken += 1
+        if more["segment"] is None or more["segment"]["height"] is None or more["done"]:
+            break
+        high = math.floor(more["segment"]["height"] * left + 0.5)
+        if 0 < last >= high:
+            break
+        last, box, label = high, more["segment"], more["label"]
+    return (box, label, taken, None) if _usable(box) else (None, label, taken, "invalid_segment_bbox")
+
+
+def replay_pair(answers: list[dict], use: MatchThresholds, limits: ReplayLimits) -> list[dict]:
+    """G5-G7 for the answers of one pair in their order; at most ``limits.iterations`` rows."""
+    rows: list[dict] = []
+    rects: dict[int, dict] = {}  # the box of each row within the rest of the page that it was cut from
+    prior: dict[int, dict] = {}  # accepted targets, which a merge takes back
+    top, reason = 0.0, "max_iterations"
+    for m in answers:
+        if m["iter"] > limits.iterations:
+            break
+        left = max(1.0, m["height"] - top)
+        if left < limits.height:
+            reason = "source_exhausted"
+            break
+        if not m["parsed"] or m["done"]:
+            reason = "segment_done" if m["parsed"] else "segment_parse_failed"
+            break
+        box, label, attempts, ended = _segment(m, left, limits)
+        if box is None:
+            reason = ended
+            break
+        rect, merged = _pixels(box, m["width"], left), []
+        before = rows[-1] if rows and rows[-1]["iter"] == m["iter"] - 1 and rows[-1]["status"] != "skipped" else None
+        if before is not None:
+            was = rects[before["iter"]]
+            joined = {
+                "x": min(was["x"], rect["x"]), "y": was["y"], "height": was["height"] + rect["y"] + rect["height"],
+                "width": max(was["x"] + was["width"], rect["x"] + rect["width"]) - min(was["x"], rect["x"]),
+            }
+            told = {"label": before["label"], "rect": was, "matched": before["status"] == "matched"}
+            if merges_into_previous(told, label, rect) and joined["height"] >= limits.height:
+                merged, rect, top = [before["iter"], m["iter"]], joined, before["remainder_top"]
+                label = f"{before['label'] or 'card row'} (images + links)"
                 prior.pop(before["iter"], None)
                 rows.pop()
-            if _card_row(label) and rect["height"] < geometry.ROW_HEIGHT:
-                rect["height"] = max(rect["height"], min(geometry.ROW_HEIGHT, rect["height"] + geometry.ROW_EXTENSION, left - rect["y"]))
-            on_page = {**rect, "y": top + rect["y"]}
-            target = pixels(m["target"], m["target_width"], m["target_height"]) if m["found"] and m["target"] is not None else None
-            told = accept(bool(m["found"]), m["confidence"], on_page, target, (m["height"], m["target_height"]), list(prior.values()), use)
+        if _card_row(label) and rect["height"] < geometry.ROW_HEIGHT:
+            rect = {**rect, "height": max(rect["height"], min(geometry.ROW_HEIGHT, rect["height"] + geometry.ROW_EXTENSION, left - rect["y"]))}
+        on_page = {**rect, "y": top + rect["y"]}
+        row = {"pair_id": m["pair_id"], "iter": m["iter"], "label": label, "remainder_top": top, "y": on_page["y"], "height": rect["height"], "merged_from": merged, "attempts": attempts}
+        small = lambda b: b["width"] < limits.width or b["height"] < limits.height
+        if small(rect):
+            rows.append({**row, "status": "skipped", "accepted": False, "reasons": ["bbox_too_small"]})
+        else:
+            target = _pixels(m["target"], m["target_width"], m["target_height"]) if m["found"] and m["target"] is not None else None
+            if target is not None and not small(target):
+                told = accept(True, m["confidence"], on_page, target, (m["height"], m["target_height"]), list(prior.values()), use)
+            else:
+                told = {"accepted": False, "reasons": ["bbox_too_small"] if m["found"] else []}
             if told["accepted"]:
                 prior[m["iter"]] = target
-            rows.append(
-                {
-                    "pair_id": m["pair_id"], "iter": m["iter"], "label": label, "remainder_top": top, "y": on_page["y"], "height": rect["height"],
-                    "status": "matched" if told["accepted"] else "missing", "accepted": told["accepted"], "reasons": told["reasons"], "merged_from": merged,
-                }
-            )
-            top += rect["y"] + rect["height"]
-        out = pd.DataFrame(rows, columns=[c.strip().split()[0] for c in REPLAYED.split(",")])
-        out["finished_reason"] = [None] * (len(out) - 1) + [reason] if len(out) else []
-        return out
+            rows.append({**row, "status": "matched" if told["accepted"] else "missing", "accepted": told["accepted"], "reasons": told["reasons"]})
+        rects[m["iter"]] = rect
+        top += rect["y"] + rect["height"]
+    for k, row in enumerate(rows):
+        row["finished_reason"] = reason if k == len(rows) - 1 else None
+    return rows
+
+
+def replay(answers: DataFrame, max_iterations: int = 40, use: MatchThresholds | None = None, limits: ReplayLimits | None = None) -> DataFrame:
+    """The segment and match loop of a pair over recorded answers.
+
+    ``answers``: pair_id, iter, label, segment (box in shares of the rest, null if none), done, parsed,
+    found, confidence, target (box in shares of the target page), width, height, target_width,
+    target_height; and where there are any, ``retries`` and ``expansions``: arrays of (segment, label, done) in the order they were
+    given. Segments are asked again and expanded (G6), merged (G5) and extended (P19), matches accepted (G4), and the rest of the
+    page moves on. Blocks below the least size are passed over. The last row of a pair tells why it ended.
+
+    A merge starts where the previous block's rest of the page started, so places on the page stay true where that block did
+    not begin at the top of the rest. A pair has at most ``max_iterations`` rows, whatever the size of the run.
+    """
+    use, limits = use or MatchThresholds(), limits or ReplayLimits(iterations=max_iterations)
+    for name in ("retries", "expansions"):
+        if name not in answers.columns:
+            answers = answers.withColumn(name, F.lit(None).cast(f"array<struct<segment:{answers.schema['segment'].dataType.simpleString()},label:string,done:boolean>>"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        rows = replay_pair(part.sort_values("iter").to_dict("records"), use, limits)
+        return pd.DataFrame(rows, columns=[c.strip().split()[0] for c in REPLAYED.split(",")])
 
     return spread(answers.withColumn("pair_id", F.col("pair_id").cast("string")), "pair_id").groupBy("pair_id").applyInPandas(run, REPLAYED)
 

@@ -172,11 +172,13 @@ def card_row_guards(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def segment_replay(spark: SparkSession, sf: str) -> DataFrame:
-    """G5-G7 over answers made from boxes."""
+    """G5-G7 over answers made from boxes: every fourth has no box until it is asked again, rows of cards are asked for more twice."""
     label = F.get(F.array(*map(F.lit, LABELS)), F.col("source.x").cast("int") % 10)
-    share = geometry.box(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.col("source.height") / 4000)
+    high = lambda k: geometry.box(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.col("source.height") * k / 4000)
+    more = lambda k: F.struct(high(k).alias("segment"), label.alias("label"), F.lit(False).alias("done"))
     found = _boxes(spark, sf).select(
-        "pair_id", F.col("ord").alias("iter"), label.alias("label"), share.alias("segment"), (F.col("ord") > 6).alias("done"), F.lit(True).alias("parsed"),
+        "pair_id", F.col("ord").alias("iter"), label.alias("label"), F.when(F.col("ord") % 4 != 0, high(1.0)).alias("segment"),
+        F.array(more(1.0)).alias("retries"), F.array(more(1.25), more(1.5)).alias("expansions"), (F.col("ord") > 6).alias("done"), F.lit(True).alias("parsed"),
         (F.col("confidence") > 0.82).alias("found"), "confidence", _shares(F.col("target"), 1000, 5000).alias("target"), F.lit(1000.0).alias("width"),
         F.lit(4000.0).alias("height"), F.lit(1000.0).alias("target_width"), F.lit(5000.0).alias("target_height"),
     )

@@ -124,3 +124,54 @@ def test_triggers_are_those_of_brute_force(spark):
             if by_label or by_text:
                 best = min(x for x in (best, (0 if by_label and by_text else 1 if by_label else 2, g)) if x is not None)
         assert got[p, o] == (best[1] if best else None)
+
+
+BOX = "struct<x:double,y:double,width:double,height:double>"
+MORE = f"array<struct<segment:{BOX},label:string,done:boolean>>"
+ANSWERS = (
+    f"pair_id string, iter int, label string, segment {BOX}, done boolean, parsed boolean, found boolean, confidence double, target {BOX}, "
+    f"width double, height double, target_width double, target_height double, retries {MORE}, expansions {MORE}"
+)
+
+
+def answer(pair, i, label, segment, target=None, retries=None, expansions=None, done=False, parsed=True, height=2000.0):
+    return (pair, i, label, segment, done, parsed, target is not None, 0.95 if target else None, target, 1000.0, height, 1000.0, height, retries, expansions)
+
+
+def test_replay_with_attempts(spark):
+    strip = (0.0, 0.0, 1.0, 0.1)
+    rows = [
+        # no box at first: the second retry has one; then a page whose rest is below the least height
+        answer("retry", 1, None, None, None, [(None, "Text", False), ((0.0, 0.0, 1.0, 0.99), None, False)]),
+        answer("retry", 2, "x", strip),
+        answer("done", 1, "Text", strip),
+        answer("done", 2, "Text", (0.0, 0.0, 0.0, 0.1), None, [(None, None, True)]),
+        answer("never", 1, "Text", strip),
+        answer("never", 2, "Text", None, None, [(None, None, False), (None, None, False), (strip, None, False)]),
+        # a row of cards: a first expansion is taken, one that does not grow ends the asking, the row reaches 200 px further
+        answer("grow", 1, "card row", (0.0, 0.0, 1.0, 0.05), None, None, [((0.0, 0.0, 1.0, 0.15), "card row", False), ((0.0, 0.0, 1.0, 0.14), "card row", False), ((0.0, 0.0, 1.0, 0.4), "card row", False)]),
+        answer("high", 1, "card row", (0.0, 0.0, 1.0, 0.4), None, None, [((0.0, 0.0, 1.0, 0.5), "card row", False)]),
+        # too small: passed over, and the page moves on; small targets are no targets
+        answer("small", 1, "Text", (0.0, 0.0, 0.04, 0.1)),
+        answer("small", 2, "Text", strip, (0.0, 0.1, 1.0, 0.01)),
+        answer("small", 3, None, None, None, None, None, False, False),
+        # a merge takes the earlier match back, so that the merged row may be matched in its place
+        answer("revoke", 1, "card row", (0.1, 0.05, 0.5, 0.1), (0.1, 0.05, 0.5, 0.1)),
+        answer("revoke", 2, "links", (0.0, 0.01, 1.0, 0.05), (0.0, 0.05, 1.0, 0.26)),
+        answer("revoke", 3, None, None, None, None, None, True),
+    ]
+    found: dict = {}
+    for r in sorted(gates.replay(spark.createDataFrame(rows, ANSWERS).repartition(3)).collect(), key=lambda r: (r.pair_id, r.iter)):
+        found.setdefault(r.pair_id, []).append(r)
+    one = found["retry"]
+    assert [(r.iter, r.label, r.height, r.attempts, r.finished_reason) for r in one] == [(1, "Text", 1980.0, 2, "source_exhausted")]
+    assert [(r.iter, r.finished_reason) for r in found["done"]] == [(1, "segment_done")]
+    assert [(r.iter, r.finished_reason) for r in found["never"]] == [(1, "invalid_segment_bbox")]
+    assert [(r.height, r.attempts) for r in found["grow"]] == [(500.0, 2)]
+    assert [(r.height, r.attempts) for r in found["high"]] == [(800.0, 0)]
+    assert [(r.status, r.y, r.reasons) for r in found["small"]] == [("skipped", 0.0, ["bbox_too_small"]), ("missing", 200.0, ["bbox_too_small"])]
+    assert found["small"][-1].finished_reason == "segment_parse_failed"
+    (r,) = found["revoke"]
+    # the first row became 400 px high by extension; 15 px and 75 px of links follow, and the row reaches down to its least height
+    assert (r.merged_from, r.status, r.label, r.remainder_top, r.y) == ([1, 2], "matched", "card row (images + links)", 0.0, 100.0)
+    assert r.height == min(620, 400 + 15 + 75 + 200) and r.finished_reason == "segment_done"
