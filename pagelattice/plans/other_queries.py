@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelattice.functions import geometry, text
 from pagelattice.operators import crawl, gates, report
 from pagelattice.plans import adapters as a
-from pagelattice.sources import cache, events, html, model_answers, ocr
+from pagelattice.sources import cache, captures, events, html, model_answers, ocr
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -369,6 +369,27 @@ def cache_stats(spark: SparkSession, sf: str) -> DataFrame:
     return cache.stats(e, e.where("event_id % 3 = 0"))
 
 
+@query(
+    "WITH c AS (SELECT user_id AS pair_id, ['source', 'target'][1 + event_id % 2] AS role, ['desktop', 'mobile'][1 + event_id // 2 % 2] AS profile, event_id // 4 % 8 AS attempt, "
+    "CASE WHEN event_id % 3 <> 0 THEN 'error ' || event_id % 7 END AS error, event_id % 1000 AS height FROM events WHERE user_id IS NOT NULL), "
+    "g AS (SELECT pair_id, role, unnest(['desktop', 'mobile']) AS profile FROM (SELECT pair_id, unnest(['source', 'target']) AS role FROM (SELECT DISTINCT pair_id FROM c))), "
+    "t AS (SELECT *, row_number() OVER (PARTITION BY pair_id, role, profile ORDER BY error IS NOT NULL, CASE WHEN error IS NULL THEN attempt ELSE -attempt END, coalesce(error, ''), height) AS n FROM c WHERE attempt <= 5) "
+    "SELECT g.pair_id, g.role, g.profile, CASE WHEN attempt IS NULL THEN 'not captured' ELSE error END AS error, CAST(height AS INTEGER) AS height, CAST(coalesce(attempt + 1, 0) AS INTEGER) AS attempts, "
+    "CAST(coalesce(2500 * attempt * (attempt + 1), 0) AS BIGINT) AS waited FROM g LEFT JOIN t ON t.pair_id = g.pair_id AND t.role = g.role AND t.profile = g.profile AND t.n = 1"
+)
+def settled_captures(spark: SparkSession, sf: str) -> DataFrame:
+    """Events stand for attempts to capture a user's pages."""
+    e = a.table(spark, sf, "events").where("user_id is not null")
+    n = F.col("event_id")
+    tried = e.select(
+        F.col("user_id").alias("pair_id"), F.when(n % 2 == 0, "source").otherwise("target").alias("role"), F.when(F.floor(n / 2) % 2 == 0, "desktop").otherwise("mobile").alias("profile"),
+        (F.floor(n / 4) % 8).cast("int").alias("attempt"), F.when(n % 3 != 0, F.concat(F.lit("error "), n % 7)).alias("error"), (n % 1000).cast("int").alias("height"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("visible", "array<string>"), ("expanded", "array<string>"), ("items", f"array<{captures.ITEM}>"))],
+    )
+    grid = captures.wanted(e.select(F.col("user_id").alias("idx")).distinct(), ["desktop", "mobile"])
+    return captures.settled(tried, grid).select("pair_id", "role", "profile", "error", "height", "attempts", "waited")
+
+
 @query(
     "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS in_window FROM events WHERE ts IS NOT NULL"
 )
