@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -156,6 +157,9 @@ REPLAYED = (
 )
 
 
+PAIRS_AT_ONCE = 500
+
+
 @dataclass(frozen=True)
 class ReplayLimits:
     """``width``, ``height``: the least size of a block in pixels. ``retries``: of an answer without a box. ``expansions``: of a row of cards."""
@@ -281,11 +285,20 @@ def replay(answers: DataFrame, max_iterations: int = 40, use: MatchThresholds |
         if name not in answers.columns:
             answers = answers.withColumn(name, F.lit(None).cast(f"array<struct<segment:{answers.schema['segment'].dataType.simpleString()},label:string,done:boolean>>"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = replay_pair(part.sort_values("iter").to_dict("records"), use, limits)
-        return pd.DataFrame(rows, columns=[c.strip().split()[0] for c in REPLAYED.split(",")])
+    told = F.struct("iter", *[c for c in answers.columns if c not in ("iter", "pair_id")])
+    kept = spread(answers.where(F.col("iter") <= limits.iterations + 1).withColumn("pair_id", F.col("pair_id").cast("string")), "pair_id").groupBy("pair_id")
+    names = [c.strip().split()[0] for c in REPLAYED.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), PAIRS_AT_ONCE):
+                part = batch.iloc[at : at + PAIRS_AT_ONCE]
+                pairs = zip(part["pair_id"], part["answers"], strict=True)
+                rows = [r for pair, found in pairs for r in replay_pair([{**m, "pair_id": pair} for m in found], use, limits)]
+                yield pd.DataFrame(rows, columns=names)
 
-    return spread(answers.withColumn("pair_id", F.col("pair_id").cast("string")), "pair_id").groupBy("pair_id").applyInPandas(run, REPLAYED)
+    # a pair's answers are one row, so a task takes many pairs in a batch instead of a group each
+    return kept.agg(F.array_sort(F.collect_list(told)).alias("answers")).mapInPandas(run, REPLAYED)
 
 
 def extra_blocks(blocks: DataFrame, least_width: int = 50, least_height: int = 40) -> DataFrame:
