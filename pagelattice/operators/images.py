@@ -6,11 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.functions import text
 from pagelattice.operators.groups import spread
+from pagelattice.sources import pictures as png
 
 ICON, FLAT_LOW, FLAT_HIGH = 40, 3, 61
 HASH_MOST, COPY_MOST, WINDOW_LEAST, WINDOW_SHARE = 10, 6, 60, 1.5
@@ -100,7 +102,7 @@ def differing_pixels(a: np.ndarray, b: np.ndarray, threshold: float = 0.1) -> np
 
 def compare_pixels(a: np.ndarray, b: np.ndarray, bands: int = 8, changed_below: float = 0.9) -> dict:
     """Similarity of two images of equal size, and of horizontal bands, the last of which takes the rest."""
-    differ = differing_pixels(a, b)
+    differ = np.concatenate([differing_pixels(a[at : at + 512], b[at : at + 512]) for at in range(0, len(a), 512)]) if len(a) else np.zeros((0, 1), bool)
     height = len(differ)
     step = max(1, height // bands)
     found = []
@@ -128,6 +130,77 @@ def compare_images(pairs: DataFrame, bands: int = 8) -> DataFrame:
     return pairs.mapInPandas(run, "pair_id string, similarity double, bands array<double>, changed_bands int")
 
 
+#: Width and longer edge of pictures that are compared, and the colour (with alpha) beside the smaller one.
+COMPARE_WIDTH, LONGEST_EDGE, BESIDE = 512, 1024, (200, 200, 200, 255)
+
+
+def _opened(data: bytes | None) -> tuple[np.ndarray | None, str | None]:
+    if data is None:
+        return None, "no picture"
+    try:
+        return png.decode(data), None
+    except png.BrokenPicture as e:
+        return None, str(e)
+
+
+def compare_pictures(pairs: DataFrame, width: int = COMPARE_WIDTH, longest: int = LONGEST_EDGE, bands: int = 8) -> DataFrame:
+    """A13, A14 over PNG files (pair_id, source: binary, target: binary): pair_id, width, height, similarity, bands, changed_bands, error.
+
+    Both are made smaller, put on one canvas and compared. A picture that is absent or broken gives its error and nulls. There is no
+    shuffle; a worker opens one pair at a time, and ``spark.sql.execution.arrow.maxRecordsPerBatch`` bounds the files it holds.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):
+                (a, wrong), (b, wrong_too) = (_opened(batch.column(side)[k].as_py()) for side in ("source", "target"))
+                row = {"pair_id": batch.column("pair_id")[k].as_py(), "error": wrong and f"source: {wrong}" or wrong_too and f"target: {wrong_too}"}
+                if row["error"] is None:
+                    a, b = png.on_one_canvas(png.resized(a, width, longest), png.resized(b, width, longest), BESIDE)
+                    row |= {"height": a.shape[0], "width": a.shape[1]} | compare_pixels(a, b, bands)
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+    out = f"pair_id {kind}, width int, height int, similarity double, bands array<double>, changed_bands int, error string"
+    schema = _arrow(out)
+    return pairs.select("pair_id", "source", "target").mapInArrow(run, out)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def hash_pictures(nodes: DataFrame, pictures: DataFrame) -> DataFrame:
+    """S12, A15 over nodes (image_id, ord, x, y, w, h) and PNG files (image_id, png): image_id, ord, hash, icon, flat, error.
+
+    The nodes of a picture, which are those of one page, come to it in one row, so each file is opened once. Nodes whose picture is absent or
+    broken keep their row with the error; pictures without nodes give none.
+    """
+    boxes = F.array_sort(F.collect_list(F.struct("ord", *[F.col(c).cast("double").alias(c) for c in "xywh"])))
+    rows = nodes.groupBy("image_id").agg(boxes.alias("boxes")).join(pictures.select("image_id", "png"), "image_id", "left")
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                picture, wrong = _opened(batch.column("png")[k].as_py())
+                dark = None if picture is None else png.grey(picture)
+                for n in batch.column("boxes")[k].as_py():
+                    row = {"image_id": batch.column("image_id")[k].as_py(), "ord": n["ord"], "error": wrong}
+                    found.append(row if dark is None else row | difference_hash(dark, n["x"], n["y"], n["w"], n["h"]))
+            yield pa.RecordBatch.from_pylist(found, schema=schema)
+
+    kinds = {c: nodes.schema[c].dataType.simpleString() for c in ("image_id", "ord")}
+    out = f"image_id {kinds['image_id']}, ord {kinds['ord']}, hash string, icon boolean, flat boolean, error string"
+    schema = _arrow(out)
+    return rows.mapInArrow(run, out)
+
+
 def near_anchors(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
     """Nodes (pair_id, ord, x, y) with the nearest anchor (pair_id, anchor, x, y, cx, cy) of their pair.
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelattice.sources import pictures as png
+
+#: Pixels a row of the pictures that stand in for screenshots.
+PICTURE_WIDTH = 256
+
 SPACES = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 
 
@@ -65,6 +71,32 @@ def image_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pictures(texts: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of texts as PNG files of grey pixels: a pixel is a byte, 256 are a row, the last row ends white, no text is a white row."""
+
+    def run(batches):
+        for part in batches:
+            for c in columns:
+                part[c] = [_picture(t.encode()) for t in part[c]]
+            yield part
+
+    fields = [f"{f.name} {'binary' if f.name in columns else f.dataType.simpleString()}" for f in texts.schema]
+    return texts.mapInPandas(run, ", ".join(fields))
+
+
+def _picture(data: bytes) -> bytes:
+    rows = max(1, -(-len(data) // PICTURE_WIDTH))
+    return png.encode(np.frombuffer(data.ljust(rows * PICTURE_WIDTH, b"\xff"), np.uint8).reshape(rows, PICTURE_WIDTH, 1))
+
+
+def picture_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pair_id, source, target: each document and its edited form as pictures."""
+    lines = F.array_sort(F.collect_list(F.struct("ord", "line")))
+    edited = target_lines(spark, sf_dir).groupBy("pair_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("target"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.coalesce("text", F.lit("")).alias("source"))
+    return pictures(docs.join(edited, "pair_id", "left").select("pair_id", "source", F.coalesce("target", F.lit("")).alias("target")), "source", "target")
+
+
 # --- the same rules in SQL ---------------------------------------------------------------------------------
 
 LINES_SQL = """
