@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelattice.operators.groups import spread
 from pagelattice.sources import pictures as png
 
 #: Pixels a row of the pictures that stand in for screenshots.
@@ -92,9 +93,10 @@ def _picture(data: bytes) -> bytes:
 def picture_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, source, target: each document and its edited form as pictures."""
     lines = F.array_sort(F.collect_list(F.struct("ord", "line")))
-    edited = target_lines(spark, sf_dir).groupBy("pair_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("target"))
+    edited = spread(target_lines(spark, sf_dir), "pair_id").groupBy("pair_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("target"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.coalesce("text", F.lit("")).alias("source"))
-    return pictures(docs.join(edited, "pair_id", "left").select("pair_id", "source", F.coalesce("target", F.lit("")).alias("target")), "source", "target")
+    # both sides are dealt once, and pictures are made where the rows then are
+    return pictures(spread(docs, "pair_id").join(edited, "pair_id", "left").select("pair_id", "source", F.coalesce("target", F.lit("")).alias("target")), "source", "target")
 
 
 # --- the same rules in SQL ---------------------------------------------------------------------------------

@@ -59,8 +59,8 @@ def _chunks(data: bytes) -> Iterable[tuple[bytes, bytes]]:
 def unfiltered(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
     """The bytes of filtered ``rows`` (height, bytes a row), of filters ``kinds``; ``step`` bytes are a pixel.
 
-    A byte needs those left of it, above it and left of that one. All of them lie on earlier diagonals, so a diagonal is one
-    operation over its rows, whatever their filters are. Rows without a filter need nothing and are copied at once.
+    A byte needs those left of it, above it and left of that one. Filters 1 and 2 need one of the first two, so a row is one sum.
+    In a run of rows among which are filters 3 and 4 all three lie on earlier diagonals, so a diagonal is one operation over its rows.
     """
     if (kinds > 4).any():
         raise BrokenPicture("unknown filter")
@@ -68,18 +68,39 @@ def unfiltered(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
         return rows
     height, wide = len(rows), rows.shape[1] // step
     raw = rows.reshape(height, wide, step)
+    out = np.empty_like(raw)
+    above = np.zeros((wide, step), np.uint8)
+    at = 0
+    while at < height:
+        end = at + 1
+        if kinds[at] > 2:
+            plain = np.flatnonzero(kinds[at:] <= 2)
+            end = at + int(plain[0]) if len(plain) else height
+            out[at:end] = _by_diagonals(kinds[at:end], raw[at:end], above)
+        elif kinds[at] == 2:
+            np.add(raw[at], above, out=out[at])
+        elif kinds[at] == 1:
+            np.cumsum(raw[at], axis=0, dtype=np.uint8, out=out[at])
+        else:
+            out[at] = raw[at]
+        above, at = out[end - 1], end
+    return out.reshape(height, wide * step)
+
+
+def _by_diagonals(kinds: np.ndarray, raw: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Rows of filters 3 and 4, from the row ``above`` them on."""
+    height, wide, step = raw.shape
     out = np.zeros((height + 1, wide + 1, step), np.int16)
-    by_row = kinds[:, None]
+    out[0, 1:] = above
+    mean = (kinds == 3)[:, None]
     for t in range(height + wide - 1):
         y = np.arange(max(0, t - wide + 1), min(height, t + 1))
         x = t - y
         left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
-        kind = by_row[y]
         near_left, near_up, near_corner = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
         paeth = np.where((near_left <= near_up) & (near_left <= near_corner), left, np.where(near_up <= near_corner, up, corner))
-        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) >> 1, paeth], 0)
-        out[y + 1, x + 1] = (raw[y, x] + guess) & 255
-    return out[1:, 1:].astype(np.uint8).reshape(height, wide * step)
+        out[y + 1, x + 1] = (raw[y, x] + np.where(mean[y], (left + up) >> 1, paeth)) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def _samples(stream: bytes, at: int, width: int, height: int, depth: int, count: int) -> tuple[np.ndarray, int]:
