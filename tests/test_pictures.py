@@ -162,3 +162,27 @@ def test_hashes_of_files(spark):
                 means.append(sum(cells) / len(cells))
             bits += "".join("1" if p < q else "0" for p, q in zip(means, means[1:]))
         assert found["a", ord_].hash == f"{int(bits, 2):016x}"
+
+
+def test_queries_on_awkward_rows(spark, tmp_path):
+    """Null and empty texts are one white row, repeated rows stay, a row without an id has its row, an empty table gives none."""
+    import duckdb
+
+    from pagelattice.plans import picture_queries
+
+    rows = [(1, None), (2, ""), (3, "one line"), (3, "one line"), (4, "ä\n" * 200_000), (None, "x\ny")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    documents.write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    documents.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    key = lambda r: tuple((v is None, v) for v in r)
+    for folder, n in (("some", 6), ("none", 0)):
+        found = picture_queries.picture_bands(spark, str(tmp_path / folder))
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from read_parquet('{tmp_path}/{folder}/documents.parquet/*.parquet')")
+        wanted = [tuple(r) for r in con.execute(f"select {', '.join(found.columns)} from ({picture_queries.BANDS})").fetchall()]
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == n and sorted(got, key=key) == sorted(wanted, key=key)
+        assert picture_queries.picture_similarity(spark, str(tmp_path / folder)).where("error is not null").count() == 0
+        hashes = picture_queries.picture_hashes(spark, str(tmp_path / folder)).collect()
+        assert {r.image_id for r in hashes} == {r[0] for r in (rows if n else [])}
+        assert sum(r.image_id == 4 for r in hashes) == (-(-600_000 // 65_536) if n else 0)
