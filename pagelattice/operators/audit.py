@@ -6,12 +6,13 @@ partition keys throughout, so a corpus of pairs needs one shuffle of each side.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.functions import text
+from pagelattice.operators.groups import spread
 
 LEAST_KEY, LEAST_TOKENS, LEAST_COVERAGE = 8, 4, 0.8
 
@@ -41,61 +42,84 @@ def line_metrics(source: DataFrame, target: DataFrame, keys: Sequence[str] = ("p
 
 
 def target_index(target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The exact lines of a target, and its keys as one stream of words with a space at both ends."""
+    """The exact lines of a target, its keys as one stream of words with a space at both ends, and hashes of two words in a row there."""
     normal = target.select(*keys, "ord", text.line("line").alias("normal")).withColumn("key", text.key_of_line(F.col("normal")))
     stream = F.array_sort(F.collect_list(F.when(F.col("key") != "", F.struct("ord", "key"))))
-    return normal.groupBy(*keys).agg(
+    found = normal.groupBy(*keys).agg(
         F.collect_set("normal").alias("exact"),
         F.concat(F.lit(" "), F.array_join(F.transform(stream, lambda s: s["key"]), " "), F.lit(" ")).alias("blob"),
     )
+    return found.withColumn("twos", F.array_distinct(_two_words(text.tokens(F.col("blob")))))
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where the body's own functions name it for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def _two_words(words: Column) -> Column:
-    """Each two words in a row; their places are those of the array."""
-    n = F.size(words)
-    return F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    """A hash of each two words in a row."""
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.xxhash64(a, b))
+    return F.when(F.size(words) < 2, F.array().cast("array<bigint>")).otherwise(_with(words, pairs))
+
+
+def _spaced(c: Column) -> Column:
+    return F.concat(F.lit(" "), c, F.lit(" "))
+
+
+def longest_run(words: Column, blob: Column, twos: Column) -> Column:
+    """How many of the words in a row follow each other in a stream of words, at most; ``twos`` are the stream's two words in a row.
+
+    The words are parted wherever two in a row are nowhere in the stream. A part that the stream holds whole needs one search; in another
+    a window grows where the stream holds it and moves on where not. All of it is an expression over one row: no word becomes a row.
+    """
+
+    def grown(part: Column, best: Column) -> Column:
+        window = lambda size, last: F.array_join(F.slice(part, last - size, size + 1), " ")
+        step = lambda size, last: size + F.contains(blob, _spaced(window(size, last))).cast("int")
+        return F.aggregate(F.sequence(best + 1, F.size(part)), best, step)
+
+    def longer(best: Column, part: Column) -> Column:
+        n = F.size(F.split(part, " "))
+        return F.when(n <= best, best).when(F.contains(blob, _spaced(part)), n).otherwise(_with(F.split(part, " "), lambda p: grown(p, best)))
+
+    def whole(s: Column) -> Column:
+        ended = F.zip_with(s["words"], s["own"], lambda w, two: F.concat(w, F.when(F.array_contains(s["met"], two), " ").otherwise("\n")))
+        return F.aggregate(F.filter(F.split(F.array_join(ended, ""), "\n"), lambda p: p != ""), F.lit(0), longer)
+
+    own = _two_words(words)
+    return _with(F.struct(words.alias("words"), own.alias("own"), F.array_intersect(own, twos).alias("met")), whole)
 
 
 def longest_runs(lines: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, key, longest: of each line's key with two words or more that follow each other in the target's stream of words the longest run.
 
-    ``lines``: keys and key, without repeats. ``target``: keys and blob. Two words in a row meet by equality; a run is an unbroken row of
-    such meetings at one distance between line and stream. A pair's words are dealt by what they say, and no row holds a stream.
+    ``lines``: keys and key, without repeats. ``target``: keys and blob.
     """
     keys = list(keys)
-    here = lines.select(*keys, "key", F.posexplode(_two_words(text.tokens(F.col("key")))).alias("i", "two"))
-    there = target.select(*keys, F.posexplode(_two_words(text.tokens(F.col("blob")))).alias("j", "two"))
-    met = here.join(there, [*keys, "two"]).select(*keys, "key", "i", (F.col("j") - F.col("i")).alias("apart"))
-    row = F.row_number().over(Window.partitionBy(*keys, "key", "apart").orderBy("i"))
-    runs = met.withColumn("first", F.col("i") - row).groupBy(*keys, "key", "apart", "first").agg((F.count("*") + 1).alias("run"))
-    return runs.groupBy(*keys, "key").agg(F.max("run").alias("longest"))
+    met = lines.join(target, keys).where("key <> ''").withColumn("twos", _two_words(text.tokens(F.col("blob"))))
+    return met.select(*keys, "key", longest_run(text.tokens(F.col("key")), F.col("blob"), F.col("twos")).alias("longest")).where("longest > 1")
 
 
-def audit_lines(source: DataFrame, target: DataFrame, keys: Sequence[str] = ("pair_id",)) -> DataFrame:
+def audit_lines(source: DataFrame, target: DataFrame, keys: Sequence[str] = ("pair_id",), how: str = "left") -> DataFrame:
     """Each source line's match: exact, substring (of the word stream), partial (by its longest run) or missing.
 
-    ``token_coverage`` is the run's share of the line's words, where the last stage was reached. Only the distinct keys that the
-    first two stages leave go through the last one.
+    ``token_coverage`` is the run's share of the line's words, where the last stage was reached. Both sides are shuffled once by
+    ``keys``, and all stages are expressions over a line and its target. ``how`` is inner to leave out lines without a target.
     """
     keys = list(keys)
-    index = target_index(target, keys)
-    lines = source.select(*keys, "ord", "line", text.line("line").alias("normal"))
-    lines = lines.withColumn("key", text.key_of_line(F.col("normal"))).join(index, keys, "left")
-    blob, words = F.coalesce("blob", F.lit("  ")), text.tokens(F.col("key"))
+    lines = spread(source.select(*keys, "ord", "line"), *keys).withColumn("normal", text.line("line")).withColumn("key", text.key_of_line(F.col("normal")))
+    met = lines.join(target_index(spread(target.select(*keys, "ord", "line"), *keys), keys), keys, how).withColumns({"blob": F.coalesce("blob", F.lit("  ")), "words": text.tokens(F.col("key"))})
     stage = (
         F.when((F.col("normal") != "") & F.coalesce(F.array_contains("exact", F.col("normal")), F.lit(False)), "exact")
-        .when((F.length("key") >= LEAST_KEY) & F.contains(blob, F.concat(F.lit(" "), F.col("key"), F.lit(" "))), "substring")
-        .when(F.size(words) >= LEAST_TOKENS, "run")
+        .when((F.length("key") >= LEAST_KEY) & F.contains("blob", _spaced(F.col("key"))), "substring")
+        .when(F.size("words") >= LEAST_TOKENS, "run")
         .otherwise("missing")
     )
-    staged = lines.withColumn("stage", stage)
-    one = F.when(F.col("stage") == "run", F.arrays_overlap(words, F.split(blob, " ")).cast("int"))  # a run of one word
-    staged = staged.select(*keys, "ord", "line", "normal", "key", "stage", F.size(words).alias("count"), one.alias("one"))
-    runs = longest_runs(staged.where("stage = 'run'").select(*keys, "key").distinct(), index.select(*keys, "blob"), keys)
-    found = staged.join(runs, [*keys, "key"], "left")
-    coverage = F.when(F.col("stage") == "run", F.coalesce("longest", "one") / F.col("count"))
-    told = F.when(F.col("stage") != "run", F.col("stage")).when(coverage >= LEAST_COVERAGE, "partial").otherwise("missing")
-    return found.select(*keys, "ord", "line", "normal", "key", told.alias("match_type"), coverage.alias("token_coverage"))
+    coverage = F.when(F.col("stage") == "run", longest_run(F.col("words"), F.col("blob"), F.col("twos")) / F.size("words"))
+    staged = met.withColumn("stage", stage).withColumn("token_coverage", coverage)
+    told = F.when(F.col("stage") != "run", F.col("stage")).when(F.col("token_coverage") >= LEAST_COVERAGE, "partial").otherwise("missing")
+    return staged.select(*keys, "ord", "line", "normal", "key", told.alias("match_type"), "token_coverage")
 
 
 def of_type(name: str) -> Column:

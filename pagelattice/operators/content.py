@@ -26,18 +26,15 @@ def rollup(source: DataFrame, target: DataFrame) -> DataFrame:
     Lines are (pair_id, profile, rank, ord, line), rank being the profile's place. A miss that the union
     holds is viewport_shifted, any other missing_entirely; it carries the first profile that misses it.
     """
-    shared, _ = shared_profiles(source, target)
-    keys = ["pair_id", "profile"]
-    audited = audit_lines(source.join(shared, keys, "left_semi"), target, keys).where("match_type = 'missing'")
-    ranks = source.select("pair_id", "profile", "rank").distinct()
-    missed = audited.where("normal <> ''").join(ranks, keys)
-    first = missed.groupBy("pair_id", "normal").agg(F.min_by(F.struct("profile", "line"), F.struct("rank", "ord")).alias("first"))
-    probes = first.select("pair_id", F.col("first.profile").alias("missing_under_profile"), F.col("first.line").alias("line"), "normal")
+    placed = source.withColumn("ord", F.struct("rank", "ord"))
+    audited = audit_lines(placed, target, ["pair_id", "profile"], "inner").where("match_type = 'missing'")  # inner: shared profiles alone
+    first = audited.where("normal <> ''").groupBy("pair_id", "normal").agg(F.min_by(F.struct("profile", "line"), "ord").alias("first"))
+    # the profile comes along in place of an order, so nothing is joined back
+    probes = first.select("pair_id", F.col("first.profile").alias("ord"), F.col("first.line").alias("line"))
     everywhere = union_of_profiles(target).withColumn("ord", F.struct("rank", "ord"))
-    found = audit_lines(probes.withColumn("ord", F.col("normal")), everywhere.select("pair_id", "ord", "line"))
+    found = audit_lines(probes, everywhere.select("pair_id", "ord", "line"))
     kind = F.when(F.col("match_type") == "missing", "missing_entirely").otherwise("viewport_shifted")
-    told = found.select("pair_id", "normal", kind.alias("classification"))
-    return probes.join(told, ["pair_id", "normal"]).select("pair_id", "classification", "missing_under_profile", F.col("line").alias("source_line"))
+    return found.select("pair_id", kind.alias("classification"), F.col("ord").alias("missing_under_profile"), F.col("line").alias("source_line"))
 
 
 def rollup_summary(pairs: DataFrame, rolled: DataFrame) -> DataFrame:

@@ -138,3 +138,13 @@ def test_metrics_with_nulls_and_one_sided_pairs(spark):
     target = spark.createDataFrame([(1, "x"), (1, "z"), (3, "x"), (4, "q")], schema)
     got = {r.pair_id: tuple(r)[1:] for r in audit.line_metrics(source, target).collect()}
     assert got == {1: (3, 2, 2, 2 / 3, 1 / 3), 2: (1, 0, 0, 0.0, 0.0), 3: (0, 1, 0, 1.0, 0.0), 4: (0, 1, 0, 1.0, 0.0)}
+
+
+def test_an_audit_shuffles_each_side_once(spark):
+    schema = "pair_id long, ord long, line string"
+    source = spark.createDataFrame([(1, 0, "a b c d e f"), (1, 1, "a b x c d e"), (2, 0, "a b c d e")], schema)
+    target = spark.createDataFrame([(1, 0, "x a b c d"), (1, 1, "x c d e y"), (2, 0, "")], schema)
+    found = audit.audit_lines(source, target)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 2  # the words of a page become no rows
+    assert {(r.pair_id, r.ord): round(r.token_coverage * len(r.key.split())) for r in found.collect()} == {(1, 0): 4, (1, 1): 4, (2, 0): 0}
