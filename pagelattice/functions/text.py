@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,16 +17,45 @@ COOKIE_PHRASES = ("accept all", "accept cookies", "cookie preferences", "we use
 #: Page chrome that takes no part in layout comparison.
 CHROME = (r"(?i)^text size:?$", r"(?i)^letter spacing:?$", r"(?i)^[slm]$")
 LEAST_LENGTH = 2
+#: The characters of SPACE and NO_WIDTH one by one: a search for each is much cheaper than an expression over every character.
+ASCII_SPACES = "\t\n\x0b\f\r"
+WIDE_SPACES = "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+WITHOUT_WIDTH = "\u200b\u200c\u200d\ufeff"
+#: No text of CHROME is longer.
+CHROME_LENGTH = 16
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _holds(c: Column, parts: Iterable[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in parts])
+
+
+def _is_wide(c: Column) -> Column:
+    """Whether a character is not ASCII."""
+    return F.octet_length(c) != F.length(c)
+
+
+def _one_space(c: Column) -> Column:
+    odd = _holds(c, [*ASCII_SPACES, "  "]) | (_is_wide(c) & _holds(c, WIDE_SPACES))
+    return F.when(odd, F.regexp_replace(c, SPACE, " ")).otherwise(c)
+
+
+def _with_width(c: Column) -> Column:
+    return F.when(_is_wide(c) & _holds(c, WITHOUT_WIDTH), F.regexp_replace(c, NO_WIDTH, "")).otherwise(c)
 
 
 def _trimmed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, SPACE, " "))
+    return F.trim(once(c, _one_space))
 
 
 def line(c: Column | str) -> Column:
     """Characters without width go, white space becomes one space, trimmed, lower case; null is ''."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.lower(_trimmed(F.regexp_replace(F.coalesce(c, F.lit("")), NO_WIDTH, "")))
+    return F.lower(_trimmed(once(F.coalesce(c, F.lit("")), _with_width)))
 
 
 def is_boilerplate(normal: Column, least: int = LEAST_LENGTH) -> Column:
@@ -60,9 +89,11 @@ def crawl_key(c: Column | str) -> Column:
 
 
 def is_chrome(c: Column) -> Column:
-    """P8's first half: whether a text is page chrome."""
+    """P8's first half: whether a text is page chrome; long texts are not, and take no expression."""
     text = F.regexp_replace(c, f"^{SPACE}|{SPACE}$", "")
-    return reduce(lambda a, b: a | b, [F.rlike(text, F.lit(p)) for p in CHROME])
+    told = reduce(lambda a, b: a | b, [F.rlike(text, F.lit(p)) for p in CHROME])
+    bare = F.btrim(c, F.lit(f" {ASCII_SPACES}\x85{WIDE_SPACES}"))  # \x85 too: as the last line break it lets the expression end before it
+    return F.when(F.length(bare) > CHROME_LENGTH, False).otherwise(told)
 
 
 def is_noise(c: Column) -> Column:

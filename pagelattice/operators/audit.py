@@ -6,7 +6,7 @@ partition keys throughout, so a corpus of pairs needs one shuffle of each side.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,15 +52,10 @@ def target_index(target: DataFrame, keys: Sequence[str]) -> DataFrame:
     return found.withColumn("twos", F.array_distinct(_two_words(text.tokens(F.col("blob")))))
 
 
-def _with(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, also where the body's own functions name it for every element."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _two_words(words: Column) -> Column:
     """A hash of each two words in a row."""
     pairs = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.xxhash64(a, b))
-    return F.when(F.size(words) < 2, F.array().cast("array<bigint>")).otherwise(_with(words, pairs))
+    return F.when(F.size(words) < 2, F.array().cast("array<bigint>")).otherwise(text.once(words, pairs))
 
 
 def _spaced(c: Column) -> Column:
@@ -81,14 +76,14 @@ def longest_run(words: Column, blob: Column, twos: Column) -> Column:
 
     def longer(best: Column, part: Column) -> Column:
         n = F.size(F.split(part, " "))
-        return F.when(n <= best, best).when(F.contains(blob, _spaced(part)), n).otherwise(_with(F.split(part, " "), lambda p: grown(p, best)))
+        return F.when(n <= best, best).when(F.contains(blob, _spaced(part)), n).otherwise(text.once(F.split(part, " "), lambda p: grown(p, best)))
 
     def whole(s: Column) -> Column:
         ended = F.zip_with(s["words"], s["own"], lambda w, two: F.concat(w, F.when(F.array_contains(s["met"], two), " ").otherwise("\n")))
         return F.aggregate(F.filter(F.split(F.array_join(ended, ""), "\n"), lambda p: p != ""), F.lit(0), longer)
 
     own = _two_words(words)
-    return _with(F.struct(words.alias("words"), own.alias("own"), F.array_intersect(own, twos).alias("met")), whole)
+    return text.once(F.struct(words.alias("words"), own.alias("own"), F.array_intersect(own, twos).alias("met")), whole)
 
 
 def longest_runs(lines: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:

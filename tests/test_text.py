@@ -148,3 +148,17 @@ def test_an_audit_shuffles_each_side_once(spark):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 2  # the words of a page become no rows
     assert {(r.pair_id, r.ord): round(r.token_coverage * len(r.key.split())) for r in found.collect()} == {(1, 0): 4, (1, 1): 4, (2, 0): 0}
+
+
+def test_searches_before_expressions_change_no_text(spark):
+    from pagelattice.functions import text
+
+    odd = ["a" + chr(c) + "b" + chr(c) for c in [*range(0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]]
+    odd += [None, "", "  x  y ", "ÄÖ  ü​\tß", "S", " text size: ", "s \x85", "s" + " " * 80 + "\x85", "​ m", "letter  spacing:", "plain text"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    plain = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("t", F.lit("")), text.NO_WIDTH, ""), text.SPACE, " ")))
+    bare = F.regexp_replace("t", f"^{text.SPACE}|{text.SPACE}$", "")
+    chrome = F.rlike(bare, F.lit(text.CHROME[0])) | F.rlike(bare, F.lit(text.CHROME[1])) | F.rlike(bare, F.lit(text.CHROME[2]))
+    for r in rows.select("t", text.line("t").alias("a"), plain.alias("b"), text.is_chrome(F.col("t")).alias("c"), chrome.alias("d")).collect():
+        assert (r.a, r.c) == (r.b, r.d), repr(r.t)
+    assert "transform" in rows.select(text.line("t"))._jdf.queryExecution().optimizedPlan().toString()  # searched once, then replaced
