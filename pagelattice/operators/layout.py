@@ -6,12 +6,17 @@ one Python function per pair; the rest are windows and aggregates over its resul
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pagelattice.functions import text
 from pagelattice.operators.groups import spread
@@ -27,33 +32,36 @@ def first_items(items: DataFrame, keys: list[str]) -> DataFrame:
     return normal.withColumn("__n", rank).where("__n = 1").drop("__n")
 
 
-def reading_order(items: pd.DataFrame, tolerance: float | None = None) -> pd.DataFrame:
+def reading_order(items: list[dict], tolerance: float | None = None) -> list[dict]:
     """Lines are gathered by the running mean of their items' middles, then read from left to right.
 
     The tolerance is 0.6 of the upper median height, rounded with halves up, and 6 at least.
     """
-    if items.empty:
+    if not items:
         return items
-    heights = np.sort(items["h"].to_numpy())
+    heights = sorted(it["h"] for it in items)
     tolerance = max(6, math.floor(heights[len(heights) // 2] * 0.6 + 0.5)) if tolerance is None else tolerance
-    found = items.sort_values(["y", "x", "ord"], kind="stable")
-    middles = (found["y"] + found["h"] / 2).tolist()
+    found = sorted(items, key=lambda it: (it["y"], it["x"], it["ord"]))
     lines, number, mean, size = [], -1, 0.0, 0
-    for m in middles:
+    for it in found:
+        m = it["y"] + it["h"] / 2
         if number >= 0 and abs(m - mean) <= tolerance:
             size += 1
             mean = (mean * (size - 1) + m) / size
         else:
             number, mean, size = number + 1, m, 1
         lines.append(number)
-    found = found.assign(line=lines, __at=range(len(found)))
-    return found.sort_values(["line", "x", "__at"], kind="stable").drop(columns="__at")
+    return [it for _, it in sorted(zip(lines, found, strict=True), key=lambda p: (p[0], p[1]["x"]))]
 
 
 def coalesced(ordered: pd.DataFrame) -> pd.DataFrame:
     """An item continues the one before if both share a line, a font size to within 1, and a small gap."""
+    return pd.DataFrame(_coalesced(ordered.to_dict("records")), columns=ordered.columns)
+
+
+def _coalesced(ordered: list[dict]) -> list[dict]:
     out: list[dict] = []
-    for it in ordered.to_dict("records"):
+    for it in ordered:
         prev = out[-1] if out else None
         if prev is not None:
             same_line = abs(prev["y"] + prev["h"] / 2 - it["y"] - it["h"] / 2) <= min(prev["h"], it["h"]) * 0.5
@@ -62,24 +70,42 @@ def coalesced(ordered: pd.DataFrame) -> pd.DataFrame:
             if same_line and abs((prev["font_size"] or 0) - (it["font_size"] or 0)) <= 1 and -3 <= gap <= COALESCE_EM * em:
                 prev["w"] = max(prev["x"] + prev["w"], it["x"] + it["w"]) - prev["x"]
                 prev["h"] = max(prev["y"] + prev["h"], it["y"] + it["h"]) - prev["y"]
-                prev["text"] = " ".join(f"{prev['text']} {it['text']}".split())
-                prev["norm"] = f"{prev['norm']} {it['norm']}"
+                for c in ("text", "norm"):
+                    prev.setdefault("parts", {k: [prev[k]] for k in ("text", "norm")})[c].append(it[c])
                 continue
         out.append(it)
-    return pd.DataFrame(out, columns=ordered.columns)
+    for it in out:
+        parts = it.pop("parts", None)
+        if parts:  # joined once: a line of many items is not copied for each
+            it["text"], it["norm"] = " ".join(" ".join(parts["text"]).split()), " ".join(parts["norm"])
+    return out
 
 
 def ordered_items(items: DataFrame, keys: list[str], coalesce: bool = False) -> DataFrame:
-    """Items of W4 in reading order, with ``index`` from 0."""
-    first = first_items(items, keys)
-    schema = first.withColumn("index", F.lit(0)).schema
+    """Items of W4 in reading order, with ``index`` from 0. The items of a page are gathered in a row, so batches hold many pages."""
+    first = first_items(spread(items, *keys), keys)
+    columns = [c for c in first.columns if c not in keys]
+    gathered = first.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("items"))
+    schema = first.select(*keys, *columns, F.lit(0).alias("index")).schema
+    held = to_arrow_schema(schema)
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            rows = []
+            for page in part.to_pylist():
+                found = reading_order(page["items"])
+                own = {k: page[k] for k in keys}
+                rows += [own | it | {"index": i} for i, it in enumerate(_coalesced(found) if coalesce else found)]
+            yield pa.RecordBatch.from_pylist(rows, schema=held)
+
+    return gathered.mapInArrow(pages, schema).select(*first.columns, "index")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        found = reading_order(part).drop(columns="line", errors="ignore")
-        found = coalesced(found) if coalesce else found
-        return found.assign(index=np.arange(len(found), dtype="int32"))[schema.names]
 
-    return spread(first, *keys).groupBy(*keys).applyInPandas(run, schema)
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few pages at a time; only those become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PAGES):
+            yield batch.slice(at, PAGES)
 
 
 def with_deltas(ordered: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,6 +136,12 @@ def _edits_within(a: str, b: str, most: int) -> bool:
     """Whether the Levenshtein distance is at most ``most``, by bit-parallel rows of differences (Myers 1999)."""
     if abs(len(a) - len(b)) > most:
         return False
+    if not a or not b:
+        return max(len(a), len(b)) <= most
+    same = next((i for i, (c, d) in enumerate(zip(a, b, strict=False)) if c != d), min(len(a), len(b)))
+    a, b = a[same:], b[same:]
+    same = next((i for i, (c, d) in enumerate(zip(reversed(a), reversed(b), strict=False)) if c != d), min(len(a), len(b)))
+    a, b = a[: len(a) - same], b[: len(b) - same]
     if not a or not b:
         return max(len(a), len(b)) <= most
     all_, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
@@ -137,8 +169,8 @@ def _edits_within(a: str, b: str, most: int) -> bool:
 def alike_places(a: list[str], b: list[str]) -> list[np.ndarray]:
     """For each key of ``a`` the places of its alike keys in ``b``, rising; equal keys share one array.
 
-    An edit changes the length by 1 and the letter counts by 2 at most, so keys are looked up in a window of lengths, and
-    letter counts exclude most of those before any edit distance is computed.
+    An edit changes the length by 1, the letter counts by 2 and the counts of two letters in a row by 4 at most, so keys are looked up in
+    a window of lengths, and both counts exclude most of those before any edit distance is computed.
     """
     left, at_left = np.unique(np.array(a, object), return_inverse=True)
     right, at_right = np.unique(np.array(b, object), return_inverse=True)
@@ -152,6 +184,8 @@ def alike_places(a: list[str], b: list[str]) -> list[np.ndarray]:
     slot = np.zeros(256, np.int64)
     slot[used] = np.arange(len(used))
     counts = np.array([np.bincount(slot[letters(k)], minlength=len(used)) for k in right], np.int32)
+    twos = functools.cache(lambda k: np.bincount(letters(k)[:-1].astype(np.int64) * 31 + letters(k)[1:] & 1023, minlength=1024))
+    within = lambda k, j, most: np.abs(twos(k) - twos(right[j])).sum() <= 4 * most and _edits_within(k, right[j], most)
     found = []
     for k in left:
         alike = [number[k]] if k in number else []
@@ -161,7 +195,7 @@ def alike_places(a: list[str], b: list[str]) -> list[np.ndarray]:
             own = np.bincount(slot[letters(k)], minlength=len(used))
             allowed = np.maximum(1, np.floor(np.minimum(sizes[lo:hi], len(k)) * FUZZY_SHARE).astype(int))
             near = np.abs(counts[lo:hi] - own).sum(1) <= 2 * allowed
-            alike += [j for j in (np.flatnonzero(near) + lo).tolist() if right[j] != k and _edits_within(k, right[j], int(allowed[j - lo]))]
+            alike += [j for j in (np.flatnonzero(near) + lo).tolist() if right[j] != k and within(k, j, int(allowed[j - lo]))]
         found.append(np.sort(np.concatenate([places[j] for j in alike])) if alike else np.empty(0, np.int64))
     return [found[i] for i in at_left]
 
@@ -215,20 +249,23 @@ def alignment(alike: np.ndarray) -> list[tuple[int, int]]:
     return walk([np.flatnonzero(row) for row in alike], alike.shape[1])
 
 
+#: Pairs that a worker holds as Python objects.
+PAGES = 64
+ITEM = ("ord", "text", "x", "y", "w", "h", "key")
 ALIGNED = (
     "pair_id string, op int, side string, ord int, text string, x int, y int, w int, h int, key string, status string, segment int, "
     "counterpart int, other_x int, other_y int, other_w int, other_h int, other_text string"
 )
 
 
-def aligned_pair(pair_id, source: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
+def aligned_pair(pair_id, source: list[dict], target: list[dict]) -> list[tuple]:
     """J9, A7, J10 for one pair: a row for each item, in the order of the walk.
 
     Status is matched, reflow, moved, missing (source) or extra (target). ``segment`` numbers the runs of
     unmatched steps of a pair, from 0, and is null for matches. ``counterpart`` is the other item's place.
     """
     sides = {"source": source, "target": target}
-    keys = {k: v["key"].tolist() for k, v in sides.items()}
+    keys = {k: [item["key"] for item in v] for k, v in sides.items()}
     alike = alike_places(keys["source"], keys["target"]) if keys["source"] and keys["target"] else [np.empty(0, np.int64)] * len(source)
     steps = walk(alike, len(target))
     status = {k: [""] * len(v) for k, v in sides.items()}
@@ -269,7 +306,7 @@ def aligned_pair(pair_id, source: pd.DataFrame, target: pd.DataFrame) -> pd.Data
             status["source"][i] = status["target"][j] = "moved"
             other["source"][i], other["target"][j] = j, i
     out = []
-    items = {k: list(v[["ord", "text", "x", "y", "w", "h", "key"]].itertuples(index=False, name=None)) for k, v in sides.items()}
+    items = {k: [tuple(item[c] for c in ITEM) for item in v] for k, v in sides.items()}
     for op, (i, j) in enumerate(steps):
         for side, facing, at in (("source", "target", i), ("target", "source", j)):
             if at < 0:
@@ -278,24 +315,47 @@ def aligned_pair(pair_id, source: pd.DataFrame, target: pd.DataFrame) -> pd.Data
             peer = items[facing][to] if to >= 0 else None
             there = (None,) * 6 if peer is None else (peer[0], *peer[2:6], peer[1])
             out.append((pair_id, op, side, *items[side][at], status[side][at], segment[side][at], *there))
-    frame = pd.DataFrame(out, columns=[p.strip().split()[0] for p in ALIGNED.split(",")])
-    whole = [c for c in frame.columns if c not in ("pair_id", "side", "text", "key", "status", "other_text")]
-    return frame.astype(dict.fromkeys(whole, "Int32"))
+    return out
+
+
+def by_page(sides: Sequence[DataFrame], columns: Sequence[str], run: Callable[[object, list[dict], list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """The rows that ``run`` makes of a pair's id and its items on either side, in order of ``ord``.
+
+    The items of a side are gathered in the pair's row, so that batches hold many pairs and a pair costs no call of its own; both sides are
+    dealt once by pair. A side without items is empty. A few pairs at a time become Python objects.
+    """
+    gathered = [
+        spread(side.select("pair_id", *columns), "pair_id").groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        for side, name in zip(sides, ("source", "target"), strict=True)
+    ]
+    met = gathered[0].join(gathered[1], "pair_id", "full").select("pair_id", "source", "target")
+    held = to_arrow_schema(StructType.fromDDL(schema))
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in map(pa.RecordBatch.to_pydict, _parts(batches)):
+            rows = [r for p in zip(part["pair_id"], part["source"], part["target"], strict=True) for r in run(p[0], p[1] or [], p[2] or [])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), held, strict=True)], schema=held)
+
+    return met.mapInArrow(pages, schema)
 
 
 def align(source: DataFrame, target: DataFrame, rules: list[dict] | None = None) -> DataFrame:
     """J9, J10, A7 over prepared items of both sides, ordered by ``ord`` within a pair."""
-    columns = ["pair_id", "ord", "text", "x", "y", "w", "h", "key"]
     # aliases keep the sides apart where both come from one table
-    sides = [prepared(side, rules).select(F.col("pair_id").cast("string").alias("pair_id"), *(F.col(c).alias(c) for c in columns[1:])) for side in (source, target)]
+    sides = [prepared(side, rules).select(F.col("pair_id").cast("string").alias("pair_id"), *(F.col(c).alias(c) for c in ITEM)) for side in (source, target)]
+    return by_page(sides, ITEM, aligned_pair, ALIGNED)
+
+
+def alike_items(source: DataFrame, target: DataFrame) -> DataFrame:
+    """J11 within pairs: pair_id, source_ord and target_ord of prepared items with alike keys."""
 
-    def run(key, s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        # a side without rows comes without columns
-        s, t = (side.reindex(columns=columns).sort_values("ord", ignore_index=True) for side in (s, t))
-        return aligned_pair(key[0], s, t)
+    def run(pair_id, s: list[dict], t: list[dict]) -> list[tuple]:
+        found = alike_places([i["key"] for i in s], [i["key"] for i in t]) if s and t else []
+        return [(pair_id, item["ord"], t[j]["ord"]) for item, places in zip(s, found, strict=False) for j in places.tolist()]
 
-    s, t = (spread(side, "pair_id").groupBy("pair_id") for side in sides)
-    return s.cogroup(t).applyInPandas(run, ALIGNED)
+    kind = source.schema["pair_id"].dataType.simpleString()
+    return by_page([source, target], ["ord", "key"], run, f"pair_id {kind}, source_ord long, target_ord long")
 
 
 def segments(aligned: DataFrame) -> DataFrame:

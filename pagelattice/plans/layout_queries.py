@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pagelattice.functions import text
 from pagelattice.operators import images, layout
-from pagelattice.operators.groups import spread
 from pagelattice.plans import adapters as a
 
 QUERIES: dict = {}
@@ -189,8 +188,7 @@ def overlay_index(spark: SparkSession, sf: str) -> DataFrame:
 )
 def fuzzy_line_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """J11 within pairs."""
-    s, t = (layout.prepared(i).select("pair_id", F.col("ord").cast("long").alias(f"{n}_ord"), F.col("key").alias(n)) for i, n in zip(_items(spark, sf), ("source", "target"), strict=True))
-    return spread(s, "pair_id").join(spread(t, "pair_id"), "pair_id").where(layout.keys_alike(F.col("source"), F.col("target"))).select("pair_id", "source_ord", "target_ord")
+    return layout.alike_items(*(layout.prepared(i) for i in _items(spark, sf)))
 
 
 @query(

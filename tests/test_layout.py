@@ -157,3 +157,21 @@ def test_pixels():
     half = white.copy()
     half[:8] = black[:8]
     assert images.compare_pixels(white, half) == {"similarity": 0.5, "bands": [0.0] * 4 + [1.0] * 4, "changed_bands": 4}
+
+
+def test_pages_cost_no_call_of_their_own(spark):
+    rows = [(p, i, f"item {i} of {p}", 40 * (i % 2), 20 * i, 30, 16, 16) for p in range(3) for i in (1, 0, 2)]
+    both = spark.createDataFrame(rows, ITEM.replace("pair_id string", "pair_id long"))
+    ordered, aligned = layout.ordered_items(both, ["pair_id"]), layout.align(both, both.where("pair_id < 2"))
+    for found in (ordered, aligned, layout.alike_items(layout.prepared(both), layout.prepared(both))):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "Groups" not in plan and "MapInArrow" in plan
+    assert [(r.pair_id, r.ord, r["index"]) for r in ordered.orderBy("pair_id", "index").collect()] == [(p, i, i) for p in range(3) for i in range(3)]
+    assert {(r.pair_id, r.side, r.status) for r in aligned.collect()} == {(p, s, "matched") for p in "01" for s in ("source", "target")} | {("2", "source", "missing")}
+
+
+def test_unlike_keys_of_equal_letters_are_not_measured(monkeypatch):
+    asked = []
+    monkeypatch.setattr(layout, "_edits_within", lambda a, b, most: asked.append((a, b)))
+    layout.alike_places(["abcdefghijklmnopqrstuvwxyz"], ["zyxwvutsrqponmlkjihgfedcba"])
+    assert not asked
