@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -82,9 +83,21 @@ def differing_pixels(a: np.ndarray, b: np.ndarray, threshold: float = 0.1) -> np
     """Pixels of two RGBA images whose YIQ distance exceeds the threshold; anti-aliased ones count too.
 
     Semi-transparent pixels are blended with white. The metric is the published perceptual one; a comparison
-    library's own rounding may differ in single pixels.
+    library's own rounding may differ in single pixels. Opaque greys are looked up in a table of all pairs of levels.
     """
+    if png.is_opaque_grey(a) and png.is_opaque_grey(b):
+        return np.take(_differing_greys(threshold), (a[..., 0].astype(np.intp) << 8) | b[..., 0])
+    return _differing_colours(a, b, threshold)
 
+
+@functools.cache
+def _differing_greys(threshold: float) -> np.ndarray:
+    levels = np.arange(256, dtype=np.uint8).repeat(4).reshape(256, 1, 4)
+    levels[..., 3] = 255
+    return _differing_colours(np.broadcast_to(levels, (256, 256, 4)), np.broadcast_to(levels.swapaxes(0, 1), (256, 256, 4)), threshold).ravel()
+
+
+def _differing_colours(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     def yiq(p: np.ndarray) -> np.ndarray:
         alpha = p[..., 3:4].astype(float) / 255
         r, g, b = np.moveaxis(255 + (p[..., :3].astype(float) - 255) * alpha, -1, 0)

@@ -186,3 +186,53 @@ def test_queries_on_awkward_rows(spark, tmp_path):
         hashes = picture_queries.picture_hashes(spark, str(tmp_path / folder)).collect()
         assert {r.image_id for r in hashes} == {r[0] for r in (rows if n else [])}
         assert sum(r.image_id == 4 for r in hashes) == (-(-600_000 // 65_536) if n else 0)
+
+
+def _resized_plainly(picture, wide, high):
+    def along(p, size):
+        have = len(p)
+        if have == size:
+            return p
+        ratio, broad = have / size, max(1.0, have / size)
+        out = np.zeros((size, *p.shape[1:]))
+        for i in range(size):
+            centre = (i + 0.5) * ratio - 0.5
+            first = int(np.ceil(centre - 3 * broad))
+            t = (np.arange(first, first + int(6 * broad) + 1) - centre) / broad
+            w = np.where(np.abs(t) < 3, np.sinc(t) * np.sinc(t / 3), 0.0)
+            out[i] = np.tensordot(w, p[np.clip(first + np.arange(len(w)), 0, have - 1)], 1) / w.sum()
+        return out
+
+    alpha = picture[..., 3:] / 255
+    small = along(along(np.concatenate([picture[..., :3] * alpha, alpha * 255], axis=2), high).swapaxes(0, 1), wide).swapaxes(0, 1)
+    alpha = np.clip(small[..., 3:], 0, 255)
+    return np.concatenate([np.where(alpha > 0, small[..., :3] * 255 / np.maximum(alpha, 1e-9), 0), alpha], axis=2)
+
+
+def test_pictures_of_a_size_are_weighed_once(monkeypatch):
+    """Many pictures of one size need the weights of their sizes once; greys, colours and clear pixels come out as by the plain rule."""
+    rng = np.random.default_rng(11)
+    asked = []
+    monkeypatch.setattr(np, "sinc", lambda t, _f=np.sinc: (asked.append(1), _f(t))[1])
+    for kind in ("grey", "colour", "clear"):
+        for high, wide, width, longest in ((9, 16, 32, 64), (40, 16, 32, 30), (7, 16, 5, 64)):
+            asked.clear()
+            for _ in range(20):
+                picture = rng.integers(0, 256, (high, wide, 4)).astype(np.uint8)
+                if kind != "clear":
+                    picture[..., 3] = 255
+                if kind == "grey":
+                    picture[..., 1:3] = picture[..., :1]
+                small = pictures.resized(picture, width, longest)
+            assert len(asked) <= 4
+            plain = _resized_plainly(picture, small.shape[1], small.shape[0])
+            assert (np.abs(small - np.clip(plain, 0, 255)) <= 0.5 + 1e-6).all()
+
+
+def test_greys_are_compared_as_colours_are():
+    levels = np.arange(256, dtype=np.uint8)
+    a, b = np.empty((256, 256, 4), np.uint8), np.empty((256, 256, 4), np.uint8)
+    a[..., :3], b[..., :3], a[..., 3], b[..., 3] = levels[:, None, None], levels[None, :, None], 255, 255
+    clear = b.copy()
+    clear[0, 0, 3] = 254  # one clear pixel, so that colours are computed
+    assert (images.differing_pixels(a, b) == images.differing_pixels(a, clear)).all()
