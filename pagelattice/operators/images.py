@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.functions import text
-from pagelattice.operators.groups import spread
+from pagelattice.operators.groups import small_batches, spread
 from pagelattice.sources import pictures as png
 
 ICON, FLAT_LOW, FLAT_HIGH = 40, 3, 61
@@ -160,8 +160,9 @@ def compare_pictures(pairs: DataFrame, width: int = COMPARE_WIDTH, longest: int
     """A13, A14 over PNG files (pair_id, source: binary, target: binary): pair_id, width, height, similarity, bands, changed_bands, error.
 
     Both are made smaller, put on one canvas and compared. A picture that is absent or broken gives its error and nulls. There is no
-    shuffle; a worker opens one pair at a time, and ``spark.sql.execution.arrow.maxRecordsPerBatch`` bounds the files it holds.
+    shuffle; a worker opens one pair at a time, and is handed a few megabytes of files.
     """
+    small_batches(pairs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -192,8 +193,9 @@ def hash_pictures(nodes: DataFrame, pictures: DataFrame) -> DataFrame:
     """S12, A15 over nodes (image_id, ord, x, y, w, h) and PNG files (image_id, png): image_id, ord, hash, icon, flat, error.
 
     The nodes of a picture, which are those of one page, come to it in one row, so each file is opened once. Nodes whose picture is absent or
-    broken keep their row with the error; pictures without nodes give none.
+    broken keep their row with the error; pictures without nodes give none. A worker is handed a few megabytes of files.
     """
+    small_batches(pictures.sparkSession)
     boxes = F.array_sort(F.collect_list(F.struct("ord", *[F.col(c).cast("double").alias(c) for c in "xywh"])))
     rows = nodes.groupBy("image_id").agg(boxes.alias("boxes")).join(pictures.select("image_id", "png"), "image_id", "left")
 

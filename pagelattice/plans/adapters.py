@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.operators.groups import spread
+from pagelattice.operators.groups import small_batches, spread
 from pagelattice.sources import pictures as png
 
 #: Pixels a row of the pictures that stand in for screenshots.
@@ -74,6 +74,7 @@ def image_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pictures(texts: DataFrame, *columns: str) -> DataFrame:
     """``columns`` of texts as PNG files of grey pixels: a pixel is a byte, 256 are a row, the last row ends white, no text is a white row."""
+    small_batches(texts.sparkSession)
 
     def run(batches):
         for part in batches:

@@ -236,3 +236,18 @@ def test_greys_are_compared_as_colours_are():
     clear = b.copy()
     clear[0, 0, 3] = 254  # one clear pixel, so that colours are computed
     assert (images.differing_pixels(a, b) == images.differing_pixels(a, clear)).all()
+
+
+def test_a_worker_is_handed_few_bytes(spark):
+    """A thousand pictures of 64 KB come in many batches, not in one of the session's number of rows."""
+    from pagelattice.plans import adapters
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        texts = spark.range(0, 1000, 1, 1).selectExpr("id", "repeat(cast(id as string), 64 * 1024 div length(cast(id as string))) as png")
+        adapters.pictures(texts, "png")
+        held = texts.mapInArrow(lambda parts: (p.select(["id"]).slice(0, 1) for p in parts), "id long")
+        assert held.count() >= 10
+    finally:
+        spark.conf.set(name, before)
