@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pagelattice.functions import geometry
 from pagelattice.operators.groups import spread
@@ -136,6 +139,7 @@ def height_after_removals(regions: DataFrame) -> DataFrame:
 _CARDS, _NOT_CARDS, _CARD_TEXT = (re.compile(p) for p in (geometry.CARDS, geometry.NOT_CARDS, geometry.CARD_TEXT))
 
 
+@functools.lru_cache(maxsize=4096)
 def _card_row(label: str | None) -> bool:
     name = (label or "").strip()
     return bool(name) and not _NOT_CARDS.search(name) and bool(_CARDS.search(name))
@@ -173,13 +177,17 @@ class ReplayLimits:
 
 
 def _usable(box: dict | None) -> bool:
-    return bool(box) and all(box.get(c) is not None for c in ("x", "y", "width", "height")) and box["width"] > 0 and box["height"] > 0
+    if not box:
+        return False
+    wide, high = box.get("width"), box.get("height")
+    return wide is not None and high is not None and box.get("x") is not None and box.get("y") is not None and wide > 0 and high > 0
 
 
 def _pixels(share: dict, width: float, height: float) -> dict:
-    r = lambda v: math.floor(v + 0.5)
-    x, y = min(max(r(share["x"] * width), 0), width - 1), min(max(r(share["y"] * height), 0), height - 1)
-    return {"x": x, "y": y, "width": max(1, min(r(share["width"] * width), width - x)), "height": max(1, min(r(share["height"] * height), height - y))}
+    r = math.floor
+    x, y = min(max(r(share["x"] * width + 0.5), 0), width - 1), min(max(r(share["y"] * height + 0.5), 0), height - 1)
+    wide, high = r(share["width"] * width + 0.5), r(share["height"] * height + 0.5)
+    return {"x": x, "y": y, "width": max(1, min(wide, width - x)), "height": max(1, min(high, height - y))}
 
 
 def _segment(m: dict, left: float, limits: ReplayLimits) -> tuple[dict | None, str | None, int, str | None]:
@@ -211,6 +219,40 @@ def _segment(m: dict, left: float, limits: ReplayLimits) -> tuple[dict | None, s
     return (box, label, taken, None) if _usable(box) else (None, label, taken, "invalid_segment_bbox")
 
 
+def _plain(column: pa.Array) -> list:
+    """``to_pylist`` of a column that is not nested."""
+    if not (pa.types.is_integer(column.type) or pa.types.is_floating(column.type) or pa.types.is_boolean(column.type)):
+        return column.to_pylist()
+    found = column.fill_null(pa.scalar(0, pa.int8()).cast(column.type)).to_numpy(zero_copy_only=False).tolist()
+    return [v if there else None for v, there in zip(found, column.is_valid().to_pylist(), strict=True)] if column.null_count else found
+
+
+def _maker(column: pa.Array) -> Callable[[int], object]:
+    """Makes the value at a place; a list is made when it is walked, for most answers are never asked again."""
+    if pa.types.is_struct(column.type):
+        fields = [(f.name, _maker(c)) for f, c in zip(column.type, column.flatten(), strict=True)]
+        make = lambda i: {name: value(i) for name, value in fields}
+    elif pa.types.is_list(column.type):
+        ends = column.offsets.to_numpy().tolist()
+        first, value = ends[0], _maker(column.values.slice(ends[0], ends[-1] - ends[0]))  # a slice has the values of the whole
+        make = lambda i: _Later(value, range(ends[i] - first, ends[i + 1] - first))
+    else:
+        return _plain(column).__getitem__
+    if not column.null_count:
+        return make
+    there = column.is_valid().to_pylist()
+    return lambda i: make(i) if there[i] else None
+
+
+@dataclass(frozen=True, slots=True)
+class _Later:
+    value: Callable[[int], object]
+    places: range
+
+    def __iter__(self) -> Iterator:
+        return map(self.value, self.places)
+
+
 def replay_pair(answers: list[dict], use: MatchThresholds, limits: ReplayLimits) -> list[dict]:
     """G5-G7 for the answers of one pair in their order; at most ``limits.iterations`` rows."""
     rows: list[dict] = []
@@ -287,18 +329,18 @@ def replay(answers: DataFrame, max_iterations: int = 40, use: MatchThresholds |
 
     told = F.struct("iter", *[c for c in answers.columns if c not in ("iter", "pair_id")])
     kept = spread(answers.where(F.col("iter") <= limits.iterations + 1).withColumn("pair_id", F.col("pair_id").cast("string")), "pair_id").groupBy("pair_id")
-    names = [c.strip().split()[0] for c in REPLAYED.split(",")]
+    held = to_arrow_schema(StructType.fromDDL(REPLAYED))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), PAIRS_AT_ONCE):
-                part = batch.iloc[at : at + PAIRS_AT_ONCE]
-                pairs = zip(part["pair_id"], part["answers"], strict=True)
-                rows = [r for pair, found in pairs for r in replay_pair([{**m, "pair_id": pair} for m in found], use, limits)]
-                yield pd.DataFrame(rows, columns=names)
+            for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
+                part = batch.slice(at, PAIRS_AT_ONCE)
+                told = map(_maker(part.column("answers")), range(part.num_rows))
+                rows = [r for pair, found in zip(part.column("pair_id").to_pylist(), told, strict=True) for r in replay_pair([m | {"pair_id": pair} for m in found], use, limits)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in held], schema=held)
 
     # a pair's answers are one row, so a task takes many pairs in a batch instead of a group each
-    return kept.agg(F.array_sort(F.collect_list(told)).alias("answers")).mapInPandas(run, REPLAYED)
+    return kept.agg(F.array_sort(F.collect_list(told)).alias("answers")).mapInArrow(run, REPLAYED)
 
 
 def extra_blocks(blocks: DataFrame, least_width: int = 50, least_height: int = 40) -> DataFrame:

@@ -175,3 +175,17 @@ def test_replay_with_attempts(spark):
     # the first row became 400 px high by extension; 15 px and 75 px of links follow, and the row reaches down to its least height
     assert (r.merged_from, r.status, r.label, r.remainder_top, r.y) == ([1, 2], "matched", "card row (images + links)", 0.0, 100.0)
     assert r.height == min(620, 400 + 15 + 75 + 200) and r.finished_reason == "segment_done"
+
+
+def test_answers_that_are_not_needed_are_not_made():
+    """Nested columns give what ``to_pylist`` gives; a list's values are made when it is walked, also in a slice with nulls."""
+    import pyarrow as pa
+
+    from pagelattice.operators import gates
+
+    rows = [[{"a": 1, "b": {"x": 1.5, "l": [{"s": "u"}, None]}, "c": True}, {"a": None, "b": None, "c": None}], [], None, [{"a": 3, "b": {"x": None, "l": None}, "c": False}]] * 2
+    column = pa.array(rows).slice(1, 6)
+    whole = lambda v: [whole(x) for x in v] if isinstance(v, gates._Later) else {k: whole(x) for k, x in v.items()} if isinstance(v, dict) else v
+    make = gates._maker(column)
+    assert [whole(make(i)) for i in range(6)] == column.to_pylist()
+    assert isinstance(next(iter(gates._maker(column.slice(3, 1))(0)))["b"]["l"], gates._Later)
