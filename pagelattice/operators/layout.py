@@ -429,26 +429,33 @@ def summary(aligned: DataFrame) -> DataFrame:
     )
 
 
+def _median(values: Column) -> Column:
+    """The median of an array's numbers, of two the mean; null if there are none."""
+    sorted_ = F.array_sort(F.array_compact(values))
+    at = lambda k: F.get(sorted_, F.floor(k).cast("int")).cast("double")
+    n = F.size(sorted_)
+    return (at((n - 1) / 2) + at(n / 2)) / 2
+
+
 def local_drift(matches: DataFrame, neighbours: int = LOCAL_NEIGHBOURS) -> DataFrame:
     """How far a match (pair_id, ord, x, y, other_x, other_y) departs from the median shift of its nearest ones.
 
     Nearest is by source y, then by place. Of the items at one y only the first ``neighbours`` + 1 can be
-    among the nearest, and they come from as many values of y on either side at most, so a match meets a
-    bounded band and not all others of its pair.
+    among the nearest, and they come from as many values of y on either side at most. So the items at a y are one
+    row, which sees the rows around it; matches are neither joined nor multiplied before they are sorted.
     """
-    at = Window.partitionBy("pair_id").orderBy("y")
-    ranked = matches.withColumn("g", F.dense_rank().over(at))
-    first = F.row_number().over(Window.partitionBy("pair_id", "y").orderBy("ord"))
-    others = ranked.withColumn("n", first).where(F.col("n") <= neighbours + 1)
-    others = others.select("pair_id", F.col("g").alias("near"), *[F.col(c).alias(f"o_{c}") for c in ("ord", "x", "y", "other_x", "other_y")])
-    band = ranked.withColumn("near", F.explode(F.sequence(F.col("g") - neighbours, F.col("g") + neighbours)))
-    joined = band.join(others, ["pair_id", "near"]).where("o_ord <> ord")
-    nearest = Window.partitionBy("pair_id", "ord").orderBy(F.abs(F.col("o_y") - F.col("y")), "o_ord")
-    kept = joined.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= neighbours)
-    medians = kept.groupBy("pair_id", "ord").agg(
-        F.median(F.col("o_other_x") - F.col("o_x")).alias("mdx"), F.median(F.col("o_other_y") - F.col("o_y")).alias("mdy")
-    )
+    other = ("ord", "x", "y", "other_x", "other_y")
+    items = F.array_sort(F.collect_list(F.struct("ord", *[c for c in matches.columns if c not in ("ord", "pair_id")])))
+    by_y = spread(matches, "pair_id").groupBy("pair_id", F.col("y").alias("at_y")).agg(items.alias("items"))
+    few = F.transform(F.slice("items", 1, neighbours + 1), lambda o: F.struct(*[o[c].alias(c) for c in other]))
+    around = Window.partitionBy("pair_id").orderBy("at_y").rowsBetween(-neighbours, neighbours)
+    seen = by_y.withColumn("few", few).withColumn("near", F.flatten(F.collect_list("few").over(around))).drop("few", "at_y")
+    each = seen.select("pair_id", "near", F.explode("items").alias("m")).select("pair_id", "near", "m.*")
+    own = lambda o: (o["ord"] != F.col("ord")) & F.col("pair_id").isNotNull()
+    told = lambda o: F.struct(F.abs(o["y"] - F.col("y")).alias("d"), o["ord"].alias("ord"), (o["other_x"] - o["x"]).alias("dx"), (o["other_y"] - o["y"]).alias("dy"))
+    found = each.withColumn("near", F.slice(F.array_sort(F.transform(F.filter("near", own), told)), 1, neighbours))
+    found = found.withColumns({m: _median(F.col(f"near.{d}")) for m, d in (("mdx", "dx"), ("mdy", "dy"))})
     shift = F.greatest(F.abs(F.col("other_x") - F.col("x") - F.col("mdx")), F.abs(F.col("other_y") - F.col("y") - F.col("mdy")))
-    found = matches.join(medians, ["pair_id", "ord"], "left").withColumn("drift", F.coalesce(shift, F.lit(0.0)))
+    found = found.withColumn("drift", F.coalesce(shift, F.lit(0.0)))
     colour = F.when(F.col("drift") <= 20, "good").when(F.col("drift") <= 40, "fair").otherwise("poor")
     return found.select("pair_id", "ord", "drift", colour.alias("grade"))

@@ -175,3 +175,17 @@ def test_unlike_keys_of_equal_letters_are_not_measured(monkeypatch):
     monkeypatch.setattr(layout, "_edits_within", lambda a, b, most: asked.append((a, b)))
     layout.alike_places(["abcdefghijklmnopqrstuvwxyz"], ["zyxwvutsrqponmlkjihgfedcba"])
     assert not asked
+
+
+def test_local_drift_is_that_of_brute_force_without_joins(spark):
+    """Ties in y, lone items and rows without a pair; matches are not multiplied by a join."""
+    rng = np.random.default_rng(4)
+    rows = [(p, i, int(rng.integers(0, 90)), int(rng.integers(0, 4 if p == 1 else 400)), int(rng.integers(0, 90)), int(rng.integers(0, 400))) for p, n in ((1, 40), (2, 60), (3, 1), (None, 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "pair_id int, ord int, x int, y int, other_x int, other_y int")
+    found = layout.local_drift(df)
+    wanted = {}
+    for p, i, x, y, ox, oy in rows:
+        near = sorted((abs(r[3] - y), r[1], r[4] - r[2], r[5] - r[3]) for r in rows if p is not None and r[0] == p and r[1] != i)[:10]
+        wanted[p, i] = max(abs(ox - x - np.median([n[2] for n in near])), abs(oy - y - np.median([n[3] for n in near]))) if near else 0.0
+    assert {(r.pair_id, r.ord): r.drift for r in found.collect()} == wanted
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
