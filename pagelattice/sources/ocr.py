@@ -29,7 +29,9 @@ def lines(words: DataFrame, keys: tuple[str, ...] = ("image_id", "tile_top"), le
     """
     kept = words.where((F.col("level") == WORD) & (F.col("conf") >= least) & (F.trim("text") != ""))
     kept = kept.withColumn("y", F.col("top") + F.col("tile_top"))
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda w: w["text"]), " ")
+    # two lists of plain values are half the bytes of one of structs when lines are shuffled; a word without a place comes first
+    placed = F.arrays_zip(F.collect_list(F.coalesce("ord", F.lit(-(2**31)))).alias("ord"), F.collect_list("text").alias("text"))
+    said = F.array_join(F.transform(F.array_sort(placed), lambda w: w["text"]), " ")
     grouped = kept.groupBy(*keys, "block_num", "par_num", "line_num").agg(
         F.min("ord").alias("ord"), said.alias("text"), F.min("left").alias("x"), F.min("y").alias("y"),
         (F.max(F.col("left") + F.col("width")) - F.min("left")).alias("w"), (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("h"),

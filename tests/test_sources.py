@@ -114,3 +114,14 @@ def test_hidden_elements_and_descriptions():
 def test_only_the_first_main_is_read():
     read = html.read_page("<main><p>a</p><main><div class='block in'>x</div></main></main><main><section></section><div data-block-name='late'>y</div></main>")
     assert (read.sections, [b["name"] for b in read.blocks], read.is_eds) == (2, ["in"], False)
+
+
+def test_words_of_a_line_are_shuffled_as_plain_lists(spark):
+    """Words come in any order, those without a place first; no list of structs is shuffled, which took more bytes."""
+    from pagelattice.sources import ocr
+
+    rows = [("i", 0, 5, 0, 0, 0, o, left, 10, 5, 5, 90.0, t) for o, left, t in ((2, 20, "three"), (1, 10, "two"), (None, 0, "one"))]
+    words = spark.createDataFrame(rows, "image_id string, tile_top int, level int, block_num int, par_num int, line_num int, ord int, left int, top int, width int, height int, conf double, text string")
+    found = ocr.lines(words.repartition(3))
+    assert [(r.text, r.x, r.y, r.w, r.h) for r in found.collect()] == [("one two three", 0, 10, 25, 5)]
+    assert "collect_list(struct" not in found._jdf.queryExecution().optimizedPlan().toString()
