@@ -35,6 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes = threading.local()
 
 
+def _removed(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that ``written`` makes inside are removed at its end, with the shuffle files that nothing refers to any more.
@@ -47,8 +52,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for name in stack.pop():
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _removed(spark, name)
         gc.collect()
         spark._jvm.System.gc()
 
@@ -64,6 +68,21 @@ def written(df: DataFrame, name: str, result: bool = False, partition_by: str |
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def by_key(df: DataFrame, key: str, name: str) -> Iterator[DataFrame]:
+    """``df`` written to buckets of ``key``, one for each shuffle partition: joins by ``key`` inside do not shuffle it again."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}-{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/tables/{table}"
+    df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).option("path", path).saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+        _removed(spark, path)
+
+
 @contextlib.contextmanager
 def steady_scans(spark: SparkSession) -> Iterator[None]:
     """Scans inside are split alike in every job, also where executors come or go meanwhile: the number of cores is asked for once."""

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import id_and_text, map_rows, scratch, squeezed, trimmed, written
+from pagelattice.llm.common import by_key, id_and_text, map_rows, scratch, squeezed, trimmed, written
 from pagelattice.llm.components import connected, merged
 
 WORDS, SEED, BITS = 3, 42, 3
@@ -36,6 +36,9 @@ LANES = 12
 ALIKE, ALIKE_WORDS = (4, 5), 5
 #: Hashes that more texts have come last where first hashes are chosen, and how many of them; only speed depends on both.
 OFTEN, MOST_OFTEN = 16, 200_000
+#: Nodes of a hash beyond which they are compared with some of them again before all of its pairs are, with how many, and the orders in which
+#: these are chosen; only speed depends on them.
+CROWDED, HUBS, ORDERS = 32, 16, 3
 #: Bits of a code word, of them check bits, covering radius, and free bits behind the code word.
 CODE, CHECK, RADIUS, FREE = 31, 5, 1, 1
 #: x^5 + x^2 + 1, a generator of the Hamming code.
@@ -441,12 +444,36 @@ def met_by_hashes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         return written(shared.join(firsts.select("node", "size", "bits"), "node"), "met", result=True)
 
 
+def _stars(met: DataFrame, order: int, hubs: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of each node of a hash in ``met`` with ``hubs`` of its nodes, and (hash, least, n) of these; n is how many each stands for.
+
+    They are the first in an order of their own for each hash and each ``order``, so that a group of alike nodes mostly meets some of its own.
+    """
+    columns = [c for c in met.columns if c != "hash"]
+    rank = F.xxhash64("hash", "node", F.lit(order))
+    keys = ["hash", *[F.pmod(F.xxhash64("node", F.lit(order)), F.lit(hubs)).alias("hub")] * (hubs > 1)]
+    least = written(met.groupBy(*keys).agg(F.min(F.struct(rank.alias("rank"), *columns)).alias("least"), F.count("*").alias("n")), "least")
+    own, other = {c: F.col(c) for c in columns}, {c: F.col("least")[c] for c in columns}
+    apart = own["component"] != other["component"] if "component" in columns else own["node"] != other["node"]
+    stars = met.join(least, "hash").where(apart & _possible(own, other))
+    return stars.select(F.least("least.node", "node").alias("a"), F.greatest("least.node", "node").alias("b")), least
+
+
+def _apart(met: DataFrame, component: DataFrame) -> DataFrame:
+    """The rows of ``met`` whose hash several components have, with their component and the number ``n`` of rows of the hash."""
+    told = met.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    told = written(told.select(*met.columns, "component"), "unjoined")
+    apart = told.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
+    return written(told.join(written(apart.select("hash", "n"), "apart"), "hash"), "left")
+
+
 def groups_of(prints: DataFrame, texts: DataFrame, bits: int = BITS, complete: bool = True) -> DataFrame:
     """(node, component) of the nodes that have a link; links have a Jaccard index of ``ALIKE`` or more.
 
     ``prints`` is (node, prints), ``texts`` (node, text), which may have more rows. Candidates are pairs that meet by a fingerprint.
     With ``complete``, also all others that can be alike: such pairs share one of their first hashes. Every
-    node with a hash is first compared with one that has it, the first in a random order; then the pairs of a hash that are not
+    node with a hash is first compared with one that has it, the first in a random order; where a hash then has more than ``CROWDED``
+    nodes and several components, again with ``HUBS`` others; then the pairs of a hash that are not
     in one component by then. Pairs that sizes, places and parities keep below ``ALIKE`` never leave the join.
     """
     pairs = met_by_prints(prints, bits)
@@ -454,27 +481,24 @@ def groups_of(prints: DataFrame, texts: DataFrame, bits: int = BITS, complete: b
     if not complete:
         return connected(verified(pairs, data))
     met = met_by_hashes(prints, texts)
-    # whole texts are shuffled once, and those of the nodes that meet another one are kept
-    nodes = met.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    data = written(data.join(nodes, "node", "left_semi"), "met-texts")
     columns = ("node", "size", "at", "bits")
-    # in an order of its own for each hash, so that a group of alike nodes mostly meets some of its own
-    least = met.groupBy("hash").agg(F.min(F.struct(F.xxhash64("hash", "node").alias("rank"), *columns)).alias("least"), F.count("*").alias("n"))
-    least = written(least, "least")
-    own, other = {c: F.col(c) for c in columns}, {c: F.col("least")[c] for c in columns}
-    stars = met.join(least, "hash").where((own["node"] != other["node"]) & _possible(own, other))
-    stars = stars.select(other["node"].alias("a"), own["node"].alias("b"))
-    linked = verified(stars.unionByName(pairs).distinct(), data)
-    # with two nodes the pair has been compared
-    left = met.join(least.where("n > 2").select("hash"), "hash").join(connected(linked), "node", "left")
-    left = written(left.select("hash", *columns, F.coalesce("component", "node").alias("component")), "unjoined")
-    apart = left.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    left = written(left.join(written(apart.select("hash"), "apart"), "hash", "left_semi"), "left")
-    sides = [left.select("hash", *[F.col(c).alias(f"{s}_{c}") for c in (*columns, "component")]) for s in "ab"]
-    a, b = ({c: F.col(f"{s}_{c}") for c in (*columns, "component")} for s in "ab")
-    rest = sides[0].join(sides[1], "hash").where((a["node"] < b["node"]) & (a["component"] != b["component"]) & _possible(a, b))
-    rest = rest.select(a["node"].alias("a"), b["node"].alias("b")).distinct()
-    return connected(linked.unionByName(verified(rest, data)))
+    stars, least = _stars(met, 0)
+    # texts are shuffled once; what is looked up in them later comes to where they lie
+    with by_key(data, "node", "all-texts") as data:
+        linked = verified(stars.unionByName(pairs).distinct(), data)
+        # with two nodes the pair has been compared
+        left = _apart(met.join(least.where("n > 2").select("hash"), "hash"), connected(linked))
+        for order in range(1, ORDERS):
+            crowded = left.where(F.col("n") > CROWDED).select("hash", *columns, "component")
+            if crowded.isEmpty():
+                break
+            linked = linked.unionByName(verified(_stars(crowded, order, HUBS)[0].distinct(), data))
+            left = _apart(left.select("hash", *columns), connected(linked))
+        sides = [left.select("hash", *[F.col(c).alias(f"{s}_{c}") for c in (*columns, "component")]) for s in "ab"]
+        a, b = ({c: F.col(f"{s}_{c}") for c in (*columns, "component")} for s in "ab")
+        rest = sides[0].join(sides[1], "hash").where((a["node"] < b["node"]) & (a["component"] != b["component"]) & _possible(a, b))
+        rest = rest.select(a["node"].alias("a"), b["node"].alias("b")).distinct()
+        return connected(linked.unionByName(verified(rest, data)))
 
 
 def one_of_each_group(docs: DataFrame, lanes: int = LANES, words: int = WORDS, bits: int = BITS, complete: bool = False) -> DataFrame:

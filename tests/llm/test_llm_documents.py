@@ -1,7 +1,10 @@
 """The document operators against the plainest way to the same result, on awkward tables."""
 
 import hashlib
+import itertools
 import math
+import os
+import random
 import re
 import zlib
 from collections import Counter
@@ -11,7 +14,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from pagelattice.llm import bpe, licenses, lm_score, packing, runs_dedup, simhash, toxicity, webp
+from pagelattice.llm import bpe, common, licenses, lm_score, packing, runs_dedup, simhash, toxicity, webp
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -689,3 +692,43 @@ def test_rows_keep_their_places(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_a_large_group_of_near_copies_is_not_compared_in_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        for i in rng.sample(range(150), rng.choice((2, 3, 3, 4))):
+            words[i] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    prints = spark.createDataFrame([(i, [i << 40]) for i in range(300)], "node long, prints array<bigint>")
+    compared = []
+    verified = simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, data: (compared.append(pairs.count()), verified(pairs, data))[1])
+    monkeypatch.setattr(simhash, "met_by_prints", lambda *a: spark.createDataFrame([], "a long, b long"))
+    found = {r.node: r.component for r in simhash.groups_of(prints, nodes).collect()}
+    sets = [simhash.shingle_set(t) for t in texts]
+    label = list(range(300))
+    for i, j in itertools.combinations(range(300), 2):
+        if label[i] != label[j] and simhash.alike(sets[i], sets[j]):
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    assert [found.get(i, i) for i in range(300)] == label
+    assert compared[-1] < 300 * 5  # of its last step, in which all pairs that are left are compared
+
+
+def test_texts_by_key_are_not_shuffled_again(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with common.by_key(spark.range(100).withColumnRenamed("id", "node"), "node", "texts") as texts:
+            joined = texts.join(spark.range(50).withColumnRenamed("id", "node"), "node", "left_semi")
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and joined.count() == 50
+            files = texts.inputFiles()
+        assert files and not any(os.path.exists(f.removeprefix("file:").replace("//", "/")) for f in files)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
