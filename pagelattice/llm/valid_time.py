@@ -358,6 +358,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     "spark.sql.streaming.stateStore.maintenanceInterval": "2s",
+    # a store ends with its task: the next start opens stores of its own, and those of 13 starts together would fill an executor
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.minBatchesToRetain": "2",
     # the other manager starts a process for each file that it renames in a folder of the operating system
     "spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager",

@@ -2,9 +2,11 @@
 
 import datetime as dt
 import math
+import os
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -96,3 +98,16 @@ def test_crowded_clients_are_sliced(spark):
     parts = [r["count"] for r in valid_time.dealt(rows, crowd, valid_time.group_ids(spark, 4)).where("slice <> -1").groupBy("slice").count().collect()]
     assert len(parts) > 20
     assert max(parts) < 0.1 * sum(parts)
+
+
+def test_no_start_leaves_its_stores_open(spark, monkeypatch):
+    """Stores of earlier starts, one for each partition, do not add up in an executor until maintenance comes by."""
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+    locked = lambda: {p for p in Path(f"/proc/{pid}/fd").iterdir() if p.is_symlink() and os.path.basename(os.readlink(p)) == "LOCK"}
+    monkeypatch.setitem(valid_time.SETTINGS, "spark.sql.streaming.stateStore.maintenanceInterval", "1h")
+    monkeypatch.setattr(valid_time, "BATCHES", 1)
+    before = len(locked())
+    sales, changes = shop(7, 40, 30, 0.1)
+    got = valid_time.enriched_sales(spark.createDataFrame(sales, SALES), spark.createDataFrame(changes, CHANGES))
+    assert got.where("rec = 'sale'").count() == len(sales)
+    assert len(locked()) <= before
