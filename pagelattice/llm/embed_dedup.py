@@ -9,6 +9,10 @@ whose sums a float32 holds without rounding, so that it runs at the speed of a m
 arithmetic of the bound itself can lose is bounded from the dimension (``lost``). Equal vectors are one class
 with a count, and a class is compared once.
 
+Most tiles need half of that: with the length of a vector's second half as one more number after its first half, the product
+of two such heads is never below the cosine, so codes of the heads come first (``Heads``). Only where they
+leave many pairs of a tile do the codes of the whole vectors follow.
+
 All classes are compared: they are dealt by hash into groups of bounded size, and a cell of the grid
 compares two groups. A cell gives the number of links of each class and a spanning forest of its
 links, never the pairs. The number of cells grows with the square of the classes, which is the
@@ -30,8 +34,10 @@ THRESHOLD = 0.9
 GROUP, TILE = 4096, 512
 #: Dimensions whose products of codes sum to less than 2**24.
 EXACT = (1 << 24) // 127**2
-#: Pairs computed in full precision at a time.
+#: Pairs computed in full precision at a time, and links merged at a time.
 PAIRS = 100_000
+#: A tile of which heads leave more than this part is compared by whole codes.
+MANY = 1 / 256
 
 
 def lost(dimension: int) -> float:
@@ -67,18 +73,44 @@ class Quantised:
         return self.products(rows, other, columns) >= needed
 
 
+class Heads:
+    """Codes of the first half of each row of ``unit`` and of the length of its rest, under one scale, so that a row needs one bound."""
+
+    def __init__(self, unit: np.ndarray):
+        self.dimension = unit.shape[1]
+        first = min(self.dimension // 2, EXACT - 1)
+        head = np.column_stack([unit[:, :first], np.linalg.norm(unit[:, first:], axis=1)])
+        self.scale = np.abs(head).max() / 127
+        codes = np.rint(head / self.scale).astype(np.int8)
+        stored = self.scale * codes
+        self.codes = codes.astype(np.float32)  # as products take them
+        self.error = np.linalg.norm(head - stored, axis=1)
+        self.length = np.linalg.norm(stored, axis=1)
+
+    def possible(self, rows: slice, other: Heads, columns: slice, threshold: float) -> np.ndarray:
+        """Whether the bound of a pair of rows reaches ``threshold``, by an exact product of integers."""
+        least = threshold - lost(self.dimension) - self.error[rows] - self.length[rows] * other.error[columns].max(initial=0)
+        needed = least / (self.scale * other.scale)
+        needed -= np.abs(needed) * 2.0**-20
+        return self.codes[rows] @ other.codes[columns].T >= needed.astype(np.float32)[:, None]
+
+
 def near_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float):
     """Arrays (i, j) of rows of x and y, or of x and later rows of x, with cosine >= threshold, tile by tile."""
     norms_x = np.linalg.norm(x, axis=1)
-    left = Quantised(x / norms_x[:, None])
-    if y is None:
-        z, norms_z, right = x, norms_x, left
-    else:
-        z, norms_z = y, np.linalg.norm(y, axis=1)
-        right = Quantised(y / norms_z[:, None])
+    z, norms_z = (x, norms_x) if y is None else (y, np.linalg.norm(y, axis=1))
+    heads = Heads(x / norms_x[:, None])
+    others = heads if y is None else Heads(z / norms_z[:, None])
+    whole = None
     for a in range(0, len(x), TILE):
         for b in range(a if y is None else 0, len(z), TILE):
-            i, j = np.nonzero(left.possible(slice(a, a + TILE), right, slice(b, b + TILE), threshold))
+            tile = slice(a, a + TILE), slice(b, b + TILE)
+            maybe = heads.possible(tile[0], others, tile[1], threshold)
+            at = np.flatnonzero(maybe)
+            if len(at) > MANY * maybe.size:
+                whole = whole or (Quantised(x / norms_x[:, None]), Quantised(z / norms_z[:, None]))
+                at = np.flatnonzero(maybe & whole[0].possible(tile[0], whole[1], tile[1], threshold))
+            i, j = np.divmod(at, maybe.shape[1])
             i, j = i + a, j + b
             if y is None:
                 later = i < j
@@ -89,26 +121,38 @@ def near_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float):
                 yield s[near], t[near]
 
 
+def _gathered(pairs):
+    """The same pairs in fewer arrays, of ``PAIRS`` or little more."""
+    held = []
+    for found in pairs:
+        held.append(found)
+        if sum(len(i) for i, _ in held) >= PAIRS:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held = []
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def _cell(threshold: float):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         low, high = (k.as_py() for k in key)
-        group = np.array(rows.column("part").to_pylist())
-        ids = np.array(rows.column("node").to_pylist(), np.int64)
-        many = np.array(rows.column("many").to_pylist(), np.int64)
-        vectors = rows.column("embedding").to_pylist()
-        size = np.array([len(v) for v in vectors])
+        group, ids, many = (rows.column(n).to_numpy() for n in ("part", "node", "many"))
+        lists = rows.column("embedding").combine_chunks()
+        values = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        start = np.cumsum(size) - size
         links = np.zeros(len(ids), np.int64)
         label = np.arange(len(ids))
         # in one order wherever a cell runs again
         order = np.argsort(ids, kind="stable")
-        ids, many, group, size = ids[order], many[order], group[order], size[order]
+        ids, many, group, size, start = ids[order], many[order], group[order], size[order], start[order]
         for d in np.unique(size):  # vectors of different dimensions have no cosine
             here = np.flatnonzero((size == d) & (group == low))
             there = np.flatnonzero((size == d) & (group == high)) if low != high else None
             if not len(here) or there is not None and not len(there):
                 continue
-            take = lambda at: np.array([vectors[order[k]] for k in at], np.float64)
-            for i, j in near_pairs(take(here), None if there is None else take(there), threshold):
+            take = lambda at: values[start[at][:, None] + np.arange(d)]
+            for i, j in _gathered(near_pairs(take(here), None if there is None else take(there), threshold)):
                 i, j = here[i], (here if there is None else there)[j]
                 np.add.at(links, i, many[j])
                 np.add.at(links, j, many[i])

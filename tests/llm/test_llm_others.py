@@ -177,6 +177,35 @@ def test_bound_holds(dimension):
             assert possible.sum() < (cosines >= threshold - 0.12).sum() + 1  # and little else is computed in full
 
 
+@pytest.mark.parametrize("dimension", [1, 2, 3, 64, 1500, 2200])
+def test_heads_bound_cosines(dimension):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, dimension)) * rng.lognormal(size=(200, dimension))
+    x = np.concatenate([x, x[:50] + rng.normal(size=(50, dimension)) * 0.3])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    heads, every = embed_dedup.Heads(x), slice(None)
+    for threshold in (-0.2, 0.3, 0.9, 0.999):
+        assert heads.possible(every, heads, every, threshold)[x @ x.T >= threshold].all()
+
+
+@pytest.mark.parametrize("halves", [(1, 1), (1, 0.02), (0.02, 1)])
+def test_half_of_the_dimensions_part_most_vectors(monkeypatch, halves):
+    """Whole codes are compared only where heads leave many pairs; the pairs are all those of brute force."""
+    tiles, products = [], embed_dedup.Quantised.products
+    monkeypatch.setattr(embed_dedup.Quantised, "products", lambda *a: tiles.append(1) or products(*a))
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(1500, 64)) * np.repeat(halves, 32)
+    x[700:1000] = x[:300] + rng.normal(size=(300, 64)) * np.linspace(0, 0.6, 300)[:, None] * np.repeat(halves, 32)
+    y = x[600:] * rng.lognormal(size=(900, 1))
+    for other in (None, y):
+        found = [p for i, j in embed_dedup.near_pairs(x, other, 0.9) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        z = x if other is None else other
+        near = (x @ z.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(z, axis=1)) >= 0.9
+        assert sorted(found) == sorted(zip(*np.nonzero(np.triu(near, 1) if other is None else near), strict=True))
+        assert len(found) > 100
+    assert bool(tiles) == (halves == (0.02, 1))
+
+
 def test_small_groups(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "GROUP", 16)
     rng = np.random.default_rng(8)
