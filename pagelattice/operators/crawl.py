@@ -9,6 +9,8 @@ from pagelattice.functions import text
 from pagelattice.functions.geometry import rounded
 
 SNAP, NEIGHBOUR, LOCAL, DISTINCTIVE, LABEL, NEAREST = 300, 1500, 150, 12, 60, 5
+#: Characters of a label that are read first for its key.
+BEGINNING = 128
 
 
 def corpora(lines: DataFrame, name: str = "corpus", keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
@@ -108,8 +110,15 @@ def find_trigger(wanted: DataFrame, groups: DataFrame) -> DataFrame:
     return keyed.select(*wanted.columns, best["g_ord"].alias("g_ord"))
 
 
-def _label(c: Column) -> Column:
-    return F.substring(text.crawl_key(c), 1, LABEL)
+def _labelled(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the first ``LABEL`` characters of their label's crawl key, made once for each row, also where filters and joins read it again.
+
+    The label's beginning tells them, unless too little of it stays in the key; then the whole label is read.
+    """
+    label = F.coalesce("label", F.lit(""))
+    told = lambda k: (F.length(k) >= LABEL) | (F.length(label) <= BEGINNING)
+    key = F.transform(F.array(text.crawl_key(F.substring(label, 1, BEGINNING))), lambda k: F.when(told(k), k).otherwise(text.crawl_key(label)))
+    return rows.select("*", F.explode(key).alias("__key")).withColumn(name, F.substring("__key", 1, LABEL)).drop("__key")
 
 
 def snap(triggers: DataFrame, elements: DataFrame) -> DataFrame:
@@ -121,11 +130,12 @@ def snap(triggers: DataFrame, elements: DataFrame) -> DataFrame:
     and its label is long or of several words. Other triggers move by the median shift of their five nearest
     snapped ones, LOCAL pixels at most, if one is within NEIGHBOUR pixels.
     """
-    t = triggers.withColumns({"key": _label(F.col("label")), "cx": F.col("x") + F.col("w") / 2, "cy": F.col("y") + F.col("h") / 2})
-    e = elements.select("pair_id", "e_ord", "kind", _label(F.col("label")).alias("e_key"), *[F.col(c).alias(f"e_{c}") for c in "xywh"])
+    t = triggers.withColumns({"cx": F.col("x") + F.col("w") / 2, "cy": F.col("y") + F.col("h") / 2})
+    e = elements.select("pair_id", "e_ord", "kind", "label", *[F.col(c).alias(f"e_{c}") for c in "xywh"])
+    keyed, e_keyed = _labelled(t, "key").where("key <> ''"), _labelled(e, "e_key").where("e_key <> ''").drop("label")
     # labels of five characters or more share their first five if one starts the other; shorter ones are equal
     start = lambda c: F.when(F.length(c) >= 5, F.substring(c, 1, 5)).otherwise(c)
-    met = t.where("key <> ''").withColumn("start", start(F.col("key"))).join(e.where("e_key <> ''").withColumn("start", start(F.col("e_key"))), ["pair_id", "start"])
+    met = keyed.withColumn("start", start(F.col("key"))).join(e_keyed.withColumn("start", start(F.col("e_key"))), ["pair_id", "start"])
     related = (F.col("key") == F.col("e_key")) | (
         (F.least(F.length("key"), F.length("e_key")) >= 5) & (F.startswith("key", F.col("e_key")) | F.startswith("e_key", F.col("key")))
     )

@@ -67,6 +67,34 @@ def test_snap(spark):
     assert found == {0: (900.0, "label"), 1: (170.0, "neighbours"), 2: (150.0, "neighbours")}
 
 
+def test_labels_are_keyed_once(spark):
+    """Filters and joins read the key that was made: no other step of the plan makes it again."""
+    trigger = "pair_id int, ord int, label string, x double, y double, w double, h double"
+    element = "pair_id int, e_ord int, kind string, label string, x double, y double, w double, h double"
+    # the first label says nothing for longer than the part that is read first
+    hidden = "\u4e2d " * 200 + "Show every offer"
+    triggers = spark.createDataFrame([(1, 0, hidden, 0.0, 0.0, 10.0, 10.0), (1, 1, None, 0.0, 20.0, 10.0, 10.0)], trigger)
+    elements = spark.createDataFrame([(1, 0, "click", "show every offer", 0.0, 900.0, 10.0, 10.0), (1, 1, "click", None, 0.0, 9000.0, 10.0, 10.0)], element)
+    found = crawl.snap(triggers, elements)
+    assert {r.ord: (r.y, r.how) for r in found.collect()} == {0: (900.0, "label"), 1: (170.0, "neighbours")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("regexp_replace" in step for step in plan)
+    assert not [step for step in plan if "regexp_replace" in step and "Generate" not in step]
+
+
+def test_label_keys_are_those_of_whole_labels(spark):
+    import random
+
+    pick = random.Random(3)
+    parts = ["a", "Bc", "9", " ", "  ", "-", "\u0130", "\u212a", "\u03a3", "\u4e2d", "\U0001f600", "...", "word "]
+    labels = ["".join(pick.choices(parts, k=pick.choice([0, 3, 60, 120, 130, 300]))) for _ in range(400)]
+    labels += [None, "", "-" * 128 + "x", "a" * 128, "a" * 129, "a" * 59 + " " * 200 + "b", "a" * 60 + " b" * 90, " " * 127 + "ab", "a-" * 64 + "b"]
+    rows = crawl._labelled(spark.createDataFrame([(x,) for x in labels], "label string"), "key")
+    whole = F.substring(crawl.text.crawl_key("label"), 1, crawl.LABEL)
+    assert rows.count() == len(labels)
+    assert rows.where(~F.col("key").eqNullSafe(whole)).collect() == []
+
+
 def test_first_reveal_and_states(spark):
     lines = spark.createDataFrame([(1, 0, 0, "A"), (1, 1, 0, "a!"), (1, 1, 1, "B"), (1, 1, 2, "base")], "pair_id int, trigger int, ord int, text string")
     base = spark.createDataFrame([(1, "Base")], "pair_id int, text string")
