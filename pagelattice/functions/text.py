@@ -23,6 +23,9 @@ WIDE_SPACES = "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202
 WITHOUT_WIDTH = "\u200b\u200c\u200d\ufeff"
 #: No text of CHROME is longer.
 CHROME_LENGTH = 16
+#: Of a byte what ``key_of`` keeps of it: small letters and digits, anything else is a space.
+KEPT = bytes(c if chr(c).isalnum() else 32 for c in bytes(range(128)).lower()) + b" " * 128
+_NO_WIDTH = re.compile(NO_WIDTH)
 
 
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -77,6 +80,14 @@ def key(c: Column | str) -> Column:
     return key_of_line(line(c))
 
 
+def key_of(value: str | None) -> str:
+    """``key`` of one text in a Python worker."""
+    value = value or ""
+    if not value.isascii():  # two capitals outside ASCII have small letters in it
+        value = _NO_WIDTH.sub("", value).lower()
+    return b" ".join(value.encode("ascii", "replace").translate(KEPT).split()).decode()
+
+
 def tokens(k: Column) -> Column:
     """Words of a key; none for the empty key."""
     return F.filter(F.split(k, " "), lambda t: t != "")

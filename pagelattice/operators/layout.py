@@ -6,7 +6,6 @@ one Python function per pair; the rest are windows and aggregates over its resul
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -23,6 +22,14 @@ from pagelattice.operators.groups import spread
 
 DRIFT, REFLOW, FUZZY_LENGTH, FUZZY_SHARE = 24, 0.9, 6, 0.15
 COALESCE_EM, LOCAL_NEIGHBOURS = 0.6, 10
+#: Keys of fewer characters are told apart by two and three letters in a row, longer ones by two and five.
+LONG_KEY = 48
+#: Pairs of keys that are weighed at once, and numbers that are held as counts of letters in a row.
+PAIRS, HELD = 1 << 14, 1 << 22
+#: Slots of letter counts: digits, the space, and letters by their place among 64.
+SLOTS = 64
+_SLOT = np.arange(256) % SLOTS
+_SLOT[48:58], _SLOT[32] = np.arange(10), 10
 
 
 def first_items(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -145,11 +152,13 @@ def _edits_within(a: str, b: str, most: int) -> bool:
     if not a or not b:
         return max(len(a), len(b)) <= most
     all_, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    up, down, distance, left = all_, 0, len(a), len(b)
-    for c in b:
+    places = _places(a, set(b))
+    up, down, distance, left, apart = all_, 0, len(a), len(b), abs(len(a) - len(b))
+    for at, c in enumerate(b):
+        if at % 32 == 0 and at <= len(a):  # the least that begins of equal length cost, less what the lengths differ by
+            square = (1 << at) - 1
+            if at + (up & square).bit_count() - (down & square).bit_count() - apart > most:
+                return False
         same = places.get(c, 0)
         vertical = same | down
         horizontal = ((same & up) + up ^ up) | same
@@ -166,76 +175,168 @@ def _edits_within(a: str, b: str, most: int) -> bool:
     return distance <= most
 
 
-def alike_places(a: list[str], b: list[str]) -> list[np.ndarray]:
-    """For each key of ``a`` the places of its alike keys in ``b``, rising; equal keys share one array.
-
-    An edit changes the length by 1, the letter counts by 2 and the counts of two letters in a row by 4 at most, so keys are looked up in
+def _places(a: str, asked: set[str]) -> dict[str, int]:
+    """Of each asked character its places in ``a`` as bits, the first place last."""
+    found: dict[str, int] = {}
+    if len(a) < 2048:
+        for i, c in enumerate(a):
+            found[c] = found.get(c, 0) | 1 << i
+        return found
+    codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return {c: int.from_bytes(np.packbits(codes == ord(c), bitorder="little").tobytes(), "little") for c in asked}
+
+
+def _letters(keys: list[str]) -> np.ndarray:
+    """How often a key holds each letter; letters that share a slot only make keys look more alike."""
+    coded = [k.encode("latin-1", "replace") for k in keys]
+    rows = np.repeat(np.arange(len(keys)), [len(c) for c in coded])
+    at = rows * SLOTS + _SLOT[np.frombuffer(b"".join(coded), np.uint8)]
+    return np.bincount(at, minlength=len(keys) * SLOTS).reshape(-1, SLOTS).astype(np.int32)
+
+
+def _grams(k: str, q: int) -> np.ndarray:
+    """How often a key holds each ``q`` letters in a row, in so many slots that few share one."""
+    c = np.frombuffer(k.encode("latin-1", "replace"), np.uint8).astype(np.int64)
+    code = c[: len(c) - q + 1].copy()
+    for i in range(1, q):
+        code = code * 31 + c[i : len(c) - q + 1 + i]
+    size = 1 << (10 if q == 2 else min(18, max(8, (16 * len(k)).bit_length())))
+    return np.bincount((code * 0x9E3779B1 >> 13) & size - 1, minlength=size).astype(np.int32)
+
+
+class _Near:
+    """Whether the counts of letters in a row of two keys differ by no more than ``most`` edits can change; holds a bounded number of counts."""
+
+    def __init__(self):
+        self.held, self.size = {}, 0
+
+    def counts(self, k: str, q: int) -> np.ndarray:
+        found = self.held.get((k, q))
+        if found is None:
+            if self.size > HELD:
+                self.held, self.size = {}, 0
+            found = self.held[k, q] = _grams(k, q)
+            self.size += len(found)
+        return found
+
+    def __call__(self, a: str, b: str, most: int) -> bool:
+        for q in (2, 3 if min(len(a), len(b)) < LONG_KEY else 5):  # the one tells other words, the other another order
+            x, y = self.counts(a, q), self.counts(b, q)
+            size = min(len(x), len(y))
+            x, y = (g if len(g) == size else g.reshape(-1, size).sum(0) for g in (x, y))
+            if int(np.abs(x - y).sum()) > 2 * q * most:
+                return False
+        return True
+
+
+def _alike(a: list[str], b: list[str]) -> list[list[int]]:
+    """For each key of ``a`` the places of its alike keys in ``b``, rising; equal keys share one list.
+
+    An edit changes the length by 1, the letter counts by 2 and the counts of q letters in a row by 2 q at most, so keys are looked up in
     a window of lengths, and both counts exclude most of those before any edit distance is computed.
     """
-    left, at_left = np.unique(np.array(a, object), return_inverse=True)
-    right, at_right = np.unique(np.array(b, object), return_inverse=True)
-    order = np.argsort(np.array([len(k) for k in right]), kind="stable")
-    right = right[order]
-    places = np.split(np.argsort(np.argsort(order)[at_right], kind="stable"), np.cumsum(np.bincount(np.argsort(order)[at_right], minlength=len(right)))[:-1])
-    sizes = np.array([len(k) for k in right])
-    number = {k: j for j, k in enumerate(right)}
-    letters = lambda k: np.frombuffer(k.encode("latin-1", "replace"), np.uint8)
-    used = np.unique(np.concatenate([np.unique(letters(k)) for k in (*left, *right)]))
-    slot = np.zeros(256, np.int64)
-    slot[used] = np.arange(len(used))
-    counts = np.array([np.bincount(slot[letters(k)], minlength=len(used)) for k in right], np.int32)
-    twos = functools.cache(lambda k: np.bincount(letters(k)[:-1].astype(np.int64) * 31 + letters(k)[1:] & 1023, minlength=1024))
-    within = lambda k, j, most: np.abs(twos(k) - twos(right[j])).sum() <= 4 * most and _edits_within(k, right[j], most)
-    found = []
-    for k in left:
-        alike = [number[k]] if k in number else []
-        if len(k) >= FUZZY_LENGTH:
-            most = max(1, int(len(k) * FUZZY_SHARE))
-            lo, hi = np.searchsorted(sizes, max(FUZZY_LENGTH, len(k) - most)), np.searchsorted(sizes, len(k) + most, "right")
-            own = np.bincount(slot[letters(k)], minlength=len(used))
-            allowed = np.maximum(1, np.floor(np.minimum(sizes[lo:hi], len(k)) * FUZZY_SHARE).astype(int))
-            near = np.abs(counts[lo:hi] - own).sum(1) <= 2 * allowed
-            alike += [j for j in (np.flatnonzero(near) + lo).tolist() if right[j] != k and within(k, j, int(allowed[j - lo]))]
-        found.append(np.sort(np.concatenate([places[j] for j in alike])) if alike else np.empty(0, np.int64))
-    return [found[i] for i in at_left]
-
-
-def _row_above(below: np.ndarray, alike: np.ndarray) -> np.ndarray:
-    """The table's row of an item from the row of the next one: a running maximum from the right."""
-    best = below.copy()
-    best[alike] = below[alike + 1] + 1
-    return np.maximum.accumulate(best[::-1])[::-1]
-
-
-def walk(alike: list[np.ndarray], m: int) -> list[tuple[int, int]]:
+    places: dict[str, list[int]] = {}
+    for j, k in enumerate(b):
+        places.setdefault(k, []).append(j)
+    found = {k: [k] if k in places else [] for k in a}
+    left, right = ([k for k in keys if len(k) >= FUZZY_LENGTH] for keys in (found, places))
+    if left and right:
+        right.sort(key=len)
+        sizes = np.array([len(k) for k in right])
+        lengths = np.array([len(k) for k in left])
+        most = np.maximum(1, np.floor(lengths * FUZZY_SHARE).astype(int))
+        lo, hi = np.searchsorted(sizes, lengths - most), np.searchsorted(sizes, lengths + most, "right")
+        counts_near = _Near()
+        begun, upto = 0, np.cumsum(hi - lo)
+        while begun < len(left):  # as many keys as have a bounded number of pairs, one at least
+            end = max(begun + 1, int(np.searchsorted(upto, (upto[begun - 1] if begun else 0) + PAIRS, "right")))
+            n = (hi - lo)[begun:end]
+            i = np.repeat(np.arange(begun, end), n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[begun:end], n)
+            allowed = np.maximum(1, np.floor(np.minimum(lengths[i], sizes[j]) * FUZZY_SHARE).astype(int))
+            told = np.abs(lengths[i] - sizes[j]) <= allowed
+            i, j, allowed = i[told], j[told], allowed[told]
+            if len(i):
+                (u, i_at), (v, j_at) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+                own, other = _letters([left[k] for k in u.tolist()]), _letters([right[k] for k in v.tolist()])
+                apart = np.concatenate([np.abs(own[i_at[s : s + PAIRS]] - other[j_at[s : s + PAIRS]]).sum(1) for s in range(0, len(i), PAIRS)])
+                near = apart <= 2 * allowed
+                for x, y, edits in zip(i[near].tolist(), j[near].tolist(), allowed[near].tolist(), strict=True):
+                    k, other_key = left[x], right[y]
+                    if k != other_key and counts_near(k, other_key, edits) and _edits_within(k, other_key, edits):
+                        found[k].append(other_key)
+            begun = end
+    at = {k: sorted(j for other_key in alike for j in places[other_key]) if len(alike) > 1 else places[alike[0]] if alike else [] for k, alike in found.items()}
+    return [at[k] for k in a]
+
+
+def alike_places(a: list[str], b: list[str]) -> list[np.ndarray]:
+    """``_alike`` as arrays; equal keys share one."""
+    found = _alike(a, b)
+    made = {id(p): np.array(p, np.int64) for p in found}
+    return [made[id(p)] for p in found]
+
+
+def _row_above(below: int, alike: int, whole: int) -> int:
+    """The table's row of an item from the row of the next one (Hyyrö 2004): a bit is unset where a cell is one more than the cell right of it."""
+    met = below & alike
+    return (below + met | below - met) & whole
+
+
+def _bits(places: Sequence[int], m: int) -> int:
+    """The places as bits, the last place first."""
+    if len(places) < 64:
+        out = 0
+        for j in places:
+            out |= 1 << m - 1 - int(j)
+        return out
+    held = np.zeros(m, np.uint8)
+    held[np.asarray(places)] = 1
+    return int.from_bytes(np.packbits(held).tobytes(), "big") >> -m % 8
+
+
+def walk(alike: Sequence[Sequence[int]], m: int) -> list[tuple[int, int]]:
     """Steps (i, j) of a longest common subsequence of items with these alike places among ``m`` others; -1 for the side that a step skips.
 
-    Of equally long ones the walk prefers a match, then a step on the source side. Only every k-th row of the table is
-    kept, k being the root of its height; the walk makes the rows between two of them again when it comes there, so memory
+    Of equally long ones the walk prefers a match, then a step on the source side. A row of the table is a number of ``m`` bits. Only every
+    k-th row is kept, k being the root of its height; the walk makes the rows between two of them again when it comes there, so memory
     grows with the root of the product of both lengths and a row, not with the product.
     """
     n = len(alike)
-    height = max(1, math.isqrt(n))
-    kept, row = {n: np.zeros(m + 1, np.int32)}, np.zeros(m + 1, np.int32)
+    height, whole = max(1, math.isqrt(n)), (1 << m) - 1
+    known: dict[int, int] = {}
+
+    def bits(i: int) -> int:
+        """The alike places of an item; equal keys share theirs, so those of many places are known for a while."""
+        if len(alike[i]) < 64:
+            return _bits(alike[i], m)
+        if len(known) > height:
+            known.clear()
+        if id(alike[i]) not in known:
+            known[id(alike[i])] = _bits(alike[i], m)
+        return known[id(alike[i])]
+
+    kept, row = {n: whole}, whole
     for i in range(n - 1, -1, -1):
-        row = _row_above(row, alike[i])
+        row = _row_above(row, bits(i), whole)
         if i % height == 0:
             kept[i] = row
-    steps, i, j, top, rows, own = [], 0, 0, -1, [], set()
-    fresh = -1
+    steps, i, j, top, rows, own = [], 0, 0, -1, [], []
     while i < n and j < m:
         if i - i % height != top:
             top = i - i % height
+            own = [bits(k) for k in range(top, min(n, top + height))]
             rows = [kept[min(n, top + height)]]
-            for k in range(min(n, top + height) - 1, top - 1, -1):
-                rows.append(_row_above(rows[-1], alike[k]))
+            for places in reversed(own):
+                rows.append(_row_above(rows[-1], places, whole))
             rows.reverse()
-        if fresh != i:
-            own, fresh = set(alike[i].tolist()), i
-        if j in own:
+        at, rest = m - 1 - j, (1 << m - j) - 1
+        here, below = rows[i - top], rows[i + 1 - top]
+        if own[i - top] >> at & 1:
             steps.append((i, j))
             i, j = i + 1, j + 1
-        elif rows[i + 1 - top][j] >= rows[i - top][j + 1]:
+        # the cell below is as large as the one to the right if that is one less than this one, or if both are as large as this one
+        elif not here >> at & 1 or (below & rest).bit_count() == (here & rest).bit_count():
             steps.append((i, -1))
             i += 1
         else:
@@ -266,7 +367,7 @@ def aligned_pair(pair_id, source: list[dict], target: list[dict]) -> list[tuple]
     """
     sides = {"source": source, "target": target}
     keys = {k: [item["key"] for item in v] for k, v in sides.items()}
-    alike = alike_places(keys["source"], keys["target"]) if keys["source"] and keys["target"] else [np.empty(0, np.int64)] * len(source)
+    alike = _alike(keys["source"], keys["target"])
     steps = walk(alike, len(target))
     status = {k: [""] * len(v) for k, v in sides.items()}
     other = {k: [-1] * len(v) for k, v in sides.items()}
@@ -301,7 +402,7 @@ def aligned_pair(pair_id, source: list[dict], target: list[dict]) -> list[tuple]
                 status["target"][j] = "extra"
     free = {j for j, st in enumerate(status["target"]) if st == "extra"}
     for i, st in enumerate(status["source"]):
-        if st == "missing" and free and (j := next((j for j in alike[i].tolist() if j in free), None)) is not None:
+        if st == "missing" and free and (j := next((j for j in alike[i] if j in free), None)) is not None:
             free.remove(j)
             status["source"][i] = status["target"][j] = "moved"
             other["source"][i], other["target"][j] = j, i
@@ -318,18 +419,23 @@ def aligned_pair(pair_id, source: list[dict], target: list[dict]) -> list[tuple]
     return out
 
 
-def by_page(sides: Sequence[DataFrame], columns: Sequence[str], run: Callable[[object, list[dict], list[dict]], list[tuple]], schema: str) -> DataFrame:
+def by_page(
+    sides: Sequence[DataFrame], columns: Sequence[str], run: Callable[[object, list[dict], list[dict]], list[tuple]], schema: str, dealt: bool = False, how: str = "full"
+) -> DataFrame:
     """The rows that ``run`` makes of a pair's id and its items on either side, in order of ``ord``.
 
     The items of a side are gathered in the pair's row, so that batches hold many pairs and a pair costs no call of its own; both sides are
-    dealt once by pair. A side without items is empty. A few pairs at a time become Python objects.
+    dealt once by pair, here unless they are ``dealt`` already. A side without items is empty; ``how`` is inner to leave out its pair. A few
+    pairs at a time become Python objects.
     """
+    of = lambda side: side if dealt else spread(side, "pair_id")
     gathered = [
-        spread(side.select("pair_id", *columns), "pair_id").groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        of(side.select("pair_id", *columns)).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
         for side, name in zip(sides, ("source", "target"), strict=True)
     ]
-    met = gathered[0].join(gathered[1], "pair_id", "full").select("pair_id", "source", "target")
-    held = to_arrow_schema(StructType.fromDDL(schema))
+    made = StructType.fromDDL(schema)
+    held = to_arrow_schema(made)
+    met = gathered[0].join(gathered[1], "pair_id", how).select(F.col("pair_id").cast(made["pair_id"].dataType).alias("pair_id"), "source", "target")
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in map(pa.RecordBatch.to_pydict, _parts(batches)):
@@ -340,19 +446,48 @@ def by_page(sides: Sequence[DataFrame], columns: Sequence[str], run: Callable[[o
     return met.mapInArrow(pages, schema)
 
 
-def align(source: DataFrame, target: DataFrame, rules: list[dict] | None = None) -> DataFrame:
-    """J9, J10, A7 over prepared items of both sides, ordered by ``ord`` within a pair."""
+def _texts(items: DataFrame, rules: list[dict] | None, *columns: str) -> DataFrame:
+    """Items without page chrome and what their key is made of, as ``told``."""
+    found = items.where(~text.is_chrome(F.col("text")))
     # aliases keep the sides apart where both come from one table
-    sides = [prepared(side, rules).select(F.col("pair_id").cast("string").alias("pair_id"), *(F.col(c).alias(c) for c in ITEM)) for side in (source, target)]
-    return by_page(sides, ITEM, aligned_pair, ALIGNED)
+    told = text.with_rules(F.col("text"), rules) if rules else F.col("text")
+    return found.select(F.col("pair_id").alias("pair_id"), *(F.col(c).alias(c) for c in columns), told.alias("told"))
+
+
+def _keyed(items: list[dict]) -> list[dict]:
+    """P8's second half: the items whose key is not empty, with it."""
+    for item in items:
+        item["key"] = text.key_of(item["told"])
+    return [item for item in items if item["key"]]
+
+
+def align(source: DataFrame, target: DataFrame, rules: list[dict] | None = None, dealt: bool = False) -> DataFrame:
+    """J9, J10, A7 over the items of both sides, ordered by ``ord`` within a pair. Keys are made where the items are aligned."""
+    columns = [c for c in ITEM if c != "key"]
+    run = lambda pair_id, s, t: aligned_pair(pair_id, _keyed(s), _keyed(t))
+    return by_page([_texts(side, rules, *columns) for side in (source, target)], [*columns, "told"], run, ALIGNED, dealt)
+
+
+def steps(source: DataFrame, target: DataFrame, rules: list[dict] | None = None, dealt: bool = False) -> DataFrame:
+    """pair_id, op, source_ord, target_ord: the steps of the walk alone, for pairs whose sides both have items with a key."""
+
+    def run(pair_id, s: list[dict], t: list[dict]) -> list[tuple]:
+        s, t = _keyed(s), _keyed(t)
+        if not s or not t:
+            return []
+        found = walk(_alike([i["key"] for i in s], [i["key"] for i in t]), len(t))
+        return [(pair_id, op, s[i]["ord"] if i >= 0 else None, t[j]["ord"] if j >= 0 else None) for op, (i, j) in enumerate(found)]
+
+    kept = [_texts(side, rules, "ord") for side in (source, target)]
+    return by_page(kept, ["ord", "told"], run, "pair_id string, op int, source_ord int, target_ord int", dealt, "inner")
 
 
 def alike_items(source: DataFrame, target: DataFrame) -> DataFrame:
     """J11 within pairs: pair_id, source_ord and target_ord of prepared items with alike keys."""
 
     def run(pair_id, s: list[dict], t: list[dict]) -> list[tuple]:
-        found = alike_places([i["key"] for i in s], [i["key"] for i in t]) if s and t else []
-        return [(pair_id, item["ord"], t[j]["ord"]) for item, places in zip(s, found, strict=False) for j in places.tolist()]
+        found = _alike([i["key"] for i in s], [i["key"] for i in t])
+        return [(pair_id, item["ord"], t[j]["ord"]) for item, places in zip(s, found, strict=True) for j in places]
 
     kind = source.schema["pair_id"].dataType.simpleString()
     return by_page([source, target], ["ord", "key"], run, f"pair_id {kind}, source_ord long, target_ord long")

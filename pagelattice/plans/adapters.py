@@ -47,9 +47,9 @@ def profiled(lines: DataFrame, modulus: int) -> DataFrame:
 
 
 def items(lines: DataFrame) -> DataFrame:
-    """Positioned items of each line, 20 pixels a line."""
+    """Positioned items of each line, 20 pixels a line; dealt by pair."""
     at = F.row_number().over(_by_pair()) - 1
-    placed = lines.withColumn("n", at)
+    placed = spread(lines, "pair_id").withColumn("n", at)
     return placed.select(
         F.col("pair_id"), F.col("n").cast("int").alias("ord"), F.col("line").alias("text"), (10 * (F.col("n") % 3)).cast("int").alias("x"),
         (20 * F.col("n")).cast("int").alias("y"), (8 * F.length("line")).cast("int").alias("w"), F.lit(16).alias("h"), F.lit(16).alias("font_size"),

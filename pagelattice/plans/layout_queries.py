@@ -93,7 +93,7 @@ def inline_coalesce(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _aligned(spark, sf) -> DataFrame:
-    return layout.align(*_items(spark, sf))
+    return layout.align(*_items(spark, sf), dealt=True)
 
 
 @query()
@@ -139,11 +139,7 @@ def layout_lcs_length(spark: SparkSession, sf: str) -> DataFrame:
 )
 def layout_pairing(spark: SparkSession, sf: str) -> DataFrame:
     """The steps of the walk itself, for pairs whose sides both have items."""
-    found = _longs(_aligned(spark, sf), "op", "ord")
-    of = lambda side: F.max(F.when(F.col("side") == side, F.col("ord")))
-    steps = found.groupBy("pair_id", "op").agg(of("source").alias("source_ord"), of("target").alias("target_ord"))
-    sides = found.groupBy("pair_id").agg(F.count_distinct("side").alias("n")).where("n = 2")
-    return steps.join(sides.select("pair_id"), "pair_id")
+    return _longs(layout.steps(*_items(spark, sf), dealt=True), "op", "source_ord", "target_ord")
 
 
 @query()

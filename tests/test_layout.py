@@ -189,3 +189,58 @@ def test_local_drift_is_that_of_brute_force_without_joins(spark):
         wanted[p, i] = max(abs(ox - x - np.median([n[2] for n in near])), abs(oy - y - np.median([n[3] for n in near]))) if near else 0.0
     assert {(r.pair_id, r.ord): r.drift for r in found.collect()} == wanted
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_equal_words_in_other_orders_are_not_measured(monkeypatch):
+    """Their letters and letters in pairs are alike; five in a row tell them apart."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 2)) for _ in range(200)]
+    keys = [" ".join(rng.permutation(words)) for _ in range(30)]
+    asked = []
+    monkeypatch.setattr(layout, "_edits_within", lambda a, b, most: asked.append((a, b)))
+    layout.alike_places(keys, keys)
+    assert not asked
+
+
+def test_edits_within_a_bound_are_those_of_the_table():
+    rng = np.random.default_rng(9)
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, before = [i], row
+            for j, d in enumerate(y, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (c != d)))
+        return row[-1]
+
+    for _ in range(150):
+        a, b = ("".join(rng.choice(list("abc日"), rng.integers(0, 120))) for _ in range(2))
+        b = a[: len(a) // 2] + b if rng.random() < 0.5 else b
+        d = edits(a, b)
+        assert all(layout._edits_within(a, b, d + k) == (k >= 0) for k in (-9, -1, 0, 1, 9) if d + k >= 0)
+    long = "".join(rng.choice(list("abcd "), 3000))
+    other = long[:1000] + "x" + long[1001:2000] + long[2003:]
+    assert layout._edits_within(long, other, 4) and not layout._edits_within(long, other, 3)
+
+
+def test_pairing_aligns_once_and_shuffles_a_side_once(spark):
+    from pagelattice.plans import catalog
+
+    plan = catalog.QUERIES["layout_pairing"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_steps_are_those_of_the_alignment(spark):
+    rng = np.random.default_rng(10)
+    words = ["alpha one", "alpha ones", "beta", "s", "Text size:", "日本", "​", "gamma delta", None]
+    rows = [(p, i, None if (w := words[rng.integers(9)]) is None else w, 0, 20 * i, 1, 1, 1) for p in range(9) for i in range(rng.integers(0, 9))]
+    both = spark.createDataFrame(rows, ITEM.replace("pair_id string", "pair_id long"))
+    source, target = both.where("ord % 2 = 0"), both.where("ord % 3 > 0 and pair_id <> 4").withColumn("ord", F.col("ord") + 100)
+    rules = [{"from": "beta", "to": "gamma delta"}]
+    for r, dealt in ((None, False), (rules, True)):
+        found = {(s.pair_id, s.op, s.source_ord, s.target_ord) for s in layout.steps(source, target, r, dealt).collect()}
+        held = {}
+        for a in layout.align(source, target, r).collect():
+            held.setdefault(a.pair_id, {}).setdefault(a.op, {})[a.side] = a.ord
+        wanted = {(p, op, o.get("source"), o.get("target")) for p, ops in held.items() if {s for o in ops.values() for s in o} == {"source", "target"} for op, o in ops.items()}
+        assert found == wanted and found

@@ -162,3 +162,9 @@ def test_searches_before_expressions_change_no_text(spark):
     for r in rows.select("t", text.line("t").alias("a"), plain.alias("b"), text.is_chrome(F.col("t")).alias("c"), chrome.alias("d")).collect():
         assert (r.a, r.c) == (r.b, r.d), repr(r.t)
     assert "transform" in rows.select(text.line("t"))._jdf.queryExecution().optimizedPlan().toString()  # searched once, then replaced
+
+
+def test_keys_of_workers_are_those_of_columns(spark):
+    rows = [f"A{chr(c)}b{chr(c)} {chr(c)}0" for c in range(0x3100) if not 0xD800 <= c < 0xE000] + ["", " ", None, "ΑΣ Σ", "ﬁ ＡＢ１", "Two  words here"]
+    found = spark.createDataFrame([(r,) for r in rows], "t string").select("t", text.key("t").alias("k")).collect()
+    assert [r.k for r in found] == [text.key_of(r.t) for r in found]
