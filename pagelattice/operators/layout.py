@@ -359,8 +359,8 @@ ALIGNED = (
 )
 
 
-def aligned_pair(pair_id, source: list[dict], target: list[dict]) -> list[tuple]:
-    """J9, A7, J10 for one pair: a row for each item, in the order of the walk.
+def aligned_pair(pair_id, source: list[dict], target: list[dict], only: tuple[str, str] | None = None) -> list[tuple]:
+    """J9, A7, J10 for one pair: a row for each item, in the order of the walk, or for those of ``only`` one side and status.
 
     Status is matched, reflow, moved, missing (source) or extra (target). ``segment`` numbers the runs of
     unmatched steps of a pair, from 0, and is null for matches. ``counterpart`` is the other item's place.
@@ -407,30 +407,29 @@ def aligned_pair(pair_id, source: list[dict], target: list[dict]) -> list[tuple]
             status["source"][i] = status["target"][j] = "moved"
             other["source"][i], other["target"][j] = j, i
     out = []
-    items = {k: [tuple(item[c] for c in ITEM) for item in v] for k, v in sides.items()}
+    row = lambda item: tuple(item[c] for c in ITEM)
     for op, (i, j) in enumerate(steps):
         for side, facing, at in (("source", "target", i), ("target", "source", j)):
-            if at < 0:
+            if at < 0 or only and only != (side, status[side][at]):
                 continue
             to = other[side][at]
-            peer = items[facing][to] if to >= 0 else None
+            peer = row(sides[facing][to]) if to >= 0 else None
             there = (None,) * 6 if peer is None else (peer[0], *peer[2:6], peer[1])
-            out.append((pair_id, op, side, *items[side][at], status[side][at], segment[side][at], *there))
+            out.append((pair_id, op, side, *row(sides[side][at]), status[side][at], segment[side][at], *there))
     return out
 
 
 def by_page(
-    sides: Sequence[DataFrame], columns: Sequence[str], run: Callable[[object, list[dict], list[dict]], list[tuple]], schema: str, dealt: bool = False, how: str = "full"
+    sides: Sequence[DataFrame], columns: Sequence[str], run: Callable[[object, list[dict], list[dict]], list[tuple]], schema: str, how: str = "full"
 ) -> DataFrame:
     """The rows that ``run`` makes of a pair's id and its items on either side, in order of ``ord``.
 
     The items of a side are gathered in the pair's row, so that batches hold many pairs and a pair costs no call of its own; both sides are
-    dealt once by pair, here unless they are ``dealt`` already. A side without items is empty; ``how`` is inner to leave out its pair. A few
-    pairs at a time become Python objects.
+    dealt once by pair (nothing is shuffled where they are so already). A side without items is empty; ``how`` is inner to leave out its pair.
+    A few pairs at a time become Python objects.
     """
-    of = lambda side: side if dealt else spread(side, "pair_id")
     gathered = [
-        of(side.select("pair_id", *columns)).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        spread(side.select("pair_id", *columns), "pair_id").groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
         for side, name in zip(sides, ("source", "target"), strict=True)
     ]
     made = StructType.fromDDL(schema)
@@ -447,28 +446,31 @@ def by_page(
 
 
 def _texts(items: DataFrame, rules: list[dict] | None, *columns: str) -> DataFrame:
-    """Items without page chrome and what their key is made of, as ``told``."""
+    """Items without page chrome, and with ``told``, which their key is made of, where that is not the text itself."""
     found = items.where(~text.is_chrome(F.col("text")))
+    told = [text.with_rules(F.col("text"), rules).alias("told")] if rules else []
     # aliases keep the sides apart where both come from one table
-    told = text.with_rules(F.col("text"), rules) if rules else F.col("text")
-    return found.select(F.col("pair_id").alias("pair_id"), *(F.col(c).alias(c) for c in columns), told.alias("told"))
+    return found.select(*(F.col(c).alias(c) for c in ("pair_id", *columns)), *told)
 
 
 def _keyed(items: list[dict]) -> list[dict]:
     """P8's second half: the items whose key is not empty, with it."""
     for item in items:
-        item["key"] = text.key_of(item["told"])
+        item["key"] = text.key_of(item["told"] if "told" in item else item["text"])
     return [item for item in items if item["key"]]
 
 
-def align(source: DataFrame, target: DataFrame, rules: list[dict] | None = None, dealt: bool = False) -> DataFrame:
-    """J9, J10, A7 over the items of both sides, ordered by ``ord`` within a pair. Keys are made where the items are aligned."""
+def align(source: DataFrame, target: DataFrame, rules: list[dict] | None = None, only: tuple[str, str] | None = None) -> DataFrame:
+    """J9, J10, A7 over the items of both sides, ordered by ``ord`` within a pair; of those the rows of ``only`` one side and status, if asked.
+
+    Keys are made where the items are aligned.
+    """
     columns = [c for c in ITEM if c != "key"]
-    run = lambda pair_id, s, t: aligned_pair(pair_id, _keyed(s), _keyed(t))
-    return by_page([_texts(side, rules, *columns) for side in (source, target)], [*columns, "told"], run, ALIGNED, dealt)
+    run = lambda pair_id, s, t: aligned_pair(pair_id, _keyed(s), _keyed(t), only)
+    return by_page([_texts(side, rules, *columns) for side in (source, target)], [*columns, *(["told"] if rules else [])], run, ALIGNED)
 
 
-def steps(source: DataFrame, target: DataFrame, rules: list[dict] | None = None, dealt: bool = False) -> DataFrame:
+def steps(source: DataFrame, target: DataFrame, rules: list[dict] | None = None) -> DataFrame:
     """pair_id, op, source_ord, target_ord: the steps of the walk alone, for pairs whose sides both have items with a key."""
 
     def run(pair_id, s: list[dict], t: list[dict]) -> list[tuple]:
@@ -478,8 +480,9 @@ def steps(source: DataFrame, target: DataFrame, rules: list[dict] | None = None,
         found = walk(_alike([i["key"] for i in s], [i["key"] for i in t]), len(t))
         return [(pair_id, op, s[i]["ord"] if i >= 0 else None, t[j]["ord"] if j >= 0 else None) for op, (i, j) in enumerate(found)]
 
-    kept = [_texts(side, rules, "ord") for side in (source, target)]
-    return by_page(kept, ["ord", "told"], run, "pair_id string, op int, source_ord int, target_ord int", dealt, "inner")
+    columns = ["ord", "text"]
+    kept = [_texts(side, rules, *columns) for side in (source, target)]
+    return by_page(kept, [*columns, *(["told"] if rules else [])], run, "pair_id string, op int, source_ord int, target_ord int", "inner")
 
 
 def alike_items(source: DataFrame, target: DataFrame) -> DataFrame:

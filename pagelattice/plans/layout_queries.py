@@ -93,7 +93,7 @@ def inline_coalesce(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _aligned(spark, sf) -> DataFrame:
-    return layout.align(*_items(spark, sf), dealt=True)
+    return layout.align(*_items(spark, sf))
 
 
 @query()
@@ -139,7 +139,7 @@ def layout_lcs_length(spark: SparkSession, sf: str) -> DataFrame:
 )
 def layout_pairing(spark: SparkSession, sf: str) -> DataFrame:
     """The steps of the walk itself, for pairs whose sides both have items."""
-    return _longs(layout.steps(*_items(spark, sf), dealt=True), "op", "source_ord", "target_ord")
+    return _longs(layout.steps(*_items(spark, sf)), "op", "source_ord", "target_ord")
 
 
 @query()

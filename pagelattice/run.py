@@ -135,11 +135,14 @@ class Run:
         """J7, J8 over all profiles."""
         return self._kept("content", content.rollup(self._side(self.lines, "source"), self._side(self.lines, "target")))
 
+    def _alignment(self, only: tuple[str, str] | None = None) -> DataFrame:
+        items = self._whole(self.given.items)
+        return layout.align(self._side(items, "source"), self._side(items, "target"), list(self.config.rules), only)
+
     @cached_property
     def aligned(self) -> DataFrame:
         """J9 over the positioned texts."""
-        items = self._whole(self.given.items)
-        return self._kept("layout", layout.align(self._side(items, "source"), self._side(items, "target"), list(self.config.rules)))
+        return self._kept("layout", self._alignment())
 
     @cached_property
     def layout_summary(self) -> DataFrame:
@@ -155,13 +158,14 @@ class Run:
         laid = self.layout_summary.withColumn("pair_id", F.col("pair_id").cast("long"))
         return self._kept("pairs", report.with_fields(found, laid, "layout"))
 
-    def _named(self, df: DataFrame) -> DataFrame:
-        names = self.screened.select("pair_id", "slug", F.col("source_url").alias("sourceUrl"), F.col("target_url").alias("targetUrl"), "verdict", "finished_reason", "aggregate_verdict")
-        return df.join(names, "pair_id")
+    def _named(self, df: DataFrame, *told: str) -> DataFrame:
+        """``df`` with its pair's slug and addresses, and what screening ``told`` of it; nothing is screened for the names alone."""
+        pairs = self.screened if told else self.given.pairs.withColumnRenamed("idx", "pair_id")
+        return df.join(pairs.select("pair_id", "slug", F.col("source_url").alias("sourceUrl"), F.col("target_url").alias("targetUrl"), *told), "pair_id")
 
     def text_missing(self) -> DataFrame:
         """S20."""
-        found = self._named(audit.missing_lines(self.audited).select("pair_id", "ord", "line"))
+        found = self._named(audit.missing_lines(self.audited).select("pair_id", "ord", "line"), "verdict", "finished_reason")
         return found.select("slug", "sourceUrl", "targetUrl", F.coalesce("verdict", F.lit("")).alias("screeningVerdict"), F.col("finished_reason").alias("finishedReason"), F.col("ord").alias("lineIndex"), F.col("line").alias("sourceLine"))
 
     def content_missing(self) -> DataFrame:
@@ -179,13 +183,13 @@ class Run:
     def screening_profiles(self) -> DataFrame:
         """S22."""
         found = self.screening_by_profile.select("pair_id", "profile", F.col("verdict").alias("own"), "image_similarity", "text_recall", "height_ratio")
-        return self._named(found).select(
+        return self._named(found, "aggregate_verdict").select(
             "slug", "profile", F.col("own").alias("verdict"), F.col("image_similarity").alias("imageSimilarity"), F.col("text_recall").alias("textRecall"),
             F.col("height_ratio").alias("heightRatio"), F.coalesce("aggregate_verdict", F.lit("")).alias("aggregateVerdict"), "sourceUrl", "targetUrl",
         )
 
     def _laid(self, status: str) -> DataFrame:
-        found = self.aligned.where((F.col("side") == "source") & (F.col("status") == status))
+        found = self._alignment(("source", status)) if self.config.folder is None else self.aligned.where((F.col("side") == "source") & (F.col("status") == status))
         return self._named(found.select(F.col("pair_id").cast("long").alias("pair_id"), "x", "y", "other_y", "text"))
 
     def layout_missing(self) -> DataFrame:

@@ -237,10 +237,19 @@ def test_steps_are_those_of_the_alignment(spark):
     both = spark.createDataFrame(rows, ITEM.replace("pair_id string", "pair_id long"))
     source, target = both.where("ord % 2 = 0"), both.where("ord % 3 > 0 and pair_id <> 4").withColumn("ord", F.col("ord") + 100)
     rules = [{"from": "beta", "to": "gamma delta"}]
-    for r, dealt in ((None, False), (rules, True)):
-        found = {(s.pair_id, s.op, s.source_ord, s.target_ord) for s in layout.steps(source, target, r, dealt).collect()}
+    for r in (None, rules):
+        found = {(s.pair_id, s.op, s.source_ord, s.target_ord) for s in layout.steps(source, target, r).collect()}
         held = {}
         for a in layout.align(source, target, r).collect():
             held.setdefault(a.pair_id, {}).setdefault(a.op, {})[a.side] = a.ord
         wanted = {(p, op, o.get("source"), o.get("target")) for p, ops in held.items() if {s for o in ops.values() for s in o} == {"source", "target"} for op, o in ops.items()}
         assert found == wanted and found
+
+
+def test_rows_of_one_side_and_status(spark):
+    source = items(spark, [("Intro", 0, 0), ("Features list", 0, 40), ("Pricing plans", 0, 80), ("Contact sales", 0, 120)])
+    target = items(spark, [("Intro", 0, 0), ("Pricing plan", 0, 40), ("Features lists", 0, 200), ("Careers", 0, 240)])
+    whole = layout.align(source, target).collect()
+    for only in (("source", "moved"), ("target", "extra"), ("source", "missing")):
+        found = layout.align(source, target, only=only).collect()
+        assert found and found == [r for r in whole if (r.side, r.status) == only]

@@ -99,3 +99,20 @@ def test_lists_of_answers(spark):
     assert sorted(map(tuple, found["missing"].collect())) == [("p1", 1, "c.png", "", "s", "t"), ("p1", 2, "d.png", "x", "s", "t")]
     assert found["extra-on-target"].collect() == []
     assert [tuple(r) for r in found["reordered-matches"].collect()] == [("p1", 1, "", "l", "s", "t")]
+
+
+def test_names_alone_ask_for_no_screening(spark):
+    """Files without a verdict read the texts of both sides once, and none for screening; each text is shuffled once, also without broadcasts."""
+    from pagelattice.plans import catalog
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("run_layout_moved", "run_layout_missing"):
+            found = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+            found.collect()
+            plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+            assert plan.count("ReadSchema: struct<doc_id:bigint,text:string>") == 2
+            assert plan.count("REPARTITION_BY_NUM") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
