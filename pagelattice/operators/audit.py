@@ -7,6 +7,7 @@ partition keys throughout, so a corpus of pairs needs one shuffle of each side.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,15 +97,27 @@ def longest_runs(lines: DataFrame, target: DataFrame, keys: Sequence[str]) -> Da
     return met.select(*keys, "key", longest_run(text.tokens(F.col("key")), F.col("blob"), F.col("twos")).alias("longest")).where("longest > 1")
 
 
-def audit_lines(source: DataFrame, target: DataFrame, keys: Sequence[str] = ("pair_id",), how: str = "left") -> DataFrame:
+def _joined(lines: DataFrame, index: DataFrame, keys: list[str], dealt: list[str], how: str) -> DataFrame:
+    """Lines and the row of their target. Equality of keys by which nothing is dealt is no equality to the planner, which would deal by them, too."""
+    rest = [k for k in keys if k not in dealt]
+    if not rest:
+        return lines.join(index, keys, how)
+    index = index.withColumnsRenamed({k: f"__{k}" for k in keys})
+    met = [F.col(k) == F.col(f"__{k}") for k in dealt] + [F.array_contains(F.array(f"__{k}"), F.col(k)) for k in rest]
+    return lines.join(index, reduce(lambda a, b: a & b, met), how).drop(*[f"__{k}" for k in keys])
+
+
+def audit_lines(source: DataFrame, target: DataFrame, keys: Sequence[str] = ("pair_id",), how: str = "left", dealt: Sequence[str] | None = None) -> DataFrame:
     """Each source line's match: exact, substring (of the word stream), partial (by its longest run) or missing.
 
     ``token_coverage`` is the run's share of the line's words, where the last stage was reached. Both sides are shuffled once by
-    ``keys``, and all stages are expressions over a line and its target. ``how`` is inner to leave out lines without a target.
+    ``keys``, or by the ones that are ``dealt``, and not at all where they are so already; all stages are expressions over a line and its
+    target. ``how`` is inner to leave out lines without a target.
     """
-    keys = list(keys)
-    lines = spread(source.select(*keys, "ord", "line"), *keys).withColumn("normal", text.line("line")).withColumn("key", text.key_of_line(F.col("normal")))
-    met = lines.join(target_index(spread(target.select(*keys, "ord", "line"), *keys), keys), keys, how).withColumns({"blob": F.coalesce("blob", F.lit("  ")), "words": text.tokens(F.col("key"))})
+    keys, dealt = list(keys), list(dealt or keys)
+    lines = spread(source.select(*keys, "ord", "line"), *dealt).withColumn("normal", text.line("line")).withColumn("key", text.key_of_line(F.col("normal")))
+    index = target_index(spread(target.select(*keys, "ord", "line"), *dealt), keys)
+    met = _joined(lines, index, keys, dealt, how).withColumns({"blob": F.coalesce("blob", F.lit("  ")), "words": text.tokens(F.col("key"))})
     stage = (
         F.when((F.col("normal") != "") & F.coalesce(F.array_contains("exact", F.col("normal")), F.lit(False)), "exact")
         .when((F.length("key") >= LEAST_KEY) & F.contains("blob", _spaced(F.col("key"))), "substring")

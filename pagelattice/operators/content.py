@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.operators.audit import audit_lines
+from pagelattice.operators.groups import spread
 
 
 def union_of_profiles(lines: DataFrame) -> DataFrame:
     """A4: the distinct lines of a side over all profiles, in order of first sight (profile rank, place)."""
-    first = lines.groupBy("pair_id", "line").agg(F.min(F.struct("rank", "ord")).alias("at"))
+    # the profile tells nothing more, but the same columns as for the audit by profile need no shuffle of their own
+    first = lines.groupBy("pair_id", "line").agg(F.min(F.struct("rank", "ord", "profile")).alias("at"))
     return first.select("pair_id", "line", F.col("at.rank").alias("rank"), F.col("at.ord").alias("ord"))
 
 
@@ -24,10 +26,12 @@ def rollup(source: DataFrame, target: DataFrame) -> DataFrame:
     """Each distinct missed line of the shared profiles, probed again in the target of all profiles.
 
     Lines are (pair_id, profile, rank, ord, line), rank being the profile's place. A miss that the union
-    holds is viewport_shifted, any other missing_entirely; it carries the first profile that misses it.
+    holds is viewport_shifted, any other missing_entirely; it carries the first profile that misses it. Each side is shuffled once, by
+    pair: its profiles stay beside each other, and what follows needs no other order.
     """
-    placed = source.withColumn("ord", F.struct("rank", "ord"))
-    audited = audit_lines(placed, target, ["pair_id", "profile"], "inner").where("match_type = 'missing'")  # inner: shared profiles alone
+    source, target = (spread(side.select("pair_id", "profile", "rank", "ord", "line"), "pair_id") for side in (source, target))
+    source, seen = (side.withColumn("ord", F.struct("rank", "ord")) for side in (source, target))
+    audited = audit_lines(source, seen, ["pair_id", "profile"], "inner", ["pair_id"]).where("match_type = 'missing'")  # inner: shared profiles alone
     first = audited.where("normal <> ''").groupBy("pair_id", "normal").agg(F.min_by(F.struct("profile", "line"), "ord").alias("first"))
     # the profile comes along in place of an order, so nothing is joined back
     probes = first.select("pair_id", F.col("first.profile").alias("ord"), F.col("first.line").alias("line"))

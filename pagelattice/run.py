@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pagelattice.functions import text
 from pagelattice.operators import audit, content, layout, report, screening
+from pagelattice.operators.groups import spread
 from pagelattice.sources import sinks
 
 
@@ -84,8 +85,12 @@ class Run:
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
     def _whole(self, df: DataFrame) -> DataFrame:
-        """Rows of pairs whose captures are there."""
-        return df.join(self.given.failures.select("pair_id").distinct(), "pair_id", "left_anti")
+        """Rows of pairs whose captures are there, dealt by pair, as all that follows needs them.
+
+        An anti join would be moved below the dealing, which then is the join's own and may be merged into few partitions.
+        """
+        failed = self.given.failures.select("pair_id").distinct().withColumn("failed", F.lit(True))
+        return spread(df, "pair_id").join(failed, "pair_id", "left").where("failed is null").drop("failed")
 
     def _side(self, df: DataFrame, role: str) -> DataFrame:
         return df.where(F.col("role") == role).drop("role")

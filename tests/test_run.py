@@ -116,3 +116,20 @@ def test_names_alone_ask_for_no_screening(spark):
             assert plan.count("REPARTITION_BY_NUM") == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_content_shuffles_a_side_once(spark):
+    """Neither the failed pairs, nor the profiles, nor the second look over all of them deal the texts again, also without broadcasts."""
+    from pagelattice.plans import catalog
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = catalog.QUERIES["run_content_missing"](spark, "/root/testdata/sf0.001")
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+        assert sum("REPARTITION_BY_NUM" in line for line in dealt) == 2
+        assert len(dealt) == 4  # and the failed pairs and the names
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
